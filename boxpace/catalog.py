@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, ShortType
+from pyspark.sql.types import (ByteType, DateType, DoubleType, FloatType, IntegerType, ShortType, TimestampNTZType,
+                               TimestampType)
 
 from .operators import curves
 from .sources import tables as T
@@ -22,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def present(df: DataFrame) -> DataFrame:
-    """Round doubles to 6 places, widen small integers to bigint."""
+    """Round doubles to 6 places, widen small integers to bigint, dates as ISO text."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -30,6 +31,10 @@ def present(df: DataFrame) -> DataFrame:
             c = F.round(c.cast("double"), 6)
         elif isinstance(f.dataType, (IntegerType, ShortType, ByteType)):
             c = c.cast("bigint")
+        elif isinstance(f.dataType, (TimestampType, TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        elif isinstance(f.dataType, DateType):
+            c = F.date_format(c, "yyyy-MM-dd")
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -145,3 +150,61 @@ def _a24(spark, d):
 def _r9(spark, d):
     """D-30 and D-7 weighted checkpoint cards over the shown watchlist rows."""
     return W.checkpoints(_wl(spark, d).table, CFG)
+
+
+# --- ingest: raw text to clean fact ---------------------------------------
+
+from .plans import enrich as R  # noqa: E402
+from .functions import classify as C  # noqa: E402
+
+ENRICHED = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "sale_date", "event_date", "event_name",
+            "event_part", "qty_sold", "amount", "event_category", "event_type", "event_label", "event_instance",
+            "weekday", "venue", "season"]
+
+
+def _enriched(spark, d):
+    return R.enrich(T.raw_sales(spark, d), CFG)
+
+
+@query("r1_enrich")
+def _r1(spark, d):
+    """Dirty text rows to the typed, classified, labelled fact (headers, coercion, drops, F1-F9, P6)."""
+    return _enriched(spark, d).select(*ENRICHED)
+
+
+@query("f1_category_raw")
+def _f1(spark, d):
+    """Category normaliser on the raw category column, per distinct raw value."""
+    raw = (T.raw_sales(spark, d).select(F.col("`Event Category`").alias("raw_category"))
+           .groupBy("raw_category").agg(F.count(F.lit(1)).alias("n_rows")))
+    return raw.withColumn("category", C.normalize_category(F.col("raw_category"), None, CFG))
+
+
+@query("f1_category_from_name")
+def _f1b(spark, d):
+    """Category normaliser without a category column: keyword fallback on the event name."""
+    e = _enriched(spark, d).drop("event_category").groupBy("event_name").agg(F.count(F.lit(1)).alias("n_rows"))
+    return e.withColumn("category", C.normalize_category(None, F.col("event_name"), CFG))
+
+
+@query("f3_event_type")
+def _f3(spark, d):
+    """Event-type ladder per distinct (part, name, category) of the ingested rows."""
+    return (_enriched(spark, d).groupBy("event_part", "event_name", "event_category", "event_type")
+            .agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+@query("f4_collab_category")
+def _f4(spark, d):
+    """Regex categoriser per distinct ingested event name."""
+    e = _enriched(spark, d).groupBy("event_name").agg(F.sum("qty_sold").alias("qty_sold"))
+    return e.withColumn("collab_category", C.collab_category("event_name", CFG))
+
+
+@query("f8_title_case")
+def _f8(spark, d):
+    """Title case (letters after any non-letter) of every distinct trimmed raw part and name."""
+    raw = T.raw_sales(spark, d)
+    vals = (raw.select(C.strip(F.col("`Event Part`")).alias("text"))
+            .unionByName(raw.select(C.strip(F.col("`EVENT NAME`")).alias("text"))).distinct())
+    return vals.withColumn("title", C.title_case(F.col("text")))

@@ -236,3 +236,130 @@ SELECT 'D-' || CAST(target_day AS VARCHAR) AS label, round(actual, 6) AS actual,
        CASE WHEN actual - median IS NULL THEN 'No benchmark' WHEN actual - median <= -5.0 THEN 'Behind'
             WHEN actual - median >= 5.0 THEN 'Ahead' ELSE 'On pace' END AS status
 FROM ag""")
+
+
+# --- ingest ---------------------------------------------------------------
+
+from .config import CATEGORY_MAP, COLLAB_PATTERNS, KEYWORD_TYPE_MAP, SERIES_LOOKUP  # noqa: E402
+from .sources.tables import RAW_CATEGORIES, RAW_PARTS, RAW_TITLES  # noqa: E402
+
+WS = "(' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
+
+
+def q(v) -> str:
+    return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+
+
+def strip(x: str) -> str:
+    return f"trim({x}, {WS})"
+
+
+def title(x: str) -> str:
+    return (f"array_to_string(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN i = 1 OR NOT "
+            f"regexp_matches(({x})[i - 1], '\\p{{L}}') THEN upper(({x})[i]) ELSE lower(({x})[i]) END), '')")
+
+
+def exact(x: str, pairs) -> str:
+    return "CASE " + x + " " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in pairs) + " END"
+
+
+def first_sub(x: str, pairs) -> str:
+    return "CASE " + " ".join(f"WHEN contains({x}, {q(k)}) THEN {q(v)}" for k, v in pairs) + " END"
+
+
+def first_re(x: str, pairs, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, {q(p)}) THEN {q(v)}" for p, v in pairs) + \
+        f" ELSE {q(default)} END"
+
+
+def norm_cat(raw: str) -> str:
+    return (f"CASE WHEN {raw} IS NOT NULL AND length({raw}) > 0 THEN (CASE WHEN {strip(raw)} = '' THEN "
+            f"'Other (Unmapped)' ELSE coalesce({exact('lower(' + strip(raw) + ')', CATEGORY_MAP)}, "
+            f"{title(strip(raw))}) END) ELSE 'Other (Unmapped)' END")
+
+
+def cat_from_name(name: str) -> str:
+    return f"coalesce({first_sub('lower(' + strip(name) + ')', CATEGORY_MAP)}, 'Other (Unmapped)')"
+
+
+def ev_type(part: str, name: str, cat: str) -> str:
+    p = strip(part)
+    return (f"CASE WHEN {part} IS NOT NULL AND {p} <> '' THEN coalesce({exact('lower(' + p + ')', SERIES_LOOKUP)}, "
+            f"{first_sub('lower(' + p + ')', KEYWORD_TYPE_MAP)}, {title(p)}) ELSE coalesce("
+            f"{first_sub('lower(coalesce(' + name + ', ' + q('') + '))', KEYWORD_TYPE_MAP)}, "
+            f"CASE WHEN {cat} IS NOT NULL AND {strip(cat)} <> '' THEN {strip(cat)} END, 'Other') END")
+
+
+def _list(vals) -> str:
+    return "[" + ", ".join(f"CAST({q(v)} AS VARCHAR)" for v in vals) + "]"
+
+
+RAW = """,
+raw AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+    CASE WHEN l_orderkey % 101 = 0 THEN NULL WHEN l_orderkey % 97 = 0 THEN 'not a date'
+         ELSE strftime(sale_date, '%Y-%m-%d') END AS " Sale Date",
+    CASE WHEN l_partkey % 89 = 0 THEN strftime(event_date, '%m/%d/%Y') ELSE strftime(event_date, '%Y-%m-%d') END AS "Event Date",
+    CASE WHEN l_orderkey % 103 = 0 THEN NULL
+         ELSE '  ' || """ + _list(RAW_TITLES) + """[l_partkey % 18 + 1] || ' ' || event_name || ' ' END AS "EVENT NAME",
+    """ + _list(RAW_PARTS) + """[l_suppkey % 8 + 1] AS "Event Part",
+    CASE WHEN l_orderkey % 107 = 0 THEN 'n/a' WHEN l_orderkey % 41 = 0 THEN '-' || CAST(CAST(qty_sold AS BIGINT) AS VARCHAR)
+         ELSE CAST(CAST(qty_sold AS BIGINT) AS VARCHAR) END AS "Qty Sold",
+    CAST(amount AS VARCHAR) AS "Amount",
+    """ + _list(RAW_CATEGORIES) + """[l_partkey % 7 + 1] AS "Event Category",
+    CASE WHEN l_suppkey % 13 = 0 THEN NULL WHEN l_suppkey % 11 = 0 THEN ' ' ELSE venue END AS "Venue",
+    channel AS "Channel", customer_type AS "Customer Type", season AS "Season"
+  FROM sales),
+typed AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    coalesce(try_strptime(""" + strip('" Sale Date"') + """, '%Y-%m-%d'), try_strptime(""" + strip('" Sale Date"') + """, '%m/%d/%Y')) AS sale_date,
+    coalesce(try_strptime(""" + strip('"Event Date"') + """, '%Y-%m-%d'), try_strptime(""" + strip('"Event Date"') + """, '%m/%d/%Y')) AS event_date,
+    "EVENT NAME" AS name_raw, "Event Part" AS event_part, TRY_CAST("Qty Sold" AS DOUBLE) AS qty_sold,
+    TRY_CAST("Amount" AS DOUBLE) AS amount, "Event Category" AS cat_raw, "Venue" AS venue_raw, "Season" AS season
+  FROM raw),
+kept AS (
+  SELECT *, """ + strip("name_raw") + """ AS event_name FROM typed
+  WHERE sale_date IS NOT NULL AND event_date IS NOT NULL AND name_raw IS NOT NULL AND qty_sold IS NOT NULL),
+cat AS (SELECT *, """ + norm_cat("cat_raw") + """ AS event_category FROM kept),
+typ AS (SELECT *, """ + ev_type("event_part", "event_name", "event_category") + """ AS event_type FROM cat),
+lab AS (SELECT *, CASE WHEN """ + strip("coalesce(event_part, '')") + """ = '' THEN event_name
+                       ELSE event_name || ' – ' || """ + strip("event_part") + """ END AS event_label FROM typ),
+enr AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    strftime(sale_date, '%Y-%m-%d %H:%M:%S') AS sale_date, strftime(event_date, '%Y-%m-%d %H:%M:%S') AS event_date,
+    event_name, event_part, qty_sold, amount, event_category, event_type, event_label,
+    """ + strip("lower(event_label)") + """ || '|' || strftime(event_date, '%Y-%m-%d') AS event_instance,
+    dayname(event_date) AS weekday,
+    CASE WHEN venue_raw IS NULL OR """ + strip("venue_raw") + """ = '' THEN 'Unknown' ELSE """ + strip("venue_raw") + """ END AS venue,
+    season
+  FROM lab)"""
+
+
+def oracle_raw(name: str, body: str) -> None:
+    oracle(name, "nofact AS (SELECT 1)" + RAW + ",\n" + body.strip())
+
+
+oracle_raw("r1_enrich", """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, sale_date, event_date, event_name,
+       event_part, round(qty_sold, 6) AS qty_sold, round(amount, 6) AS amount, event_category, event_type, event_label,
+       event_instance, weekday, venue, season FROM enr""")
+
+oracle_raw("f1_category_raw", """
+SELECT "Event Category" AS raw_category, count(*) AS n_rows, """ + norm_cat('"Event Category"') + """ AS category
+FROM raw GROUP BY "Event Category" """)
+
+oracle_raw("f1_category_from_name", """
+SELECT event_name, count(*) AS n_rows, """ + cat_from_name("event_name") + """ AS category FROM enr GROUP BY event_name""")
+
+oracle_raw("f3_event_type", """
+SELECT event_part, event_name, event_category, event_type, count(*) AS n_rows FROM enr
+GROUP BY event_part, event_name, event_category, event_type""")
+
+oracle_raw("f4_collab_category", """
+SELECT event_name, round(sum(qty_sold), 6) AS qty_sold,
+       """ + first_re("lower(coalesce(event_name, ''))", COLLAB_PATTERNS, "Other (Unmapped)") + """ AS collab_category
+FROM enr GROUP BY event_name""")
+
+oracle_raw("f8_title_case", """
+SELECT text, """ + title("text") + """ AS title FROM (
+  SELECT """ + strip('"Event Part"') + """ AS text FROM raw UNION SELECT """ + strip('"EVENT NAME"') + """ FROM raw)""")
