@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ByteType, DateType, DoubleType, FloatType, IntegerType, ShortType, TimestampNTZType,
                                TimestampType)
@@ -208,3 +208,286 @@ def _f8(spark, d):
     vals = (raw.select(C.strip(F.col("`Event Part`")).alias("text"))
             .unionByName(raw.select(C.strip(F.col("`EVENT NAME`")).alias("text"))).distinct())
     return vals.withColumn("title", C.title_case(F.col("text")))
+
+
+# --- derived tables (derive_core) ------------------------------------------
+
+from .operators import compare as CMP, timing as TM, prep as P  # noqa: E402
+from .operators.cohorts import cohort_stats  # noqa: E402
+from .operators.kpi import kpis  # noqa: E402
+from .operators.allocate import allocate  # noqa: E402
+from .functions import lead as L  # noqa: E402
+
+
+def _base(spark, d):
+    return P.with_lead(T.fact(spark, d), CFG)
+
+
+@query("a18_event_pacing")
+def _a18(spark, d):
+    """Max running % per (event instance, bin) with the instance's first type, weekday, venue, date."""
+    return curves.event_pacing(T.fact(spark, d), CFG)
+
+
+@query("a17_cohort_stats")
+def _a17(spark, d):
+    """p25 / median / p75 of instance cum % and distinct instances per tier and bin, past instances."""
+    pac = curves.event_pacing(T.fact(spark, d), CFG)
+    return cohort_stats(pac.where(F.col("event_date") < P.lit_ts(AS_OF)), CFG)
+
+
+@query("a21_global_curve")
+def _a21(spark, d):
+    """Global curve from event pacing: quartiles per bin, grid-filled, monotone, band-ordered."""
+    return curves.global_curve_from_pacing(curves.event_pacing(T.fact(spark, d), CFG), AS_OF, CFG)
+
+
+@query("a2_avg_tickets")
+def _a2(spark, d):
+    """Average tickets per event instance by type, pre and post windows stacked."""
+    return CMP.avg_tickets_pre_post(_base(spark, d), CFG)
+
+
+@query("a1_category_share_pre")
+def _a1pre(spark, d):
+    """Share of tickets per event type, pre window."""
+    return CMP.category_share(P.pre_slice(_base(spark, d), CFG))
+
+
+@query("a1_category_share_post")
+def _a1post(spark, d):
+    """Share of tickets per event type, post window."""
+    return CMP.category_share(P.post_slice(_base(spark, d), CFG))
+
+
+@query("a7_events_common")
+def _a7(spark, d):
+    """Top-12 events sold in both windows by combined tickets."""
+    return CMP.events_common(_base(spark, d), CFG)
+
+
+@query("a11_sales_heatmap")
+def _a11(spark, d):
+    """Share of each closed lead bucket within the sale weekday."""
+    return TM.sales_heatmap(_base(spark, d), CFG)
+
+
+@query("a23_kpis")
+def _a23(spark, d):
+    """Time-boxed KPIs with the watchlist's behind share."""
+    f = T.fact(spark, d)
+    return kpis(P.with_lead(f, CFG), W.watchlist(f, AS_OF, CFG).summary, AS_OF)
+
+
+# --- period comparison, trend, timing ---------------------------------------
+
+@query("a5_categories_pre")
+def _a5pre(spark, d):
+    """Tickets per regex category of the ingested names, pre window, unmapped dropped."""
+    return CMP.categories_pre(_enriched(spark, d), CFG)
+
+
+@query("a5_categories_post")
+def _a5post(spark, d):
+    """Tickets per regex category of the ingested names, post window, unmapped dropped."""
+    return CMP.categories_post(_enriched(spark, d), CFG)
+
+
+@query("a6_top_categories")
+def _a6(spark, d):
+    """Top-6 regex categories of the ingested names by pre volume with their post volume."""
+    return CMP.top_categories_pre_post(_enriched(spark, d), CFG)
+
+
+@query("a3_avg_tickets_by_type")
+def _a3(spark, d):
+    """Avg tickets per (name, date) event by type and period, both periods per type, top-12 types."""
+    return CMP.pick_top_types(CMP.avg_tickets_by_type(T.fact(spark, d), CFG), CFG)
+
+
+@query("a28_share_shift")
+def _a28(spark, d):
+    """Type shares per window re-normalised to 100."""
+    b = _base(spark, d)
+    return CMP.share_shift(CMP.category_share(P.pre_slice(b, CFG)), CMP.category_share(P.post_slice(b, CFG)), CFG)
+
+
+@query("a8_season_totals")
+def _a8(spark, d):
+    """Tickets per season with its start year."""
+    return TM.season_totals(T.fact(spark, d))
+
+
+@query("w8_monthly_trend")
+def _w8(spark, d):
+    """Monthly tickets with the centred 3-month mean."""
+    return TM.monthly_trend(T.fact(spark, d))
+
+
+@query("a10_monthly_histogram")
+def _a10(spark, d):
+    """30 equal-width bins of monthly ticket totals."""
+    return TM.monthly_histogram(T.fact(spark, d))
+
+
+@query("a12_timing_heatmap")
+def _a12(spark, d):
+    """Sale weekday x half-open lead bucket share of all tickets (7 x 6), gated."""
+    return TM.timing_heatmap(T.fact(spark, d), CFG)
+
+
+# --- curves and their parts ---------------------------------------------------
+
+@query("a13_event_bin_sums")
+def _a13(spark, d):
+    """Tickets per (event, date, bin) with sales clamped into the lead window."""
+    return curves.event_bin_sums(T.fact(spark, d), CFG, lead="clamp")
+
+
+@query("w4_event_cum_share")
+def _w4(spark, d):
+    """Cumulative share per past event at every bin of the grid, 120 -> 0."""
+    return curves.event_cum_shares(P.past(T.fact(spark, d), AS_OF), CFG, lead="clamp").drop("event_total")
+
+
+@query("a20_global_pacing_curve")
+def _a20(spark, d):
+    """Past-event curve, late sales dropped, early ones capped, band ordered."""
+    return curves.global_pacing_curve(T.fact(spark, d), AS_OF, CFG)
+
+
+@query("a22_current_curve")
+def _a22(spark, d):
+    """Mean cumulative % of upcoming events over the bins that occur."""
+    return curves.current_curve(T.fact(spark, d), AS_OF, CFG)
+
+
+SELECTED_TYPE = "STANDARD"
+
+
+@query("j8_baseline_cohort")
+def _j8(spark, d):
+    """Baseline cohort ladder with one selected event type: chosen label and event count."""
+    return curves.baseline_candidates(P.past(T.fact(spark, d), AS_OF), [SELECTED_TYPE], CFG, mode="Cohort")
+
+
+@query("r3_baseline_curve_type")
+def _r3t(spark, d):
+    """Booking curve of the cohort chosen for one selected event type."""
+    c, _ = curves.baseline_curve(T.fact(spark, d), AS_OF, CFG, event_types=[SELECTED_TYPE], mode="Cohort")
+    return c
+
+
+@query("p20_curve_sample_size")
+def _p20(spark, d):
+    """Sample size of the baseline curve at bin 0."""
+    c, _ = curves.baseline_curve(T.fact(spark, d), AS_OF, CFG)
+    return curves.curve_sample_size(c)
+
+
+# --- allocation ---------------------------------------------------------------
+
+@query("u7_allocation")
+def _u7(spark, d):
+    """Each event's ticket total split over its sales in proportion to the amount (cents)."""
+    f = T.fact(spark, d).withColumn("cents", F.round(F.col("amount") * 100).cast("bigint"))
+    f = f.withColumn("event_total", F.sum("qty_sold").over(Window.partitionBy("event_name", "event_date"))
+                     .cast("bigint"))
+    out = allocate(f, ["event_name", "event_date"], "cents", "event_total", list(T.FIXTURE_ORDER_KEY))
+    return out.select(*T.FIXTURE_ORDER_KEY, "event_name", "event_date", "event_total", "cents", "alloc")
+
+
+# --- lead days, buckets, slices, periods --------------------------------------
+
+@query("p8_lead_days")
+def _p8(spark, d):
+    """days_out, bin, both clamps and the window flag for every sale."""
+    b = _base(spark, d)
+    return b.select(*T.FIXTURE_ORDER_KEY, "days_out", "d_bin",
+                    L.lead_clamped("days_out", CFG).alias("lead_clamped"),
+                    F.when(F.col("days_out") >= 0, L.lead_capped("days_out", CFG)).alias("lead_capped"),
+                    L.in_lead_window("days_out", CFG).cast("int").alias("in_window"))
+
+
+@query("f12_lead_bucket_closed")
+def _f12(spark, d):
+    """Tickets per closed lead bucket (with unknown, >120, <0)."""
+    b = _base(spark, d)
+    return b.groupBy(L.lead_bucket_closed("days_out", CFG).alias("lead_bucket")).agg(
+        F.sum("qty_sold").alias("qty_sold"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("f13_lead_bucket_half_open")
+def _f13(spark, d):
+    """Tickets per half-open lead bucket (NULL outside the edges)."""
+    b = _base(spark, d)
+    return b.groupBy(L.lead_bucket_half_open("days_out", CFG).alias("lead_bucket")).agg(
+        F.sum("qty_sold").alias("qty_sold"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("f9_sale_weekday")
+def _f9(spark, d):
+    """Tickets per sale weekday with its Monday-first rank."""
+    b = T.fact(spark, d).withColumn("sale_weekday", L.weekday_name("sale_date"))
+    return (b.groupBy("sale_weekday").agg(F.sum("qty_sold").alias("qty_sold"))
+            .withColumn("weekday_rank", L.weekday_rank("sale_weekday")))
+
+
+SLICE_SEASONS = ["1996-97", "1997-98", "1998-99", "1999-00"]
+SLICE_CHANNELS = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+
+
+@query("p13_slice_filter")
+def _p13(spark, d):
+    """Seasons IN, channels IN, event date within whole days."""
+    import datetime as _dt
+    f = P.slice_filter(T.fact(spark, d), SLICE_SEASONS, SLICE_CHANNELS, _dt.date(1996, 6, 1), _dt.date(1999, 12, 22))
+    return f.select(*T.FIXTURE_ORDER_KEY, "season", "channel", "event_date")
+
+
+@query("p14_default_seasons")
+def _p14s(spark, d):
+    """The last five seasons by text order."""
+    return P.default_seasons(T.fact(spark, d))
+
+
+@query("p14_date_bounds")
+def _p14d(spark, d):
+    """Event-date picker bounds for the as-of date."""
+    return P.default_date_bounds(T.fact(spark, d), AS_OF)
+
+
+@query("p15_default_as_of")
+def _p15(spark, d):
+    """Default as-of: the latest sale day."""
+    return P.default_as_of(T.fact(spark, d))
+
+
+@query("p17_window_label")
+def _p17(spark, d):
+    """Rows and tickets per pre / bridge / post sale window."""
+    return T.fact(spark, d).groupBy(P.window_label("sale_date", CFG).alias("window")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("qty_sold").alias("qty_sold"))
+
+
+@query("p18_period_label")
+def _p18(spark, d):
+    """Rows and tickets per two-way period."""
+    return P.periodize(T.fact(spark, d), CFG).groupBy("period").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("qty_sold").alias("qty_sold"))
+
+
+@query("p19_past_upcoming")
+def _p19(spark, d):
+    """Rows and distinct events on each side of the as-of date."""
+    f = T.fact(spark, d)
+    side = F.when(F.col("event_date") < P.lit_ts(AS_OF), F.lit("past")).otherwise(F.lit("upcoming"))
+    return f.groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n_rows"),
+                                             F.count_distinct("event_instance").alias("n_events"))
+
+
+@query("s7_data_stamp")
+def _s7(spark, d):
+    """First and last sale and the row count."""
+    from .sources.csv import data_stamp
+    return data_stamp(T.fact(spark, d))

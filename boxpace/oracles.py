@@ -363,3 +363,322 @@ FROM enr GROUP BY event_name""")
 oracle_raw("f8_title_case", """
 SELECT text, """ + title("text") + """ AS title FROM (
   SELECT """ + strip('"Event Part"') + """ AS text FROM raw UNION SELECT """ + strip('"EVENT NAME"') + """ FROM raw)""")
+
+
+# --- derived tables, comparisons, timing ----------------------------------------
+
+from .config import LEAD_BUCKETS_CLOSED, LEAD_EDGES_HALF_OPEN, LEAD_LABELS_HALF_OPEN, WEEKDAYS  # noqa: E402
+
+BIN = "CAST(floor(days_out / 3.0) * 3 AS INTEGER)"
+TS = "'%Y-%m-%d %H:%M:%S'"
+
+PACING = """
+pp AS (SELECT *, """ + BIN + """ AS d_bin FROM fact WHERE days_out BETWEEN 0 AND 120),
+pr AS (SELECT *, sum(qty_sold) OVER (PARTITION BY event_instance ORDER BY days_out DESC, """ + ORDER + """
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_qty FROM pp),
+pr2 AS (SELECT *, max(cum_qty) OVER (PARTITION BY event_instance) AS final_qty FROM pr),
+pr3 AS (SELECT *, CASE WHEN final_qty <> 0 THEN 100.0 * cum_qty / final_qty END AS cum_pct FROM pr2),
+pac AS (SELECT event_instance, d_bin,
+          first(event_type ORDER BY days_out DESC, """ + ORDER + """) AS event_type,
+          first(weekday ORDER BY days_out DESC, """ + ORDER + """) AS weekday,
+          first(venue ORDER BY days_out DESC, """ + ORDER + """) AS venue,
+          first(event_date ORDER BY days_out DESC, """ + ORDER + """) AS event_date,
+          max(cum_pct) AS cum_pct
+        FROM pr3 GROUP BY event_instance, d_bin)"""
+
+oracle("a18_event_pacing", PACING + """
+SELECT event_instance, CAST(d_bin AS BIGINT) AS d_bin, event_type, weekday, venue,
+       strftime(event_date, """ + TS + """) AS event_date, round(cum_pct, 6) AS cum_pct FROM pac""")
+
+
+def _stats(keys: list[str], rank: int, tier: str) -> str:
+    allk = ["event_type", "weekday", "venue"]
+    sel = ", ".join(k if k in keys else f"CAST(NULL AS VARCHAR) AS {k}" for k in allk)
+    where = " AND ".join([f"{k} IS NOT NULL" for k in keys] or ["TRUE"])
+    grp = ", ".join(keys + ["d_bin"])
+    return f"""SELECT {rank} AS tier_rank, '{tier}' AS tier, {sel}, d_bin,
+       quantile_cont(cum_pct, 0.5) AS med, quantile_cont(cum_pct, 0.25) AS p25, quantile_cont(cum_pct, 0.75) AS p75,
+       count(DISTINCT event_instance) AS sample_size FROM hp WHERE {where} GROUP BY {grp}"""
+
+
+oracle("a17_cohort_stats", PACING + """,
+hp AS (SELECT * FROM pac WHERE event_date < {AS_OF}),
+st AS (""" + _stats(["event_type", "weekday", "venue"], 0, "event_type|weekday|venue") + """
+  UNION ALL """ + _stats(["event_type", "weekday"], 1, "event_type|weekday") + """
+  UNION ALL """ + _stats(["event_type"], 2, "event_type") + """
+  UNION ALL """ + _stats([], 3, "all") + """)
+SELECT CAST(tier_rank AS BIGINT) AS tier_rank, tier, event_type, weekday, venue, CAST(d_bin AS BIGINT) AS d_bin,
+       round(med, 6) AS median_cum_pct, round(p25, 6) AS p25_cum_pct, round(p75, 6) AS p75_cum_pct,
+       CAST(sample_size AS BIGINT) AS sample_size FROM st""")
+
+oracle("a21_global_curve", PACING + """,
+hp AS (SELECT * FROM pac WHERE event_date < {AS_OF}),
+agg AS (SELECT d_bin, quantile_cont(cum_pct, 0.5) AS med, quantile_cont(cum_pct, 0.25) AS p25,
+               quantile_cont(cum_pct, 0.75) AS p75 FROM hp GROUP BY d_bin),
+bins AS (SELECT CAST(range AS INTEGER) AS d_bin FROM range(0, 121, 3)),
+full_ AS (SELECT bins.d_bin, agg.med, agg.p25, agg.p75 FROM bins LEFT JOIN agg USING (d_bin)),
+ff AS (SELECT d_bin, coalesce(last_value(med IGNORE NULLS) OVER w, 0) AS med_f,
+              coalesce(last_value(p25 IGNORE NULLS) OVER w, 0) AS p25_f,
+              coalesce(last_value(p75 IGNORE NULLS) OVER w, 0) AS p75_f
+       FROM full_ WINDOW w AS (ORDER BY d_bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+mono AS (SELECT d_bin, least(greatest(max(med_f) OVER w, 0), 100) AS m, least(greatest(max(p25_f) OVER w, 0), 100) AS a,
+                least(greatest(max(p75_f) OVER w, 0), 100) AS b
+         FROM ff WINDOW w AS (ORDER BY d_bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT CAST(d_bin AS BIGINT) AS d_bin, round(m, 6) AS median_cum_pct, round(least(a, m), 6) AS p25_cum_pct,
+       round(greatest(b, m), 6) AS p75_cum_pct FROM mono WHERE EXISTS (SELECT 1 FROM hp)""")
+
+oracle("a2_avg_tickets", """
+w AS (
+  SELECT event_type, sum(qty_sold) / count(DISTINCT event_instance) AS avg_tickets, 'Pre (sale < Jan 1 1998)' AS "window"
+  FROM fact WHERE sale_date < {PRE_END} AND event_type IS NOT NULL GROUP BY event_type
+  UNION ALL
+  SELECT event_type, sum(qty_sold) / count(DISTINCT event_instance), 'Post (sale ≥ Jul 1 1999)'
+  FROM fact WHERE sale_date >= {POST_START} AND event_type IS NOT NULL GROUP BY event_type)
+SELECT event_type, round(avg_tickets, 6) AS avg_tickets, "window" FROM w""")
+
+for _nm, _cond in (("a1_category_share_pre", "sale_date < {PRE_END}"), ("a1_category_share_post", "sale_date >= {POST_START}")):
+    oracle(_nm, """
+g AS (SELECT event_type, coalesce(sum(qty_sold), 0) AS q FROM fact WHERE """ + _cond + """ GROUP BY event_type)
+SELECT event_type, round(CASE WHEN (SELECT sum(q) FROM g) = 0 THEN 0.0 ELSE q / (SELECT sum(q) FROM g) END, 6) AS share_ratio
+FROM g""")
+
+oracle("a7_events_common", """
+pre AS (SELECT event_name, sum(qty_sold) AS qty_pre FROM fact WHERE sale_date < {PRE_END} GROUP BY event_name),
+post AS (SELECT event_name, sum(qty_sold) AS qty_post FROM fact WHERE sale_date >= {POST_START} GROUP BY event_name)
+SELECT event_name, round(qty_pre, 6) AS qty_pre, round(qty_post, 6) AS qty_post
+FROM pre JOIN post USING (event_name) WHERE event_name IS NOT NULL
+ORDER BY qty_pre + qty_post DESC, event_name LIMIT 12""")
+
+
+def _closed_bucket(x: str) -> str:
+    body = " ".join(f"WHEN {x} BETWEEN {lo} AND {hi} THEN '{lab}'" for lo, hi, lab in LEAD_BUCKETS_CLOSED)
+    return f"CASE WHEN {x} IS NULL THEN 'unknown' {body} WHEN {x} > 120 THEN '>120' ELSE '<0' END"
+
+
+def _half_open_bucket(x: str) -> str:
+    e = LEAD_EDGES_HALF_OPEN
+    return "CASE " + " ".join(f"WHEN {x} > {e[i]} AND {x} <= {e[i + 1]} THEN '{lab}'"
+                              for i, lab in enumerate(LEAD_LABELS_HALF_OPEN)) + " END"
+
+
+oracle("a11_sales_heatmap", """
+g AS (SELECT dayname(sale_date) AS weekday, """ + _closed_bucket("days_out") + """ AS lead_bucket,
+             coalesce(sum(qty_sold), 0) AS q
+      FROM fact WHERE days_out BETWEEN 0 AND 120 GROUP BY 1, 2),
+t AS (SELECT *, sum(q) OVER (PARTITION BY weekday) AS tot FROM g)
+SELECT weekday, lead_bucket, round(CASE WHEN tot > 0 THEN q / tot ELSE 0.0 END, 6) AS share FROM t""")
+
+oracle("a23_kpis", _resolved(20) + """,
+s AS (SELECT count(*) AS evaluated, count(*) FILTER (WHERE status = 'Behind') AS behind FROM scored),
+k AS (SELECT
+   coalesce(sum(qty_sold) FILTER (WHERE sale_date >= {AS_OF} - INTERVAL 29 DAY AND sale_date <= {AS_OF}), 0) AS t30,
+   coalesce(sum(qty_sold) FILTER (WHERE sale_date >= {AS_OF} - INTERVAL 59 DAY AND sale_date < {AS_OF} - INTERVAL 29 DAY), 0) AS prev,
+   coalesce(sum(amount) FILTER (WHERE sale_date >= {AS_OF} - INTERVAL 29 DAY AND sale_date <= {AS_OF}), 0) AS amt,
+   count(DISTINCT event_instance) FILTER (WHERE event_date >= {AS_OF} AND event_date <= {AS_OF} + INTERVAL 30 DAY) AS open_events
+ FROM fact)
+SELECT round(t30, 6) AS tickets_30d, round(CASE WHEN prev > 0 THEN (t30 - prev) / prev END, 6) AS delta_30d,
+       round(CASE WHEN t30 > 0 THEN amt / t30 END, 6) AS avg_price_30d, CAST(open_events AS BIGINT) AS open_events,
+       round(CASE WHEN evaluated > 0 THEN behind / evaluated * 100.0 ELSE 0.0 END, 6) AS behind_pct,
+       CASE WHEN evaluated > 0 THEN CAST(behind AS VARCHAR) || ' of ' || CAST(evaluated AS VARCHAR) ELSE '–' END AS behind_detail
+FROM k, s""")
+
+COLLAB = first_re("lower(coalesce(event_name, ''))", COLLAB_PATTERNS, "Other (Unmapped)")
+
+for _nm, _cond in (("a5_categories_pre", "sale_date < {PRE_END}"), ("a5_categories_post", "sale_date >= {POST_START}")):
+    oracle_raw(_nm, """
+c AS (SELECT """ + COLLAB + """ AS event_category, coalesce(qty_sold, 0) AS q FROM lab
+      WHERE sale_date IS NOT NULL AND event_name IS NOT NULL AND qty_sold IS NOT NULL AND """ + _cond + """)
+SELECT event_category, round(sum(q), 6) AS qty_sold FROM c WHERE event_category <> 'Other (Unmapped)'
+GROUP BY event_category""")
+
+oracle_raw("a6_top_categories", """
+c AS (SELECT """ + COLLAB + """ AS event_category, sale_date, coalesce(qty_sold, 0) AS q FROM lab
+      WHERE sale_date IS NOT NULL AND event_name IS NOT NULL AND qty_sold IS NOT NULL),
+pre AS (SELECT event_category, sum(q) AS qty_pre FROM c WHERE sale_date < {PRE_END} GROUP BY 1),
+post AS (SELECT event_category, sum(q) AS qty_post FROM c WHERE sale_date >= {POST_START} GROUP BY 1),
+top AS (SELECT * FROM pre WHERE event_category <> 'Other (Unmapped)' ORDER BY qty_pre DESC, event_category LIMIT 6)
+SELECT top.event_category, round(qty_pre, 6) AS qty_pre, round(coalesce(qty_post, 0), 6) AS qty_post
+FROM top LEFT JOIN post USING (event_category)""")
+
+oracle("a3_avg_tickets_by_type", """
+d AS (SELECT *, coalesce(event_type, 'Other') AS etype,
+             CASE WHEN sale_date < {POST_START} THEN 'Pre-COVID' ELSE 'Post-COVID' END AS period
+      FROM fact WHERE sale_date IS NOT NULL AND event_date IS NOT NULL AND qty_sold IS NOT NULL),
+ev AS (SELECT etype, period, event_name, event_date, sum(qty_sold) AS tickets_event FROM d
+       WHERE event_name IS NOT NULL GROUP BY ALL),
+g AS (SELECT etype, period, count(DISTINCT event_name) AS n_events, sum(tickets_event) AS total_tickets FROM ev GROUP BY ALL),
+types AS (SELECT DISTINCT etype FROM g),
+periods AS (SELECT unnest(['Pre-COVID', 'Post-COVID']) AS period),
+full_ AS (SELECT t.etype, p.period, coalesce(g.n_events, 0) AS n_events, coalesce(g.total_tickets, 0) AS total_tickets
+          FROM types t CROSS JOIN periods p LEFT JOIN g ON g.etype = t.etype AND g.period = p.period),
+top AS (SELECT etype FROM full_ GROUP BY etype ORDER BY sum(total_tickets) DESC, etype LIMIT 12)
+SELECT etype, period, CAST(n_events AS BIGINT) AS n_events, round(total_tickets, 6) AS total_tickets,
+       round(CASE WHEN n_events > 0 THEN total_tickets / n_events ELSE 0 END, 6) AS avg_tickets_per_event
+FROM full_ WHERE etype IN (SELECT etype FROM top)""")
+
+oracle("a28_share_shift", """
+gp AS (SELECT event_type, coalesce(sum(qty_sold), 0) AS q FROM fact WHERE sale_date < {PRE_END} GROUP BY 1),
+gq AS (SELECT event_type, coalesce(sum(qty_sold), 0) AS q FROM fact WHERE sale_date >= {POST_START} GROUP BY 1),
+sp AS (SELECT 'Pre' AS "window", event_type, CASE WHEN (SELECT sum(q) FROM gp) = 0 THEN 0.0 ELSE q / (SELECT sum(q) FROM gp) END AS share_ratio FROM gp),
+sq AS (SELECT 'Post' AS "window", event_type, CASE WHEN (SELECT sum(q) FROM gq) = 0 THEN 0.0 ELSE q / (SELECT sum(q) FROM gq) END AS share_ratio FROM gq),
+comb AS (SELECT * FROM sp UNION ALL SELECT * FROM sq),
+norm AS (SELECT *, CASE WHEN sum(share_ratio) OVER (PARTITION BY "window") > 0
+                        THEN share_ratio / sum(share_ratio) OVER (PARTITION BY "window") * 100.0 ELSE 0.0 END AS share_pct,
+                (event_type IS DISTINCT FROM 'Other (Unmapped)') OR share_ratio >= 0.05 AS keep FROM comb)
+SELECT "window", event_type, round(share_ratio, 6) AS share_ratio, round(share_pct, 6) AS share_pct FROM norm
+WHERE keep OR NOT EXISTS (SELECT 1 FROM norm WHERE keep)""")
+
+oracle("a8_season_totals", """
+g AS (SELECT season, coalesce(sum(qty_sold), 0) AS tickets FROM fact GROUP BY season)
+SELECT season, round(tickets, 6) AS tickets, CAST(TRY_CAST(substr(season, 1, 4) AS INTEGER) AS BIGINT) AS start_year FROM g""")
+
+MONTHLY = """
+m AS (SELECT CAST(date_trunc('month', sale_date) AS DATE) AS month, coalesce(sum(qty_sold), 0) AS qty_sold
+      FROM fact WHERE sale_date IS NOT NULL GROUP BY 1)"""
+
+oracle("w8_monthly_trend", MONTHLY + """
+SELECT strftime(month, '%Y-%m-%d') AS month, round(qty_sold, 6) AS qty_sold,
+       round(CASE WHEN count(qty_sold) OVER w = 3 THEN avg(qty_sold) OVER w END, 6) AS roll3
+FROM m WINDOW w AS (ORDER BY month ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+
+oracle("a10_monthly_histogram", MONTHLY + """,
+mm AS (SELECT *, min(qty_sold) OVER () AS lo, (max(qty_sold) OVER () - min(qty_sold) OVER ()) / 30 AS w FROM m),
+b AS (SELECT *, CAST(CASE WHEN w = 0 THEN 0 ELSE least(floor((qty_sold - lo) / w), 29) END AS INTEGER) AS bin FROM mm)
+SELECT CAST(bin AS BIGINT) AS bin, round(min(lo + bin * w), 6) AS bin_start, round(min(lo + (bin + 1) * w), 6) AS bin_end,
+       count(*) AS n_months FROM b GROUP BY bin""")
+
+oracle("a12_timing_heatmap", """
+z AS (SELECT *, dayname(sale_date) AS wd, """ + _half_open_bucket("days_out") + """ AS lb FROM fact
+      WHERE days_out BETWEEN 0 AND 120),
+st AS (SELECT sum(qty_sold) AS t, count(DISTINCT event_name) AS names, count(*) AS nrows FROM z),
+cells AS (SELECT wd, lb, sum(qty_sold) AS q FROM z GROUP BY wd, lb),
+grid AS (SELECT w.wd, b.lb FROM (SELECT unnest(""" + _list(WEEKDAYS) + """) AS wd) w
+         CROSS JOIN (SELECT unnest(""" + _list(LEAD_LABELS_HALF_OPEN) + """) AS lb) b),
+m AS (SELECT grid.wd, grid.lb, cells.q,
+             max(CASE WHEN cells.q IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY grid.wd) AS present
+      FROM grid LEFT JOIN cells ON cells.wd = grid.wd AND cells.lb = grid.lb)
+SELECT wd AS weekday, lb AS lead_bucket, round(CASE WHEN present = 1 THEN coalesce(q, 0) / st.t END, 6) AS share
+FROM m, st WHERE st.t > 0 AND st.names >= 20 AND st.nrows >= 500""")
+
+oracle("a13_event_bin_sums", """
+d AS (SELECT event_name, event_date, greatest(0, least(120, days_out)) AS lead, qty_sold FROM fact
+      WHERE event_date IS NOT NULL AND sale_date IS NOT NULL AND qty_sold IS NOT NULL)
+SELECT event_name, strftime(event_date, """ + TS + """) AS event_date, CAST(floor(lead / 3.0) * 3 AS BIGINT) AS d_bin,
+       round(sum(qty_sold), 6) AS qty_sold FROM d GROUP BY 1, 2, 3""")
+
+oracle("w4_event_cum_share", """
+past AS (SELECT * FROM fact WHERE event_date < {AS_OF}),
+d AS (SELECT event_name, event_date, greatest(0, least(120, days_out)) AS lead, qty_sold FROM past
+      WHERE event_date IS NOT NULL AND sale_date IS NOT NULL AND qty_sold IS NOT NULL),
+eb AS (SELECT event_name, event_date, CAST(floor(lead / 3.0) * 3 AS INTEGER) AS d_bin, sum(qty_sold) AS q FROM d GROUP BY 1, 2, 3),
+ev AS (SELECT event_name, event_date, sum(q) AS total FROM eb GROUP BY 1, 2),
+bins AS (SELECT CAST(range AS INTEGER) AS d_bin FROM range(0, 121, 3)),
+cum AS (SELECT ev.event_name, ev.event_date, bins.d_bin, ev.total,
+               (SELECT coalesce(sum(e2.q), 0) FROM eb e2 WHERE e2.event_name = ev.event_name AND e2.event_date = ev.event_date
+                AND e2.d_bin >= bins.d_bin) AS c
+        FROM ev CROSS JOIN bins)
+SELECT event_name, strftime(event_date, """ + TS + """) AS event_date, CAST(d_bin AS BIGINT) AS d_bin,
+       round(CASE WHEN total <> 0 THEN c / total END, 6) AS cum_share FROM cum""")
+
+oracle("a20_global_pacing_curve", "past AS (SELECT * FROM fact WHERE event_date < {AS_OF}),\n" + _curve_sql(
+    "past", "least(days_out, 120)", "AND days_out >= 0", "100.0", "100", "1", band=True))
+
+oracle("a22_current_curve", """
+fut AS (SELECT * FROM fact WHERE event_date >= {AS_OF} AND days_out BETWEEN 0 AND 120
+        AND sale_date IS NOT NULL AND qty_sold IS NOT NULL),
+eb AS (SELECT event_name, event_date, """ + BIN + """ AS d_bin, sum(qty_sold) AS q FROM fut GROUP BY 1, 2, 3),
+ev AS (SELECT event_name, event_date, sum(q) AS t FROM eb GROUP BY 1, 2),
+bins AS (SELECT DISTINCT d_bin FROM eb),
+cum AS (SELECT bins.d_bin, ev.t,
+               sum(coalesce(eb.q, 0)) OVER (PARTITION BY ev.event_name, ev.event_date ORDER BY bins.d_bin DESC
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
+        FROM ev CROSS JOIN bins
+        LEFT JOIN eb ON eb.event_name = ev.event_name AND eb.event_date = ev.event_date AND eb.d_bin = bins.d_bin)
+SELECT CAST(d_bin AS BIGINT) AS d_bin, round(avg(CASE WHEN t <> 0 THEN 100.0 * c / t END), 6) AS cum_pct
+FROM cum GROUP BY d_bin HAVING (SELECT count(*) FROM ev) >= 3""")
+
+J8 = """
+past AS (SELECT * FROM fact WHERE event_date < {AS_OF}),
+cand AS (SELECT count(DISTINCT CASE WHEN event_type = 'STANDARD' THEN event_name || '|' || CAST(event_date AS VARCHAR) END) AS n0,
+                count(DISTINCT event_name || '|' || CAST(event_date AS VARCHAR)) AS n1 FROM past),
+pick AS (SELECT CASE WHEN n0 >= 25 THEN 'event type only' ELSE 'all events (global)' END AS cohort_label,
+                CASE WHEN n0 >= 25 THEN n0 ELSE n1 END AS n_events,
+                CASE WHEN n0 >= 25 THEN 'STANDARD' END AS event_type FROM cand)"""
+
+oracle("j8_baseline_cohort", J8 + """
+SELECT cohort_label, CAST(n_events AS BIGINT) AS n_events, event_type FROM pick""")
+
+oracle("r3_baseline_curve_type", J8 + """,
+chosen AS (SELECT past.* FROM past, pick WHERE pick.event_type IS NULL OR past.event_type = pick.event_type),
+""" + _curve_sql("chosen", "greatest(0, least(120, days_out))", "", "1.0", "1", "100", band=False))
+
+oracle("p20_curve_sample_size", "past AS (SELECT * FROM fact WHERE event_date < {AS_OF}),\n" + _curve_sql(
+    "past", "greatest(0, least(120, days_out))", "", "1.0", "1", "100", band=False).replace(
+    "\nSELECT CAST(d_bin AS BIGINT) AS d_bin,", ",\ncurve AS (SELECT CAST(d_bin AS BIGINT) AS d_bin,") + """)
+SELECT CAST(coalesce(max(CASE WHEN d_bin = 0 THEN n END), arg_min(n, d_bin), 0) AS BIGINT) AS n FROM curve""")
+
+oracle("u7_allocation", """
+f AS (SELECT *, CAST(round(amount * 100) AS BIGINT) AS cents,
+             CAST(sum(qty_sold) OVER (PARTITION BY event_name, event_date) AS BIGINT) AS event_total FROM fact),
+g AS (SELECT *, sum(cents) OVER (PARTITION BY event_name, event_date) AS wsum FROM f),
+h AS (SELECT *, CAST((cents * event_total) // wsum AS BIGINT) AS part FROM g),
+k AS (SELECT *, event_total - sum(part) OVER (PARTITION BY event_name, event_date) AS rest,
+             row_number() OVER (PARTITION BY event_name, event_date ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                                l_quantity, l_extendedprice) AS rn FROM h)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+       event_name, strftime(event_date, """ + TS + """) AS event_date, event_total, cents,
+       CAST(part + CASE WHEN rn <= rest THEN 1 ELSE 0 END AS BIGINT) AS alloc FROM k""")
+
+oracle("p8_lead_days", """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+       CAST(days_out AS BIGINT) AS days_out, CAST(floor(days_out / 3.0) * 3 AS BIGINT) AS d_bin,
+       CAST(greatest(0, least(120, days_out)) AS BIGINT) AS lead_clamped,
+       CAST(CASE WHEN days_out >= 0 THEN least(days_out, 120) END AS BIGINT) AS lead_capped,
+       CAST(CASE WHEN days_out BETWEEN 0 AND 120 THEN 1 ELSE 0 END AS BIGINT) AS in_window FROM fact""")
+
+oracle("f12_lead_bucket_closed", """
+SELECT """ + _closed_bucket("days_out") + """ AS lead_bucket, round(sum(qty_sold), 6) AS qty_sold, count(*) AS n_rows
+FROM fact GROUP BY 1""")
+
+oracle("f13_lead_bucket_half_open", """
+SELECT """ + _half_open_bucket("days_out") + """ AS lead_bucket, round(sum(qty_sold), 6) AS qty_sold, count(*) AS n_rows
+FROM fact GROUP BY 1""")
+
+oracle("f9_sale_weekday", """
+SELECT dayname(sale_date) AS sale_weekday, round(sum(qty_sold), 6) AS qty_sold,
+       CAST(list_position(""" + _list(WEEKDAYS) + """, dayname(sale_date)) - 1 AS BIGINT) AS weekday_rank
+FROM fact GROUP BY 1""")
+
+oracle("p13_slice_filter", """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+       season, channel, strftime(event_date, """ + TS + """) AS event_date FROM fact
+WHERE season IN ('1996-97', '1997-98', '1998-99', '1999-00') AND channel IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
+  AND event_date BETWEEN TIMESTAMP '1996-06-01 00:00:00' AND TIMESTAMP '1999-12-22 23:59:59'""")
+
+oracle("p14_default_seasons", """
+SELECT season FROM (SELECT DISTINCT season FROM fact WHERE season IS NOT NULL) ORDER BY season DESC LIMIT 5""")
+
+oracle("p14_date_bounds", """
+SELECT '2016-01-01' AS min_event,
+       strftime(CASE WHEN max(event_date) IS NULL THEN DATE '2001-03-15'
+                     ELSE least(CAST(max(event_date) AS DATE), DATE '2001-03-15') END, '%Y-%m-%d') AS max_event FROM fact""")
+
+oracle("p15_default_as_of", """
+SELECT strftime(CAST(max(sale_date) AS DATE), '%Y-%m-%d') AS as_of FROM fact""")
+
+oracle("p17_window_label", """
+SELECT CASE WHEN sale_date < {PRE_END} THEN 'pre' WHEN sale_date >= {POST_START} THEN 'post' ELSE 'bridge' END AS "window",
+       count(*) AS n_rows, round(sum(qty_sold), 6) AS qty_sold FROM fact GROUP BY 1""")
+
+oracle("p18_period_label", """
+SELECT CASE WHEN sale_date < {POST_START} THEN 'Pre-COVID' ELSE 'Post-COVID' END AS period,
+       count(*) AS n_rows, round(sum(qty_sold), 6) AS qty_sold FROM fact
+WHERE sale_date IS NOT NULL AND event_date IS NOT NULL AND qty_sold IS NOT NULL GROUP BY 1""")
+
+oracle("p19_past_upcoming", """
+SELECT CASE WHEN event_date < {AS_OF} THEN 'past' ELSE 'upcoming' END AS side, count(*) AS n_rows,
+       count(DISTINCT event_instance) AS n_events FROM fact GROUP BY 1""")
+
+oracle("s7_data_stamp", """
+SELECT strftime(min(sale_date), """ + TS + """) AS sale_min, strftime(max(sale_date), """ + TS + """) AS sale_max,
+       count(*) AS n_rows FROM fact""")
