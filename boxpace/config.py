@@ -129,16 +129,18 @@ CSV_NULL_TOKENS: tuple[str, ...] = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-# Datetime formats tried in order when coercing text (explicit list instead of format guessing).
-DATETIME_FORMATS: tuple[str, ...] = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy HH:mm",
-    "MM/dd/yyyy",
-    "yyyy/MM/dd",
+# Datetime formats tried in order when coercing text (explicit list instead of
+# format guessing), each with the text shape it accepts: a row is parsed only by
+# the first format whose shape matches, so a failed parse never runs.
+DATETIME_FORMATS: tuple[tuple[str, str], ...] = (
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
+    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
+    (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$", "MM/dd/yyyy HH:mm:ss"),
+    (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}$", "MM/dd/yyyy HH:mm"),
+    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
 )
 
 

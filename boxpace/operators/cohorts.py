@@ -64,17 +64,40 @@ def cohort_library(rows: DataFrame, cfg: PacingConfig = DEFAULT, pct: str = "his
     medians: (tier_rank, tier, keys..., d_bin, median_pct, n) with n the
     distinct events at the bin; finals: (tier_rank, tier, keys...,
     median_final, n_events). Both medians are over sale rows, as the source
-    computes them (a long event weighs more).
+    computes them (a long event weighs more). The final is constant per event,
+    so finals first collapse rows to (cohort, event, row count) with map-side
+    combining and take a frequency-weighted percentile: the same exact value
+    from one row per event instead of one per sale.
     """
     keys = tier_keys(cfg)
     tiered = explode_tiers(rows.select(*keys, "d_bin", pct, final, event), cfg)
     medians = group_quantiles(tiered, ["tier_rank", "tier", *keys, "d_bin"], pct, {"median_pct": 0.5},
                               extra_aggs=[F.count_distinct(event).alias("n")], cfg=cfg)
-    finals = group_quantiles(tiered, ["tier_rank", "tier", *keys], final, {"median_final": 0.5},
-                             extra_aggs=[F.count_distinct(event).alias("n_events")], cfg=cfg)
+    per_event = (tiered.groupBy("tier_rank", "tier", *keys, event)
+                 .agg(F.max(final).alias("_final"), F.count(F.lit(1)).alias("_rows")))
+    if cfg.approx_accuracy:
+        fin = F.percentile_approx("_final", 0.5, cfg.approx_accuracy).cast("double")
+    else:
+        fin = F.percentile(F.col("_final"), F.lit(0.5), F.col("_rows"))
+    finals = per_event.groupBy("tier_rank", "tier", *keys).agg(fin.alias("median_final"),
+                                                               F.count(F.lit(1)).alias("n_events"))
     return medians, finals
 
 
+def materialize_library(medians: DataFrame, finals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Write medians and finals in one job (one pass over the history) and read them back.
+
+    Both come from the same tier-expanded rows; as one union they share the
+    upstream shuffle. The written copy cuts the lineage, so a lost executor
+    does not recompute the history.
+    """
+    both = (medians.withColumn("_kind", F.lit("m"))
+            .unionByName(finals.withColumn("_kind", F.lit("f")), allowMissingColumns=True)).checkpoint()
+    m = both.where(F.col("_kind") == "m").select(*medians.columns)
+    f = both.where(F.col("_kind") == "f").select(*finals.columns)
+    return m, f
+
+
 def cohort_stats(pacing: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
     """p25 / median / p75 of cum_pct and distinct instances per tier and bin."""
     keys = tier_keys(cfg)

@@ -17,10 +17,18 @@ def to_number(c) -> Column:
 
 
 def to_timestamp(c, formats=DATETIME_FORMATS) -> Column:
-    """Text to timestamp by the first format that parses, else NULL."""
+    """Text to timestamp by the first format whose shape matches, else NULL.
+
+    The shape test is a precompiled regex, so each value is parsed at most
+    once and only where it can succeed.
+    """
     c = F.col(c) if isinstance(c, str) else c
     txt = strip(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(txt, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    expr = None
+    for shape, fmt in formats:
+        parsed = F.try_to_timestamp(txt, F.lit(fmt))
+        expr = F.when(txt.rlike(shape), parsed) if expr is None else expr.when(txt.rlike(shape), parsed)
+    return expr.cast("timestamp_ntz")
 
 
 def venue_default(c=None) -> Column:

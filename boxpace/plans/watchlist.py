@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..config import DEFAULT, STATUS_AHEAD, STATUS_BEHIND, STATUS_ON_PACE, PacingConfig
 from ..functions.lead import bin_floor
 from ..functions.numeric import clip, pace_status, round_half_even, round_to_long
-from ..operators.cohorts import cohort_label, cohort_library, resolve_cohorts, tier_keys
+from ..operators.cohorts import cohort_label, cohort_library, materialize_library, resolve_cohorts
 from ..operators.cumulate import running_share
 from ..operators.prep import order_columns, pacing_rows, past, upcoming
 
@@ -80,6 +81,10 @@ def watchlist(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> Wat
     sold-out filter, then the ``watch_top_n`` most-behind rows.
     """
     medians, finals = cohort_library(library_rows(df, as_of, cfg), cfg)
+    # The library is small (cohorts x bins) and read by four branches: write it
+    # once to the checkpoint folder (one job), which also cuts the history lineage.
+    ensure_checkpoint_dir(df.sparkSession)
+    medians, finals = materialize_library(medians, finals)
     events = sold_now(df, as_of, cfg)
     resolved = resolve_cohorts(events, medians, finals, EVENT_KEYS, cfg)
     scored = score(resolved, cfg)
