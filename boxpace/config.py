@@ -171,8 +171,14 @@ class PacingConfig:
     # Columns that fix the order of sales with equal days_out (running sums
     # depend on it). Missing columns are skipped; sale_date always comes first.
     order_key: tuple[str, ...] = ("sale_seq",)
+    # Running sums per event: "range" (range-partitioned prefix sums, a hot
+    # event spreads over many tasks) or "window" (one window partition per key).
+    running_sum: str = "range"
     # Exact quantiles by default; a positive value switches to percentile_approx.
     approx_accuracy: int = 0
+    # Exact quantile plan: "banded" (bounded memory per group) or "direct"
+    # (Spark's percentile aggregate, one buffer of all values per group).
+    quantile_mode: str = "banded"
     category_map: tuple[tuple[str, str], ...] = CATEGORY_MAP
     series_lookup: tuple[tuple[str, str], ...] = SERIES_LOOKUP
     keyword_types: tuple[tuple[str, str], ...] = KEYWORD_TYPE_MAP

@@ -19,15 +19,90 @@ def running_share(df: DataFrame, key: str, cfg: PacingConfig = DEFAULT, qty: str
     """Running qty per ``key`` in booking order; final = peak of the running sum.
 
     Adds ``cum_qty``, ``final_qty`` and ``pct_col`` = 100 * cum / final (NULL
-    when the final is 0). Both windows share one exchange on ``key``.
+    when the final is 0). ``cfg.running_sum`` picks the plan: ``range``
+    (default) splits a hot key over many tasks (:func:`prefix_sum`);
+    ``window`` uses one window partition per key.
     """
-    ordered = Window.partitionBy(key).orderBy(*sale_order(df, cfg)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(key)
-    out = df.withColumn("cum_qty", F.sum(qty).over(ordered))
-    out = out.withColumn("final_qty", F.max("cum_qty").over(whole))
+    if cfg.running_sum == "window":
+        ordered = Window.partitionBy(key).orderBy(*sale_order(df, cfg)).rowsBetween(Window.unboundedPreceding, 0)
+        out = df.withColumn("cum_qty", F.sum(qty).over(ordered))
+        out = out.withColumn("final_qty", F.max("cum_qty").over(Window.partitionBy(key)))
+    else:
+        out = prefix_sum(df, [key], sale_order(df, cfg), qty, "cum_qty")
+        peaks = out.groupBy(key).agg(F.max("cum_qty").alias("final_qty"))
+        # One row per key; AQE broadcasts it when small and splits a hot key otherwise.
+        out = out.join(peaks, key)
     return out.withColumn(pct_col, F.lit(100.0) * safe_ratio("cum_qty", "final_qty"))
 
 
+def _local_prefix(key_cols: list[str], value: str, out: str):
+    """mapInPandas body: running sums per key inside one range partition, in row order.
+
+    Rows arrive sorted by (key, order); the sum carries across Arrow batches of
+    the same partition. Adds the partition id, so offsets can be added later.
+    """
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        carry_key, carry = None, 0.0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            keys = pdf[key_cols].astype(object).where(pdf[key_cols].notna(), "\x00null")
+            change = (keys != keys.shift()).any(axis=1).to_numpy()
+            change[0] = True
+            gid = np.cumsum(change)
+            vals = pd.to_numeric(pdf[value], errors="coerce").fillna(0.0).astype("float64")
+            cum = vals.groupby(gid).cumsum().to_numpy()
+            first_key = tuple(keys.iloc[0])
+            if carry_key is not None and first_key == carry_key:
+                cum[gid == 1] += carry
+            pdf[out] = cum
+            pdf["_pid"] = pid
+            carry_key, carry = tuple(keys.iloc[-1]), float(cum[-1])
+            yield pdf
+    return run
+
+
+def prefix_sum(df: DataFrame, key_cols: list[str], order: list[Column], value: str, out: str,
+               partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` per key in ``order``, without one task per key.
+
+    1. Range-partition and sort by (key, order): the sampled bounds split a
+       hot key over as many tasks as its size needs.
+    2. One vectorised pass per partition computes local running sums.
+    3. The result is checkpointed (consistent partition ids, cut lineage).
+    4. Only the first key of a partition can continue from earlier
+       partitions, so an offset table with one row per partition (a bound
+       fixed by the partition count) is broadcast and added.
+    NULL values count as 0.
+    """
+    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sort = [F.col(k).asc_nulls_first() for k in key_cols] + list(order)
+    ranged = df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
+    schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType()), StructField("_pid", IntegerType())])
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    local = ranged.mapInPandas(_local_prefix(key_cols, value, out), schema).checkpoint()
+    keyst = F.struct(*[F.col(k) for k in key_cols])
+    per_part = local.groupBy("_pid", keyst.alias("_k")).agg(F.sum(value).alias("_tot"))
+    firsts = local.groupBy("_pid").agg(F.min(keyst).alias("_first"))
+    # Earlier partitions holding a partition's first key (both sides: one row per partition or pair).
+    earlier = (per_part.alias("a").join(firsts.alias("b"), (F.col("a._k") == F.col("b._first"))
+                                        & (F.col("a._pid") < F.col("b._pid")))
+               .groupBy(F.col("b._pid").alias("_opid")).agg(F.sum(F.coalesce(F.col("a._tot"), F.lit(0.0)))
+                                                             .alias("_off")))
+    offsets = firsts.join(earlier, F.col("_pid") == F.col("_opid"), "left").select(
+        F.col("_pid").alias("_bpid"), "_first", F.coalesce("_off", F.lit(0.0)).alias("_off"))
+    res = local.join(F.broadcast(offsets), F.col("_pid") == F.col("_bpid"), "left")
+    res = res.withColumn(out, F.col(out) + F.when(keyst.eqNullSafe(F.col("_first")), F.col("_off")).otherwise(0.0))
+    return res.drop("_pid", "_bpid", "_first", "_off")
+
+
 def ratio_to_total(df: DataFrame, value: str, by: list[str], out: str, zero_as: float | None = 0.0) -> DataFrame:
     """value / sum(value) over the group (W3); the group total 0 gives ``zero_as``."""
     w = Window.partitionBy(*by) if by else Window.partitionBy()

@@ -74,3 +74,22 @@ def test_fixture_watchlist_summary_and_order(spark):
     assert gaps == sorted(gaps)
     c = W.status_counts(wl.table).first()
     assert c["n_total"] == c["n_behind"] + c["n_on_pace"] + c["n_ahead"]
+
+
+def test_prefix_sum_splits_hot_key(spark):
+    """One key with most rows spans many range partitions; sums equal the window plan."""
+    from boxpace.operators.cumulate import prefix_sum
+    rows = [("hot", i, float(i % 7 - 2)) for i in range(3000)] + [(f"k{j}", j, 1.0) for j in range(50)]
+    df = spark.createDataFrame(rows, "key string, pos int, v double")
+    got = prefix_sum(df, ["key"], [F.col("pos").asc()], "v", "c", partitions=16)
+    assert "_pid" not in got.columns
+    from pyspark.sql import Window
+    want = df.withColumn("c", F.sum("v").over(Window.partitionBy("key").orderBy("pos")
+                                              .rowsBetween(Window.unboundedPreceding, 0)))
+    a = sorted((r["key"], r["pos"], r["c"]) for r in got.select("key", "pos", "c").collect())
+    b = sorted((r["key"], r["pos"], r["c"]) for r in want.select("key", "pos", "c").collect())
+    assert a == b
+    # The hot key really was split: its rows sit in more than one range partition.
+    parts = (df.repartitionByRange(16, "key", "pos").where(F.col("key") == "hot")
+             .select(F.spark_partition_id().alias("p")).distinct().count())
+    assert parts > 1
