@@ -74,3 +74,13 @@ def test_events_common_intersection(spark):
     df = spark.createDataFrame(rows, "event_name string, sale_date timestamp_ntz, qty_sold double")
     got = [(r["event_name"], r["qty_pre"], r["qty_post"]) for r in CMP.events_common(df, cfg).collect()]
     assert got == [("A", 1.0, 2.0)]
+
+
+def test_composite_reports_build(spark):
+    from boxpace.plans import reports
+    f = T.fact(spark, SF)
+    core = reports.derive_core(f, T.FIXTURE_AS_OF, T.FIXTURE_CFG)
+    assert len(core) == 9 and core["global_pacing_curve"].count() == 41
+    assert set(reports.period_compare(f, T.FIXTURE_CFG)) >= {"top_events", "share_shift"}
+    assert reports.booking_curves(f, f, T.FIXTURE_AS_OF, T.FIXTURE_CFG)["sample_size"].first()["n"] > 0
+    assert reports.trend(f)["seasons"].count() > 0
