@@ -391,8 +391,8 @@ def _p20(spark, d):
 def _u7(spark, d):
     """Each event's ticket total split over its sales in proportion to the amount (cents)."""
     f = T.fact(spark, d).withColumn("cents", F.round(F.col("amount") * 100).cast("bigint"))
-    f = f.withColumn("event_total", F.sum("qty_sold").over(Window.partitionBy("event_name", "event_date"))
-                     .cast("bigint"))
+    totals = f.groupBy("event_name", "event_date").agg(F.sum("qty_sold").cast("bigint").alias("event_total"))
+    f = f.join(totals, ["event_name", "event_date"])
     out = allocate(f, ["event_name", "event_date"], "cents", "event_total", list(T.FIXTURE_ORDER_KEY))
     return out.select(*T.FIXTURE_ORDER_KEY, "event_name", "event_date", "event_total", "cents", "alloc")
 

@@ -1,9 +1,11 @@
 """Proportional integer allocation."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cumulate import prefix_sum
+
 
 def allocate(df: DataFrame, group_cols: list[str], weight: str, total: str, order_cols: list[str],
              out: str = "alloc") -> DataFrame:
@@ -12,17 +14,23 @@ def allocate(df: DataFrame, group_cols: list[str], weight: str, total: str, orde
     Every row gets floor(weight / sum(weight) * total); the remainder goes one
     unit at a time to the first rows in ``order_cols`` order, so the parts add
     up to the total. Integral weights use exact integer arithmetic.
+
+    Group sums are map-side-combined aggregates joined back (AQE broadcasts
+    them or splits a hot group); the row rank inside a group is a
+    range-partitioned prefix count, so no group has to fit one task.
     """
-    g = Window.partitionBy(*group_cols)
     is_int = dict(df.dtypes)[weight] in ("bigint", "int", "smallint", "tinyint")
-    d = df.withColumn("_tot", F.col(total).cast("bigint")).withColumn("_wsum", F.sum(weight).over(g))
+    sums = df.groupBy(*group_cols).agg(F.sum(weight).alias("_wsum"), F.max(F.col(total).cast("bigint")).alias("_tot"))
+    d = df.join(sums, group_cols)
     if is_int:
         # floor(w * T / W) in exact integer arithmetic (weights and totals are non-negative).
         part = F.when(F.col("_wsum") != 0, F.expr(f"(CAST(`{weight}` AS BIGINT) * _tot) div _wsum"))
     else:
         part = F.floor(F.col(weight) / F.col("_wsum") * F.col("_tot")).cast("bigint")
     d = d.withColumn("_part", part)
-    rest = F.col("_tot") - F.sum("_part").over(g)
-    rank = F.row_number().over(g.orderBy(*[F.col(c) for c in order_cols]))
-    return (d.withColumn(out, F.col("_part") + F.when(rank <= rest, 1).otherwise(0))
-            .drop("_part", "_tot", "_wsum"))
+    rest = d.groupBy(*group_cols).agg((F.max("_tot") - F.sum("_part")).alias("_rest"))
+    ranked = prefix_sum(d.withColumn("_one", F.lit(1.0)), group_cols, [F.col(c).asc() for c in order_cols],
+                        "_one", "_rank")
+    res = ranked.join(rest, group_cols)
+    return (res.withColumn(out, F.col("_part") + F.when(F.col("_rank") <= F.col("_rest"), 1).otherwise(0))
+            .drop("_part", "_tot", "_wsum", "_one", "_rank", "_rest"))
