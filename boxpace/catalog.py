@@ -393,7 +393,7 @@ def _u7(spark, d):
     f = T.fact(spark, d).withColumn("cents", F.round(F.col("amount") * 100).cast("bigint"))
     totals = f.groupBy("event_name", "event_date").agg(F.sum("qty_sold").cast("bigint").alias("event_total"))
     f = f.join(totals, ["event_name", "event_date"])
-    out = allocate(f, ["event_name", "event_date"], "cents", "event_total", list(T.FIXTURE_ORDER_KEY))
+    out = allocate(f, ["event_name", "event_date"], "cents", "event_total", list(T.FIXTURE_ORDER_KEY), cfg=CFG)
     return out.select(*T.FIXTURE_ORDER_KEY, "event_name", "event_date", "event_total", "cents", "alloc")
 
 

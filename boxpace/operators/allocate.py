@@ -4,11 +4,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT, PacingConfig
 from .cumulate import prefix_sum
+from .sizing import use_scalable
 
 
 def allocate(df: DataFrame, group_cols: list[str], weight: str, total: str, order_cols: list[str],
-             out: str = "alloc") -> DataFrame:
+             out: str = "alloc", cfg: PacingConfig = DEFAULT) -> DataFrame:
     """Split each group's integer ``total`` over its rows in proportion to ``weight``.
 
     Every row gets floor(weight / sum(weight) * total); the remainder goes one
@@ -17,7 +19,8 @@ def allocate(df: DataFrame, group_cols: list[str], weight: str, total: str, orde
 
     Group sums are map-side-combined aggregates joined back (AQE broadcasts
     them or splits a hot group); the row rank inside a group is a
-    range-partitioned prefix count, so no group has to fit one task.
+    range-partitioned prefix count, so no group has to fit one task (for
+    inputs below ``cfg.small_input_bytes``, a row_number window).
     """
     is_int = dict(df.dtypes)[weight] in ("bigint", "int", "smallint", "tinyint")
     sums = df.groupBy(*group_cols).agg(F.sum(weight).alias("_wsum"), F.max(F.col(total).cast("bigint")).alias("_tot"))
@@ -29,8 +32,13 @@ def allocate(df: DataFrame, group_cols: list[str], weight: str, total: str, orde
         part = F.floor(F.col(weight) / F.col("_wsum") * F.col("_tot")).cast("bigint")
     d = d.withColumn("_part", part)
     rest = d.groupBy(*group_cols).agg((F.max("_tot") - F.sum("_part")).alias("_rest"))
-    ranked = prefix_sum(d.withColumn("_one", F.lit(1.0)), group_cols, [F.col(c).asc() for c in order_cols],
-                        "_one", "_rank")
+    order = [F.col(c).asc() for c in order_cols]
+    if use_scalable(df, cfg.running_sum, cfg, "range"):
+        ranked = prefix_sum(d.withColumn("_one", F.lit(1.0)), group_cols, order, "_one", "_rank")
+    else:
+        from pyspark.sql import Window
+        ranked = d.withColumn("_one", F.lit(1.0)).withColumn(
+            "_rank", F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order)))
     res = ranked.join(rest, group_cols)
     return (res.withColumn(out, F.col("_part") + F.when(F.col("_rank") <= F.col("_rest"), 1).otherwise(0))
             .drop("_part", "_tot", "_wsum", "_one", "_rank", "_rest"))

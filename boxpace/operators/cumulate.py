@@ -20,10 +20,12 @@ def running_share(df: DataFrame, key: str, cfg: PacingConfig = DEFAULT, qty: str
 
     Adds ``cum_qty``, ``final_qty`` and ``pct_col`` = 100 * cum / final (NULL
     when the final is 0). ``cfg.running_sum`` picks the plan: ``range``
-    (default) splits a hot key over many tasks (:func:`prefix_sum`);
-    ``window`` uses one window partition per key.
+    splits a hot key over many tasks (:func:`prefix_sum`); ``window`` uses
+    one window partition per key; ``auto`` (default) takes the window only for
+    inputs below ``cfg.small_input_bytes``.
     """
-    if cfg.running_sum == "window":
+    from .sizing import use_scalable
+    if not use_scalable(df, cfg.running_sum, cfg, "range"):
         ordered = Window.partitionBy(key).orderBy(*sale_order(df, cfg)).rowsBetween(Window.unboundedPreceding, 0)
         out = df.withColumn("cum_qty", F.sum(qty).over(ordered))
         out = out.withColumn("final_qty", F.max("cum_qty").over(Window.partitionBy(key)))

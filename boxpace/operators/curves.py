@@ -165,7 +165,9 @@ def event_pacing(df: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
     """
     d = fill_missing(df).withColumn("days_out", days_out()).where(in_lead_window("days_out", cfg))
     d = d.withColumn("d_bin", bin_floor("days_out", cfg))
-    s = running_share(d, "event_instance", cfg, pct_col="cum_pct")
+    keep = ["event_instance", "event_type", "weekday", "venue", "event_date", "sale_date", "days_out", "d_bin",
+            "qty_sold", *_order_cols(d, cfg)]
+    s = running_share(d.select(*dict.fromkeys(keep)), "event_instance", cfg, pct_col="cum_pct")
     order = F.struct(-F.col("days_out"), *[F.col(c) for c in _order_cols(s, cfg)])
     first = F.min_by(F.struct("event_type", "weekday", "venue", "event_date"), order)
     agg = s.groupBy("event_instance", "d_bin").agg(first.alias("f"), F.max("cum_pct").alias("cum_pct"))

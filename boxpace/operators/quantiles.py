@@ -45,14 +45,17 @@ def group_quantiles(df: DataFrame, group_cols: list[str], value: str, probs: dic
 
     Exact (linear interpolation between closest ranks, as ``percentile``)
     unless ``cfg.approx_accuracy`` > 0, which switches to ``percentile_approx``.
-    ``cfg.quantile_mode`` = ``direct`` uses Spark's ``percentile`` aggregate.
+    ``cfg.quantile_mode`` = ``direct`` uses Spark's ``percentile`` aggregate,
+    ``banded`` the bounded plan, ``auto`` (default) direct only for inputs
+    below ``cfg.small_input_bytes``.
     """
     v = F.col(value)
     extra = list(extra_aggs or [])
     if cfg.approx_accuracy:
         aggs = [F.percentile_approx(v, p, cfg.approx_accuracy).cast("double").alias(n) for n, p in probs.items()]
         return df.groupBy(*group_cols).agg(*aggs, *extra)
-    if cfg.quantile_mode == "direct":
+    from .sizing import use_scalable
+    if not use_scalable(df, cfg.quantile_mode, cfg, "banded"):
         aggs = [F.percentile(v, F.lit(p)).alias(n) for n, p in probs.items()]
         return df.groupBy(*group_cols).agg(*aggs, *extra)
     return _banded(df, group_cols, value, probs, extra)

@@ -1,0 +1,29 @@
+"""Plan choice by input size (the way Spark picks a broadcast join by size)."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..config import PacingConfig
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Sum of the optimizer's size estimates of the plan's leaf inputs.
+
+    Leaves are scans (file sizes), local data or materialized checkpoints;
+    a leaf without statistics reports Spark's default (very large) size, which
+    selects the scalable plans.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    it = leaves.iterator()
+    total = 0
+    while it.hasNext():
+        size = it.next().stats().sizeInBytes()
+        total += int(size if isinstance(size, int) else size.toString())
+    return total
+
+
+def use_scalable(df: DataFrame, mode: str, cfg: PacingConfig, scalable: str) -> bool:
+    """True for the scalable plan: when forced, or when ``auto`` and the input is not small."""
+    if mode != "auto":
+        return mode == scalable
+    return input_bytes(df) > cfg.small_input_bytes

@@ -11,7 +11,7 @@ from ..session import ensure_checkpoint_dir
 from ..config import DEFAULT, STATUS_AHEAD, STATUS_BEHIND, STATUS_ON_PACE, PacingConfig
 from ..functions.lead import bin_floor
 from ..functions.numeric import clip, pace_status, round_half_even, round_to_long
-from ..operators.cohorts import cohort_label, cohort_library, materialize_library, resolve_cohorts
+from ..operators.cohorts import cohort_label, cohort_library, materialize_library, resolve_cohorts, tier_keys
 from ..operators.cumulate import running_share
 from ..operators.prep import order_columns, pacing_rows, past, upcoming
 
@@ -35,7 +35,10 @@ def library_rows(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) ->
     dates included; only then are past events kept (the order matters).
     """
     rows = pacing_rows(df, cfg)
-    s = running_share(rows, "event_name", cfg, pct_col="hist_cum_pct")
+    # Only what the library needs goes through the running-sum pass (it is opaque to pruning).
+    keep = ["event_name", "event_date", "sale_date", "days_out", "d_bin", "qty_sold", *tier_keys(cfg),
+            *[c for c in order_columns(rows, cfg) if c != "sale_date"]]
+    s = running_share(rows.select(*dict.fromkeys(keep)), "event_name", cfg, pct_col="hist_cum_pct")
     return past(s, as_of)
 
 
