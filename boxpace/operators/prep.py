@@ -11,10 +11,14 @@ from ..functions.lead import bin_floor, days_out, in_lead_window, weekday_name
 
 
 def lit_ts(d: dt.date | dt.datetime) -> Column:
-    """A date as a timestamp literal (midnight), comparable with the fact's timestamps."""
-    if isinstance(d, dt.datetime):
-        return F.lit(d).cast("timestamp_ntz")
-    return F.lit(dt.datetime(d.year, d.month, d.day)).cast("timestamp_ntz")
+    """A date as a wall-clock timestamp literal (midnight), comparable with the fact's timestamps.
+
+    Built from text, so neither the Python process's nor the session's time
+    zone can shift it.
+    """
+    if not isinstance(d, dt.datetime):
+        d = dt.datetime(d.year, d.month, d.day)
+    return F.lit(d.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
 
 
 def fill_missing(df: DataFrame) -> DataFrame:
