@@ -13,7 +13,10 @@ def input_bytes(df: DataFrame) -> int:
     a leaf without statistics reports Spark's default (very large) size, which
     selects the scalable plans.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    except Exception:  # noqa: BLE001 - no JVM plan handle (e.g. a remote session): size unknown
+        return 1 << 62
     it = leaves.iterator()
     total = 0
     while it.hasNext():
