@@ -64,21 +64,25 @@ def cohort_library(rows: DataFrame, cfg: PacingConfig = DEFAULT, pct: str = "his
     medians: (tier_rank, tier, keys..., d_bin, median_pct, n) with n the
     distinct events at the bin; finals: (tier_rank, tier, keys...,
     median_final, n_events). Both medians are over sale rows, as the source
-    computes them (a long event weighs more). The final is constant per event,
-    so finals first collapse rows to (cohort, event, row count) with map-side
-    combining and take a frequency-weighted percentile: the same exact value
-    from one row per event instead of one per sale.
+    computes them (a long event weighs more). For small inputs the final,
+    constant per event, is collapsed to (cohort, event, row count) with
+    map-side combining and a frequency-weighted percentile gives the same
+    exact value from one row per event; large inputs take the banded exact
+    median over the rows, so no cohort's events sit in one buffer.
     """
     keys = tier_keys(cfg)
     tiered = explode_tiers(rows.select(*keys, "d_bin", pct, final, event), cfg)
     medians = group_quantiles(tiered, ["tier_rank", "tier", *keys, "d_bin"], pct, {"median_pct": 0.5},
                               extra_aggs=[F.count_distinct(event).alias("n")], cfg=cfg)
+    from .sizing import use_scalable
+    if cfg.approx_accuracy or use_scalable(tiered, cfg.quantile_mode, cfg, "banded"):
+        # Large inputs: the banded exact median over the sale rows (no buffer of all events).
+        finals = group_quantiles(tiered, ["tier_rank", "tier", *keys], final, {"median_final": 0.5},
+                                 extra_aggs=[F.count_distinct(event).alias("n_events")], cfg=cfg)
+        return medians, finals
     per_event = (tiered.groupBy("tier_rank", "tier", *keys, event)
                  .agg(F.max(final).alias("_final"), F.count(F.lit(1)).alias("_rows")))
-    if cfg.approx_accuracy:
-        fin = F.percentile_approx("_final", 0.5, cfg.approx_accuracy).cast("double")
-    else:
-        fin = F.percentile(F.col("_final"), F.lit(0.5), F.col("_rows"))
+    fin = F.percentile(F.col("_final"), F.lit(0.5), F.col("_rows"))
     finals = per_event.groupBy("tier_rank", "tier", *keys).agg(fin.alias("median_final"),
                                                                F.count(F.lit(1)).alias("n_events"))
     return medians, finals
