@@ -491,3 +491,24 @@ def _s7(spark, d):
     """First and last sale and the row count."""
     from .sources.csv import data_stamp
     return data_stamp(T.fact(spark, d))
+
+
+@query("a9_monthly_totals")
+def _a9(spark, d):
+    """Tickets per sale month."""
+    return TM.monthly_totals(T.fact(spark, d))
+
+
+@query("a4_category_totals")
+def _a4(spark, d):
+    """Tickets per regex category of the ingested names over all sales, unmapped dropped."""
+    return CMP.category_totals(_enriched(spark, d), CFG)
+
+
+@query("w1_running_instance")
+def _w1(spark, d):
+    """Running qty / final / % per event instance in booking order, every lead-window row."""
+    from .operators.cumulate import running_share
+    from .operators.prep import pacing_rows
+    s = running_share(pacing_rows(T.fact(spark, d), CFG), "event_instance", CFG, pct_col="cum_pct")
+    return s.select(*T.FIXTURE_ORDER_KEY, "event_instance", "days_out", "d_bin", "cum_qty", "final_qty", "cum_pct")

@@ -682,3 +682,17 @@ SELECT CASE WHEN event_date < {AS_OF} THEN 'past' ELSE 'upcoming' END AS side, c
 oracle("s7_data_stamp", """
 SELECT strftime(min(sale_date), """ + TS + """) AS sale_min, strftime(max(sale_date), """ + TS + """) AS sale_max,
        count(*) AS n_rows FROM fact""")
+
+oracle("a9_monthly_totals", MONTHLY + """
+SELECT strftime(month, '%Y-%m-%d') AS month, round(qty_sold, 6) AS qty_sold FROM m""")
+
+oracle_raw("a4_category_totals", """
+c AS (SELECT """ + COLLAB + """ AS event_category, coalesce(qty_sold, 0) AS q FROM lab
+      WHERE sale_date IS NOT NULL AND event_name IS NOT NULL AND qty_sold IS NOT NULL)
+SELECT event_category, round(sum(q), 6) AS qty_sold FROM c WHERE event_category <> 'Other (Unmapped)'
+GROUP BY event_category""")
+
+oracle("w1_running_instance", PACING + """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+       event_instance, CAST(days_out AS BIGINT) AS days_out, CAST(d_bin AS BIGINT) AS d_bin,
+       round(cum_qty, 6) AS cum_qty, round(final_qty, 6) AS final_qty, round(cum_pct, 6) AS cum_pct FROM pr3""")

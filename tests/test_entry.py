@@ -53,7 +53,7 @@ def test_query_matches_oracle(spark, con, name):
     assert got[1] == want[1]
 
 
-SCALABLE = ["w2_running_name", "a15_cohort_medians", "a16_cohort_finals", "a17_cohort_stats", "a18_event_pacing",
+SCALABLE = ["w1_running_instance", "w2_running_name", "a15_cohort_medians", "a16_cohort_finals", "a17_cohort_stats", "a18_event_pacing",
             "r2_watchlist", "r2_watchlist_min65", "r3_baseline_curve", "a21_global_curve", "u7_allocation"]
 
 
