@@ -401,14 +401,21 @@ def _u7(spark, d):
 
 @query("p8_lead_days")
 def _p8(spark, d):
-    """days_out, bin, both clamps and the window flag for every sale."""
+    """days_out, bin, the two-sided clamp and the window flag for every sale."""
     b = _base(spark, d)
     return b.select(*T.FIXTURE_ORDER_KEY, "days_out", "d_bin",
                     L.lead_clamped("days_out", CFG).alias("lead_clamped"),
-                    F.when(F.col("days_out") >= 0, L.lead_capped("days_out", CFG)).alias("lead_capped"),
                     L.in_lead_window("days_out", CFG).cast("int").alias("in_window"))
 
 
+@query("p11_lead_capped")
+def _p11(spark, d):
+    """Late sales dropped, early ones capped at the lead window, then binned."""
+    b = _base(spark, d).where(F.col("days_out") >= 0)
+    capped = L.lead_capped("days_out", CFG)
+    return b.select(*T.FIXTURE_ORDER_KEY, capped.alias("lead_capped"), L.bin_floor(capped, CFG).alias("d_bin"))
+
+
 @query("f12_lead_bucket_closed")
 def _f12(spark, d):
     """Tickets per closed lead bucket (with unknown, >120, <0)."""

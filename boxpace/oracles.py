@@ -633,9 +633,13 @@ oracle("p8_lead_days", """
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
        CAST(days_out AS BIGINT) AS days_out, CAST(floor(days_out / 3.0) * 3 AS BIGINT) AS d_bin,
        CAST(greatest(0, least(120, days_out)) AS BIGINT) AS lead_clamped,
-       CAST(CASE WHEN days_out >= 0 THEN least(days_out, 120) END AS BIGINT) AS lead_capped,
        CAST(CASE WHEN days_out BETWEEN 0 AND 120 THEN 1 ELSE 0 END AS BIGINT) AS in_window FROM fact""")
 
+oracle("p11_lead_capped", """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+       CAST(least(days_out, 120) AS BIGINT) AS lead_capped, CAST(floor(least(days_out, 120) / 3.0) * 3 AS BIGINT) AS d_bin
+FROM fact WHERE days_out >= 0""")
+
 oracle("f12_lead_bucket_closed", """
 SELECT """ + _closed_bucket("days_out") + """ AS lead_bucket, round(sum(qty_sold), 6) AS qty_sold, count(*) AS n_rows
 FROM fact GROUP BY 1""")
