@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from boxpace.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
@@ -19,7 +20,9 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) <= set(E.queries())
+    assert set(QUERIES) <= set(E.oracle_sql())
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +48,7 @@ def _rows(pdf):
     return cols, sorted((tuple(_norm(x) for x in r) for r in pdf[cols].itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     got = _rows(E.queries()[name](spark, SF).toPandas())
     want = _rows(con.execute(E.oracle_sql()[name]).df())
