@@ -45,6 +45,21 @@ def op2_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query
+def op5_mix(spark, sf_dir):
+    """Documents replicated to square-root shares of their sources, shuffled globally."""
+    from .mixing import mix, temperature_targets
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, temperature_targets(docs, 0.5))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    """Word, symbol and repetition figures and the verdict of the line-first rules for every document."""
+    from .quality import quality
+    return quality(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 LLM_ORACLES["op2_url_filter"] = r"""
@@ -65,3 +80,31 @@ judged AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged"""
+
+
+# Independent literals of the line rules, so the comparison would show a wrong list.
+LLM_ORACLES["op10_quality"] = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+win AS (SELECT rid, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS g
+        FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM hit) GROUP BY rid),
+ln AS (SELECT rid, l, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
+       FROM (SELECT rid, unnest(ls) AS l FROM w)),
+lf AS (SELECT rid, l, n,
+         length(regexp_replace(l, '[^#*$%&<>]', '', 'g')) AS sy, length(regexp_replace(l, '[^!]', '', 'g')) AS ex,
+         length(regexp_replace(l, '[^|»›·•]', '', 'g')) AS se, length(regexp_replace(l, '[^.!?。！？؟।…]', '', 'g')) AS en FROM ln),
+lb AS (SELECT rid, n, (n >= 3 AND en = 0) OR (sy >= 3 AND 2 * sy > n) OR (ex >= 3 AND ex >= n) OR (se >= 3 AND 4 * se >= n)
+         OR regexp_matches(l, '(?i)all rights reserved|accept cookies|cookie policy|enable javascript|javascript is disabled|privacy policy|terms of service|terms of use|subscribe to our newsletter|share on facebook|back to top|skip to content|lorem ipsum') AS bad FROM lf),
+lo AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, coalesce(sum(n) FILTER (bad), 0) AS lost FROM lb GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+  CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+  len(ws) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(ws) AS base_failed,
+  CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_bad, 0) AS BIGINT) AS n_bad_lines,
+  CAST(coalesce(lost, 0) AS BIGINT) AS n_lost_words,
+  NOT (len(ws) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(ws)) AND 100 * coalesce(lost, 0) <= 50 * len(ws) AS kept
+FROM w LEFT JOIN rep USING (rid) LEFT JOIN lo USING (rid)"""
