@@ -53,6 +53,14 @@ def op5_mix(spark, sf_dir):
     return mix(docs, temperature_targets(docs, 0.5))
 
 
+@query
+def op6_line_dedup(spark, sf_dir):
+    """Lines, dropped lines and digest of the kept text of every document."""
+    from .lines import dedup_lines
+    out = dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return out.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("kept_text")).alias("kept_sha256"))
+
+
 @query
 def op10_quality(spark, sf_dir):
     """Word, symbol and repetition figures and the verdict of the line-first rules for every document."""
@@ -108,3 +116,12 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(coalesce(lost, 0) AS BIGINT) AS n_lost_words,
   NOT (len(ws) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(ws)) AND 100 * coalesce(lost, 0) <= 50 * len(ws) AS kept
 FROM w LEFT JOIN rep USING (rid) LEFT JOIN lo USING (rid)"""
+
+LLM_ORACLES["op6_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (SELECT *, """ + _LOWER.format("regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')") + r""" AS key FROM l),
+f AS (SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (f.key IS NOT NULL AND k.doc_id <> f.last_doc) AS n_dropped,
+  sha256(coalesce(string_agg(k.line, chr(10) ORDER BY pos) FILTER (f.key IS NULL OR k.doc_id = f.last_doc), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY k.doc_id"""
