@@ -61,6 +61,13 @@ def op6_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("kept_text")).alias("kept_sha256"))
 
 
+@query
+def op9_exact_dedup(spark, sf_dir):
+    """Row that stays, group size and text digest of every document."""
+    from .blocks import exact_dedup
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_quality(spark, sf_dir):
     """Word, symbol and repetition figures and the verdict of the line-first rules for every document."""
@@ -120,8 +127,14 @@ FROM w LEFT JOIN rep USING (rid) LEFT JOIN lo USING (rid)"""
 LLM_ORACLES["op6_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line
            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
-k AS (SELECT *, """ + _LOWER.format("regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')") + r""" AS key FROM l),
+k AS (SELECT *, """ + _LOWER.format("regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')") + r""" AS key FROM l),
 f AS (SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
 SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (f.key IS NOT NULL AND k.doc_id <> f.last_doc) AS n_dropped,
   sha256(coalesce(string_agg(k.line, chr(10) ORDER BY pos) FILTER (f.key IS NULL OR k.doc_id = f.last_doc), '')) AS kept_sha256
 FROM k LEFT JOIN f USING (key) GROUP BY k.doc_id"""
+
+LLM_ORACLES["op9_exact_dedup"] = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
+       sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t)"""
