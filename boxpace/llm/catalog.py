@@ -61,6 +61,13 @@ def op6_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("kept_text")).alias("kept_sha256"))
 
 
+@query
+def op8_jaccard_join(spark, sf_dir):
+    """Set size and group of every document by links of 80 % or more."""
+    from .jaccard import jaccard_groups
+    return jaccard_groups(table(spark, sf_dir, "documents")).drop("class_id")
+
+
 @query
 def op9_exact_dedup(spark, sf_dir):
     """Row that stays, group size and text digest of every document."""
