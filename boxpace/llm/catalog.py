@@ -45,6 +45,25 @@ def op2_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query
+def op3_quality_grade(spark, sf_dir):
+    """Expected grade, tail probability and selection of every document.
+
+    The given ratings become three grades: low quality, good but toxic, good.
+    """
+    from .ordinal import fit, rate
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels, F.col("quality") * (2 - F.col("toxic")), 3)
+    return rate(docs, model)
+
+
+@query
+def op4_license_scan(spark, sf_dir):
+    """Every line that words a license, with its template, size reduction and differences."""
+    from .licenses import scan_licenses
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_mix(spark, sf_dir):
     """Documents replicated to square-root shares of their sources, shuffled globally."""
@@ -61,11 +80,19 @@ def op6_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("kept_text")).alias("kept_sha256"))
 
 
+@query
+def op7_toxicity(spark, sf_dir):
+    """Toxicity score of every document by a machine fitted to the labels that are not held out."""
+    from .toxicity import fit, score
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op8_jaccard_join(spark, sf_dir):
     """Set size and group of every document by links of 80 % or more."""
     from .jaccard import jaccard_groups
-    return jaccard_groups(table(spark, sf_dir, "documents")).drop("class_id")
+    return jaccard_groups(table(spark, sf_dir, "documents")).drop("class_id", "group_id")
 
 
 @query

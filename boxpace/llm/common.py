@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,13 +63,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batches(fn: Callable) -> Callable[[Iterator], Iterator]:
-    """Lift ``fn(record_batch) -> dict of columns or None`` to a mapInArrow body."""
-    def run(it):
+def map_rows(docs: DataFrame, value: Callable, value_type: str, text_col: str = "text") -> DataFrame:
+    """(row, value): whole rows as a struct, with ``value(text)`` computed for each in Arrow batches.
+
+    ``value`` gets the text as a string, a NULL one as the empty text; ``value`` is made by calling
+    the function given once per task, so it can build what it needs there. Rows travel inside
+    the struct, so their columns may have any name.
+    """
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+    bound_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    kind = StructField("value", _parse_datatype_string(value_type))
+
+    def run(batches):
         import pyarrow as pa
-        for b in it:
-            if b.num_rows:
-                out = fn(b)
-                if out is not None:
-                    yield pa.RecordBatch.from_pydict(out)
-    return run
+        one = value()
+        for b in batches:
+            texts = b.column(0).flatten()[at].to_pylist()
+            out = pa.array([one(t or "") for t in texts])
+            yield pa.RecordBatch.from_arrays([b.column(0), out], names=["row", "value"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, StructType([StructField("row", docs.schema), kind]))

@@ -23,10 +23,10 @@ member, and no pair that could join two groups is left out.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_checkpoint, texts
+from .common import map_rows, shared_checkpoint, texts
 
 SHINGLE_WORDS = 5
 TILE = 2048
@@ -437,20 +437,46 @@ def similar_classes(docs: DataFrame, pct: int = 80, tile: int = TILE) -> tuple[D
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 80,
                    tile: int = TILE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id), one row per row of ``docs``.
+    """(doc_id, n_shingles, component_id, class_id, group_id), one row per row of ``docs``.
 
     Two rows link if the Jaccard similarity of their sets of 5-word shingles is ``pct`` per cent or
     more; ``component_id`` is the smallest id reachable by links, its own included. A NULL or empty text, or one
     without words, has the empty set and links with nothing. Repeated rows have one set and
     are linked, whatever their ids. A NULL id counts as no id: ``component_id`` is then the smallest id
-    of the others, or NULL. An empty table gives no rows. ``class_id`` is the hash of the row's set, NULL if empty.
+    of the others, or NULL. An empty table gives no rows. ``class_id`` is the hash of the row's set and
+    ``group_id`` the smallest of the group's, both NULL for an empty set.
     """
     rows, groups = similar_classes(texts(docs, id_col, text_col), pct, tile)
     labelled = rows.where(F.col("cid").isNotNull()).join(groups.withColumnRenamed("cid", "_c"),
                                                          F.col("cid") == F.col("_c"), "left")
     labelled = labelled.select("doc_id", "cid", "n", F.coalesce("label", "cid").alias("label"))
     first = labelled.groupBy(F.col("label").alias("_l")).agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(first, F.col("label") == F.col("_l")).select("doc_id", "n", "component_id", "cid")
-    empty = rows.where(F.col("cid").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id"), "cid")
+    out = labelled.join(first, F.col("label") == F.col("_l")).select("doc_id", "n", "component_id", "cid", "label")
+    empty = rows.where(F.col("cid").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id"), "cid",
+                                                     F.lit(None).cast("long").alias("label"))
     return out.unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id",
-                                         F.col("cid").alias("class_id"))
+                                         F.col("cid").alias("class_id"), F.col("label").alias("group_id"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: each group keeps its row with the smallest id.
+
+    Of rows that repeat that id and set one stays. Rows with an empty set all stay.
+    """
+    groups = jaccard_groups(docs, id_col, text_col, pct)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class_id")).alias("b")
+    stay = groups.where(F.col("group_id").isNotNull()).groupBy("group_id").agg(best).select(
+        F.col("b.doc_id").alias("_id"), F.col("b.class_id").alias("_class"))
+
+    def class_id():
+        words = WordHashes()
+
+        def one(text):
+            h = shingle_set(text.encode("utf-8", "replace"), words)
+            return class_of(h) if len(h) else None
+        return one
+    rows = map_rows(docs, class_id, "long", text_col).withColumn("_d", F.col("row").getField(id_col).cast("long"))
+    found = rows.join(stay, (F.col("value") == F.col("_class")) & F.col("_d").eqNullSafe(F.col("_id")))
+    again = Window.partitionBy("value", "_d").orderBy(F.xxhash64("row"))
+    found = found.withColumn("_k", F.row_number().over(again)).where("_k = 1")
+    return found.select("row.*").unionByName(rows.where(F.col("value").isNull()).select("row.*"))

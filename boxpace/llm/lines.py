@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_checkpoint, texts
+from .common import bound_batches, shared_checkpoint, texts
 
 SHARD_KEYS = 1 << 16
 # Slots per key left on a level of the perfect hash; more slots, fewer levels.
@@ -210,35 +210,50 @@ def probe_index(lines: DataFrame, index: DataFrame, n_shards: int, min_docs: int
     return dealt.select("blob", "doc_id", "h1", "h2").mapInArrow(run, "doc_id long, h1 long")
 
 
+def cut_lines(text: bytes, drop: set, min_chars: int) -> tuple[int, int, bytes]:
+    """(lines, dropped lines, text left) without the lines whose key's first hash is in ``drop``."""
+    import numpy as np
+    lines, rest = text.split(b"\n"), []
+    for line in lines:
+        k = line_key(line)
+        if (len(k) < min_chars or code_points(k) < min_chars
+                or int(np.frombuffer(key_hash(k), dtype="<i8")[0]) not in drop):
+            rest.append(line)
+    return len(lines), len(lines) - len(rest), b"\n".join(rest)
+
+
 def drop_lines(docs: DataFrame, drops: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_text) from texts and (doc_id, h1) to drop."""
-    per_doc = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h1").alias("drop"))
+    """Add (n_lines, n_dropped, kept_text) to ``docs`` (doc_id, text, ...), given the (doc_id, h1) to drop."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    per_doc = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h1").alias("_drop"))
+    n_cols = len(docs.columns)
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType()),
+                         StructField("kept_text", StringType())])
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
         for b in batches:
-            n, gone, kept = [], [], []
-            for t, drop in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                if not drop:
-                    n.append(t.count(b"\n") + 1)
-                    gone.append(0)
-                    kept.append(t)
-                    continue
-                drop, rest, lines = set(drop), [], t.split(b"\n")
-                for line in lines:
-                    k = line_key(line)
-                    if (len(k) < min_chars or code_points(k) < min_chars
-                            or int(np.frombuffer(key_hash(k), dtype="<i8")[0]) not in drop):
-                        rest.append(line)
-                n.append(len(lines))
-                gone.append(len(lines) - len(rest))
-                kept.append(b"\n".join(rest))
+            out = [cut_lines(t, set(drop), min_chars) if drop else (t.count(b"\n") + 1, 0, t)
+                   for t, drop in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(n_cols).to_pylist())]
+            n, gone, kept = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_lines", "n_dropped", "kept_text"])
-    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "drop")
-    return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_text string")
+                [*b.columns[:n_cols], pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
+                 pa.array(kept, pa.binary()).cast(pa.string())], names=schema.names)
+    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_drop")
+    return joined.mapInArrow(run, schema)
+
+
+def line_drops(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """(doc_id, h1) of the lines each document of (doc_id, text) has to drop."""
+    lines = shared_checkpoint(line_hashes(docs, min_chars))
+    counts = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+    counts = shared_checkpoint(counts.where(F.col("n_docs") >= min_docs))
+    n_keys = counts.count()
+    if not n_keys:
+        return counts.select(F.col("last_doc").alias("doc_id"), "h1")
+    n_shards = -(-n_keys // SHARD_KEYS)
+    return probe_index(lines, build_index(counts, n_shards), n_shards, min_docs)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
@@ -253,13 +268,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their lines. Other lines stay in order. An empty table gives no rows.
     """
     d = texts(docs, id_col, text_col)
-    lines = shared_checkpoint(line_hashes(d, min_chars))
-    counts = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
-    counts = shared_checkpoint(counts.where(F.col("n_docs") >= min_docs))
-    n_keys = counts.count()
-    n_shards = max(1, -(-n_keys // SHARD_KEYS))
-    if n_keys:
-        drops = probe_index(lines, build_index(counts, n_shards), n_shards, min_docs)
-    else:
-        drops = counts.select(F.col("last_doc").alias("doc_id"), "h1")
-    return drop_lines(d, drops, min_chars)
+    return drop_lines(d, line_drops(d, min_chars, min_docs), min_chars).drop("text")
+
+
+def rewrite_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars",
+                  min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, with the text that :func:`dedup_lines` leaves.
+
+    ``length_col``, if there is one, gets the new text's length. A text that loses no line stays as it
+    is, NULL included; rows stay even if nothing is left of their text.
+    """
+    bound_batches(docs.sparkSession)
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+                    F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+                    F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    drops = line_drops(d.select("doc_id", "text"), min_chars, min_docs)
+    out, types = drop_lines(d, drops, min_chars), dict(docs.dtypes)
+    lost = F.col("n_dropped") > 0
+    new = {text_col: F.col("kept_text")}
+    if length_col in docs.columns:
+        new[length_col] = F.length("kept_text").cast(types[length_col])
+    return out.select(*[F.when(lost, new[c]).otherwise(F.col("row").getField(c)).alias(c) if c in new
+                        else F.col("row").getField(c).alias(c) for c in docs.columns])
