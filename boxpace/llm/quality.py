@@ -14,6 +14,7 @@ from .common import BLANKS, lower_ascii, texts
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+LINE_SYMBOLS = "#*$%&<>"
 WINDOW = 8
 # Sentence ends of the scripts the corpus may hold.
 SENTENCE_ENDS = ".!?。！？؟।…"
@@ -37,11 +38,14 @@ BOILERPLATE = (
 
 def count_chars(c: Column, chars: str) -> Column:
     """How many characters of ``c`` are in ``chars``."""
-    return F.length(c) - F.length(F.translate(c, chars, ""))
+    rest = c
+    for ch in chars:
+        rest = F.replace(rest, F.lit(ch), F.lit(""))
+    return F.length(c) - F.length(rest)
 
 
 def has_word(line: Column) -> Column:
-    return F.length(F.translate(line, BLANKS, "")) > 0
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def line_words(line: Column) -> Column:
@@ -49,23 +53,30 @@ def line_words(line: Column) -> Column:
     return F.size(F.split(F.btrim(line, F.lit(BLANKS)), WORD_SPLIT))
 
 
-def line_fails(line: Column, n_words: Column) -> Column:
+def any_of(text: Column, parts) -> Column:
+    """Does ``text`` hold one of ``parts``."""
+    found = F.lit(False)
+    for p in parts:
+        found = found | text.contains(p)
+    return found
+
+
+def line_fails(line: Column, symbols: Column, marks: Column, separators: Column, phrases: Column) -> Column:
     """True if a line with a word fails a rule.
 
     Punctuation: three words or more and no sentence end; or more symbols than
     half the words, three at least; or as many ``!`` as words, three at least.
     Navigation: three separators or more, and at least one for four words.
     Boilerplate: holds one of the fixed phrases, whatever its case.
+    The other arguments tell whether the whole text has any such characters or phrases; a
+    rule is evaluated only where it does.
     """
-    symbols, marks, seps = count_chars(line, "#*$%&<>"), count_chars(line, "!"), count_chars(line, SEPARATORS)
-    punctuation = (((n_words >= 3) & (count_chars(line, SENTENCE_ENDS) == 0))
-                   | ((symbols >= 3) & (2 * symbols > n_words)) | ((marks >= 3) & (marks >= n_words)))
-    navigation = (seps >= 3) & (4 * seps >= n_words)
-    low = lower_ascii(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | low.contains(phrase)
-    return punctuation | navigation | boilerplate
+    n = line_words(line)
+    n_sym, n_mark, n_sep = count_chars(line, LINE_SYMBOLS), count_chars(line, "!"), count_chars(line, SEPARATORS)
+    return ((~line.rlike("[" + SENTENCE_ENDS + "]") & (n >= 3))
+            | (symbols & (n_sym >= 3) & (2 * n_sym > n)) | (marks & (n_mark >= 3) & (n_mark >= n))
+            | (separators & (n_sep >= 3) & (4 * n_sep >= n))
+            | (phrases & any_of(lower_ascii(line), BOILERPLATE)))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20,
@@ -84,14 +95,16 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """
     t = F.col("text")
     d = texts(docs, id_col, text_col)
-    d = d.withColumn("_w", F.transform(F.filter(F.split(t, WORD_SPLIT), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    d = d.withColumn("_l", F.transform(F.filter(F.split(t, "\n"), has_word),
-                                       lambda x: F.struct(x.alias("t"), line_words(x).alias("n"))))
+    d = d.withColumn("_words", F.filter(F.split(t, WORD_SPLIT), lambda x: x != ""))
+    d = d.withColumn("_w", F.transform("_words", lambda x: F.xxhash64(x)))
+    d = d.withColumns({"_l": F.filter(F.split(t, "\n"), has_word), "_sym": any_of(t, LINE_SYMBOLS),
+                       "_mark": t.contains("!"), "_sep": any_of(t, SEPARATORS),
+                       "_phrase": any_of(lower_ascii(t), BOILERPLATE)})
     n = F.size("_w")
     hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(F.slice(F.col("_w"), i + 1, WINDOW)))
     d = d.withColumn("_h", F.when(n >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>")))
-    d = d.withColumn("_bad", F.transform(F.col("_l"), lambda x: F.struct(line_fails(x["t"], x["n"]).alias("f"),
-                                                                        x["n"].alias("n"))))
+    hints = [F.col(c) for c in ("_sym", "_mark", "_sep", "_phrase")]
+    d = d.withColumn("_bad", F.filter("_l", lambda x: line_fails(x, *hints)))
     pairs = F.sort_array(F.transform(F.col("_h"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     repeats = F.size(F.array_distinct("_h")) < F.size("_h")
     d = d.withColumn("_p", F.when(repeats, pairs))
@@ -103,19 +116,17 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         F.col("_at"), F.struct(F.lit(0).alias("e"), F.lit(0).alias("c")),
         lambda a, i: F.struct((i + WINDOW).alias("e"), (a["c"] + WINDOW - F.greatest(a["e"] - i, F.lit(0))).alias("c")),
         lambda a: a["c"])
-    lost = F.aggregate(F.col("_bad"), F.lit(0), lambda a, x: a + F.when(x["f"], x["n"]).otherwise(0))
+    lost = F.aggregate(F.col("_bad"), F.lit(0), lambda a, x: a + line_words(x))
     d = d.withColumns({"_r": F.coalesce(covered, F.lit(0)), "_lost": lost})
     base_failed = (n < min_words) | (100 * F.col("_r").cast("long") > max_repeat_pct * n.cast("long"))
-    lines = F.col("_l")["t"]
-    clean = F.transform(F.filter(F.arrays_zip(F.col("_l").alias("l"), F.col("_bad").alias("b")), lambda x: ~x["b"]["f"]),
-                        lambda x: x["l"]["t"])
+    clean = F.filter("_l", lambda x: ~line_fails(x, *hints))
     return d.select(
-        "doc_id", n.cast("long").alias("n_words"), F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
+        "doc_id", n.cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         count_chars(t, SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.col("_r").cast("long").alias("n_repeat_words"), base_failed.alias("base_failed"),
         F.size("_l").cast("long").alias("n_lines"),
-        F.size(F.filter("_bad", lambda x: x["f"])).cast("long").alias("n_bad_lines"),
+        F.size("_bad").cast("long").alias("n_bad_lines"),
         F.col("_lost").cast("long").alias("n_lost_words"),
         (~base_failed & (100 * F.col("_lost").cast("long") <= max_lost_pct * n.cast("long"))).alias("kept"),
         F.array_join(clean, "\n").alias("clean_text"))
