@@ -10,15 +10,18 @@ sends only those to *tiles*:
 2. Tiles: the classes that share a shingle, sorted by set size and cut into bands of
    ``TILE`` members. A class meets its own band and, as a guest, earlier bands whose sizes
    are near enough; every band is a unit of work of its own.
-3. Bitmaps: a class has a bitmap of its hashes, of about two bits per shingle. Bits of one
+   The place of the shared shingle in both orders bounds what can follow it, which rules
+   out most pairs and all but a few meetings of the others.
+3. Bitmaps: a class has a bitmap of its hashes, a few bits per shingle. Bits of one
    set missing from the other bound the overlap from above. Pairs whose bound is too
    low are dropped before anything larger is moved.
 4. Exact check: the sorted arrays of the pairs left are intersected, streaming past one array per
    (class, salt).
 
 First only each tile's leaders are paired with their followers; the links found give
-preliminary groups. Then all other pairs of a tile whose classes are in different groups are
-checked the same way. So a group of thousands of near copies costs about one check per
+preliminary groups. Then all other pairs of a tile whose classes are in different groups pass the
+bitmaps; of those left one for each two groups is checked, and the others only where it did not join
+the groups. So a group of thousands of near copies costs about one check per
 member, and no pair that could join two groups is left out.
 """
 from __future__ import annotations
@@ -36,30 +39,85 @@ SAMPLE_TASKS = 8
 HOT_SHINGLES = 1 << 16
 # Classes up to which the list of those in candidate pairs (8 bytes each) is broadcast.
 MAX_BROADCAST_CLASSES = 1 << 20
-MIN_BITS, MAX_BITS = 64, 4096
+# Least bits; bits per shingle and most bits of the bitmap that goes to tiles, and of the one looked up for pairs.
+MIN_BITS, TILE_BITS, WIDE_BITS = 64, (8, 4096), (16, 1 << 18)
 SALTS = 32
 _P = 0x9E3779B97F4A7C15
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+class WordHasher:
+    """64-bit hashes of all words of a text at once, A-Z lower-cased.
 
-    def __missing__(self, word):
+    A word's hash is a polynomial over random numbers for its bytes, modulo 2^64, taken from the
+    text's running sum and shifted back to exponent 0, then mixed with the word's length. Texts are
+    worked through in stretches cut at blanks; a word of more than half a
+    stretch is hashed as bytes.
+    """
+
+    def __init__(self, stretch: int = 1 << 18):
+        import numpy as np
+        rng = np.random.default_rng(8)
+        self.stretch = stretch
+        self.table = rng.integers(1, 2 ** 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.table[65:91] = self.table[97:123]
+        self.blank = np.zeros(256, dtype=bool)
+        self.blank[[32, *range(9, 14)]] = True
+        base = 0xD1342543DE82EF95
+        self.up, self.down = (np.full(stretch + 1, x, dtype=np.uint64) for x in (base, pow(base, -1, 2 ** 64)))
+        for p in (self.up, self.down):
+            p[0] = 1
+            np.multiply.accumulate(p, out=p)
+
+    def __call__(self, text: bytes):
+        import numpy as np
+        buf, parts, at = np.frombuffer(text, dtype=np.uint8), [], 0
+        while len(buf) - at > self.stretch:
+            cut = np.flatnonzero(self.blank[buf[at + self.stretch // 2:at + self.stretch]])
+            if len(cut):
+                end = at + self.stretch // 2 + int(cut[-1])
+                parts.append(self._short(buf[at:end]))
+                at = end
+            else:  # one word covers the second half of the stretch
+                rest = np.flatnonzero(self.blank[buf[at:at + self.stretch // 2]])
+                start = at + int(rest[-1]) + 1 if len(rest) else at
+                parts.append(self._short(buf[at:start]))
+                end = start + self.stretch // 2
+                while end < len(buf) and not self.blank[buf[end]]:
+                    stop = np.flatnonzero(self.blank[buf[end:end + self.stretch]])
+                    end = end + int(stop[0]) if len(stop) else min(len(buf), end + self.stretch)
+                parts.append(np.array([self._long(buf[start:end].tobytes())], dtype=np.uint64))
+                at = end
+        parts.append(self._short(buf[at:]))
+        return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+    def _long(self, word: bytes) -> int:
         import xxhash
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return xxhash.xxh3_64_intdigest(word.lower())
+
+    def _short(self, buf):
+        import numpy as np
+        inside = np.concatenate(([False], ~self.blank[buf], [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        run = np.zeros(len(buf) + 1, dtype=np.uint64)
+        np.cumsum(self.table[buf] * self.up[:len(buf)], out=run[1:])
+        h = (run[end] - run[start]) * self.down[start]
+        h = (h ^ (h >> np.uint64(31)) ^ (end - start).astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(28)
+        long = np.flatnonzero(end - start > self.stretch // 2)
+        for i in long.tolist():
+            h[i] = self._long(buf[start[i]:end[i]].tobytes())
         return h
 
 
-def shingle_set(text: bytes, words: WordHashes, k: int = SHINGLE_WORDS):
+def shingle_set(text: bytes, hasher: WordHasher, k: int = SHINGLE_WORDS):
     """Sorted distinct 64-bit hashes of the ``k``-word shingles of a text.
 
     Words are runs of anything but space and U+0009 to U+000D, A-Z lower-cased. A text of
     fewer words gives one shingle of all of them, one without words none.
     """
     import numpy as np
-    w = np.array([words[x] for x in text.lower().split()], dtype=np.uint64)
+    w = hasher(text)
     n = len(w)
     if not n:
         return w
@@ -67,11 +125,13 @@ def shingle_set(text: bytes, words: WordHashes, k: int = SHINGLE_WORDS):
     with np.errstate(over="ignore"):
         h = w[:n - size + 1].copy()
         for i in range(1, size):
-            h = h * np.uint64(_P) + w[i:n - size + 1 + i]
+            h *= np.uint64(_P)
+            h += w[i:n - size + 1 + i]
         h += np.uint64(size * 0xD6E8FEB86659FD93 & (2 ** 64 - 1))
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-    return np.unique(h)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def class_of(hashes) -> int:
@@ -81,15 +141,26 @@ def class_of(hashes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def bitmap(hashes) -> bytes:
-    """A power of two of bits, two or more per shingle within MIN_BITS to MAX_BITS; bit = hash modulo width."""
+def bitmap(hashes, per_shingle: int, most: int) -> bytes:
+    """A power of two of bits, ``per_shingle`` or more each within MIN_BITS to ``most``; bit = hash modulo width."""
     import numpy as np
-    width = min(MAX_BITS, max(MIN_BITS, 1 << (2 * len(hashes) - 1).bit_length()))
+    width = min(most, max(MIN_BITS, 1 << (per_shingle * len(hashes) - 1).bit_length()))
     bits = np.zeros(width, dtype=np.uint8)
     bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def may_link(n, pos, i: int, pct: int):
+    """Which of the sets sized ``n`` >= n[i] can be like set i, if the shingle they share is the first common one.
+
+    ``pos`` is that shingle's place in each set's order: none before it is common, so the
+    overlap is at most what is left from there on. Sizes must be near enough, too.
+    """
+    ni, left = int(n[i]), n - pos
+    need = -(-pct * (n + ni) // (100 + pct))
+    return (pct * n <= 100 * ni) & (left >= need) & (left[i] >= need)
+
+
 def fold(words, n_words: int):
     """Bitmaps (rows of uint64) brought to fewer words: halves are joined by OR."""
     while words.shape[1] > n_words:
@@ -122,7 +193,7 @@ def common_shingles(docs: DataFrame) -> list[tuple[int, int]]:
     def count(batches):
         import numpy as np
         import pyarrow as pa
-        words, seen, parts = WordHashes(), set(), []
+        words, seen, parts = WordHasher(), set(), []
         for b in batches:
             for t in b.column(0).cast(pa.binary()).to_pylist():
                 h = shingle_set(t, words)
@@ -140,7 +211,7 @@ def common_shingles(docs: DataFrame) -> list[tuple[int, int]]:
 
 
 def class_rows(docs: DataFrame, pct: int, hot) -> DataFrame:
-    """(doc_id, cid, n, sig, prefix) of each document; sig and prefix with the class's first row in a task.
+    """(doc_id, cid, n, sig, wide, prefix) of each document; the last three with the class's first row in a task.
 
     ``cid`` is NULL for an empty set. ``prefix`` packs the shingles that reach tiles as 64-bit integers.
     """
@@ -148,9 +219,9 @@ def class_rows(docs: DataFrame, pct: int, hot) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         tokens, ranks = hot.value
-        words, seen = WordHashes(), set()
+        words, seen = WordHasher(), set()
         for b in batches:
-            cids, sizes, sigs, prefixes = [], [], [], []
+            cids, sizes, sigs, wide, prefixes = [], [], [], [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 h = shingle_set(t, words)
                 n = len(h)
@@ -159,12 +230,14 @@ def class_rows(docs: DataFrame, pct: int, hot) -> DataFrame:
                 cids.append(c)
                 if not n or c in seen:
                     sigs.append(None)
+                    wide.append(None)
                     prefixes.append(None)
                     continue
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(c)
-                sigs.append(bitmap(h))
+                sigs.append(bitmap(h, *TILE_BITS))
+                wide.append(bitmap(h, *WIDE_BITS))
                 take = n - (pct * n + 99) // 100 + 1
                 if len(tokens):
                     at = np.searchsorted(tokens, h).clip(max=len(tokens) - 1)
@@ -173,12 +246,13 @@ def class_rows(docs: DataFrame, pct: int, hot) -> DataFrame:
                 prefixes.append(h[:take].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(cids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()),
-                 pa.array(prefixes, pa.binary())], names=["doc_id", "cid", "n", "sig", "prefix"])
-    return docs.mapInArrow(run, "doc_id long, cid long, n int, sig binary, prefix binary")
+                 pa.array(wide, pa.binary()), pa.array(prefixes, pa.binary())],
+                names=["doc_id", "cid", "n", "sig", "wide", "prefix"])
+    return docs.mapInArrow(run, "doc_id long, cid long, n int, sig binary, wide binary, prefix binary")
 
 
 def make_tiles(rows: DataFrame, pct: int, tile: int) -> DataFrame:
-    """(token, tile, cid, n, leader, guest) for shingles that two classes or more share.
+    """(token, tile, cid, n, pos, leader, guest) for shingles that two classes or more share.
 
     ``leader`` is the first class of the run of sizes a class can link to, NULL for the
     leader itself. Guests repeat a class in earlier bands of sizes it can link to.
@@ -189,11 +263,13 @@ def make_tiles(rows: DataFrame, pct: int, tile: int) -> DataFrame:
         for b in batches:
             packed = b.column(2).to_pylist()
             t = np.frombuffer(b"".join(packed), dtype=np.int64)
-            at = pa.array(np.repeat(np.arange(b.num_rows), [len(x) // 8 for x in packed]))
-            yield pa.RecordBatch.from_arrays([pa.array(t), b.column(0).take(at), b.column(1).take(at)],
-                                             names=["token", "cid", "n"])
+            size = np.array([len(x) // 8 for x in packed], dtype=np.int64)
+            at = pa.array(np.repeat(np.arange(b.num_rows), size))
+            pos = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([pa.array(t), b.column(0).take(at), b.column(1).take(at),
+                                              pa.array(pos.astype(np.int32))], names=["token", "cid", "n", "pos"])
 
-    def band(tok, cid, n, out):
+    def band(tok, cid, n, pos, out):
         """Tiles of one shingle's classes, sorted by size."""
         lead, bands = 0, []
         for i in range(len(cid)):
@@ -203,28 +279,28 @@ def make_tiles(rows: DataFrame, pct: int, tile: int) -> DataFrame:
             if i % tile == 0:
                 bands.append(0)
             bands[own] = n[i]
-            out.append((tok, own, cid[i], n[i], None if i == lead else cid[lead], False))
+            out.append((tok, own, cid[i], n[i], pos[i], None if i == lead else cid[lead], False))
             k = own - 1
             while k >= 0 and 100 * bands[k] >= pct * n[i]:
-                out.append((tok, k, cid[i], n[i], None, True))
+                out.append((tok, k, cid[i], n[i], pos[i], None, True))
                 k -= 1
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         schema = pa.schema([("token", pa.int64()), ("tile", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()),
-                            ("leader", pa.int64()), ("guest", pa.bool_())])
-        held = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)]
+                            ("pos", pa.int32()), ("leader", pa.int64()), ("guest", pa.bool_())])
+        held = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32)]
 
-        def emit(tok, cid, n):
+        def emit(tok, cid, n, pos):
             fresh = np.ones(len(tok), dtype=bool)  # a class comes once per task that met it
             fresh[1:] = (tok[1:] != tok[:-1]) | (cid[1:] != cid[:-1])
-            tok, cid, n = tok[fresh], cid[fresh], n[fresh]
+            tok, cid, n, pos = tok[fresh], cid[fresh], n[fresh], pos[fresh]
             starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, dtype=np.int64)
             sizes = np.diff(np.r_[starts, len(tok)])
             out = []
             for s, m in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-                band(int(tok[s]), cid[s:s + m].tolist(), n[s:s + m].tolist(), out)
+                band(int(tok[s]), *[c[s:s + m].tolist() for c in (cid, n, pos)], out)
                 if len(out) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                     out = []
@@ -239,13 +315,13 @@ def make_tiles(rows: DataFrame, pct: int, tile: int) -> DataFrame:
             yield from emit(*[c[:cut] for c in cols])
         yield from emit(*held)
     tokens = (rows.where(F.col("prefix").isNotNull()).select("cid", "n", "prefix")
-              .mapInArrow(unpack, "token long, cid long, n int"))
+              .mapInArrow(unpack, "token long, cid long, n int, pos int"))
     dealt = tokens.repartition("token").sortWithinPartitions("token", "n", "cid")
-    return dealt.mapInArrow(run, "token long, tile int, cid long, n int, leader long, guest boolean")
+    return dealt.mapInArrow(run, "token long, tile int, cid long, n int, pos int, leader long, guest boolean")
 
 
 def bounded_pairs(pairs: DataFrame, sigs: DataFrame, pct: int) -> DataFrame:
-    """The (a, b) whose bitmaps allow enough overlap."""
+    """The (a, b) whose wide bitmaps allow enough overlap."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -258,86 +334,123 @@ def bounded_pairs(pairs: DataFrame, sigs: DataFrame, pct: int) -> DataFrame:
                 if alike(overlap_bound(fold(u, w)[0], na[i], fold(v, w), nb[i])[0], na[i], nb[i], pct):
                     keep.append(i)
             yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
-    a = sigs.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    c = sigs.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    a = sigs.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("wide").alias("sa"))
+    c = sigs.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("sb"))
     j = pairs.join(a, "a").join(c, "b").select("a", "b", "na", "sa", "nb", "sb")
     return j.mapInArrow(run, "a long, b long")
 
 
-def cross_group_pairs(members: DataFrame, pct: int) -> DataFrame:
-    """(a, b) of each tile: classes of different groups whose sizes and bitmaps allow a link.
+def by_tile(handle):
+    """mapInArrow body over rows sorted by (token, tile): ``handle(table, start, end)`` for each whole tile.
 
-    ``members`` has (token, tile, cid, n, guest, label, sig), all of a tile in one partition.
+    ``handle`` returns rows of a tile; ``out(rows)`` of the pair (handle, out) makes them a batch.
     """
-    def compare(cid, n, label, guest, sigs):
-        import numpy as np
-        widths = np.array([len(s) // 8 for s in sigs])
-        folded = {}
-        own = np.flatnonzero(~guest)
-        for i in own.tolist():
-            far = int(np.searchsorted(n, 100 * int(n[i]) // pct, side="right"))
-            js = np.arange(i + 1, far)
-            js = js[label[js] != label[i]]
-            if not len(js):
-                continue
-            w = int(widths[i])
-            if w not in folded:  # rows are sorted by size, so all later ones are as wide or wider
-                rows = [fold(np.frombuffer(s, dtype=np.uint64)[None, :], w) for s in sigs[i:]]
-                folded[w] = (i, np.concatenate(rows))
-            base, x = folded[w]
-            ub = overlap_bound(x[i - base], int(n[i]), x[js - base], n[js])
-            for j in js[alike(ub, int(n[i]), n[js], pct)].tolist():
-                yield (int(cid[i]), int(cid[j])) if cid[i] < cid[j] else (int(cid[j]), int(cid[i]))
+    one, out = handle
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        held, seen = None, set()
+        held = None
 
         def tiles(t, last):
-            """Compare the complete tiles of a table; returns the rows that may go on."""
             tok, til = t.column("token").to_numpy(), t.column("tile").to_numpy()
             starts = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (til[1:] != til[:-1])])
             ends = np.r_[starts[1:], len(tok)]
-            stop = len(starts) if last else len(starts) - 1
-            cols = [t.column(c).to_numpy() for c in ("cid", "n", "label")]
-            guest, sig = t.column("guest").to_numpy(), t.column("sig")
+            stop = len(starts) if last else len(starts) - 1  # the last tile may go on
+            cols = {c: t.column(c).to_numpy() for c in ("cid", "n", "pos", "label", "guest")}
             found = []
             for s, e in zip(starts[:stop].tolist(), ends[:stop].tolist()):
                 if e - s > 1:
-                    found += compare(*[c[s:e] for c in cols], guest[s:e], sig.slice(s, e - s).to_pylist())
-            return found, t.slice(int(starts[stop])) if stop < len(starts) else None
-
-        def out(found):
-            new = [p for p in dict.fromkeys(found) if p not in seen]  # a pair meets in many tiles
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.update(new)
-            return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in new], pa.int64()),
-                                               "b": pa.array([p[1] for p in new], pa.int64())})
+                    found += one({c: v[s:e] for c, v in cols.items()}, t, s)
+            return out(t, found), t.slice(int(starts[stop])) if stop < len(starts) else None
         for b in batches:
             if b.num_rows:
                 t = pa.Table.from_batches([b])
-                found, held = tiles(pa.concat_tables([held, t]).combine_chunks() if held is not None else t, False)
-                yield out(found)
+                batch, held = tiles(pa.concat_tables([held, t]).combine_chunks() if held is not None else t, False)
+                yield batch
         if held is not None:
-            yield out(tiles(held, True)[0])
+            yield tiles(held, True)[0]
+    return run
+
+
+def partners(c: dict, i: int, pct: int):
+    """Rows of a tile after row i that are in another group and may link with it."""
+    import numpy as np
+    far = int(np.searchsorted(c["n"], 100 * int(c["n"][i]) // pct, side="right"))
+    ok = may_link(c["n"][i:far].astype(np.int64), c["pos"][i:far], 0, pct) & (c["label"][i:far] != c["label"][i])
+    return i + np.flatnonzero(ok)
+
+
+def with_partners(members: DataFrame, pct: int) -> DataFrame:
+    """The rows of ``members`` that have a partner in their tile; all of a tile come in one partition."""
+    def one(c, t, s):
+        import numpy as np
+        keep = np.zeros(len(c["n"]), dtype=bool)
+        for i in np.flatnonzero(~c["guest"]).tolist():
+            js = partners(c, i, pct)
+            if len(js):
+                keep[i] = True
+                keep[js] = True
+        return (s + np.flatnonzero(keep)).tolist()
+
+    def out(t, found):
+        import pyarrow as pa
+        picked = t.take(pa.array(found, pa.int64()))
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in picked.columns], names=picked.column_names)
+    cols = ["token", "tile", "cid", "n", "pos", "guest", "label"]
+    dealt = members.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "cid").select(*cols)
+    return dealt.mapInArrow(by_tile((one, out)), dealt.schema)
+
+
+def cross_group_pairs(members: DataFrame, pct: int) -> DataFrame:
+    """(a, b) of each tile: classes of different groups whose sizes, places and bitmaps allow a link.
+
+    ``members`` has (token, tile, cid, n, pos, guest, label, sig).
+    """
+    def one(c, t, s):
+        import numpy as np
+        cid, n = c["cid"], c["n"].astype(np.int64)
+        sigs = t.column("sig").slice(s, len(n)).to_pylist()
+        folded, pairs = {}, []
+        for i in np.flatnonzero(~c["guest"]).tolist():
+            js = partners(c, i, pct)
+            if not len(js):
+                continue
+            w = len(sigs[i]) // 8
+            if w not in folded:  # rows are sorted by size, so all later ones are as wide or wider
+                rows = [fold(np.frombuffer(x, dtype=np.uint64)[None, :], w) for x in sigs[i:]]
+                folded[w] = (i, np.concatenate(rows))
+            base, x = folded[w]
+            ub = overlap_bound(x[i - base], int(n[i]), x[js - base], n[js])
+            for j in js[alike(ub, int(n[i]), n[js], pct)].tolist():
+                pairs.append((int(cid[i]), int(cid[j])) if cid[i] < cid[j] else (int(cid[j]), int(cid[i])))
+        return pairs
+
+    def out(t, found):
+        import pyarrow as pa
+        found = list(dict.fromkeys(found))
+        return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()),
+                                           "b": pa.array([p[1] for p in found], pa.int64())})
     dealt = members.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "cid")
-    return dealt.select("token", "tile", "cid", "n", "label", "guest", "sig").mapInArrow(run, "a long, b long").distinct()
+    dealt = dealt.select("token", "tile", "cid", "n", "pos", "guest", "label", "sig")
+    return dealt.mapInArrow(by_tile((one, out)), "a long, b long").distinct()
 
 
-def exact_links(pairs: DataFrame, docs: DataFrame, pct: int) -> DataFrame:
+def exact_links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, pct: int) -> DataFrame:
     """The (a, b) whose sets are alike, by intersecting their sorted arrays.
 
-    The arrays are made from the texts again, for the classes in ``pairs`` only. ``a``'s array opens
-    a (class, salt) and its partners stream past it.
+    The arrays are made from the texts again, of documents whose classes are in ``pairs`` only. ``a``'s
+    array opens a (class, salt) and its partners stream past it.
     """
     needed = shared_checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-    small = needed.count() <= MAX_BROADCAST_CLASSES
+    few = F.broadcast if needed.count() <= MAX_BROADCAST_CLASSES else (lambda df: df)
+    ids = (rows.where(F.col("sig").isNotNull()).join(few(needed), "cid", "left_semi")
+           .dropDuplicates(["cid"]).select(F.col("doc_id").alias("_id")))  # one document of each class
+    texts_of = docs.join(few(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def sets(batches):
         import pyarrow as pa
-        words, seen = WordHashes(), set()
+        words, seen = WordHasher(), set()
         for b in batches:
             cids, arrays = [], []
             for t in b.column(0).cast(pa.binary()).to_pylist():
@@ -350,8 +463,8 @@ def exact_links(pairs: DataFrame, docs: DataFrame, pct: int) -> DataFrame:
                     cids.append(c)
                     arrays.append(h.tobytes())
             yield pa.RecordBatch.from_pydict({"cid": pa.array(cids, pa.int64()), "arr": pa.array(arrays, pa.binary())})
-    arrays = docs.select("text").mapInArrow(sets, "cid long, arr binary")
-    arrays = arrays.join(F.broadcast(needed) if small else needed, "cid", "left_semi").dropDuplicates(["cid"])
+    arrays = texts_of.select("text").mapInArrow(sets, "cid long, arr binary")
+    arrays = arrays.join(few(needed), "cid", "left_semi").dropDuplicates(["cid"])
 
     def run(batches):
         import numpy as np
@@ -418,21 +531,40 @@ def similar_classes(docs: DataFrame, pct: int = 80, tile: int = TILE) -> tuple[D
     hot = spark.sparkContext.broadcast((np.array([t % 2 ** 64 for t, _ in common], dtype=np.uint64),
                                         np.array([r for _, r in common], dtype=np.int8)))
     rows = shared_checkpoint(class_rows(docs, pct, hot))
-    sigs = rows.where(F.col("sig").isNotNull()).select("cid", "n", "sig").dropDuplicates(["cid"])
+    sigs = rows.where(F.col("sig").isNotNull()).select("cid", "n", "sig", "wide").dropDuplicates(["cid"])
     tiles = shared_checkpoint(make_tiles(rows, pct, tile))
     stars = tiles.where(F.col("leader").isNotNull()).select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
     first = shared_checkpoint(bounded_pairs(stars, sigs, pct))
-    groups = shared_checkpoint(components(exact_links(first, docs, pct)))
+    groups = shared_checkpoint(components(exact_links(first, docs, rows, pct)))
     members = (tiles.drop("leader").join(groups.withColumnRenamed("cid", "_c"), F.col("cid") == F.col("_c"), "left")
-               .select("token", "tile", "cid", "n", "guest", F.coalesce("label", "cid").alias("label")))
+               .select("token", "tile", "cid", "n", "pos", "guest", F.coalesce("label", "cid").alias("label")))
     mixed = (members.groupBy(F.col("token").alias("_t"), F.col("tile").alias("_k"))
              .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("_t", "_k"))
     members = members.join(mixed, (F.col("token") == F.col("_t")) & (F.col("tile") == F.col("_k"))).drop("_t", "_k")
+    members = with_partners(members, pct)
     members = members.join(sigs.select(F.col("cid").alias("_c"), "sig"), F.col("cid") == F.col("_c")).drop("_c")
-    rest = shared_checkpoint(cross_group_pairs(members, pct))
-    more = exact_links(rest, docs, pct)
-    known = groups.select(F.col("cid").alias("a"), F.col("label").alias("b"))
-    return rows.select("doc_id", "cid", "n"), components(known.unionByName(more))
+    rest = shared_checkpoint(bounded_pairs(cross_group_pairs(members, pct), sigs, pct))
+    # One pair for each two groups first; where it links them, their other pairs need no check.
+    two = [F.least("la", "lb"), F.greatest("la", "lb")]
+    probes = (cross_labels(rest, groups).groupBy(*[c.alias(f"_{i}") for i, c in enumerate(two)])
+              .agg(F.min(F.struct("a", "b")).alias("p")).select("p.*"))
+    groups = shared_checkpoint(joined_groups(groups, exact_links(probes, docs, rows, pct)))
+    others = cross_labels(rest, groups).select("a", "b").join(probes, ["a", "b"], "left_anti")
+    return rows.select("doc_id", "cid", "n"), joined_groups(groups, exact_links(others, docs, rows, pct))
+
+
+def cross_labels(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b, la, lb): the pairs whose classes are in different groups."""
+    out = pairs
+    for c in ("a", "b"):
+        g = groups.select(F.col("cid").alias("_c"), F.col("label").alias("_l"))
+        out = out.join(g, F.col(c) == F.col("_c"), "left").withColumn(f"l{c}", F.coalesce("_l", c)).drop("_c", "_l")
+    return out.where("la <> lb")
+
+
+def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(cid, label) after more links."""
+    return components(groups.select(F.col("cid").alias("a"), F.col("label").alias("b")).unionByName(links))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 80,
@@ -469,7 +601,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("b.doc_id").alias("_id"), F.col("b.class_id").alias("_class"))
 
     def class_id():
-        words = WordHashes()
+        words = WordHasher()
 
         def one(text):
             h = shingle_set(text.encode("utf-8", "replace"), words)
