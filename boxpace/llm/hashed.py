@@ -63,7 +63,8 @@ def train_on_one(sample: DataFrame, terms, fit) -> bytes:
         yield pa.RecordBatch.from_pydict({"model": pa.array([fit(rows)], pa.binary())})
     hashed = sample.select("doc_id", "target", "text").mapInArrow(hash_texts, "doc_id long, target int, terms binary")
     one = hashed.repartition(1).sortWithinPartitions("doc_id", "target", "terms").mapInArrow(train, "model binary")
-    return bytes(one.first()["model"])
+    row = one.first()
+    return bytes(row["model"]) if row else fit([])  # no labelled row
 
 
 def sparse_rows(rows, min_df: int):

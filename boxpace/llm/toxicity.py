@@ -21,14 +21,14 @@ FACTORS = 4
 MIN_DF = 3
 
 
-def fit_fm(rows, factors: int = FACTORS, epochs: int = 8, batch: int = 32, rate: float = 0.5, l1: float = 4.0,
+def fit_fm(rows, factors: int = FACTORS, epochs: int = 8, batch: int = 32, rate: float = 0.5, l1: float = 6.0,
            l2: float = 0.1, min_df: int = MIN_DF, seed: int = 7) -> bytes:
     """A machine fitted to [(0 or 1, hashed terms)] on mini-batches.
 
     Weights follow the regularised leader with an L1 term: a term keeps a weight of 0 unless
     it tells the labels apart, so long texts gather no noise. Vectors are learned for terms with a
-    weight, by AdaGrad. The bias starts below the base rate, so that terms have to raise a score. With
-    fewer than 400 rows of label 1 the L1 term shrinks in proportion. Without rows the machine knows a
+    weight, by AdaGrad. The bias starts below the base rate, so that terms have to raise a score.
+    Without rows the machine knows a
     low base rate only.
     """
     import numpy as np
@@ -36,7 +36,6 @@ def fit_fm(rows, factors: int = FACTORS, epochs: int = 8, batch: int = 32, rate:
     rng = np.random.default_rng(seed)
     base = (y.sum() + 0.1) / (len(y) + 1.0)
     w0, g0 = float(np.log(base / (1 - base))) - 3.0 * (len(y) > 0), 1.0
-    l1 = l1 * (0.3 + 0.7 * min(1.0, float(y.sum()) / 400))
     w, z, n = np.zeros(len(terms)), np.zeros(len(terms)), np.zeros(len(terms))
     v, gv = rng.normal(0, 0.05, (len(terms), factors)), np.full((len(terms), factors), 1.0)
     for _ in range(epochs):
