@@ -393,7 +393,7 @@ def _u7(spark, d):
     f = T.fact(spark, d).withColumn("cents", F.round(F.col("amount") * 100).cast("bigint"))
     totals = f.groupBy("event_name", "event_date").agg(F.sum("qty_sold").cast("bigint").alias("event_total"))
     f = f.join(totals, ["event_name", "event_date"])
-    out = allocate(f, ["event_name", "event_date"], "cents", "event_total", list(T.FIXTURE_ORDER_KEY), cfg=CFG)
+    out = allocate(f, ["event_name", "event_date"], "cents", "event_total", list(T.FIXTURE_ORDER_KEY))
     return out.select(*T.FIXTURE_ORDER_KEY, "event_name", "event_date", "event_total", "cents", "alloc")
 
 
@@ -458,6 +458,18 @@ def _p14s(spark, d):
     return P.default_seasons(T.fact(spark, d))
 
 
+@query("t6_all_seasons")
+def _t6s(spark, d):
+    """Every season of the fact."""
+    return P.all_seasons(T.fact(spark, d))
+
+
+@query("t6_all_channels")
+def _t6c(spark, d):
+    """Every sales channel of the fact."""
+    return P.all_channels(T.fact(spark, d))
+
+
 @query("p14_date_bounds")
 def _p14d(spark, d):
     """Event-date picker bounds for the as-of date."""
@@ -519,3 +531,24 @@ def _w1(spark, d):
     from .operators.prep import pacing_rows
     s = running_share(pacing_rows(T.fact(spark, d), CFG), "event_instance", CFG, pct_col="cum_pct")
     return s.select(*T.FIXTURE_ORDER_KEY, "event_instance", "days_out", "d_bin", "cum_qty", "final_qty", "cum_pct")
+
+
+# --- refunds and the derived tables as a whole --------------------------------------
+
+@query("a18_event_pacing_refunds")
+def _a18r(spark, d):
+    """Event pacing where every fifth event has refunds only (no percentage without a positive final)."""
+    return curves.event_pacing(T.fact_with_refunds(spark, d), CFG)
+
+
+@query("a21_global_curve_refunds")
+def _a21r(spark, d):
+    """Global curve over the same events."""
+    return curves.global_curve_from_pacing(curves.event_pacing(T.fact_with_refunds(spark, d), CFG), AS_OF, CFG)
+
+
+@query("r5_derive_core")
+def _r5(spark, d):
+    """Every derived table of the core, in long form: table, key of the row, measure, value."""
+    from .plans.reports import core_long, derive_core
+    return core_long(derive_core(T.fact(spark, d), AS_OF, CFG), list(T.FIXTURE_ORDER_KEY))

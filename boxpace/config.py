@@ -6,7 +6,7 @@ run time, so a user can override any threshold, date or rule list per call.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # ---------------------------------------------------------------------------
 # Fixed values. These must equal the source application's rule tables and
@@ -122,25 +122,33 @@ BASELINE_TYPE_LABEL = "event type only"
 
 REQUIRED_COLUMNS: tuple[str, ...] = ("sale_date", "event_date", "event_name", "qty_sold")
 NUMERIC_COLUMNS: tuple[str, ...] = ("qty_sold", "amount")
-# Characters Python's str.strip() removes for ASCII text.
-WHITESPACE = " \t\n\r\x0b\x0c"
+# Characters Python's str.strip() removes.
+WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b)))
+              + "\u2028\u2029\u202f\u205f\u3000")
 # Tokens read as missing in CSV input (pandas' default list).
 CSV_NULL_TOKENS: tuple[str, ...] = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-# Datetime formats tried in order when coercing text (explicit list instead of
-# format guessing), each with the text shape it accepts: a row is parsed only by
-# the first format whose shape matches, so a failed parse never runs.
-DATETIME_FORMATS: tuple[tuple[str, str], ...] = (
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
-    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
-    (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$", "MM/dd/yyyy HH:mm:ss"),
-    (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}$", "MM/dd/yyyy HH:mm"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
+# Plain decimal numbers.
+NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Date formats tried in order when coercing text (explicit list instead of format guessing), each
+# with the text shape it accepts. Month first where both readings are possible.
+DATE_FORMATS: tuple[tuple[str, str], ...] = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
+    (r"^(1[3-9]|2\d|3[01])-\d{1,2}-\d{4}$", "d-M-yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
+    (r"^[A-Za-z]{4,9} \d{1,2} \d{4}$", "MMMM d yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"),
 )
 
 
@@ -169,17 +177,19 @@ class PacingConfig:
     checkpoint_tol: int = 5
     share_min_other: float = 0.05
     # Columns that fix the order of sales with equal days_out (running sums
-    # depend on it). Missing columns are skipped; sale_date always comes first.
+    # depend on it). A missing column is an error; sale_date always comes first.
     order_key: tuple[str, ...] = ("sale_seq",)
     # Running sums per event: "range" (range-partitioned prefix sums, a hot
     # event spreads over many tasks), "window" (one window partition per key),
     # or "auto": window only when the plan's inputs are below small_input_bytes.
+    # Results are the same.
     running_sum: str = "auto"
     # Exact quantiles by default; a positive value switches to percentile_approx.
     approx_accuracy: int = 0
     # Exact quantile plan: "banded" (bounded memory per group), "direct"
     # (Spark's percentile aggregate, one buffer of all values per group), or
     # "auto": direct only when the plan's inputs are below small_input_bytes.
+    # Results are the same.
     quantile_mode: str = "auto"
     # Inputs up to this size (optimizer estimate of the scanned data) cannot
     # hold a group too large for one task, so the single-pass plans are used.
@@ -191,7 +201,6 @@ class PacingConfig:
     lead_buckets: tuple[tuple[int, int, str], ...] = LEAD_BUCKETS_CLOSED
     lead_edges: tuple[int, ...] = LEAD_EDGES_HALF_OPEN
     lead_labels: tuple[str, ...] = LEAD_LABELS_HALF_OPEN
-    extra: dict = field(default_factory=dict, compare=False)
 
     def with_(self, **kw) -> "PacingConfig":
         return replace(self, **kw)

@@ -20,7 +20,7 @@ def _c(x) -> Column:
 
 
 def strip(x) -> Column:
-    """Trim ASCII whitespace on both sides (plain ``trim`` removes spaces only)."""
+    """Trim white space on both sides, as Python does (plain ``trim`` removes spaces only)."""
     return F.btrim(_c(x), F.lit(WHITESPACE))
 
 

@@ -86,8 +86,3 @@ def lead_bucket_half_open(d="days_out", cfg: PacingConfig = DEFAULT) -> Column:
         cond = (d > edges[i]) & (d <= edges[i + 1])
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     return expr
-
-
-def lead_bucket_half_open_rank(bucket) -> Column:
-    """Position of a half-open bucket label in its natural order."""
-    return F.array_position(F.array(*[F.lit(x) for x in DEFAULT.lead_labels]), _c(bucket)).cast("int")

@@ -15,26 +15,30 @@ def sale_order(df: DataFrame, cfg: PacingConfig = DEFAULT) -> list[Column]:
 
 
 def running_share(df: DataFrame, key: str, cfg: PacingConfig = DEFAULT, qty: str = "qty_sold",
-                  pct_col: str = "cum_pct") -> DataFrame:
+                  pct_col: str = "cum_pct", positive_final: bool = False) -> DataFrame:
     """Running qty per ``key`` in booking order; final = peak of the running sum.
 
-    Adds ``cum_qty``, ``final_qty`` and ``pct_col`` = 100 * cum / final (NULL
-    when the final is 0). ``cfg.running_sum`` picks the plan: ``range``
+    Adds ``cum_qty``, ``final_qty`` and ``pct_col`` = 100 * cum / final: NULL where the
+    final is 0 or, with ``positive_final``, not above 0. A row without qty adds nothing and
+    has no cum_qty; a row without key has neither sum. Every plan follows these rules. ``cfg.running_sum`` picks the plan: ``range``
     splits a hot key over many tasks (:func:`prefix_sum`); ``window`` uses
     one window partition per key; ``auto`` (default) takes the window only for
     inputs below ``cfg.small_input_bytes``.
     """
     from .sizing import use_scalable
+    has_qty = F.col(qty).isNotNull()
     if not use_scalable(df, cfg.running_sum, cfg, "range"):
         ordered = Window.partitionBy(key).orderBy(*sale_order(df, cfg)).rowsBetween(Window.unboundedPreceding, 0)
-        out = df.withColumn("cum_qty", F.sum(qty).over(ordered))
+        out = df.withColumn("cum_qty", F.when(has_qty & F.col(key).isNotNull(), F.sum(qty).over(ordered)))
         out = out.withColumn("final_qty", F.max("cum_qty").over(Window.partitionBy(key)))
     else:
         out = prefix_sum(df, [key], sale_order(df, cfg), qty, "cum_qty")
-        peaks = out.groupBy(key).agg(F.max("cum_qty").alias("final_qty"))
+        out = out.withColumn("cum_qty", F.when(has_qty & F.col(key).isNotNull(), F.col("cum_qty")))
+        peaks = out.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("cum_qty").alias("final_qty"))
         # One row per key; AQE broadcasts it when small and splits a hot key otherwise.
-        out = out.join(peaks, key)
-    return out.withColumn(pct_col, F.lit(100.0) * safe_ratio("cum_qty", "final_qty"))
+        out = out.join(peaks, key, "left")
+    den = F.when(F.col("final_qty") > 0, F.col("final_qty")) if positive_final else F.col("final_qty")
+    return out.withColumn(pct_col, F.lit(100.0) * safe_ratio(F.col("cum_qty"), den))
 
 
 def _local_prefix(key_cols: list[str], value: str, out: str):
@@ -93,11 +97,12 @@ def prefix_sum(df: DataFrame, key_cols: list[str], order: list[Column], value: s
     keyst = F.struct(*[F.col(k) for k in key_cols])
     per_part = local.groupBy("_pid", keyst.alias("_k")).agg(F.sum(value).alias("_tot"))
     firsts = local.groupBy("_pid").agg(F.min(keyst).alias("_first"))
-    # Earlier partitions holding a partition's first key (both sides: one row per partition or pair).
-    earlier = (per_part.alias("a").join(firsts.alias("b"), (F.col("a._k") == F.col("b._first"))
-                                        & (F.col("a._pid") < F.col("b._pid")))
-               .groupBy(F.col("b._pid").alias("_opid")).agg(F.sum(F.coalesce(F.col("a._tot"), F.lit(0.0)))
-                                                             .alias("_off")))
+    # What a key's earlier partitions hold: a running sum over one row per key and partition.
+    before = Window.partitionBy("_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = per_part.withColumn("_off", F.sum(F.coalesce("_tot", F.lit(0.0))).over(before))
+    earlier = (sums.alias("a").join(firsts.alias("b"), F.col("a._k").eqNullSafe(F.col("b._first"))
+                                    & (F.col("a._pid") == F.col("b._pid")))
+               .select(F.col("a._pid").alias("_opid"), "_off"))
     offsets = firsts.join(earlier, F.col("_pid") == F.col("_opid"), "left").select(
         F.col("_pid").alias("_bpid"), "_first", F.coalesce("_off", F.lit(0.0)).alias("_off"))
     res = local.join(F.broadcast(offsets), F.col("_pid") == F.col("_bpid"), "left")
@@ -105,12 +110,6 @@ def prefix_sum(df: DataFrame, key_cols: list[str], order: list[Column], value: s
     return res.drop("_pid", "_bpid", "_first", "_off")
 
 
-def ratio_to_total(df: DataFrame, value: str, by: list[str], out: str, zero_as: float | None = 0.0) -> DataFrame:
-    """value / sum(value) over the group (W3); the group total 0 gives ``zero_as``."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    return df.withColumn(out, safe_ratio(F.col(value), F.sum(value).over(w), zero_as))
-
-
 def grid_cum_share(rows: DataFrame, event_keys: list[str], cfg: PacingConfig = DEFAULT, qty: str = "qty_sold",
                    scale: float = 1.0) -> DataFrame:
     """Cumulative share per event over the full bin grid, max_lead -> 0.

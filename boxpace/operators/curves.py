@@ -24,14 +24,7 @@ def event_bin_sums(df: DataFrame, cfg: PacingConfig = DEFAULT, lead: str = "clam
     [0, max_lead] (P10), ``cap`` drops late sales and folds early ones (P11),
     ``filter`` keeps 0..max_lead only (P9).
     """
-    d = df.na.drop(subset=["event_date", "sale_date", "qty_sold"]).withColumn("days_out", days_out())
-    if lead == "clamp":
-        d = d.withColumn("days_out", lead_clamped("days_out", cfg))
-    elif lead == "cap":
-        d = d.where(F.col("days_out") >= 0).withColumn("days_out", lead_capped("days_out", cfg))
-    else:
-        d = d.where(in_lead_window("days_out", cfg))
-    d = d.withColumn("d_bin", bin_floor("days_out", cfg))
+    d = _binned(df, cfg, lead)
     return d.groupBy(*EVENT, "d_bin").agg(F.sum("qty_sold").alias("qty_sold"))
 
 
@@ -109,7 +102,7 @@ def baseline_curve(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT, e
     shares = event_cum_shares(chosen, cfg, lead="clamp", scale=1.0)
     curve = curve_from_shares(shares, cfg, hi=1.0, scale_out=100.0, names=("median_pct", "p25_pct", "p75_pct"))
     curve = curve.where(_has_rows(shares))
-    return curve.select("d_bin", "median_pct", "p25_pct", "p75_pct", "n"), cohort
+    return curve.select("d_bin", "median_pct", "p25_pct", "p75_pct", "n").orderBy("d_bin"), cohort
 
 
 def _has_rows(df: DataFrame):
@@ -122,7 +115,7 @@ def global_pacing_curve(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAU
     shares = event_cum_shares(past(df, as_of), cfg, lead="cap", scale=100.0)
     curve = curve_from_shares(shares, cfg, hi=100.0, band=True, names=("median_pct", "p25_pct", "p75_pct"))
     curve = curve.where(_has_rows(shares))
-    return curve.select("d_bin", "median_pct", "p25_pct", "p75_pct", "n")
+    return curve.select("d_bin", "median_pct", "p25_pct", "p75_pct", "n").orderBy("d_bin")
 
 
 def current_curve(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> DataFrame:
@@ -141,14 +134,13 @@ def current_curve(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) ->
     eb = eb.withColumn("t", F.sum("q").over(Window.partitionBy(*EVENT)))
     per_bin = eb.groupBy("d_bin").agg(F.sum(safe_ratio("q", "t")).alias("s"))
     ev = F.struct(*[F.col(c) for c in EVENT])
-    counts = eb.agg(F.count_distinct(ev).alias("n_all"),
-                    F.count_distinct(F.when(F.col("t") != 0, ev)).alias("n_valid"))
-    n_all = counts.select("n_all").scalar()
-    n_valid = counts.select("n_valid").scalar()
+    counts = eb.agg(F.struct(F.count_distinct(ev).alias("all"),
+                             F.count_distinct(F.when(F.col("t") != 0, ev)).alias("valid")).alias("c")).scalar()
+    n_all, n_valid = counts.getField("all"), counts.getField("valid")
     w = Window.orderBy(F.col("d_bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = per_bin.withColumn("cum_pct", F.lit(100.0) * safe_ratio(F.sum(F.coalesce("s", F.lit(0.0))).over(w),
                                                                     n_valid.cast("double")))
-    return out.where(n_all >= cfg.current_min_events).select("d_bin", "cum_pct")
+    return out.where(n_all >= cfg.current_min_events).select("d_bin", "cum_pct").orderBy("d_bin")
 
 
 def curve_sample_size(curve: DataFrame) -> DataFrame:
@@ -160,18 +152,21 @@ def curve_sample_size(curve: DataFrame) -> DataFrame:
 def event_pacing(df: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
     """Max cumulative % per (event_instance, d_bin) with the instance's first attributes.
 
-    Running sums per instance in booking order (W1); within a bin the first
-    row in booking order gives type, weekday, venue and date.
+    Running sums per instance in booking order (W1), without a percentage where the
+    instance's final is not above 0. Within a bin, type, weekday, venue and date are each the first
+    one in booking order that is not NULL.
     """
     d = fill_missing(df).withColumn("days_out", days_out()).where(in_lead_window("days_out", cfg))
     d = d.withColumn("d_bin", bin_floor("days_out", cfg))
     keep = ["event_instance", "event_type", "weekday", "venue", "event_date", "sale_date", "days_out", "d_bin",
             "qty_sold", *_order_cols(d, cfg)]
-    s = running_share(d.select(*dict.fromkeys(keep)), "event_instance", cfg, pct_col="cum_pct")
+    s = running_share(d.select(*dict.fromkeys(keep)), "event_instance", cfg, pct_col="cum_pct",
+                      positive_final=True)
     order = F.struct(-F.col("days_out"), *[F.col(c) for c in _order_cols(s, cfg)])
-    first = F.min_by(F.struct("event_type", "weekday", "venue", "event_date"), order)
-    agg = s.groupBy("event_instance", "d_bin").agg(first.alias("f"), F.max("cum_pct").alias("cum_pct"))
-    return agg.select("event_instance", "d_bin", "f.event_type", "f.weekday", "f.venue", "f.event_date", "cum_pct")
+    firsts = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
+              for c in ("event_type", "weekday", "venue", "event_date")]
+    return (s.where(F.col("event_instance").isNotNull()).groupBy("event_instance", "d_bin")
+            .agg(*firsts, F.max("cum_pct").alias("cum_pct")))
 
 
 def _order_cols(df: DataFrame, cfg: PacingConfig) -> list[str]:
@@ -189,4 +184,4 @@ def global_curve_from_pacing(pacing: DataFrame, as_of: dt.date, cfg: PacingConfi
     curve = finish_curve(curve, ["p25_cum_pct", "median_cum_pct", "p75_cum_pct"], 100.0,
                          band=("p25_cum_pct", "median_cum_pct", "p75_cum_pct"))
     curve = curve.where(_has_rows(hist))
-    return curve.select("d_bin", "median_cum_pct", "p25_cum_pct", "p75_cum_pct")
+    return curve.select("d_bin", "median_cum_pct", "p25_cum_pct", "p75_cum_pct").orderBy("d_bin")

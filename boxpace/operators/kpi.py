@@ -30,8 +30,9 @@ def kpis(base: DataFrame, watch_summary: DataFrame, as_of: dt.date) -> DataFrame
     if has_amount:
         aggs.append(F.coalesce(F.sum(F.when(last30, F.col("amount"))), F.lit(0.0)).cast("double").alias("_amount"))
     a = base.agg(*aggs)
-    evaluated = watch_summary.select(F.col("evaluated").cast("long")).scalar()
-    behind = watch_summary.select(F.col("behind").cast("long")).scalar()
+    counts = watch_summary.select(F.struct(F.col("evaluated").cast("long").alias("e"),
+                                           F.col("behind").cast("long").alias("b")).alias("s")).scalar()
+    evaluated, behind = counts.getField("e"), counts.getField("b")
     delta = F.when(F.col("_prev") > 0, (F.col("tickets_30d") - F.col("_prev")) / F.col("_prev"))
     price = (F.when(F.col("tickets_30d") > 0, F.col("_amount") / F.col("tickets_30d")) if has_amount
              else F.lit(None).cast("double"))

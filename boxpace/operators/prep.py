@@ -43,9 +43,11 @@ def pacing_rows(df: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
 
 
 def order_columns(df: DataFrame, cfg: PacingConfig = DEFAULT) -> list[str]:
-    """Tie-break columns present in ``df`` (sale_date first)."""
-    cols = ["sale_date"] + [c for c in cfg.order_key if c in df.columns and c != "sale_date"]
-    return cols
+    """Columns that fix the order of sales with equal days_out, sale_date first; an absent one is an error."""
+    missing = [c for c in cfg.order_key if c not in df.columns]
+    if missing:
+        raise ValueError(f"Order key columns are missing: {', '.join(missing)}")
+    return ["sale_date"] + [c for c in cfg.order_key if c != "sale_date"]
 
 
 def past(df: DataFrame, as_of: dt.date) -> DataFrame:
@@ -107,6 +109,16 @@ def default_seasons(df: DataFrame, keep: int = 5) -> DataFrame:
             .orderBy(F.col("season").desc()).limit(keep))
 
 
+def all_seasons(df: DataFrame) -> DataFrame:
+    """Every season, in text order."""
+    return df.where(F.col("season").isNotNull()).select("season").distinct().orderBy("season")
+
+
+def all_channels(df: DataFrame) -> DataFrame:
+    """Every sales channel, in text order."""
+    return df.where(F.col("channel").isNotNull()).select("channel").distinct().orderBy("channel")
+
+
 def default_date_bounds(df: DataFrame, as_of: dt.date, first: dt.date = dt.date(2016, 1, 1)) -> DataFrame:
     """Event-date picker bounds: fixed start, min(latest event, as_of + 365 days)."""
     cap = F.lit(as_of + dt.timedelta(days=365))

@@ -83,7 +83,7 @@ def _banded(df: DataFrame, g: list[str], value: str, probs: dict[str, float], ex
     band = band.withColumn("_lo", F.col("_hi") - F.col("_c") + 1)
     pos = F.element_at(F.array(*[F.lit(p) for p in ps]), F.col("_i") + 1) * (F.col("_n") - 1)
     band = band.withColumn("_pos", pos).withColumn("_k0", F.floor("_pos")).withColumn(
-        "_k1", F.least(F.col("_k0") + 1, F.col("_n") - 1))
+        "_k1", F.ceil("_pos"))
     real = F.col("_x").isNotNull()
     picked = band.groupBy(*g, "_i").agg(
         F.max("_n").alias("_n"), F.max("_pos").alias("_pos"), F.max("_k0").alias("_k0"), F.max("_k1").alias("_k1"),

@@ -54,7 +54,10 @@ def sales_heatmap(base: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
     g = (d.withColumn("weekday", weekday_name("sale_date")).withColumn("lead_bucket", lead_bucket_closed("days_out", cfg))
          .groupBy("weekday", "lead_bucket").agg(F.coalesce(F.sum("qty_sold"), F.lit(0.0)).alias("qty_sold")))
     tot = F.sum("qty_sold").over(Window.partitionBy("weekday"))
-    return g.select("weekday", "lead_bucket", F.when(tot > 0, F.col("qty_sold") / tot).otherwise(0.0).alias("share"))
+    labels = F.array(*[F.lit(x[2]) for x in cfg.lead_buckets])
+    return (g.select("weekday", "lead_bucket", F.when(tot > 0, F.col("qty_sold") / tot).otherwise(0.0).alias("share"))
+            .orderBy(F.array_position(F.array(*[F.lit(x) for x in WEEKDAYS]), F.col("weekday")),
+                     F.array_position(labels, F.col("lead_bucket"))))
 
 
 def timing_heatmap(df: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
@@ -67,11 +70,13 @@ def timing_heatmap(df: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
     """
     d = df.withColumn("days_out", days_out()).where(F.col("days_out").between(0, cfg.max_lead))
     d = d.withColumn("weekday", weekday_name("sale_date")).withColumn("lead_bucket", lead_bucket_half_open("days_out", cfg))
-    stats = d.agg(F.sum("qty_sold").alias("t"), F.count_distinct("event_name").alias("names"),
-                  F.count(F.lit(1)).alias("rows"))
-    gate = stats.select((F.col("t") > 0) & (F.col("names") >= cfg.heat_min_names) & (F.col("rows") >= cfg.heat_min_rows)).scalar()
-    total = stats.select("t").scalar()
-    cells = d.groupBy("weekday", "lead_bucket").agg(F.sum("qty_sold").alias("q"))
+    # One aggregation of the sales; the gate, the total and the cells are all derived from it.
+    by_name = d.groupBy("weekday", "lead_bucket", "event_name").agg(F.sum("qty_sold").alias("q"), F.count(F.lit(1)).alias("c"))
+    stats = by_name.agg(F.struct(F.sum("q").alias("t"), F.count_distinct("event_name").alias("names"),
+                                 F.sum("c").alias("rows")).alias("s")).scalar()
+    total = stats.getField("t")
+    gate = (total > 0) & (stats.getField("names") >= cfg.heat_min_names) & (stats.getField("rows") >= cfg.heat_min_rows)
+    cells = by_name.groupBy("weekday", "lead_bucket").agg(F.sum("q").alias("q"), F.sum("c").alias("_c")).drop("_c")
     grid = (df.sparkSession.range(1)
             .select(F.explode(F.array(*[F.lit(x) for x in WEEKDAYS])).alias("weekday"))
             .select("weekday", F.explode(F.array(*[F.lit(x) for x in cfg.lead_labels])).alias("lead_bucket")))
@@ -79,4 +84,6 @@ def timing_heatmap(df: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
     m = grid.join(F.broadcast(cells), ["weekday", "lead_bucket"], "left")
     present = F.max(F.col("q").isNotNull().cast("int")).over(Window.partitionBy("weekday"))
     m = m.withColumn("share", F.when(present == 1, safe_ratio(F.coalesce(F.col("q"), F.lit(0.0)), total)))
-    return m.where(gate).select("weekday", "lead_bucket", "share")
+    day, bucket = F.array(*[F.lit(x) for x in WEEKDAYS]), F.array(*[F.lit(x) for x in cfg.lead_labels])
+    return (m.where(gate).orderBy(F.array_position(day, F.col("weekday")), F.array_position(bucket, F.col("lead_bucket")))
+            .select("weekday", "lead_bucket", "share"))

@@ -240,7 +240,64 @@ FROM ag""")
 
 # --- ingest ---------------------------------------------------------------
 
-from .config import CATEGORY_MAP, COLLAB_PATTERNS, KEYWORD_TYPE_MAP, SERIES_LOOKUP  # noqa: E402
+# The rules as literals of their own, so that a wrong list in the code under test shows.
+CATEGORY_MAP = (
+    ('musical', 'Theatre'),
+    ('musicals', 'Theatre'),
+    ('opera', 'Theatre'),
+    ('ballet', 'Theatre'),
+    ('theatre', 'Theatre'),
+    ('play', 'Theatre'),
+    ('talk', 'Talks'),
+    ('lecture', 'Talks'),
+    ('panel', 'Talks'),
+    ('concert', 'Concerts'),
+    ('orchestra', 'Concerts'),
+    ('symphony', 'Concerts'),
+    ('choir', 'Concerts'),
+    ('chorus', 'Concerts'),
+    ('festival', 'Festivals'),
+    ('film', 'Film'),
+)
+SERIES_LOOKUP = (
+    ('gala', 'Gala'),
+    ('chamber', 'Chamber Series'),
+    ('dance', 'Dance Series'),
+    ('family', 'Family Series'),
+    ('lecture', 'Lecture Series'),
+    ('opera', 'Opera Series'),
+    ('symphony', 'Symphony Series'),
+    ('ballet', 'Ballet Series'),
+)
+KEYWORD_TYPE_MAP = (
+    ('symphony', 'Symphony Orchestra'),
+    ('orchestra', 'Symphony Orchestra'),
+    ('choir', 'Choir / Vocal'),
+    ('chorus', 'Choir / Vocal'),
+    ('glee', 'Choir / Vocal'),
+    ('opera', 'Opera'),
+    ('ballet', 'Ballet'),
+    ('dance', 'Dance'),
+    ('jazz', 'Jazz'),
+    ('recital', 'Recital'),
+    ('talk', 'Talk / Lecture'),
+    ('lecture', 'Talk / Lecture'),
+    ('festival', 'Festival'),
+    ('film', 'Film / Screening'),
+)
+COLLAB_PATTERNS = (
+    ('(theat(er|re)|play|drama|musical|opera|operetta|ballet|nutcracker)', 'Theatre'),
+    ('(symph(ony|onic)|philharm|orchestra|concerto|chamber|baroque|quartet|classical)', 'Music—Classical'),
+    ('jazz', 'Music—Jazz'),
+    ('(rock|pop|folk|indie|singer[- ]songwriter)', 'Music—Folk/Rock/Pop'),
+    ('(family|kids|children|youth|junior)', 'Family Fun'),
+    ('\\bdance\\b', 'Dance'),
+    ('circus', 'Circus Arts'),
+    ('(lecture|talk|exhibit|symposium)', 'Lecture/Exhibit'),
+    ('(festival|series|gala|residency|workshop|special)', 'Special Programs'),
+    ('world|global|international|afro|latin|celtic|klezmer|tabla|sitar', 'World/Global'),
+    ('\\bmusic\\b', 'Music'),
+)
 from .sources.tables import RAW_CATEGORIES, RAW_PARTS, RAW_TITLES  # noqa: E402
 
 WS = "(' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
@@ -367,7 +424,39 @@ SELECT text, """ + title("text") + """ AS title FROM (
 
 # --- derived tables, comparisons, timing ----------------------------------------
 
-from .config import LEAD_BUCKETS_CLOSED, LEAD_EDGES_HALF_OPEN, LEAD_LABELS_HALF_OPEN, WEEKDAYS  # noqa: E402
+LEAD_BUCKETS_CLOSED = (
+    (0, 7, '0-7'),
+    (8, 14, '8-14'),
+    (15, 30, '15-30'),
+    (31, 60, '31-60'),
+    (61, 120, '61-120'),
+)
+LEAD_EDGES_HALF_OPEN = (
+    -1,
+    7,
+    14,
+    30,
+    60,
+    90,
+    120,
+)
+LEAD_LABELS_HALF_OPEN = (
+    "0–7",
+    "8–14",
+    "15–30",
+    "31–60",
+    "61–90",
+    "91–120",
+)
+WEEKDAYS = (
+    "Monday",
+    "Tuesday",
+    "Wednesday",
+    "Thursday",
+    "Friday",
+    "Saturday",
+    "Sunday",
+)
 
 BIN = "CAST(floor(days_out / 3.0) * 3 AS INTEGER)"
 TS = "'%Y-%m-%d %H:%M:%S'"
@@ -377,7 +466,7 @@ pp AS (SELECT *, """ + BIN + """ AS d_bin FROM fact WHERE days_out BETWEEN 0 AND
 pr AS (SELECT *, sum(qty_sold) OVER (PARTITION BY event_instance ORDER BY days_out DESC, """ + ORDER + """
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_qty FROM pp),
 pr2 AS (SELECT *, max(cum_qty) OVER (PARTITION BY event_instance) AS final_qty FROM pr),
-pr3 AS (SELECT *, CASE WHEN final_qty <> 0 THEN 100.0 * cum_qty / final_qty END AS cum_pct FROM pr2),
+pr3 AS (SELECT *, CASE WHEN final_qty > 0 THEN 100.0 * cum_qty / final_qty END AS cum_pct FROM pr2),
 pac AS (SELECT event_instance, d_bin,
           first(event_type ORDER BY days_out DESC, """ + ORDER + """) AS event_type,
           first(weekday ORDER BY days_out DESC, """ + ORDER + """) AS weekday,
@@ -662,6 +751,9 @@ WHERE season IN ('1996-97', '1997-98', '1998-99', '1999-00') AND channel IN ('1-
 oracle("p14_default_seasons", """
 SELECT season FROM (SELECT DISTINCT season FROM fact WHERE season IS NOT NULL) ORDER BY season DESC LIMIT 5""")
 
+oracle("t6_all_seasons", "SELECT DISTINCT season FROM fact WHERE season IS NOT NULL")
+oracle("t6_all_channels", "SELECT DISTINCT channel FROM fact WHERE channel IS NOT NULL")
+
 oracle("p14_date_bounds", """
 SELECT '2016-01-01' AS min_event,
        strftime(CASE WHEN max(event_date) IS NULL THEN DATE '2001-03-15'
@@ -700,3 +792,30 @@ oracle("w1_running_instance", PACING + """
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
        event_instance, CAST(days_out AS BIGINT) AS days_out, CAST(d_bin AS BIGINT) AS d_bin,
        round(cum_qty, 6) AS cum_qty, round(final_qty, 6) AS final_qty, round(cum_pct, 6) AS cum_pct FROM pr3""")
+
+
+# --- refunds and the derived tables as a whole --------------------------------------
+
+_REFUNDS = """pp AS (SELECT * REPLACE (CASE WHEN l_partkey % 5 = 0 THEN -qty_sold ELSE qty_sold END AS qty_sold),
+       """
+for _nm in ("a18_event_pacing", "a21_global_curve"):
+    ORACLES[_nm + "_refunds"] = ORACLES[_nm].replace("pp AS (SELECT *, ", _REFUNDS, 1)
+
+_CORE = (
+    ("event_pacing", "a18_event_pacing", ("event_instance", "d_bin"), ("cum_pct",)),
+    ("global_pacing_curve", "a21_global_curve", ("d_bin",), ("median_cum_pct", "p25_cum_pct", "p75_cum_pct")),
+    ("cohort_library", "a17_cohort_stats", ("tier", "event_type", "weekday", "venue", "d_bin"),
+     ("median_cum_pct", "p25_cum_pct", "p75_cum_pct", "sample_size")),
+    ("avg_tickets", "a2_avg_tickets", ('"window"', "event_type"), ("avg_tickets",)),
+    ("category_share_pre", "a1_category_share_pre", ("event_type",), ("share_ratio",)),
+    ("category_share_post", "a1_category_share_post", ("event_type",), ("share_ratio",)),
+    ("events_pre_post", "a7_events_common", ("event_name",), ("qty_pre", "qty_post")),
+    ("dows_heatmap", "a11_sales_heatmap", ("weekday", "lead_bucket"), ("share",)),
+)
+_core = ["""SELECT 'base' AS tbl, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key, m AS measure,
+  CAST(CASE m WHEN 'days_out' THEN days_out ELSE floor(days_out / 3.0) * 3 END AS DOUBLE) AS value
+FROM fact, (SELECT unnest(['days_out', 'd_bin']) AS m)"""]
+for _tbl, _nm, _keys, _vals in _CORE:
+    _key = "concat_ws('|', " + ", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in _keys) + ")"
+    _core += [f"SELECT '{_tbl}', {_key}, '{v}', CAST({v} AS DOUBLE) FROM ({ORACLES[_nm]})" for v in _vals]
+oracle("r5_derive_core", "SELECT tbl, key, measure, round(value, 6) AS value FROM (" + " UNION ALL ".join(_core) + ")")

@@ -1,34 +1,56 @@
 """Raw text to clean sale fact (R1: S2-S3, P1-P6, F1-F9)."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DATETIME_FORMATS, DEFAULT, NUMERIC_COLUMNS, PacingConfig
+from ..config import DATE_FORMATS, DEFAULT, NUMBER_SHAPE, NUMERIC_COLUMNS, PacingConfig
 from ..functions.classify import event_instance, event_label, event_type, normalize_category, strip
 from ..functions.lead import weekday_name
 from ..sources.csv import normalize_headers, read_csv_text, require_columns
 
 
 def to_number(c) -> Column:
-    """Text to double, anything unparsable -> NULL."""
-    c = F.col(c) if isinstance(c, str) else c
-    return c.cast("string").try_cast("double")
+    """Text to double, anything that is not a plain decimal number -> NULL."""
+    c = strip((F.col(c) if isinstance(c, str) else c).cast("string"))
+    return F.when(c.rlike(NUMBER_SHAPE), c.try_cast("double"))
 
 
-def to_timestamp(c, formats=DATETIME_FORMATS) -> Column:
-    """Text to timestamp by the first format whose shape matches, else NULL.
+def to_timestamp(c, formats=DATE_FORMATS) -> Column:
+    """Text to timestamp, else NULL.
 
-    The shape test is a precompiled regex, so each value is parsed at most
-    once and only where it can succeed.
+    A date in one of ``formats`` (the first whose shape matches), alone or followed by a
+    time of day: hours and minutes, with seconds, fractions or AM / PM. A zone at the end is
+    ignored, the wall clock counts. Plain ISO dates, the common case, are parsed at once.
     """
-    c = F.col(c) if isinstance(c, str) else c
-    txt = strip(c.cast("string"))
-    expr = None
-    for shape, fmt in formats:
-        parsed = F.try_to_timestamp(txt, F.lit(fmt))
-        expr = F.when(txt.rlike(shape), parsed) if expr is None else expr.when(txt.rlike(shape), parsed)
-    return expr.cast("timestamp_ntz")
+    txt = strip((F.col(c) if isinstance(c, str) else c).cast("string"))
+
+    def bind(value, fn):
+        """``fn`` of ``value``, which is evaluated once however often ``fn`` names it."""
+        return F.get(F.transform(F.array(value), fn), 0)
+
+    def combine(day, time):
+        date = F.lit(None).cast("timestamp_ntz")
+        for shape, fmt in reversed(formats):
+            date = F.when(day.rlike(shape), F.try_to_timestamp(day, F.lit(fmt)).cast("timestamp_ntz")).otherwise(date)
+        hour = F.regexp_extract(time, r"^(\d+)", 1).try_cast("int")
+        minute = F.regexp_extract(time, r"^\d+:(\d+)", 1).try_cast("int")
+        second = F.coalesce(F.regexp_extract(time, r"^\d+:\d+:([\d.]+)", 1).try_cast("decimal(18,6)"),
+                            F.lit(0).cast("decimal(18,6)"))
+        half = F.lower(F.regexp_extract(time, r"([AaPp])\.?[Mm]", 1))
+        h24 = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+        ok = (h24 < 24) & (minute < 60) & (second < 60)
+        return F.when(time == "", date).when(ok, date + F.make_dt_interval(F.lit(0), h24, minute, second))
+
+    def split(clean):
+        time = F.regexp_extract(clean, r" (\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp]\.?[Mm]\.?)?)$", 1)
+        return bind(time, lambda tm: bind(
+            F.when(tm == "", clean).otherwise(F.substring(clean, F.lit(1), F.length(clean) - F.length(tm) - 1)),
+            lambda day: combine(day, tm)))
+    clean = F.regexp_replace(F.regexp_replace(txt, r"(?<=\d)T(?=\d)", " "), r",| ?(Z|UTC|GMT|(?<=:\d\d)[+-]\d\d:?\d\d)$", "")
+    iso = F.try_to_timestamp(txt, F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
+    return F.when(txt.rlike(r"^\d{4}-\d{2}-\d{2}$"), iso).otherwise(bind(clean, split))
 
 
 def venue_default(c=None) -> Column:
@@ -66,6 +88,31 @@ def enrich(raw: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
     return df
 
 
+def dropped_rows(raw: DataFrame) -> DataFrame:
+    """One row: how many rows of ``raw`` each rule of :func:`enrich` drops, and how many it keeps.
+
+    A row that several rules drop counts for each of them.
+    """
+    df = normalize_headers(raw)
+    require_columns(df)
+    checks = {"sale_date": to_timestamp("sale_date"), "event_date": to_timestamp("event_date"),
+              "event_name": F.col("event_name"), "qty_sold": to_number("qty_sold")}
+    flags = df.select(*[c.isNull().alias(k) for k, c in checks.items()])
+    kept = F.lit(True)
+    for k in checks:
+        kept = kept & ~F.col(k)
+    return flags.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col(k)).alias(f"bad_{k}") for k in checks],
+                     F.count_if(kept).alias("n_kept"))
+
+
+def load_or_report(spark: SparkSession, path, cfg: PacingConfig = DEFAULT) -> tuple[DataFrame | None, str | None]:
+    """(fact, None), or (None, message) where the data can't be read or lacks required columns."""
+    try:
+        return load_sales(spark, path, cfg), None
+    except (AnalysisException, OSError, ValueError) as e:
+        return None, str(e)
+
+
 def load_sales(spark: SparkSession, path, cfg: PacingConfig = DEFAULT) -> DataFrame:
     """CSV file(s) or folder to the clean fact (S1 + R1)."""
     return enrich(read_csv_text(spark, path), cfg)

@@ -5,8 +5,10 @@ Each returns lazy DataFrames; nothing runs until an action on one of them.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PacingConfig
 from ..operators import compare as CMP
@@ -36,6 +38,32 @@ def derive_core(fact: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) ->
     }
 
 
+def core_long(tables: dict[str, DataFrame], order_key: list[str]) -> DataFrame:
+    """The derived tables in one long form (tbl, key, measure, value).
+
+    ``key`` joins the row's key columns with ``|``, an absent one as an empty text.
+    """
+    keys = {"base": order_key, "event_pacing": ["event_instance", "d_bin"],
+            "cohort_library": ["tier", "event_type", "weekday", "venue", "d_bin"], "global_pacing_curve": ["d_bin"],
+            "avg_tickets": ["window", "event_type"], "category_share_pre": ["event_type"],
+            "category_share_post": ["event_type"], "events_pre_post": ["event_name"],
+            "dows_heatmap": ["weekday", "lead_bucket"]}
+    values = {"base": ["days_out", "d_bin"], "event_pacing": ["cum_pct"],
+              "cohort_library": ["median_cum_pct", "p25_cum_pct", "p75_cum_pct", "sample_size"],
+              "global_pacing_curve": ["median_cum_pct", "p25_cum_pct", "p75_cum_pct"], "avg_tickets": ["avg_tickets"],
+              "category_share_pre": ["share_ratio"], "category_share_post": ["share_ratio"],
+              "events_pre_post": ["qty_pre", "qty_post"], "dows_heatmap": ["share"]}
+    parts = []
+    for name, df in tables.items():
+        # Whole numbers as such, so keys don't depend on how an engine prints a double.
+        text = [F.coalesce((F.col(k).cast("bigint") if t in ("double", "float") else F.col(k)).cast("string"), F.lit(""))
+                for k in keys[name] for t in [dict(df.dtypes)[k]] if not (name == "base" and t == "double")]
+        pairs = F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("value")) for v in values[name]])
+        parts.append(df.select(F.lit(name).alias("tbl"), F.concat_ws("|", *text).alias("key"), F.explode(pairs).alias("m"))
+                     .select("tbl", "key", "m.*"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def booking_curves(fact: DataFrame, filtered: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT,
                    event_types=None, mode: str = "Global") -> dict[str, DataFrame]:
     """Historic baseline on the whole fact with its cohort (R3) and the current overlay

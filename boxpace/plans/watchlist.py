@@ -58,7 +58,7 @@ def sold_now(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> Data
 
 def score(resolved: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
     """Sold-so-far %, typical %, gap, status and label per event."""
-    final = F.greatest(F.col("baseline_final"), F.lit(1.0))
+    final = F.when(F.col("baseline_final").isNotNull(), F.greatest(F.col("baseline_final"), F.lit(1.0)))
     cum_now = clip(F.lit(100.0) * F.col("tickets_so_far") / final, 0.0, 100.0)
     gap = cum_now - F.col("median_at_d")
     return (resolved.withColumn("_cum_now", cum_now).withColumn("_gap", gap)
@@ -72,10 +72,6 @@ def score(resolved: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
                     cohort_label(F.col("tier"), F.col("n"), cfg).alias("cohort")))
 
 
-TABLE_COLS = ["event", "days_out", "sold_so_far_pct", "typical_at_day_pct", "gap_pp", "tickets_so_far", "status",
-              "cohort"]
-
-
 def watchlist(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> Watchlist:
     """Upcoming events ranked by how far they run behind their cohort (R2).
 

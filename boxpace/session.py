@@ -39,26 +39,25 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read here.
-    Where it is unset (local runs and tests) a fresh local folder is set.
+    On a cluster this setting points at storage all executors share and is only read
+    here; without it nothing is written and an error is raised. A master of one
+    machine's threads (``local[...]``, as in tests) gets a fresh local folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - remote session: only the SQL conf is reachable
-        sc = None
-    if not d and sc is not None:
+    sc = spark.sparkContext
+    if not d:
         d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="boxpace-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if sc is not None and sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(d)
     return d

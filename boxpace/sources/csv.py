@@ -1,8 +1,12 @@
 """CSV and file sources / sinks."""
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import CSV_NULL_TOKENS, REQUIRED_COLUMNS
 
@@ -40,39 +44,74 @@ def null_tokens(df: DataFrame, tokens=CSV_NULL_TOKENS) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv_text(spark: SparkSession, path, glob: str | None = "*.csv") -> DataFrame:
+# Bits of sale_seq that count the rows of one file (Spark's own row ids use as many per partition).
+ROW_BITS = 33
+
+
+def data_paths(spark: SparkSession, path, suffixes=(".csv",)) -> list[str]:
+    """Files to read, in path order: a named file whatever its suffix, a folder's files by suffix (any case).
+
+    One entry per file; file contents are not read.
+    """
+    out = []
+    for p in [path] if isinstance(path, str) else list(path):
+        files = [r["path"] for r in spark.read.format("binaryFile").load(p).select("path").collect()]
+        named = len(files) == 1 and files[0].rstrip("/").endswith(p.split(":", 1)[-1].rstrip("/"))
+        out += files if named else [f for f in files if f.lower().endswith(tuple(x.lower() for x in suffixes))]
+    return sorted(set(out))
+
+
+def read_csv_text(spark: SparkSession, path, suffixes=(".csv",)) -> DataFrame:
     """Header CSV scan with every column as text.
 
-    ``path`` may be a file, a directory (files matching ``glob``) or a list of
-    paths. Each row gets ``sale_seq``, a file-order key used to order sales
-    that tie on days_out.
+    ``path`` may be a file, a folder or a list of both. Quoted cells may hold line breaks.
+    Columns are matched by their normalised header, file by file: files with one layout
+    are read together, and layouts are united by name, so the order of columns may differ and a
+    file may lack some. Each row gets ``sale_seq``: the file's place in path order, then the
+    row's place in the file, whatever the sizes of files and the number of cores.
     """
-    reader = (spark.read.option("header", True).option("inferSchema", False)
-              .option("multiLine", False).option("escape", '"').option("mode", "PERMISSIVE"))
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = reader.csv(path)
-    df = null_tokens(df)
-    return df.withColumn("sale_seq", F.monotonically_increasing_id())
+    files = data_paths(spark, path, suffixes)
+    if not files:
+        raise FileNotFoundError(f"No data files at {path}")
+
+    def reader():
+        return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        layouts.setdefault(tuple(reader().csv(f).columns), []).append(f)
+    # One row per file.
+    ranks = spark.createDataFrame(list(enumerate(files)), "_rank long, _path string")
+    parts = []
+    for columns, group in layouts.items():
+        schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(columns))])
+        rows = reader().schema(schema).csv(group)
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+        rows = rows.select(*rows.columns, F.url_decode(F.col("_metadata.file_path")).alias("_file"), row.alias("_row"))
+        rows = rows.join(F.broadcast(ranks.withColumn("_path", F.url_decode("_path"))), F.col("_file") == F.col("_path"))
+        seq = F.shiftleft(F.col("_rank"), ROW_BITS) + F.col("_row")
+        named = rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], seq.alias("_seq"))
+        parts.append(normalize_headers(named).drop("sale_seq").withColumnRenamed("_seq", "sale_seq"))
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return null_tokens(df)
 
 
 def list_data_files(spark: SparkSession, data_dir: str, suffixes=(".csv",)) -> DataFrame:
-    """Files in a folder whose suffix matches (case-insensitive), sorted by path.
+    """Files in a folder whose suffix matches (case-insensitive), sorted by path; none for a missing folder.
 
     Lists through the binary-file source without reading file contents.
     """
-    suf = [s.lower() for s in suffixes]
-    df = spark.read.format("binaryFile").load(data_dir).select("path", "length", "modificationTime")
-    cond = None
-    for s in suf:
-        c = F.lower(F.col("path")).endswith(s)
-        cond = c if cond is None else (cond | c)
-    return df.where(cond).orderBy("path")
-
-
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Export with a header row and no index column."""
-    df.write.mode(mode).option("header", True).csv(path)
+    try:
+        df = spark.read.format("binaryFile").load(data_dir).select("path", "length", "modificationTime")
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, length long, modificationTime timestamp")
+    hit = reduce(lambda a, b: a | b, [F.lower(F.col("path")).endswith(x.lower()) for x in suffixes])
+    return df.where(hit).orderBy("path")
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Export with a header row and no index column, in the form :func:`read_csv_text` reads back."""
+    (df.write.mode(mode).option("header", True).option("escape", '"')
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
 
 
 def data_stamp(df: DataFrame) -> DataFrame:

@@ -45,3 +45,77 @@ def test_null_tokens(spark):
 def test_data_stamp(spark):
     r = S.data_stamp(T.fact(spark, "/root/testdata/sf0.001")).first()
     assert r["n_rows"] > 0 and r["sale_min"] <= r["sale_max"]
+
+
+def _write(folder, name, text):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w", newline="") as f:
+        f.write(text)
+
+
+def test_folder_with_other_column_order_and_multi_line_cells(spark):
+    d = tempfile.mkdtemp(prefix="boxpace-csv-")
+    _write(d, "1.csv", "Sale Date,Event Date,Event Name,Qty Sold,Amount\n2024-01-01,2024-02-01,A,2,70\n")
+    _write(d, "2.CSV", 'Event Name,Amount,Qty Sold,Event Date,Sale Date,Venue\n"B\nand C",35,1,2024-02-02,2024-01-02,"Hall ""X"""\n'
+           + "".join(f"D,{i},1,2024-02-03,2024-01-03,Y\n" for i in range(300)))
+    _write(d, "notes.txt", "not,data\n")
+    out = load_sales(spark, d).orderBy("sale_seq").collect()
+    assert [(r["event_name"], r["qty_sold"], r["amount"], r["venue"]) for r in out[:2]] == [
+        ("A", 2.0, 70.0, "Unknown"), ("B\nand C", 1.0, 35.0, 'Hall "X"')]
+    assert [r["amount"] for r in out[2:]] == [float(i) for i in range(300)]
+
+
+def test_named_file_of_any_suffix_and_missing_folder(spark):
+    from boxpace.plans.enrich import load_or_report
+    d = tempfile.mkdtemp(prefix="boxpace-csv-")
+    _write(d, "sales.txt", "sale_date,event_date,event_name,qty_sold\n2024-01-01,2024-02-01,A,2\n")
+    assert load_sales(spark, os.path.join(d, "sales.txt")).count() == 1
+    assert S.list_data_files(spark, os.path.join(d, "none")).count() == 0
+    for bad in (os.path.join(d, "none"), d):
+        fact, why = load_or_report(spark, bad)
+        assert fact is None and why
+    _write(d, "x.csv", "a,b\n1,2\n")
+    assert "Missing required columns" in load_or_report(spark, d)[1]
+
+
+def test_export_of_the_clean_fact_is_read_back(spark):
+    raw = T.raw_sales(spark, "/root/testdata/sf0.001")
+    fact = enrich(raw).withColumn("event_name", __import__("pyspark").sql.functions.concat_ws('"', "event_name", "venue"))
+    fact = enrich(fact.drop("event_type", "event_label", "event_instance", "weekday"))
+    out = os.path.join(tempfile.mkdtemp(prefix="boxpace-csv-"), "x")
+    S.write_csv(fact, out)
+    back = load_sales(spark, out)
+    cols = ["sale_date", "event_date", "event_name", "qty_sold", "amount", "venue", "event_label", "event_instance"]
+    assert sorted(map(repr, back.select(*cols).collect())) == sorted(map(repr, fact.select(*cols).collect()))
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        S.write_csv(fact, out)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("2024-01-05", "2024-01-05 00:00:00"), ("2024-01-05T19:30:00", "2024-01-05 19:30:00"), ("1/5/2024", "2024-01-05 00:00:00"),
+    ("2024-01-05 19:30:00.250", "2024-01-05 19:30:00.250000"), ("Jan 5, 2024", "2024-01-05 00:00:00"),
+    ("01/05/2024 07:30 PM", "2024-01-05 19:30:00"), ("2024-01-05T19:30:00Z", "2024-01-05 19:30:00"),
+    ("2024-01-05 19:30:00+02:00", "2024-01-05 19:30:00"), ("5 January 2024", "2024-01-05 00:00:00"), ("25/12/2023", "2023-12-25 00:00:00"),
+    ("01/05/2024 12:05 am", "2024-01-05 00:05:00"), ("20240105", "2024-01-05 00:00:00"), ("2024-1-5 9:03", "2024-01-05 09:03:00"),
+    ("\u00a02024-01-05\t", "2024-01-05 00:00:00"), ("2024-02-30", None), ("not a date", None), ("2024-01-05 25:00", None),
+    ("", None), (None, None), ("12d", None)])
+def test_dates(spark, text, want):
+    from boxpace.plans.enrich import to_timestamp
+    got = spark.createDataFrame([(text,)], "t string").select(to_timestamp("t").alias("x")).first()["x"]
+    assert (str(got) if got else None) == want
+
+
+def test_numbers_and_trim(spark):
+    from pyspark.sql import functions as F
+
+    from boxpace.functions.classify import strip
+    from boxpace.plans.enrich import dropped_rows, to_number, venue_default
+    texts = ["12", " 12.5 ", "-3", "1e3", ".5", "12d", "0x1F", "NaN", "1_000", "", None]
+    got = [r["x"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(to_number("t").alias("x")).collect()]
+    assert got == [12.0, 12.5, -3.0, 1000.0, 0.5, None, None, None, None, None, None]
+    one = spark.createDataFrame([("Show\u00a0", "\u00a0")], "n string, v string")
+    assert tuple(one.select(strip("n"), venue_default("v")).first()) == ("Show", "Unknown")
+    raw = spark.createDataFrame([("2024-01-01", "x", "A", "1"), ("2024-01-01", "2024-01-02", "A", "12d"),
+                                 ("2024-01-01", "2024-01-02", "A", "2")], "sale_date string, event_date string, event_name string, qty_sold string")
+    assert dropped_rows(raw).first().asDict() == {"n_rows": 3, "bad_sale_date": 0, "bad_event_date": 1, "bad_event_name": 0,
+                                                  "bad_qty_sold": 1, "n_kept": 1}

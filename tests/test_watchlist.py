@@ -93,3 +93,55 @@ def test_prefix_sum_splits_hot_key(spark):
     parts = (df.repartitionByRange(16, "key", "pos").where(F.col("key") == "hot")
              .select(F.spark_partition_id().alias("p")).distinct().count())
     assert parts > 1
+
+
+def _running(rows):
+    """pandas' rules: NULL qty adds nothing and has no sum, a NULL key has neither sum."""
+    by, out = {}, []
+    for k, lead, t, seq, q in sorted(rows, key=lambda r: (str(r[0]), -r[1], r[2], r[3])):
+        if k is None or q is None:
+            out.append((seq, None))
+        else:
+            by[k] = by.get(k, 0.0) + q
+            out.append((seq, by[k]))
+    peak = {}
+    for (k, *_, seq, q), (s2, c) in zip(sorted(rows, key=lambda r: (str(r[0]), -r[1], r[2], r[3])), out):
+        if c is not None:
+            peak[k] = max(peak.get(k, c), c)
+    keys = {r[3]: r[0] for r in rows}
+    return {s: (c, peak.get(keys[s])) for s, c in out}
+
+
+@pytest.mark.parametrize("plan", ["window", "range"])
+def test_running_sums_of_a_hot_day_with_nulls(spark, plan):
+    """One key holds most rows, nearly all in one second; every plan gives pandas' sums."""
+    import random
+
+    from boxpace.operators import cumulate
+    rnd, rows = random.Random(4), []
+    for seq in range(900):
+        hot = seq % 3 < 2
+        lead = 7 if hot else rnd.randint(0, 9)
+        t = dt.datetime(2020, 1, 1, 10, 0, 0 if seq % 5 else rnd.randint(0, 59))
+        key = "hot" if hot else rnd.choice(["a", "b", None])
+        rows.append((key, lead, t, seq, None if seq % 11 == 0 else float(rnd.randint(-3, 6))))
+    rows += [("none", 1, dt.datetime(2020, 1, 1), 900 + i, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "name string, days_out int, sale_date timestamp_ntz, k long, qty_sold double").repartition(6)
+    out = cumulate.running_share(df, "name", CFG.with_(running_sum=plan)).collect()
+    assert {r["k"]: (r["cum_qty"], r["final_qty"]) for r in out} == _running(rows)
+
+
+def test_refunds_only_have_no_percentage(spark):
+    from boxpace.operators.cumulate import running_share
+    rows = [("r", 5, dt.datetime(2020, 1, 1), 1, -2.0), ("r", 4, dt.datetime(2020, 1, 2), 2, -1.0)]
+    df = spark.createDataFrame(rows, "name string, days_out int, sale_date timestamp_ntz, k long, qty_sold double")
+    assert [r["p"] for r in running_share(df, "name", CFG, pct_col="p", positive_final=True).collect()] == [None, None]
+    assert sorted(r["p"] for r in running_share(df, "name", CFG, pct_col="p").collect()) == [100.0, 150.0]
+
+
+def test_an_absent_order_key_is_an_error(spark):
+    import pytest
+
+    from boxpace.operators.prep import order_columns
+    with pytest.raises(ValueError, match="no_such"):
+        order_columns(spark.range(1), PacingConfig(order_key=("no_such",)))
