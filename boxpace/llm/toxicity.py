@@ -22,12 +22,16 @@ MIN_DF = 3
 
 
 def fit_fm(rows, factors: int = FACTORS, epochs: int = 8, batch: int = 32, rate: float = 0.5, l1: float = 6.0,
-           l2: float = 0.1, min_df: int = MIN_DF, seed: int = 7) -> bytes:
+           l2: float = 0.1, min_df: int = MIN_DF, seed: int = 7, l1_pairs: float = 8.0, l2_pairs: float = 1.0,
+           noise: float = 1.0, start: float = 0.01) -> bytes:
     """A machine fitted to [(0 or 1, hashed terms)] on mini-batches.
 
     Weights follow the regularised leader with an L1 term: a term keeps a weight of 0 unless
-    it tells the labels apart, so long texts gather no noise. Vectors are learned for terms with a
-    weight, by AdaGrad. The bias starts below the base rate, so that terms have to raise a score.
+    it tells the labels apart, so long texts gather no noise. Vectors are learned for all terms, with or without
+    a weight, the same way: each has a small random start, which it leaves when its gradients add up to more than
+    ``l1_pairs`` (given for MAX_TRAIN_ROWS rows, it shrinks with the square root of the rows) and ``noise`` times the
+    root of their sum of squares, what signs at random would give; one that never does is 0 in the
+    model. The bias starts below the base rate, so that terms have to raise a score.
     Without rows the machine knows a
     low base rate only.
     """
@@ -36,16 +40,16 @@ def fit_fm(rows, factors: int = FACTORS, epochs: int = 8, batch: int = 32, rate:
     rng = np.random.default_rng(seed)
     base = (y.sum() + 0.1) / (len(y) + 1.0)
     w0, g0 = float(np.log(base / (1 - base))) - 3.0 * (len(y) > 0), 1.0
+    l1_pairs *= np.sqrt(min(1.0, len(y) / MAX_TRAIN_ROWS))
     w, z, n = np.zeros(len(terms)), np.zeros(len(terms)), np.zeros(len(terms))
-    v, gv = rng.normal(0, 0.05, (len(terms), factors)), np.full((len(terms), factors), 1.0)
+    v0 = rng.normal(0, start, (len(terms), factors))
+    v, zv, nv = v0.copy(), np.zeros(v0.shape), np.zeros(v0.shape)
     for _ in range(epochs):
         for rows_now in batches_of(len(y), batch, rng):
             i, owner = gather(index, starts, rows_now)
-            m, used = len(rows_now), w[i] != 0
-            vi = v[i[used]]
-            own = owner[used]
-            s = np.stack([np.bincount(own, vi[:, f], m) for f in range(factors)], axis=1)
-            q = np.bincount(own, (vi ** 2).sum(axis=1), m)
+            m, vi = len(rows_now), v[i]
+            s = np.stack([np.bincount(owner, vi[:, f], m) for f in range(factors)], axis=1)
+            q = np.bincount(owner, (vi ** 2).sum(axis=1), m)
             out = w0 + np.bincount(owner, w[i], m) + 0.5 * ((s ** 2).sum(axis=1) - q)
             e = 1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[rows_now]
             u, inv = np.unique(i, return_inverse=True)
@@ -54,16 +58,20 @@ def fit_fm(rows, factors: int = FACTORS, epochs: int = 8, batch: int = 32, rate:
             z[u] += dw - step * w[u]
             n[u] += dw ** 2
             w[u] = np.where(np.abs(z[u]) <= l1, 0.0, -(z[u] - np.sign(z[u]) * l1) / ((1 + np.sqrt(n[u])) / rate + l2))
-            part = e[own][:, None] * (s[own] - vi)
-            dv = np.zeros((len(u), factors))
-            np.add.at(dv, inv[used], part)
-            dv += 0.01 * v[u] * (w[u] != 0)[:, None]
-            gv[u] += dv ** 2
-            v[u] -= 0.1 * dv / np.sqrt(gv[u])
             d0 = e.sum()
             g0 += d0 ** 2
             w0 -= 0.2 * d0 / np.sqrt(g0)
-    keep = w != 0
+            part = e[owner][:, None] * (s[owner] - vi)
+            dv = np.stack([np.bincount(inv, part[:, f], len(u)) for f in range(factors)], axis=1)
+            step = (np.sqrt(nv[u] + dv ** 2) - np.sqrt(nv[u])) / rate
+            zv[u] += dv - step * (v[u] - v0[u])
+            nv[u] += dv ** 2
+            norm = np.sqrt((zv[u] ** 2).sum(axis=1))[:, None]
+            limit = l1_pairs + noise * np.sqrt(nv[u].sum(axis=1))[:, None]
+            past = np.maximum(0.0, 1 - limit / np.maximum(norm, 1e-12))
+            v[u] = v0[u] - past * zv[u] / ((1 + np.sqrt(nv[u])) / rate + l2_pairs)
+    v[np.sqrt((zv ** 2).sum(axis=1)) <= l1_pairs + noise * np.sqrt(nv.sum(axis=1))] = 0.0
+    keep = (w != 0) | v.any(axis=1)
     return dump(terms=terms[keep], w0=np.array([w0]), w=w[keep].astype(np.float32), v=v[keep].astype(np.float32))
 
 

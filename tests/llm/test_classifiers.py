@@ -34,6 +34,28 @@ def test_machine_learns_pairs():
     assert loss(full) < loss(flat)
 
 
+def test_pairs_are_learned_with_the_registered_parameters():
+    """Two words put into the tables' texts, clean alone and toxic together; both draws of them count."""
+    import pandas as pd
+    docs, labels = (pd.read_parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = docs[["doc_id", "text"]].merge(labels[labels.toxic.notna()], on="doc_id")
+    terms = [(held(i), int(y), hashed.term_hashes(hashed.word_terms(t or ""))) for i, y, t in zip(known.doc_id, known.toxic, known.text)]
+    pair = np.sort(hashed.term_hashes(["zzinsult", "zzgroup"]))
+    clean = [t for out, y, t in terms if out and not y][:800]
+    both, one = [], []
+    for seed in (1, 2):
+        rng, rows = np.random.default_rng(seed), []
+        for out, y, t in terms:
+            if not out:
+                has = rng.random(2) < 0.16
+                rows.append((int(y or has.all()), np.union1d(t, pair[has])))
+        model = hashed.load(toxicity.fit_fm(rows))
+        both += [toxicity.score_terms(model, np.union1d(t, pair)) >= 0.3 for t in clean]
+        one += [toxicity.score_terms(model, np.union1d(t, pair[k:k + 1])) >= 0.3 for t in clean for k in (0, 1)]
+    assert np.mean(both) > 0.5
+    assert np.mean(one) < 0.03
+
+
 def test_thresholds_are_ordered_and_tails_fall():
     rng = random.Random(2)
     rows = []
