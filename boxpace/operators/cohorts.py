@@ -84,7 +84,7 @@ def cohort_library(rows: DataFrame, cfg: PacingConfig = DEFAULT, pct: str = "his
                  .agg(F.max(final).alias("_final"), F.count(F.lit(1)).alias("_rows")))
     fin = F.percentile(F.col("_final"), F.lit(0.5), F.col("_rows"))
     finals = per_event.groupBy("tier_rank", "tier", *keys).agg(fin.alias("median_final"),
-                                                               F.count(F.lit(1)).alias("n_events"))
+                                                               F.count_distinct(F.col(event)).alias("n_events"))
     return medians, finals
 
 

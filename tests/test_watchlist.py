@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxpace.config import PacingConfig
-from boxpace.operators.cohorts import resolve_cohorts
+from boxpace.operators.cohorts import cohort_library, resolve_cohorts, tier_keys
 from boxpace.operators.cumulate import running_share
 from boxpace.plans import watchlist as W
 from boxpace.sources import tables as T
@@ -145,3 +145,13 @@ def test_an_absent_order_key_is_an_error(spark):
     from boxpace.operators.prep import order_columns
     with pytest.raises(ValueError, match="no_such"):
         order_columns(spark.range(1), PacingConfig(order_key=("no_such",)))
+
+
+@pytest.mark.parametrize("mode", ["direct", "banded"])
+def test_library_counts_no_event_without_a_name(spark, mode):
+    rows = [("A", 10, 50.0, 4.0), ("A", 20, 30.0, 4.0), ("B", 10, 40.0, 6.0), (None, 10, 60.0, 8.0)]
+    df = spark.createDataFrame(rows, "event_name string, d_bin int, hist_cum_pct double, final_qty double")
+    df = df.select("*", *[F.lit("x").alias(k) for k in tier_keys()])
+    _, finals = cohort_library(df, PacingConfig(quantile_mode=mode))
+    got = finals.select("n_events", "median_final").distinct().collect()
+    assert [tuple(r) for r in got] == [(2, 5.0)]
