@@ -12,6 +12,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
+TOKENIZER_FILE = "byte_bpe_50k.json"
 # Fixed values of the url contract: (host, path, verdict).
 URL_RULES = (
     ("com", "/", "allow"),
@@ -109,6 +110,37 @@ def op10_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+@query
+def op11_centroids(spark, sf_dir):
+    """Cluster, squared distance and inertia of every usable vector after ten rounds around eight centroids."""
+    from .centroids import cluster
+    out = cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+    digest = sha256_hex(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","))
+    return out.withColumn("centroid_sha256", digest).drop("centroid")
+
+
+@query
+def op12_packing(spark, sf_dir):
+    """Place of every piece of every document in sequences of at most 2,048 tokens, balanced by attention cost."""
+    import public_tokenizers as P
+
+    from .packing import pack
+    pieces = pack(table(spark, sf_dir, "documents"), P.path(TOKENIZER_FILE), P.PATTERN, end_id=1, max_tokens=2048)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op13_periodic(spark, sf_dir):
+    """Count, greatest run and digests of the periodic runs of every document, and of the text without repeats."""
+    from .periodic import periodic_runs, plant_runs
+    out = periodic_runs(plant_runs(table(spark, sf_dir, "documents")), min_words=24, min_repeats=3)
+    rows = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    listing = F.array_join(F.transform(rows, lambda r: F.concat(r, F.lit("\n"))), "")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                      sha256_hex(listing).alias("runs_sha256"), sha256_hex(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 LLM_ORACLES["op2_url_filter"] = r"""
@@ -172,3 +204,33 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
        sha256(t) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY t)"""
+
+
+def _centroid_sql(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Every round spelled out as two table expressions: the nearest centroid of each vector, the floors of the means."""
+    near = """n{r} AS MATERIALIZED (
+  SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT rid, c, CAST(list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+        FROM v, c{r}) GROUP BY rid)"""
+    move = """c{s} AS MATERIALIZED (
+  SELECT c{r}.c, coalesce(means.m, c{r}.m) AS m FROM c{r} LEFT JOIN (
+    SELECT c, list(f ORDER BY i) AS m FROM (
+      SELECT c, i, CAST((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS f
+      FROM (SELECT n{r}.c, unnest(range(1, {last})) AS i, unnest(v.x) AS e FROM n{r} JOIN v USING (rid)) GROUP BY c, i)
+    GROUP BY c) means ON c{r}.c = means.c)"""
+    steps = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims})""",
+             f"""c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256(concat('{seed}:', vec_id)), x) - 1 AS INTEGER) AS c, x AS m FROM v
+  ORDER BY c LIMIT {k})"""]
+    for r in range(rounds):
+        steps += [near.format(r=r), move.format(r=r, s=r + 1, last=dims + 1)]
+    steps.append(near.format(r=rounds))
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT v.vec_id, n.c AS cluster, n.d AS distance, CAST(sum(n.d) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(n.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z.m, ',')) AS centroid_sha256
+FROM n{rounds} n JOIN v USING (rid) JOIN c{rounds} z ON z.c = n.c"""
+
+
+LLM_ORACLES["op11_centroids"] = _centroid_sql()
