@@ -14,58 +14,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .bpe import safe_pieces
+from .bpe import encode_text, safe_pieces
 from .common import texts
 
 GROUP_TOKENS = 1 << 20
 MAX_TOKENIZER_BYTES = 64 << 20
-MEMO_WORDS = 1 << 18
-MEMO_CHARS = 32
-# Letters, digits, marks and ideographs whose classes have not changed between versions of Unicode; other texts are
-# split by the tokenizer itself.
+# Letters, digits, marks and ideographs whose classes have not changed between versions of Unicode.
 SETTLED = r"[\t-\r -~¡-ɏА-я‐-‧‰-›ぁ-んァ-ヶ一-龥가-힣]*"
 
 
-class WordEncoder:
-    """Ids of texts by a byte-level BPE tokenizer of the tokenizers library, each distinct word encoded once.
+def byte_ranks(data: bytes) -> dict[bytes, int]:
+    """Token bytes and ids of a byte-level BPE file whose merges stand in the order of their tokens' ids.
 
-    The pattern splits a text into words and the tokenizer never merges across them, so the ids of a text
-    are its words' ids in order. Strings that look like special tokens are ordinary text.
+    The file writes a byte as the printable character of that number, or as the next one from U+0100 on.
+    """
+    import json
+    model = json.loads(data)["model"]
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte = {chr(b): b for b in printable}
+    byte |= {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
+    vocab = {t: i for t, i in model["vocab"].items() if all(c in byte for c in t)}
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(merged) or len(ranks) != len(merged) + 256:
+        raise ValueError("the merges are not in the order of the ids")
+    return ranks
+
+
+class Encoder:
+    """Ids of texts as the tokenizers library gives them for a byte-level BPE file, special strings as ordinary text.
+
+    Texts of settled characters go through tiktoken with the same file's tokens, which gives the same ids in a
+    fraction of the time; the two libraries know different versions of Unicode, so other texts go through
+    tokenizers itself. Long texts are cut at safe boundaries.
     """
 
     def __init__(self, data: bytes, pattern: str):
-        import os
-
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_buffer(data)
-        self.tokenizer.encode_special_tokens = True
+        self.exact = Tokenizer.from_buffer(data)
+        self.exact.encode_special_tokens = True
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=byte_ranks(data), special_tokens={})
         self.settled = regex.compile(SETTLED)
-        self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.memo: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        import numpy as np
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for piece, _ in safe_pieces(text):
-            if not self.settled.fullmatch(piece):
-                out.append(self.whole(piece))
-                continue
-            for word in self.words.findall(piece):
-                ids = self.memo.get(word)
-                if ids is None:
-                    ids = self.whole(word)
-                    if len(word) <= MEMO_CHARS:
-                        if len(self.memo) >= MEMO_WORDS:
-                            self.memo.clear()
-                        self.memo[word] = ids
-                out.append(ids)
-        return b"".join(out)
+        import numpy as np
+        if self.settled.fullmatch(text):
+            return encode_text(self.fast, text).tobytes()
+        ids = [i for piece, _ in safe_pieces(text) for i in self.exact.encode(piece, add_special_tokens=False).ids]
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 def room_for(tokens: int, max_tokens: int) -> list[int]:
@@ -137,7 +136,7 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, ma
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        encoder = WordEncoder(sent.value, pattern)
+        encoder = Encoder(sent.value, pattern)
         # Each task numbers its own sequences.
         ids, blobs, held, number = [], [], 0, TaskContext.get().partitionId() << 40
 

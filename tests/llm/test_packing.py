@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from boxpace.llm.packing import WordEncoder, assign, pack, room_for
+from boxpace.llm.packing import Encoder, assign, byte_ranks, pack, room_for
 
 FILE = P.path("byte_bpe_50k.json")
 
@@ -28,7 +28,7 @@ def plain():
 @pytest.fixture(scope="module")
 def encoder():
     with open(FILE, "rb") as f:
-        return WordEncoder(f.read(), P.PATTERN)
+        return Encoder(f.read(), P.PATTERN)
 
 
 def as_ids(blob):
@@ -38,7 +38,7 @@ def as_ids(blob):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from(list("aé'srtedvmlЯ中3½ \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 ​　.!<|>ǅⅧ²\U0001f600́͸ß"))
                | st.characters(codec="utf-8"), max_size=40))
-def test_words_have_the_ids_of_the_whole_text(encoder, plain, text):
+def test_ids_equal_the_tokenizers_library(encoder, plain, text):
     assert as_ids(encoder.encode(text)) == plain(text)
 
 
@@ -47,6 +47,20 @@ def test_special_and_long_texts(encoder, plain, text):
     assert as_ids(encoder.encode(text)) == plain(text)
 
 
+def test_ranks_are_those_of_the_rank_file():
+    import base64
+    with open(FILE, "rb") as f, open(P.path("byte_bpe_50k.tiktoken"), "rb") as g:
+        assert byte_ranks(f.read()) == {base64.b64decode(a): int(b) for a, b in map(bytes.split, g)}
+
+
+def test_settled_letters_and_digits_are_split_alike(encoder, plain):
+    import re
+    from boxpace.llm.packing import SETTLED
+    ok = [c for c in map(chr, [*range(0x3000), *range(0x3000, 0x3200), *range(0x4E00, 0xD7A4, 7)]) if re.fullmatch(SETTLED, c)]
+    text = "".join(f"{c}a{c}1 {c}{c}.{c}" for c in ok)
+    assert len(ok) > 1000 and as_ids(encoder.encode(text)) == plain(text)
+
+
 def test_room_is_full_sequences_and_powers_of_two():
     for n in (0, 1, 7, 2047, 2048, 2049, 10_000):
         sizes = room_for(n, 2048)
