@@ -390,11 +390,10 @@ def _p20(spark, d):
 @query("u7_allocation")
 def _u7(spark, d):
     """Each event's ticket total split over its sales in proportion to the amount (cents)."""
-    f = T.fact(spark, d).withColumn("cents", F.round(F.col("amount") * 100).cast("bigint"))
-    totals = f.groupBy("event_name", "event_date").agg(F.sum("qty_sold").cast("bigint").alias("event_total"))
-    f = f.join(totals, ["event_name", "event_date"])
-    out = allocate(f, ["event_name", "event_date"], "cents", "event_total", list(T.FIXTURE_ORDER_KEY))
-    return out.select(*T.FIXTURE_ORDER_KEY, "event_name", "event_date", "event_total", "cents", "alloc")
+    f = T.fact(spark, d).select(*T.FIXTURE_ORDER_KEY, "event_name", "event_date", "qty_sold",
+                                F.round(F.col("amount") * 100).cast("bigint").alias("cents"))
+    out = allocate(f, ["event_name", "event_date"], "cents", None, list(T.FIXTURE_ORDER_KEY), total_of="qty_sold")
+    return out.select(*T.FIXTURE_ORDER_KEY, "event_name", "event_date", F.col("qty_sold_sum").alias("event_total"), "cents", "alloc")
 
 
 # --- lead days, buckets, slices, periods --------------------------------------

@@ -179,21 +179,10 @@ class PacingConfig:
     # Columns that fix the order of sales with equal days_out (running sums
     # depend on it). A missing column is an error; sale_date always comes first.
     order_key: tuple[str, ...] = ("sale_seq",)
-    # Running sums per event: "range" (range-partitioned prefix sums, a hot
-    # event spreads over many tasks), "window" (one window partition per key),
-    # or "auto": window only when the plan's inputs are below small_input_bytes.
-    # Results are the same.
-    running_sum: str = "auto"
+    # Sales of one minute are summed in stretches of this many values of the first order column.
+    order_span: int = 1 << 20
     # Exact quantiles by default; a positive value switches to percentile_approx.
     approx_accuracy: int = 0
-    # Exact quantile plan: "banded" (bounded memory per group), "direct"
-    # (Spark's percentile aggregate, one buffer of all values per group), or
-    # "auto": direct only when the plan's inputs are below small_input_bytes.
-    # Results are the same.
-    quantile_mode: str = "auto"
-    # Inputs up to this size (optimizer estimate of the scanned data) cannot
-    # hold a group too large for one task, so the single-pass plans are used.
-    small_input_bytes: int = 256 * 1024 * 1024
     category_map: tuple[tuple[str, str], ...] = CATEGORY_MAP
     series_lookup: tuple[tuple[str, str], ...] = SERIES_LOOKUP
     keyword_types: tuple[tuple[str, str], ...] = KEYWORD_TYPE_MAP

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, TIER_LABELS, PacingConfig, tier_name
-from .quantiles import group_quantiles
+from .quantiles import group_quantiles, null_safe_join
 
 
 def tier_keys(cfg: PacingConfig = DEFAULT) -> list[str]:
@@ -57,124 +57,142 @@ def explode_tiers(df: DataFrame, cfg: PacingConfig = DEFAULT, ranks: list[int] |
               .select(*rest, "_t.*"))
 
 
+def library_base(rows: DataFrame, cfg: PacingConfig = DEFAULT, pct: str = "hist_cum_pct", final: str = "final_qty",
+                 event: str = "event_name") -> DataFrame:
+    """(event, keys, d_bin, pct, final, n_rows): equal rows counted, the one shuffle every figure of the library uses."""
+    keys = tier_keys(cfg)
+    return (rows.groupBy(F.col(event).alias("event"), *keys, "d_bin", F.col(pct).alias("pct"), F.col(final).alias("final"))
+            .agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def cohort_figures(base: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
+    """Per tier and keys: (tier_rank, tier, keys..., at_bin, d_bin, median, n).
+
+    With ``at_bin`` the row is about one ``d_bin``: the median of pct over the sale rows and the distinct events there.
+    Without, it is about all bins: the median of the events' finals over the sale rows (a long event weighs more, as
+    in the source) and the distinct events. Both medians are one selection over (value, row count) pairs; a final, constant per
+    event, has one pair per event and keys.
+    """
+    keys = tier_keys(cfg)
+    group = ["tier_rank", *keys, "at_bin", "d_bin"]
+    # All three branches read base's own shuffle: each names its count and its grouping columns only.
+    at_bins = base.select(*keys, F.lit(True).alias("at_bin"), "d_bin", F.col("pct").alias("value"), "n_rows")
+    finals = (base.groupBy("event", *keys, "final").agg(F.sum("n_rows").alias("n_rows"))
+              .select(*keys, F.lit(False).alias("at_bin"), F.lit(None).cast("int").alias("d_bin"), F.col("final").alias("value"), "n_rows"))
+    tiered = explode_tiers(at_bins.unionByName(finals), cfg).drop("tier")
+    medians = group_quantiles(tiered, group, "value", {"median": 0.5}, cfg, weight="n_rows")
+    # Distinct events: a row per event, keys and bin, then per cohort.
+    seen = base.where(F.col("n_rows") > 0).groupBy("event", *keys, "d_bin").agg(F.lit(1).alias("_one"))
+    bins = F.array(F.struct(F.lit(True).alias("at_bin"), F.col("d_bin")),
+                   F.struct(F.lit(False).alias("at_bin"), F.lit(None).cast("int").alias("d_bin")))
+    events = explode_tiers(seen.select("event", *keys, F.explode(bins).alias("_b")).select("event", *keys, "_b.*"), cfg)
+    events = events.groupBy(*group, "event").agg(F.lit(1).alias("_one")).groupBy(*group).agg(F.count("event").alias("n"))
+    names = F.array(*[F.lit(tier_name(t)) for t in cfg.tiers])
+    return null_safe_join(medians, events, group).withColumn("tier", F.element_at(names, F.col("tier_rank") + 1))
+
+
 def cohort_library(rows: DataFrame, cfg: PacingConfig = DEFAULT, pct: str = "hist_cum_pct",
                    final: str = "final_qty", event: str = "event_name") -> tuple[DataFrame, DataFrame]:
     """Medians and finals by tier.
 
-    medians: (tier_rank, tier, keys..., d_bin, median_pct, n) with n the
-    distinct events at the bin; finals: (tier_rank, tier, keys...,
-    median_final, n_events). Both medians are over sale rows, as the source
-    computes them (a long event weighs more). For small inputs the final,
-    constant per event, is collapsed to (cohort, event, row count) with
-    map-side combining and a frequency-weighted percentile gives the same
-    exact value from one row per event; large inputs take the banded exact
-    median over the rows, so no cohort's events sit in one buffer.
+    medians: (tier_rank, tier, keys..., d_bin, median_pct, n) with n the distinct events at the bin; finals:
+    (tier_rank, tier, keys..., median_final, n_events). Both medians are over sale rows (:func:`cohort_figures`).
     """
-    keys = tier_keys(cfg)
-    tiered = explode_tiers(rows.select(*keys, "d_bin", pct, final, event), cfg)
-    medians = group_quantiles(tiered, ["tier_rank", "tier", *keys, "d_bin"], pct, {"median_pct": 0.5},
-                              extra_aggs=[F.count_distinct(event).alias("n")], cfg=cfg)
-    from .sizing import use_scalable
-    if cfg.approx_accuracy or use_scalable(tiered, cfg.quantile_mode, cfg, "banded"):
-        # Large inputs: the banded exact median over the sale rows (no buffer of all events).
-        finals = group_quantiles(tiered, ["tier_rank", "tier", *keys], final, {"median_final": 0.5},
-                                 extra_aggs=[F.count_distinct(event).alias("n_events")], cfg=cfg)
-        return medians, finals
-    per_event = (tiered.groupBy("tier_rank", "tier", *keys, event)
-                 .agg(F.max(final).alias("_final"), F.count(F.lit(1)).alias("_rows")))
-    fin = F.percentile(F.col("_final"), F.lit(0.5), F.col("_rows"))
-    finals = per_event.groupBy("tier_rank", "tier", *keys).agg(fin.alias("median_final"),
-                                                               F.count_distinct(F.col(event)).alias("n_events"))
+    keys = ["tier_rank", "tier", *tier_keys(cfg)]
+    f = cohort_figures(library_base(rows, cfg, pct, final, event), cfg)
+    medians = f.where("at_bin").select(*keys, "d_bin", F.col("median").alias("median_pct"), "n")
+    finals = f.where(~F.col("at_bin")).select(*keys, F.col("median").alias("median_final"), F.col("n").alias("n_events"))
     return medians, finals
 
 
-def materialize_library(medians: DataFrame, finals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Write medians and finals in one job (one pass over the history) and read them back.
+def cohort_stats(pacing: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
+    """p25 / median / p75 of cum_pct and instances per tier and bin.
 
-    Both come from the same tier-expanded rows; as one union they share the
-    upstream shuffle. The written copy cuts the lineage, so a lost executor
-    does not recompute the history.
+    ``pacing`` has one row per (event_instance, d_bin), as :func:`curves.event_pacing` gives.
     """
-    both = (medians.withColumn("_kind", F.lit("m"))
-            .unionByName(finals.withColumn("_kind", F.lit("f")), allowMissingColumns=True)).checkpoint()
-    m = both.where(F.col("_kind") == "m").select(*medians.columns)
-    f = both.where(F.col("_kind") == "f").select(*finals.columns)
-    return m, f
+    keys = tier_keys(cfg)
+    tiered = explode_tiers(pacing.where(F.col("event_instance").isNotNull()).select(*keys, "d_bin", "cum_pct"), cfg)
+    return group_quantiles(tiered, ["tier_rank", "tier", *keys, "d_bin"], "cum_pct",
+                           {"median_cum_pct": 0.5, "p25_cum_pct": 0.25, "p75_cum_pct": 0.75}, cfg, n_rows="sample_size")
 
 
-def cohort_stats(pacing: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
-    """p25 / median / p75 of cum_pct and distinct instances per tier and bin."""
+def resolve_figures(events: DataFrame, figures: DataFrame, key_cols: list[str], cfg: PacingConfig) -> DataFrame:
+    """:func:`resolve_cohorts` on the combined ``figures`` (:func:`cohort_figures`), which are read once."""
     keys = tier_keys(cfg)
-    tiered = explode_tiers(pacing.select(*keys, "d_bin", "cum_pct", "event_instance"), cfg)
-    return group_quantiles(tiered, ["tier_rank", "tier", *keys, "d_bin"], "cum_pct",
-                           {"median_cum_pct": 0.5, "p25_cum_pct": 0.25, "p75_cum_pct": 0.75},
-                           extra_aggs=[F.count_distinct("event_instance").alias("sample_size")], cfg=cfg)
+    last, none = len(cfg.tiers) + 1, len(cfg.tiers) + 2  # ranks of the last resort and of the first final
+    # A cohort's final next to each of its medians.
+    cohort = Window.partitionBy("tier_rank", "tier", *keys)
+    f = figures.withColumn("_f", F.first(F.when(~F.col("at_bin"), F.struct("median", "n")), ignorenulls=True).over(cohort))
+    # Every row says what it stands for: its own cohort, the last resort of its bin (a median of medians), and the
+    # library's first final. Each becomes one candidate row.
+    place = F.struct("tier_rank", "tier", *[F.col(k) for k in keys])
+
+    def role(rank, masked, d_bin):
+        return F.struct(F.lit(rank).alias("_rank") if isinstance(rank, int) else rank.alias("_rank"),
+                        *[(F.lit(None).cast("string") if masked else F.col(k)).alias(f"_k_{k}") for k in keys], d_bin.alias("_bin"))
+    nowhere = F.lit(None).cast("int")
+    own = F.when(F.col("at_bin") & (F.col("n") >= cfg.min_cohort) & F.col("_f").isNotNull(), role(F.col("tier_rank"), False, F.col("d_bin")))
+    roles = F.array_compact(F.array(own, F.when(F.col("at_bin"), role(last, True, F.col("d_bin"))),
+                                    F.when(~F.col("at_bin"), role(none, True, nowhere))))
+    said = f.select(F.explode(roles).alias("_c"), place.alias("_place"), "median", "n", "_f").select("_c.*", "_place", "median", "n", "_f")
+    place_keys = ["_rank", *[f"_k_{k}" for k in keys], "_bin"]
+    # One value per cohort: an own cohort's median is its one value, the last resort the median of the cohorts' medians.
+    cand = said.groupBy(*[F.col(c).alias(f"_c{c}") for c in place_keys]).agg(F.struct(
+        F.first("_rank").alias("tier_rank"), F.percentile("median", F.lit(0.5)).alias("median_at_d"), F.sum("n").cast("long").alias("n"),
+        F.min_by("_f.median", "_place").cast("double").alias("baseline_final"), F.min_by("_f.n", "_place").cast("long").alias("n_final"),
+        F.min_by("median", "_place").cast("double").alias("first_final"), F.min_by("n", "_place").cast("long").alias("first_n")).alias("_cand"))
+
+    # Events ask for each of their tiers, for the last resort of their bin, and for the first final.
+    asks = []
+    for rank, tier in enumerate(cfg.tiers):
+        has = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in tier], F.lit(True))
+        asks.append(F.when(has, F.struct(F.lit(rank).alias("_rank"), *[
+            (F.col(k).cast("string") if k in tier else F.lit(None).cast("string")).alias(f"_k_{k}") for k in keys],
+            F.col("d_bin").cast("int").alias("_bin"))))
+    asks += [role(last, True, F.col("d_bin").cast("int")), role(none, True, nowhere)]
+    payload = [c for c in events.columns if c not in key_cols]
+    asked = events.select(*events.columns, F.explode(F.array_compact(F.array(*asks))).alias("_q"))
+    asked = asked.select(*events.columns, *[F.col(f"_q.{c}").alias(c) for c in place_keys])
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_c{c}")) for c in place_keys])
+    hit = asked.join(cand, match, "left")
+    rank, c = F.col("_rank"), F.col("_cand")
+    best = hit.groupBy(*key_cols).agg(
+        F.any_value(F.struct(*payload)).alias("_p") if payload else F.any_value(F.lit(1)).alias("_p"),
+        F.min_by(F.when(rank < last, c), F.when((rank < last) & c.isNotNull(), rank)).alias("_own"),
+        F.max(F.when(rank == last, c)).alias("_last"), F.max(F.when(rank == none, c)).alias("_none"))
+    own = F.col("_own").isNotNull()
+    tiers = F.element_at(F.array(*[F.lit(tier_name(t)) for t in cfg.tiers]), F.col("_own.tier_rank") + 1)
+
+    def pick(name, spare):
+        return F.when(own, F.col(f"_own.{name}")).otherwise(spare).alias(name)
+    no_bin = F.col("_last.n").isNull()
+    return best.select(
+        *key_cols, *[F.col(f"_p.{c}").alias(c) for c in payload],
+        pick("tier_rank", F.lit(last)), F.when(own, tiers).otherwise(F.lit("all")).alias("tier"),
+        pick("median_at_d", F.when(no_bin, F.lit(0.0)).otherwise(F.col("_last.median_at_d"))),
+        pick("n", F.coalesce(F.col("_last.n"), F.lit(0)).cast("long")),
+        pick("baseline_final", F.coalesce(F.col("_none.first_final"), F.lit(1.0))),
+        pick("n_final", F.coalesce(F.col("_none.first_n"), F.lit(0)).cast("long")))
 
 
 def resolve_cohorts(events: DataFrame, medians: DataFrame, finals: DataFrame, key_cols: list[str],
                     cfg: PacingConfig = DEFAULT) -> DataFrame:
     """Pick per event the most specific tier with n >= min_cohort at its bin.
 
-    ``events`` has one row per ``key_cols`` with the tier keys and ``d_bin``.
-    Candidates come from one equi-join of the tier-expanded events with the
-    eligible cohorts of the specific tiers (null-safe keys), a broadcast join
-    on d_bin for the global tier (at most one row per bin), and a last-resort
-    row for every event: the median of all cohort medians at the bin with the
-    sum of their n, and the finals of the first cohort in tier and key order
-    (0.0 / 0 / 1.0 when there is nothing). The best candidate per event is a
-    ``min_by`` on the tier rank; the event's other columns ride along in the
-    candidate struct, so nothing is joined back.
+    ``events`` has one row per ``key_cols`` with the tier keys and ``d_bin``. Candidates are the eligible cohorts of every
+    tier, a last resort per bin (the median of all cohort medians there with the sum of their n) and the finals of the
+    first cohort in tier and key order. Events ask for each of these by null-safe keys in one equi-join; the asked side of a
+    hot key, such as the global tier, is split by AQE if the candidates are too large to broadcast. Without any cohort the
+    median is 0.0, n and n_final 0 and the final 1.0. The event's other columns ride along.
 
     Adds tier, tier_rank, median_at_d, n, baseline_final, n_final.
     """
-    keys = tier_keys(cfg)
-    payload = [c for c in events.columns if c not in key_cols]
-    g = global_rank(cfg)
-    m = medians.alias("m")
-    f = finals.alias("f")
-    eligible = (m.join(f, (F.col("m.tier_rank") == F.col("f.tier_rank"))
-                       & reduce(lambda a, b: a & b, [F.col(f"m.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys],
-                                F.lit(True)))
-                .where(F.col("m.n") >= cfg.min_cohort)
-                .select(F.col("m.tier_rank").alias("tier_rank"), F.col("m.tier").alias("tier"),
-                        *[F.col(f"m.{k}").alias(k) for k in keys], F.col("m.d_bin").alias("d_bin"),
-                        F.col("m.median_pct").cast("double").alias("median_at_d"), F.col("m.n").cast("long").alias("n"),
-                        F.col("f.median_final").cast("double").alias("baseline_final"),
-                        F.col("f.n_events").cast("long").alias("n_final")))
-    cand_cols = ["tier_rank", "tier", "median_at_d", "n", "baseline_final", "n_final"]
-    out_cols = key_cols + payload
-    parts = []
-    specific = [i for i, t in enumerate(cfg.tiers) if t]
-    if specific:
-        ev_t = explode_tiers(events, cfg, ranks=specific, prefix="_k_").withColumnRenamed("tier_rank", "_er")
-        el = eligible.where(F.col("tier_rank").isin(specific)).alias("e")
-        cond = ((F.col("_er") == F.col("e.tier_rank")) & (F.col("_ev_bin") == F.col("e.d_bin"))
-                & reduce(lambda a, b: a & b, [F.col(f"_k_{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]))
-        j = ev_t.withColumn("_ev_bin", F.col("d_bin")).drop("tier").alias("v").join(el, cond)
-        parts.append(j.select(*[F.col(f"v.{c}") for c in out_cols], *[F.col(f"e.{c}") for c in cand_cols]))
-    if g is not None:
-        # One row per bin at most: the size of this side is bounded by the bin count.
-        gl = eligible.where(F.col("tier_rank") == g).select(F.col("d_bin").alias("_gbin"), *cand_cols)
-        parts.append(events.join(F.broadcast(gl), F.col("d_bin") == F.col("_gbin")).select(*out_cols, *cand_cols))
-    lr = group_quantiles(medians, ["d_bin"], "median_pct", {"lr_median": 0.5},
-                         extra_aggs=[F.sum("n").alias("lr_n")], cfg=cfg).withColumnRenamed("d_bin", "_lbin")
-    first_final = (finals.orderBy("tier_rank", *keys)
-                   .select(F.struct(F.col("median_final").cast("double").alias("f"),
-                                    F.col("n_events").cast("long").alias("ne")).alias("s"))
-                   .limit(1).scalar())
-    # Last resort: at most one row per bin on the broadcast side.
-    last = (events.join(F.broadcast(lr), F.col("d_bin") == F.col("_lbin"), "left")
-            .select(*out_cols,
-                    F.lit(len(cfg.tiers) + 1).alias("tier_rank"), F.lit("all").alias("tier"),
-                    F.when(F.col("lr_n").isNull(), F.lit(0.0)).otherwise(F.col("lr_median")).cast("double")
-                    .alias("median_at_d"),
-                    F.coalesce(F.col("lr_n"), F.lit(0)).cast("long").alias("n"),
-                    F.coalesce(first_final.getField("f"), F.lit(1.0)).alias("baseline_final"),
-                    F.coalesce(first_final.getField("ne"), F.lit(0)).cast("long").alias("n_final")))
-    parts.append(last)
-    union = reduce(lambda a, b: a.unionByName(b), [p.select(*out_cols, *cand_cols) for p in parts])
-    best = union.groupBy(*key_cols).agg(F.min_by(F.struct(*payload, *cand_cols), "tier_rank").alias("b"))
-    return best.select(*key_cols, *[F.col(f"b.{c}").alias(c) for c in payload + cand_cols])
+    keys = ["tier_rank", "tier", *tier_keys(cfg)]
+    figures = (medians.select(*keys, F.lit(True).alias("at_bin"), F.col("d_bin").cast("int").alias("d_bin"),
+                              F.col("median_pct").alias("median"), "n")
+               .unionByName(finals.select(*keys, F.lit(False).alias("at_bin"), F.lit(None).cast("int").alias("d_bin"),
+                                          F.col("median_final").alias("median"), F.col("n_events").alias("n"))))
+    return resolve_figures(events, figures, key_cols, cfg)
 
 
 def cohort_label(tier: Column, n: Column, cfg: PacingConfig = DEFAULT) -> Column:

@@ -13,20 +13,19 @@ from .prep import lit_ts, periodize
 def category_share(df: DataFrame, group_col: str = "event_type", label: str = "event_type") -> DataFrame:
     """Share of qty per group, NULL group kept; a zero grand total gives 0 (A1).
 
-    The grand total is a window over the aggregated groups (one row per
-    group), not over the sales.
+    The grand total is one row over the same aggregate, read as a scalar; Spark runs the aggregate once.
     """
     g = df.groupBy(group_col).agg(F.coalesce(F.sum("qty_sold"), F.lit(0.0)).alias("qty_sold"))
-    total = F.sum("qty_sold").over(Window.partitionBy())
+    total = g.agg(F.sum("qty_sold")).scalar()
     return g.select(F.col(group_col).alias(label), safe_ratio(F.col("qty_sold"), total, 0.0).alias("share_ratio"))
 
 
 def average_tickets_per_event(df: DataFrame, label: str) -> DataFrame:
     """Total qty / distinct event instances per event type, NULL types dropped (A2)."""
-    g = (df.where(F.col("event_type").isNotNull()).groupBy("event_type")
+    g = (df.groupBy("event_type")
          .agg(F.coalesce(F.sum("qty_sold"), F.lit(0.0)).alias("total_qty"),
-              F.count_distinct("event_instance").alias("event_count")))
-    return (g.where(F.col("event_count") > 0)
+              F.count_distinct("event_instance").alias("event_count"), F.count("event_type").alias("_typed")))
+    return (g.where((F.col("event_count") > 0) & (F.col("_typed") > 0))
             .select("event_type", (F.col("total_qty") / F.col("event_count")).alias("avg_tickets"),
                     F.lit(label).alias("window")))
 
@@ -55,10 +54,10 @@ def events_common(df: DataFrame, cfg: PacingConfig = DEFAULT, top_n: int | None
     pre = F.col("sale_date") < lit_ts(cfg.pre_end)
     post = F.col("sale_date") >= lit_ts(cfg.post_start)
     q = F.coalesce(F.col("qty_sold"), F.lit(0.0))
-    g = (df.where(F.col("event_name").isNotNull()).groupBy("event_name")
+    g = (df.groupBy("event_name")
          .agg(F.sum(F.when(pre, q)).alias("qty_pre"), F.sum(F.when(post, q)).alias("qty_post"),
-              F.count_if(pre).alias("_npre"), F.count_if(post).alias("_npost")))
-    g = g.where((F.col("_npre") > 0) & (F.col("_npost") > 0))
+              F.count_if(pre).alias("_npre"), F.count_if(post).alias("_npost"), F.count("event_name").alias("_named")))
+    g = g.where((F.col("_npre") > 0) & (F.col("_npost") > 0) & (F.col("_named") > 0))
     return (g.orderBy((F.col("qty_pre") + F.col("qty_post")).desc(), F.col("event_name"))
             .limit(top_n).select("event_name", "qty_pre", "qty_post"))
 
@@ -109,13 +108,15 @@ def avg_tickets_by_type(df: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame
     conditional aggregates per type, so no type x period cross product is joined.
     """
     d = periodize(df, cfg)
-    has_type = None
-    if "event_type" in d.columns:
-        has_type = d.select(F.max(F.col("event_type").isNotNull())).scalar()
     et = F.col("event_type") if "event_type" in d.columns else None
     ep = F.col("event_part") if "event_part" in d.columns else None
-    d = d.withColumn("etype", label_event_type(et, ep, has_type if has_type is not None else F.lit(False)))
-    ev = d.where(F.col("event_name").isNotNull()).groupBy("etype", "period", "event_name", "event_date").agg(F.sum("qty_sold").alias("tickets_event"))
+    # Whether any row has a type is known only after all are read: the sums carry both labels and the flag.
+    typed = F.max(et.isNotNull()) if et is not None else F.max(F.lit(False))
+    d = d.withColumns({"_with": label_event_type(et, ep, F.lit(True)), "_without": label_event_type(et, ep, F.lit(False))})
+    ev = d.where(F.col("event_name").isNotNull()).groupBy("_with", "_without", "period", "event_name", "event_date").agg(
+        F.sum("qty_sold").alias("tickets_event"), typed.alias("_typed"))
+    has_type = ev.agg(F.struct(F.max("_typed").alias("t"), F.count("tickets_event").alias("n")).alias("s")).scalar()
+    ev = ev.where(F.col("_typed").isNotNull()).withColumn("etype", F.when(has_type.getField("t"), F.col("_with")).otherwise(F.col("_without")))
     per = F.col("period")
     g = ev.groupBy("etype").agg(
         *[x for lab in (PRE_LABEL, POST_LABEL) for x in (
@@ -150,5 +151,6 @@ def share_shift(pre_share: DataFrame, post_share: DataFrame, cfg: PacingConfig =
     s = F.sum("share_ratio").over(w)
     comb = comb.withColumn("share_pct", F.when(s > 0, F.col("share_ratio") / s * 100.0).otherwise(0.0))
     keep = (~F.col("event_type").eqNullSafe(F.lit(DEFAULT_CATEGORY))) | (F.col("share_ratio") >= cfg.share_min_other)
-    comb = comb.withColumn("_keep", keep).withColumn("_any", F.max(F.col("_keep").cast("int")).over(Window.partitionBy()))
-    return comb.where(F.col("_keep") | (F.col("_any") == 0)).select("window", "event_type", "share_ratio", "share_pct")
+    comb = comb.withColumn("_keep", keep)
+    some = comb.agg(F.max("_keep")).scalar()
+    return comb.where(F.col("_keep") | ~some).select("window", "event_type", "share_ratio", "share_pct")

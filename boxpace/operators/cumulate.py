@@ -1,8 +1,11 @@
 """Running sums, cumulative shares and curve finishing."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..config import DEFAULT, PacingConfig
 from ..functions.numeric import safe_ratio
@@ -14,100 +17,102 @@ def sale_order(df: DataFrame, cfg: PacingConfig = DEFAULT) -> list[Column]:
     return [F.col("days_out").desc()] + [F.col(c).asc() for c in order_columns(df, cfg)]
 
 
+# Names of the levels of booking order, coarse to fine, and of the running sum inside the finest one.
+DAY, TIME, SLOT, LOCAL = "_rs_day", "_rs_time", "_rs_slot", "_rs_local"
+_LOW, _HIGH = -(1 << 62), 1 << 62
+
+
+def booking_levels(df: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
+    """Add the levels that split a key's sales in booking order into bounded stretches.
+
+    ``DAY`` is days_out turned round; ``TIME`` the minute of the sale; ``SLOT`` splits the sales dated exactly at that
+    minute (all of them where sales carry dates only) by ranges of ``cfg.order_span`` of the first order column, if
+    that is a number; later sales of the minute come last. (DAY, TIME, SLOT) never falls along the booking
+    order, so a running sum is the sum of all earlier stretches and a running sum inside its own.
+    """
+    first = next((c for c in order_columns(df, cfg) if c != "sale_date"), None)
+    sale = F.col("sale_date")
+    minute = F.unix_date(F.to_date(sale)).cast("long") * 1440 + F.hour(sale) * 60 + F.minute(sale)
+    slot = order_slot(df, first, cfg) if first else F.lit(0)
+    return df.withColumns({
+        DAY: F.coalesce(-F.col("days_out").cast("long"), F.lit(_HIGH)), TIME: F.coalesce(minute, F.lit(_LOW)),
+        SLOT: F.when(F.date_part(F.lit("SECOND"), sale) == 0, slot).otherwise(F.lit(_HIGH)).cast("long")})
+
+
+def order_slot(df: DataFrame, column: str, cfg: PacingConfig = DEFAULT) -> Column:
+    """Range of ``cfg.order_span`` values that a number of an order column lies in; 0 for columns of other types."""
+    if not isinstance(df.schema[column].dataType, NumericType):
+        return F.lit(0).cast("long")
+    # A number beyond the bounds keeps its place before or after all others; NULL sorts first.
+    number = F.least(F.greatest(F.col(column).cast("double") / cfg.order_span, F.lit(-1e15)), F.lit(1e15))
+    return F.coalesce(F.floor(number).cast("long"), F.lit(_LOW))
+
+
+def _local_sums(df: DataFrame, key: str, cfg: PacingConfig, qty: str) -> DataFrame:
+    """Add the levels and the running sum inside a stretch: one sort of each (key, DAY, TIME, SLOT)."""
+    rows = booking_levels(df, cfg)
+    w = (Window.partitionBy(key, DAY, TIME, SLOT).orderBy(*[F.col(c).asc() for c in order_columns(df, cfg)])
+         .rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(LOCAL, F.sum(F.coalesce(F.col(qty).cast("double"), F.lit(0.0))).over(w))
+
+
+def stretch_sums(df: DataFrame, key: str, cfg: PacingConfig = DEFAULT, qty: str = "qty_sold",
+                 carry: dict[str, Column] | None = None) -> DataFrame:
+    """One row per (key, DAY, TIME, SLOT): its sum, highest running sum, and what its day's earlier stretches hold.
+
+    Columns ``_rs_sum``, ``_rs_top`` (rows without qty don't count; NULL if no row has one) and ``_rs_before``.
+    ``carry`` adds aggregates of the rows of a stretch.
+    """
+    has_qty = F.col(qty).isNotNull()
+    g = (_local_sums(df.where(F.col(key).isNotNull()), key, cfg, qty).groupBy(key, DAY, TIME, SLOT)
+         .agg(F.sum(F.coalesce(F.col(qty).cast("double"), F.lit(0.0))).alias("_rs_sum"),
+              F.max(F.when(has_qty, F.col(LOCAL))).alias("_rs_top"), *[c.alias(n) for n, c in (carry or {}).items()]))
+    earlier = Window.partitionBy(key, DAY).orderBy(TIME, SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    return g.withColumn("_rs_before", F.coalesce(F.sum("_rs_sum").over(earlier), F.lit(0.0)))
+
+
+def day_sums(stretches: DataFrame, key: str, carry: dict[str, Column] | None = None) -> DataFrame:
+    """One row per (key, DAY): ``_rs_offset`` = what earlier days hold, ``_rs_day_top`` the day's highest running
+    sum and ``final_qty`` the key's. ``carry`` adds aggregates of the day's stretches."""
+    days = stretches.groupBy(key, DAY).agg(
+        F.sum("_rs_sum").alias("_rs_day_sum"), F.max(F.col("_rs_before") + F.col("_rs_top")).alias("_rs_top"),
+        *[c.alias(n) for n, c in (carry or {}).items()])
+    earlier = Window.partitionBy(key).orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_rs_offset", F.coalesce(F.sum("_rs_day_sum").over(earlier), F.lit(0.0)))
+    days = days.withColumn("_rs_day_top", F.col("_rs_offset") + F.col("_rs_top")).drop("_rs_day_sum", "_rs_top")
+    return days.withColumn("final_qty", F.max("_rs_day_top").over(Window.partitionBy(key)))
+
+
+def share_of_final(cum, final, positive_final: bool = False) -> Column:
+    """100 * cum / final: NULL where the final is 0 or, with ``positive_final``, not above 0."""
+    final = F.col(final) if isinstance(final, str) else final
+    return F.lit(100.0) * safe_ratio(F.col(cum) if isinstance(cum, str) else cum,
+                                     F.when(final > 0, final) if positive_final else final)
+
+
 def running_share(df: DataFrame, key: str, cfg: PacingConfig = DEFAULT, qty: str = "qty_sold",
                   pct_col: str = "cum_pct", positive_final: bool = False) -> DataFrame:
     """Running qty per ``key`` in booking order; final = peak of the running sum.
 
-    Adds ``cum_qty``, ``final_qty`` and ``pct_col`` = 100 * cum / final: NULL where the
-    final is 0 or, with ``positive_final``, not above 0. A row without qty adds nothing and
-    has no cum_qty; a row without key has neither sum. Every plan follows these rules. ``cfg.running_sum`` picks the plan: ``range``
-    splits a hot key over many tasks (:func:`prefix_sum`); ``window`` uses
-    one window partition per key; ``auto`` (default) takes the window only for
-    inputs below ``cfg.small_input_bytes``.
-    """
-    from .sizing import use_scalable
-    has_qty = F.col(qty).isNotNull()
-    if not use_scalable(df, cfg.running_sum, cfg, "range"):
-        ordered = Window.partitionBy(key).orderBy(*sale_order(df, cfg)).rowsBetween(Window.unboundedPreceding, 0)
-        out = df.withColumn("cum_qty", F.when(has_qty & F.col(key).isNotNull(), F.sum(qty).over(ordered)))
-        out = out.withColumn("final_qty", F.max("cum_qty").over(Window.partitionBy(key)))
-    else:
-        out = prefix_sum(df, [key], sale_order(df, cfg), qty, "cum_qty")
-        out = out.withColumn("cum_qty", F.when(has_qty & F.col(key).isNotNull(), F.col("cum_qty")))
-        peaks = out.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("cum_qty").alias("final_qty"))
-        # One row per key; AQE broadcasts it when small and splits a hot key otherwise.
-        out = out.join(peaks, key, "left")
-    den = F.when(F.col("final_qty") > 0, F.col("final_qty")) if positive_final else F.col("final_qty")
-    return out.withColumn(pct_col, F.lit(100.0) * safe_ratio(F.col("cum_qty"), den))
-
-
-def _local_prefix(key_cols: list[str], value: str, out: str):
-    """mapInPandas body: running sums per key inside one range partition, in row order.
-
-    Rows arrive sorted by (key, order); the sum carries across Arrow batches of
-    the same partition. Adds the partition id, so offsets can be added later.
-    """
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carry_key, carry = None, 0.0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[key_cols].astype(object).where(pdf[key_cols].notna(), "\x00null")
-            change = (keys != keys.shift()).any(axis=1).to_numpy()
-            change[0] = True
-            gid = np.cumsum(change)
-            vals = pd.to_numeric(pdf[value], errors="coerce").fillna(0.0).astype("float64")
-            cum = vals.groupby(gid).cumsum().to_numpy()
-            first_key = tuple(keys.iloc[0])
-            if carry_key is not None and first_key == carry_key:
-                cum[gid == 1] += carry
-            pdf[out] = cum
-            pdf["_pid"] = pid
-            carry_key, carry = tuple(keys.iloc[-1]), float(cum[-1])
-            yield pdf
-    return run
-
-
-def prefix_sum(df: DataFrame, key_cols: list[str], order: list[Column], value: str, out: str,
-               partitions: int | None = None) -> DataFrame:
-    """Running sum of ``value`` per key in ``order``, without one task per key.
-
-    1. Range-partition and sort by (key, order): the sampled bounds split a
-       hot key over as many tasks as its size needs.
-    2. One vectorised pass per partition computes local running sums.
-    3. The result is checkpointed (consistent partition ids, cut lineage).
-    4. Only the first key of a partition can continue from earlier
-       partitions, so an offset table with one row per partition (a bound
-       fixed by the partition count) is broadcast and added.
-    NULL values count as 0.
+    Adds ``cum_qty``, ``final_qty`` and ``pct_col`` (:func:`share_of_final`). A row without qty adds nothing and
+    has no cum_qty; a row without key has neither sum; NaN makes every later sum of its key NaN.
+
+    The order is cut into levels (:func:`booking_levels`): sums per day and per stretch of a day give what
+    comes before a stretch, a window inside the stretch gives the rest. No task needs all sales of a key, the
+    tables between have one row per stretch, and the rows are shuffled once.
     """
-    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort = [F.col(k).asc_nulls_first() for k in key_cols] + list(order)
-    ranged = df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
-    schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType()), StructField("_pid", IntegerType())])
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    local = ranged.mapInPandas(_local_prefix(key_cols, value, out), schema).checkpoint()
-    keyst = F.struct(*[F.col(k) for k in key_cols])
-    per_part = local.groupBy("_pid", keyst.alias("_k")).agg(F.sum(value).alias("_tot"))
-    firsts = local.groupBy("_pid").agg(F.min(keyst).alias("_first"))
-    # What a key's earlier partitions hold: a running sum over one row per key and partition.
-    before = Window.partitionBy("_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    sums = per_part.withColumn("_off", F.sum(F.coalesce("_tot", F.lit(0.0))).over(before))
-    earlier = (sums.alias("a").join(firsts.alias("b"), F.col("a._k").eqNullSafe(F.col("b._first"))
-                                    & (F.col("a._pid") == F.col("b._pid")))
-               .select(F.col("a._pid").alias("_opid"), "_off"))
-    offsets = firsts.join(earlier, F.col("_pid") == F.col("_opid"), "left").select(
-        F.col("_pid").alias("_bpid"), "_first", F.coalesce("_off", F.lit(0.0)).alias("_off"))
-    res = local.join(F.broadcast(offsets), F.col("_pid") == F.col("_bpid"), "left")
-    res = res.withColumn(out, F.col(out) + F.when(keyst.eqNullSafe(F.col("_first")), F.col("_off")).otherwise(0.0))
-    return res.drop("_pid", "_bpid", "_first", "_off")
+    # Both sides of this join name the same columns of the stretches (one without qty needs no start): Spark runs them once.
+    stretches = stretch_sums(df, key, cfg, qty)
+    days = day_sums(stretches, key).drop("_rs_day_top")
+    offsets = (stretches.join(days, [key, DAY])
+               .select(*[F.col(c).alias(f"_o{c}") for c in (key, DAY, TIME, SLOT)],
+                       F.when(F.col("_rs_top").isNotNull(), F.col("_rs_offset") + F.col("_rs_before")).alias("_rs_start"), "final_qty"))
+    rows = _local_sums(df, key, cfg, qty)
+    same = [F.col(c) == F.col(f"_o{c}") for c in (key, DAY, TIME, SLOT)]
+    out = rows.join(offsets, reduce(lambda a, b: a & b, same), "left")
+    out = out.withColumn("cum_qty", F.when(F.col(qty).isNotNull(), F.col("_rs_start") + F.col(LOCAL)))
+    out = out.withColumn(pct_col, share_of_final("cum_qty", "final_qty", positive_final))
+    return out.select(*df.columns, "cum_qty", "final_qty", pct_col)
 
 
 def grid_cum_share(rows: DataFrame, event_keys: list[str], cfg: PacingConfig = DEFAULT, qty: str = "qty_sold",

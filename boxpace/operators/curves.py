@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..config import BASELINE_GLOBAL_LABEL, BASELINE_TYPE_LABEL, DEFAULT, PacingConfig
 from ..functions.lead import bin_floor, days_out, in_lead_window, lead_capped, lead_clamped
 from ..functions.numeric import safe_ratio
-from .cumulate import finish_curve, grid_cum_share, running_share
-from .prep import fill_missing, lit_ts, past, upcoming
+from .cumulate import DAY, SLOT, TIME, day_sums, finish_curve, grid_cum_share, share_of_final, stretch_sums
+from .prep import fill_missing, lit_ts, order_columns, past, upcoming
 from .quantiles import group_quantiles
 
 EVENT = ["event_name", "event_date"]
@@ -48,16 +48,20 @@ def curve_from_shares(shares: DataFrame, cfg: PacingConfig = DEFAULT, hi: float
                       names=("median_pct", "p25_pct", "p75_pct"), band: bool = False) -> DataFrame:
     """Median / p25 / p75 of the per-event shares per bin, n = events with a share."""
     med, p25, p75 = names
-    q = group_quantiles(shares, ["d_bin"], "cum_share", {med: 0.5, p25: 0.25, p75: 0.75},
-                        extra_aggs=[F.count("cum_share").alias("n")], cfg=cfg)
-    grid = shares.sparkSession.range(0, cfg.max_lead + 1, cfg.bin_size).select(F.col("id").cast("int").alias("d_bin"))
-    # At most one row per bin on both sides: a bounded broadcast.
-    curve = grid.join(F.broadcast(q), "d_bin", "left")
-    curve = finish_curve(curve, [p25, med, p75], hi, band=(p25, med, p75) if band else None)
+    q = group_quantiles(shares, ["d_bin"], "cum_share", {med: 0.5, p25: 0.25, p75: 0.75}, cfg, n="n", n_rows="_rows")
+    curve = finish_curve(_on_grid(shares, q, cfg), [p25, med, p75], hi, band=(p25, med, p75) if band else None)
     if scale_out != 1.0:
         for c in (p25, med, p75):
             curve = curve.withColumn(c, F.least(F.col(c) * scale_out, F.lit(100.0)))
-    return curve.withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("long"))
+    return curve.select("d_bin", med, p25, p75, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
+
+
+def _on_grid(df: DataFrame, q: DataFrame, cfg: PacingConfig) -> DataFrame:
+    """``q`` (a row per d_bin) on the full bin grid; empty if no row of ``df`` had reached any bin (``_rows``)."""
+    grid = df.sparkSession.range(0, cfg.max_lead + 1, cfg.bin_size).select(F.col("id").cast("int").alias("d_bin"))
+    # At most one row per bin on both sides: a bounded broadcast and a window of 41 rows.
+    curve = grid.join(F.broadcast(q), "d_bin", "left")
+    return curve.withColumn("_any", F.sum("_rows").over(Window.partitionBy())).where(F.col("_any") > 0).drop("_any", "_rows")
 
 
 def baseline_candidates(df_past: DataFrame, event_types=None, cfg: PacingConfig = DEFAULT,
@@ -101,21 +105,14 @@ def baseline_curve(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT, e
         chosen = df_past.where((pick == F.lit(BASELINE_GLOBAL_LABEL)) | (F.col("event_type") == event_types[0]))
     shares = event_cum_shares(chosen, cfg, lead="clamp", scale=1.0)
     curve = curve_from_shares(shares, cfg, hi=1.0, scale_out=100.0, names=("median_pct", "p25_pct", "p75_pct"))
-    curve = curve.where(_has_rows(shares))
-    return curve.select("d_bin", "median_pct", "p25_pct", "p75_pct", "n").orderBy("d_bin"), cohort
-
-
-def _has_rows(df: DataFrame):
-    """Scalar-subquery predicate: ``df`` is not empty (an empty input gives an empty curve)."""
-    return df.select(F.count(F.lit(1)) > 0).scalar()
+    return curve.select("d_bin", "median_pct", "p25_pct", "p75_pct", "n").orderBy(F.col("d_bin").desc()), cohort
 
 
 def global_pacing_curve(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> DataFrame:
     """Past-event curve with late sales dropped, early ones in the last bin, band ordered."""
     shares = event_cum_shares(past(df, as_of), cfg, lead="cap", scale=100.0)
     curve = curve_from_shares(shares, cfg, hi=100.0, band=True, names=("median_pct", "p25_pct", "p75_pct"))
-    curve = curve.where(_has_rows(shares))
-    return curve.select("d_bin", "median_pct", "p25_pct", "p75_pct", "n").orderBy("d_bin")
+    return curve.select("d_bin", "median_pct", "p25_pct", "p75_pct", "n").orderBy(F.col("d_bin").desc())
 
 
 def current_curve(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> DataFrame:
@@ -140,7 +137,7 @@ def current_curve(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) ->
     w = Window.orderBy(F.col("d_bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = per_bin.withColumn("cum_pct", F.lit(100.0) * safe_ratio(F.sum(F.coalesce("s", F.lit(0.0))).over(w),
                                                                     n_valid.cast("double")))
-    return out.where(n_all >= cfg.current_min_events).select("d_bin", "cum_pct").orderBy("d_bin")
+    return out.where(n_all >= cfg.current_min_events).select("d_bin", "cum_pct").orderBy(F.col("d_bin").desc())
 
 
 def curve_sample_size(curve: DataFrame) -> DataFrame:
@@ -158,30 +155,31 @@ def event_pacing(df: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
     """
     d = fill_missing(df).withColumn("days_out", days_out()).where(in_lead_window("days_out", cfg))
     d = d.withColumn("d_bin", bin_floor("days_out", cfg))
-    keep = ["event_instance", "event_type", "weekday", "venue", "event_date", "sale_date", "days_out", "d_bin",
-            "qty_sold", *_order_cols(d, cfg)]
-    s = running_share(d.select(*dict.fromkeys(keep)), "event_instance", cfg, pct_col="cum_pct",
-                      positive_final=True)
-    order = F.struct(-F.col("days_out"), *[F.col(c) for c in _order_cols(s, cfg)])
-    firsts = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
-              for c in ("event_type", "weekday", "venue", "event_date")]
-    return (s.where(F.col("event_instance").isNotNull()).groupBy("event_instance", "d_bin")
-            .agg(*firsts, F.max("cum_pct").alias("cum_pct")))
-
-
-def _order_cols(df: DataFrame, cfg: PacingConfig) -> list[str]:
-    from .prep import order_columns
-    return order_columns(df, cfg)
+    attributes = ("event_type", "weekday", "venue", "event_date")
+    order = order_columns(d, cfg)
+    d = d.select(*dict.fromkeys(["event_instance", *attributes, "days_out", "d_bin", "qty_sold", *order]))
+    # Stretches of a day, then days: at each level the highest running sum and the first attributes move up.
+    by = F.struct(*[F.col(c) for c in order])
+    first = {f"_f_{c}": F.min_by(F.col(c), F.when(F.col(c).isNotNull(), by)) for c in attributes}
+    stretches = stretch_sums(d, "event_instance", cfg, carry={**first, "d_bin": F.first("d_bin")})
+    by = F.struct(TIME, SLOT)
+    first = {c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), by)) for c in first}
+    days = day_sums(stretches, "event_instance", carry={**first, "d_bin": F.first("d_bin")})
+    return days.groupBy("event_instance", "d_bin").agg(
+        *[F.min_by(F.col(f"_f_{c}"), F.when(F.col(f"_f_{c}").isNotNull(), F.col(DAY))).alias(c) for c in attributes],
+        F.max("_rs_day_top").alias("_top"), F.first("final_qty").alias("_final")).select(
+        "event_instance", "d_bin", *attributes, share_of_final("_top", "_final", positive_final=True).alias("cum_pct"))
 
 
 def global_curve_from_pacing(pacing: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> DataFrame:
     """Quartiles of past instances' cum % per bin, grid-filled and monotone."""
-    hist = pacing.where(F.col("event_date") < lit_ts(as_of))
+    return global_curve_of(pacing.where(F.col("event_date") < lit_ts(as_of)), cfg)
+
+
+def global_curve_of(hist: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
+    """:func:`global_curve_from_pacing` of past instances' pacing rows."""
     q = group_quantiles(hist, ["d_bin"], "cum_pct",
-                        {"median_cum_pct": 0.5, "p25_cum_pct": 0.25, "p75_cum_pct": 0.75}, cfg=cfg)
-    grid = pacing.sparkSession.range(0, cfg.max_lead + 1, cfg.bin_size).select(F.col("id").cast("int").alias("d_bin"))
-    curve = grid.join(F.broadcast(q), "d_bin", "left")
-    curve = finish_curve(curve, ["p25_cum_pct", "median_cum_pct", "p75_cum_pct"], 100.0,
+                        {"median_cum_pct": 0.5, "p25_cum_pct": 0.25, "p75_cum_pct": 0.75}, cfg, n_rows="_rows")
+    curve = finish_curve(_on_grid(hist, q, cfg), ["p25_cum_pct", "median_cum_pct", "p75_cum_pct"], 100.0,
                          band=("p25_cum_pct", "median_cum_pct", "p75_cum_pct"))
-    curve = curve.where(_has_rows(hist))
-    return curve.select("d_bin", "median_cum_pct", "p25_cum_pct", "p75_cum_pct").orderBy("d_bin")
+    return curve.select("d_bin", "median_cum_pct", "p25_cum_pct", "p75_cum_pct").orderBy(F.col("d_bin").desc())

@@ -1,105 +1,83 @@
 """Group quantiles with linear interpolation (pandas ``median`` / ``quantile``).
 
-``group_quantiles`` is the only place percentiles are computed, so the exact /
-approximate choice and its scaling strategy live here.
-
-Exact mode (default) never holds a whole group in one buffer. Spark's
-``percentile`` aggregate keeps every distinct value of a group in one task,
-which breaks for a group holding a third of the data. Instead:
-
-1. one aggregation gives, per group, the count ``n`` and ``percentile_approx``
-   values at p - d and p + d (a bounded sketch, rank error <= n / accuracy);
-2. every row is tagged against those bounds and aggregated to
-   (group, p, value) counts, where all values below the band collapse into one
-   NULL-valued row: only values inside the band survive, about 2 d n of them;
-3. a window over each (group, p) band, ordered by value with the below-band
-   row first, turns counts into rank ranges and picks the values at ranks
-   floor(p (n - 1)) and the next, then interpolates as ``percentile`` does.
-
-A group whose band misses a target rank (not expected given the sketch's
-guarantee) falls back to ``percentile`` for that group alone.
+``group_quantiles`` is the only place percentiles are computed. It selects the values at the wanted ranks by
+narrowing and never holds a group in one task:
+
+1. rows become (group, value) counts, combined before the shuffle, so a hot group spreads over its values;
+2. values fall into buckets of a fixed scale that never falls with the value; the buckets' counts, summed along
+   the scale, tell exactly which buckets hold the wanted ranks;
+3. only these buckets' values are sorted, bucket by bucket, and the values at the ranks are picked.
+
+Counts decide, not a sketch: every rank is found, whatever the distribution. The scale is logarithmic with
+BUCKETS_PER_E buckets to a factor of e (above 1) so a bucket is at most 1/65,536 wide relative to its values.
 """
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PacingConfig
 
-BAND_ACCURACY = 10000
-BAND_MARGIN = 4.0 / BAND_ACCURACY
+BUCKETS_PER_E = 1 << 16
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``cols``, where NULL equals NULL; the right side's copies are dropped."""
     r = right.select(*[F.col(c).alias(f"_r_{c}") for c in cols],
                      *[F.col(c) for c in right.columns if c not in cols])
     cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in cols], F.lit(True))
     return left.join(r, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
+def value_bucket(v: Column) -> Column:
+    """Place of a double on the fixed scale; NaN, which sorts last, has the last one, NULL none."""
+    place = F.floor(F.signum(v) * F.least(F.log1p(F.abs(v)), F.lit(1000.0)) * BUCKETS_PER_E)
+    return F.when(F.isnan(v), F.lit(1 << 62)).otherwise(place)
+
+
 def group_quantiles(df: DataFrame, group_cols: list[str], value: str, probs: dict[str, float],
-                    extra_aggs: list | None = None, cfg: PacingConfig = DEFAULT) -> DataFrame:
-    """One row per group: each named quantile of ``value`` (NULLs skipped).
-
-    Exact (linear interpolation between closest ranks, as ``percentile``)
-    unless ``cfg.approx_accuracy`` > 0, which switches to ``percentile_approx``.
-    ``cfg.quantile_mode`` = ``direct`` uses Spark's ``percentile`` aggregate,
-    ``banded`` the bounded plan, ``auto`` (default) direct only for inputs
-    below ``cfg.small_input_bytes``.
+                    cfg: PacingConfig = DEFAULT, weight: str | None = None, n: str | None = None,
+                    n_rows: str | None = None) -> DataFrame:
+    """One row per group: each named quantile of ``value``, NULLs skipped, NaN the largest value.
+
+    Linear interpolation between the closest ranks, as Spark's ``percentile``; a group without values has NULL
+    quantiles. A row counts ``weight`` times (a whole number; one without it). ``n`` and ``n_rows`` name columns for the
+    count of values and of rows. Exact, unless ``cfg.approx_accuracy`` > 0 takes ``percentile_approx`` (unweighted).
     """
-    v = F.col(value)
-    extra = list(extra_aggs or [])
-    if cfg.approx_accuracy:
-        aggs = [F.percentile_approx(v, p, cfg.approx_accuracy).cast("double").alias(n) for n, p in probs.items()]
-        return df.groupBy(*group_cols).agg(*aggs, *extra)
-    from .sizing import use_scalable
-    if not use_scalable(df, cfg.quantile_mode, cfg, "banded"):
-        aggs = [F.percentile(v, F.lit(p)).alias(n) for n, p in probs.items()]
-        return df.groupBy(*group_cols).agg(*aggs, *extra)
-    return _banded(df, group_cols, value, probs, extra)
-
-
-def _banded(df: DataFrame, g: list[str], value: str, probs: dict[str, float], extra: list) -> DataFrame:
+    v = F.col(value).cast("double")
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     names, ps = list(probs), [float(p) for p in probs.values()]
-    k = len(ps)
-    edges = [max(0.0, p - BAND_MARGIN) for p in ps] + [min(1.0, p + BAND_MARGIN) for p in ps]
-    vd = F.col(value).cast("double")
-    stats = df.groupBy(*g).agg(F.count(vd).alias("_n"),
-                               F.percentile_approx(vd, F.array(*[F.lit(e) for e in edges]), BAND_ACCURACY).alias("_b"),
-                               *extra)
-    bounds = stats.select(*g, "_n", "_b")
-    rows = df.where(vd.isNotNull()).select(*g, vd.alias("_v"))
-    tagged = _null_safe_join(rows, bounds, g)
-    # Per target: below the band -> one NULL-valued count row, inside -> the value, above -> dropped.
-    recs = F.array(*[F.when(F.col("_v") < F.col("_b")[i], F.struct(F.lit(i).alias("_i"), F.lit(None).cast("double").alias("_x")))
-                      .when(F.col("_v") <= F.col("_b")[i + k], F.struct(F.lit(i).alias("_i"), F.col("_v").alias("_x")))
-                      for i in range(k)])
-    band = (tagged.select(*g, "_n", F.explode(F.array_compact(recs)).alias("_r"))
-            .groupBy(*g, "_r._i", "_r._x").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")))
-    w = Window.partitionBy(*g, "_i").orderBy(F.col("_x").asc_nulls_first())
-    band = band.withColumn("_hi", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    band = band.withColumn("_lo", F.col("_hi") - F.col("_c") + 1)
-    pos = F.element_at(F.array(*[F.lit(p) for p in ps]), F.col("_i") + 1) * (F.col("_n") - 1)
-    band = band.withColumn("_pos", pos).withColumn("_k0", F.floor("_pos")).withColumn(
-        "_k1", F.ceil("_pos"))
-    real = F.col("_x").isNotNull()
-    picked = band.groupBy(*g, "_i").agg(
-        F.max("_n").alias("_n"), F.max("_pos").alias("_pos"), F.max("_k0").alias("_k0"), F.max("_k1").alias("_k1"),
-        F.max(F.when(real & (F.col("_lo") <= F.col("_k0")) & (F.col("_hi") >= F.col("_k0")), F.col("_x"))).alias("_v0"),
-        F.max(F.when(real & (F.col("_lo") <= F.col("_k1")) & (F.col("_hi") >= F.col("_k1")), F.col("_x"))).alias("_v1"))
-    q = F.when(F.col("_k1") == F.col("_k0"), F.col("_v0")).otherwise(
-        (F.col("_k1") - F.col("_pos")) * F.col("_v0") + (F.col("_pos") - F.col("_k0")) * F.col("_v1"))
-    picked = picked.withColumn("_q", F.when(F.col("_v0").isNotNull() & F.col("_v1").isNotNull(), q))
-    wide = picked.groupBy(*g).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(names[i]) for i in range(k)],
-                                  F.count_if(F.col("_q").isNull()).alias("_miss"))
-    out = _null_safe_join(stats.drop("_b"), wide, g, "left")
-    # Fallback: a group with values whose band missed a rank gets the plain percentile.
-    bad = out.where((F.col("_n") > 0) & (F.coalesce(F.col("_miss"), F.lit(k)) > 0)).select(*g)
-    exact = (_null_safe_join(df, bad, g, "left_semi").groupBy(*g)
-             .agg(*[F.percentile(F.col(value), F.lit(p)).alias(f"_f_{n}") for n, p in zip(names, ps)]))
-    out = _null_safe_join(out, exact, g, "left")
-    cols = [F.when(F.col("_n") == 0, F.lit(None).cast("double"))
-            .otherwise(F.coalesce(F.col(n), F.col(f"_f_{n}"))).alias(n) for n in names]
-    return out.select(*g, *cols, *[c for c in stats.columns if c not in g and c not in ("_n", "_b")])
+    counts = {k: c for k, c in ((n, F.sum(F.when(v.isNotNull(), w).otherwise(0))), (n_rows, F.sum(w))) if k}
+    if cfg.approx_accuracy and not weight:
+        aggs = [F.percentile_approx(v, p, cfg.approx_accuracy).cast("double").alias(k) for k, p in zip(names, ps)]
+        return df.groupBy(*group_cols).agg(*aggs, *[c.alias(k) for k, c in counts.items()])
+    g = group_cols
+    cells = df.groupBy(*g, v.alias("_v")).agg(F.sum(w).alias("_c")).withColumn("_z", value_bucket(F.col("_v")))
+
+    buckets = cells.groupBy(*g, "_z").agg(F.sum("_c").alias("_c"))
+    real = F.when(F.col("_z").isNotNull(), F.col("_c")).otherwise(0)
+    whole, upto = Window.partitionBy(*g), Window.partitionBy(*g).orderBy("_z").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = buckets.select(*g, "_z", F.sum(real).over(whole).alias("_n"), F.sum("_c").over(whole).alias("_rows"),
+                             F.sum(real).over(upto).alias("_end"), real.alias("_real"))
+    start = F.col("_end") - F.col("_real")
+    at = [F.lit(p) * (F.col("_n") - 1) for p in ps]
+    ranks = [r for a in at for r in (F.floor(a), F.ceil(a))]  # of each quantile the value at or below, and at or above
+    wanted = F.array(*[F.when((r >= start) & (r < F.col("_end")), r - start) for r in ranks])
+    buckets = buckets.withColumn("_want", wanted).where(F.exists("_want", lambda x: x.isNotNull()) | (F.col("_n") == 0))
+
+    found = null_safe_join(cells, buckets.select(*g, "_z", "_n", "_rows", "_want"), [*g, "_z"])
+    inside = Window.partitionBy(*g, "_z").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("_hi", F.sum("_c").over(inside))
+    picked = []
+    for k in range(2 * len(ps)):
+        r = F.col("_want")[k]
+        picked.append(F.max(F.when((r >= F.col("_hi") - F.col("_c")) & (r < F.col("_hi")), F.col("_v"))).alias(f"_v{k}"))
+    out = found.groupBy(*g).agg(F.max("_n").alias("_n"), F.max("_rows").alias("_rows"), *picked)
+    cols = []
+    for k, (name, a) in enumerate(zip(names, at)):
+        lo, hi = F.col(f"_v{2 * k}"), F.col(f"_v{2 * k + 1}")
+        between = (F.ceil(a) - a) * lo + (a - F.floor(a)) * hi
+        cols.append(F.when(F.ceil(a) == F.floor(a), lo).otherwise(between).alias(name))
+    return out.select(*g, *cols, *[F.col(c).alias(k) for k, c in ((n, "_n"), (n_rows, "_rows")) if k])

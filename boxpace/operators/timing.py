@@ -9,6 +9,7 @@ from ..functions.lead import (days_out, lead_bucket_closed, lead_bucket_half_ope
                               weekday_name)
 from ..functions.numeric import safe_ratio
 from .cumulate import centered_mean3
+from .quantiles import null_safe_join
 
 
 def season_totals(df: DataFrame) -> DataFrame:
@@ -47,17 +48,15 @@ def monthly_histogram(df: DataFrame, nbins: int = 30) -> DataFrame:
 
 
 def sales_heatmap(base: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
-    """Share of each closed lead bucket within the sale weekday."""
+    """Share of each closed lead bucket within the sale weekday (A11, F12, W3), by weekday and the bucket's text (T5)."""
     d = base if "days_out" in base.columns else base.withColumn("days_out", days_out())
     top = cfg.lead_buckets[-1][1]
     d = d.where(F.col("days_out").between(0, top))
     g = (d.withColumn("weekday", weekday_name("sale_date")).withColumn("lead_bucket", lead_bucket_closed("days_out", cfg))
          .groupBy("weekday", "lead_bucket").agg(F.coalesce(F.sum("qty_sold"), F.lit(0.0)).alias("qty_sold")))
     tot = F.sum("qty_sold").over(Window.partitionBy("weekday"))
-    labels = F.array(*[F.lit(x[2]) for x in cfg.lead_buckets])
     return (g.select("weekday", "lead_bucket", F.when(tot > 0, F.col("qty_sold") / tot).otherwise(0.0).alias("share"))
-            .orderBy(F.array_position(F.array(*[F.lit(x) for x in WEEKDAYS]), F.col("weekday")),
-                     F.array_position(labels, F.col("lead_bucket"))))
+            .orderBy(F.array_position(F.array(*[F.lit(x) for x in WEEKDAYS]), F.col("weekday")), "lead_bucket"))
 
 
 def timing_heatmap(df: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
@@ -76,12 +75,13 @@ def timing_heatmap(df: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
                                  F.sum("c").alias("rows")).alias("s")).scalar()
     total = stats.getField("t")
     gate = (total > 0) & (stats.getField("names") >= cfg.heat_min_names) & (stats.getField("rows") >= cfg.heat_min_rows)
-    cells = by_name.groupBy("weekday", "lead_bucket").agg(F.sum("q").alias("q"), F.sum("c").alias("_c")).drop("_c")
+    # Naming the count too keeps this the same aggregate as the gate's, which Spark then runs once.
+    cells = by_name.where(F.col("c") > 0).groupBy("weekday", "lead_bucket").agg(F.sum("q").alias("q"))
     grid = (df.sparkSession.range(1)
             .select(F.explode(F.array(*[F.lit(x) for x in WEEKDAYS])).alias("weekday"))
             .select("weekday", F.explode(F.array(*[F.lit(x) for x in cfg.lead_labels])).alias("lead_bucket")))
-    # At most 7 x len(buckets) cells on the broadcast side.
-    m = grid.join(F.broadcast(cells), ["weekday", "lead_bucket"], "left")
+    # At most 7 x len(buckets) cells on the broadcast side. Null-safe keys add no filter that would tell the plans apart.
+    m = null_safe_join(grid, F.broadcast(cells), ["weekday", "lead_bucket"], "left")
     present = F.max(F.col("q").isNotNull().cast("int")).over(Window.partitionBy("weekday"))
     m = m.withColumn("share", F.when(present == 1, safe_ratio(F.coalesce(F.col("q"), F.lit(0.0)), total)))
     day, bucket = F.array(*[F.lit(x) for x in WEEKDAYS]), F.array(*[F.lit(x) for x in cfg.lead_labels])

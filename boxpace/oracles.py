@@ -819,3 +819,10 @@ for _tbl, _nm, _keys, _vals in _CORE:
     _key = "concat_ws('|', " + ", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in _keys) + ")"
     _core += [f"SELECT '{_tbl}', {_key}, '{v}', CAST({v} AS DOUBLE) FROM ({ORACLES[_nm]})" for v in _vals]
 oracle("r5_derive_core", "SELECT tbl, key, measure, round(value, 6) AS value FROM (" + " UNION ALL ".join(_core) + ")")
+
+# Rows in the order of the source: curves from the farthest bin to 0, the heatmap by weekday, then bucket text.
+for _nm in ("r3_baseline_curve", "r3_baseline_curve_type", "a20_global_pacing_curve", "a21_global_curve",
+            "a21_global_curve_refunds", "a22_current_curve"):
+    ORACLES[_nm] = f"SELECT * FROM ({ORACLES[_nm]}) ORDER BY d_bin DESC"
+ORACLES["a11_sales_heatmap"] = f"""SELECT * FROM ({ORACLES["a11_sales_heatmap"]}) ORDER BY list_position(
+  ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'], weekday), lead_bucket"""

@@ -16,25 +16,47 @@ from ..operators import curves as CV
 from ..operators import timing as TM
 from ..operators.cohorts import cohort_stats
 from ..operators.kpi import kpis as _kpis
-from ..operators.prep import lit_ts, post_slice, pre_slice, with_lead
+from ..functions.lead import lead_bucket_closed, weekday_name
+from ..operators.prep import lit_ts, post_slice, pre_slice, window_label, with_lead
 from .watchlist import watchlist
 
 
+def _sales_by_event(base: DataFrame, cfg: PacingConfig) -> DataFrame:
+    """Sums per event, sale window, sale weekday and lead bucket: all that the small tables need of the sales.
+
+    A group's ``sale_date`` and ``days_out`` are its latest and largest; any of its sales has the same window, weekday and bucket.
+    They, and the quantity, are named by every reader, so the readers' plans share one shuffle.
+    """
+    s = base.groupBy(window_label("sale_date", cfg).alias("_w"), weekday_name("sale_date").alias("_d"), lead_bucket_closed("days_out", cfg).alias("_b"),
+                     "event_type", "event_instance", "event_name").agg(
+        F.sum("qty_sold").alias("qty_sold"), F.max("sale_date").alias("sale_date"), F.max("days_out").alias("days_out"))
+    return (s.where(F.col("sale_date").isNotNull() | F.col("days_out").isNotNull())
+            .select("event_type", "event_instance", "event_name", "qty_sold", "sale_date", "days_out"))
+
+
 def derive_core(fact: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> dict[str, DataFrame]:
     """The nine derived tables (R5): base, event pacing, cohort library, global curve,
-    average tickets, category shares pre / post, common events, weekday heatmap."""
+    average tickets, category shares pre / post, common events, weekday heatmap.
+
+    In one query the tables read the sales three times: base, one aggregate for the five small tables, and pacing,
+    whose rows, one per event instance and bin, are shuffled once for the three tables built on them.
+    """
     base = with_lead(fact, cfg)
     pacing = CV.event_pacing(fact, cfg)
+    past = F.count_if(F.col("event_date") < lit_ts(as_of))
+    shared = pacing.groupBy(*pacing.columns).agg(F.count(F.lit(1)).alias("_n"), past.alias("_past"))
+    history = shared.where((F.col("_past") > 0) & (F.col("_n") > 0)).select(*pacing.columns)
+    small = _sales_by_event(base, cfg)
     return {
         "base": base,
-        "event_pacing": pacing,
-        "cohort_library": cohort_stats(pacing.where(pacing["event_date"] < lit_ts(as_of)), cfg),
-        "global_pacing_curve": CV.global_curve_from_pacing(pacing, as_of, cfg),
-        "avg_tickets": CMP.avg_tickets_pre_post(base, cfg),
-        "category_share_pre": CMP.category_share(pre_slice(base, cfg)),
-        "category_share_post": CMP.category_share(post_slice(base, cfg)),
-        "events_pre_post": CMP.events_common(base, cfg),
-        "dows_heatmap": TM.sales_heatmap(base, cfg),
+        "event_pacing": shared.where((F.col("_past") >= 0) & (F.col("_n") > 0)).select(*pacing.columns),
+        "cohort_library": cohort_stats(history, cfg),
+        "global_pacing_curve": CV.global_curve_of(history, cfg),
+        "avg_tickets": CMP.avg_tickets_pre_post(small, cfg),
+        "category_share_pre": CMP.category_share(pre_slice(small, cfg)),
+        "category_share_post": CMP.category_share(post_slice(small, cfg)),
+        "events_pre_post": CMP.events_common(small, cfg),
+        "dows_heatmap": TM.sales_heatmap(small, cfg),
     }
 
 

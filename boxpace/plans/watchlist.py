@@ -3,17 +3,17 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
 from ..config import DEFAULT, STATUS_AHEAD, STATUS_BEHIND, STATUS_ON_PACE, PacingConfig
 from ..functions.lead import bin_floor
 from ..functions.numeric import clip, pace_status, round_half_even, round_to_long
-from ..operators.cohorts import cohort_label, cohort_library, materialize_library, resolve_cohorts, tier_keys
+from ..operators.cohorts import cohort_figures, cohort_label, resolve_figures, tier_keys
 from ..operators.cumulate import running_share
-from ..operators.prep import order_columns, pacing_rows, past, upcoming
+from ..operators.prep import lit_ts, order_columns, pacing_rows, past, upcoming
 
 EVENT_KEYS = ["event_name", "event_date", "event_type", "weekday", "venue"]
 
@@ -24,8 +24,13 @@ class Watchlist:
     summary: DataFrame    # one row: evaluated, behind
     tiers: DataFrame      # distinct tiers used
     scored: DataFrame     # every upcoming event with its cohort and score
-    medians: DataFrame
-    finals: DataFrame
+
+
+def _shares(df: DataFrame, cfg: PacingConfig, extra: list[str]) -> DataFrame:
+    """Sales in the lead window with running % per event name (W2), only the columns the watchlist needs."""
+    rows = pacing_rows(df, cfg)
+    keep = ["event_name", "event_date", "days_out", "d_bin", "qty_sold", *tier_keys(cfg), *order_columns(rows, cfg), *extra]
+    return running_share(rows.select(*dict.fromkeys(keep)), "event_name", cfg, pct_col="hist_cum_pct")
 
 
 def library_rows(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> DataFrame:
@@ -34,26 +39,56 @@ def library_rows(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) ->
     Running sums and finals span every row in the lead window, upcoming
     dates included; only then are past events kept (the order matters).
     """
-    rows = pacing_rows(df, cfg)
-    # Only what the library needs goes through the running-sum pass (it is opaque to pruning).
-    keep = ["event_name", "event_date", "sale_date", "days_out", "d_bin", "qty_sold", *tier_keys(cfg),
-            *[c for c in order_columns(rows, cfg) if c != "sale_date"]]
-    s = running_share(rows.select(*dict.fromkeys(keep)), "event_name", cfg, pct_col="hist_cum_pct")
-    return past(s, as_of)
+    return past(_shares(df, cfg, []), as_of)
+
+
+def _label_column(df: DataFrame) -> str:
+    return "event_label" if "event_label" in df.columns else "event_name"
+
+
+def _has_keys():
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in EVENT_KEYS])
+
+
+def _sold(rows: DataFrame, label: str, order: list[str], cfg: PacingConfig, weight: str | None = None) -> DataFrame:
+    qty = F.col("qty_sold") * F.col(weight) if weight else F.col("qty_sold")
+    by = F.struct(*[F.col(c) for c in order])
+    agg = (rows.groupBy(*EVENT_KEYS)
+           .agg(F.sum(qty).alias("tickets_so_far"), F.min("days_out").alias("days_out"),
+                F.min_by(F.col(label), F.when(F.col(label).isNotNull(), by)).alias("event_label")))
+    return agg.withColumn("d_bin", bin_floor("days_out", cfg))
 
 
 def sold_now(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> DataFrame:
     """Upcoming events: tickets so far, min days_out, first label."""
     rows = upcoming(pacing_rows(df, cfg), as_of)
-    keys_ok = F.lit(True)
-    for k in EVENT_KEYS:
-        keys_ok = keys_ok & F.col(k).isNotNull()
-    label = "event_label" if "event_label" in rows.columns else "event_name"
-    order = F.struct(*[F.col(c) for c in order_columns(rows, cfg)])
-    agg = (rows.where(keys_ok).groupBy(*EVENT_KEYS)
-           .agg(F.sum("qty_sold").alias("tickets_so_far"), F.min("days_out").alias("days_out"),
-                F.min_by(F.col(label), F.when(F.col(label).isNotNull(), order)).alias("event_label")))
-    return agg.withColumn("d_bin", bin_floor("days_out", cfg))
+    return _sold(rows.where(_has_keys()), _label_column(rows), order_columns(rows, cfg), cfg)
+
+
+def _history_and_events(df: DataFrame, as_of: dt.date, cfg: PacingConfig) -> tuple[DataFrame, DataFrame]:
+    """(library base, upcoming events) from one shuffle of the sales.
+
+    Past sales are counted by (event, keys, bin, running %, final), as :func:`cohorts.library_base` does, upcoming ones by what
+    :func:`sold_now` needs; columns of the other kind are NULL. Both sides tell their rows by the same
+    counts, not by grouping columns, which Spark would push down; so their plans are the same up to that shuffle and it runs once.
+    """
+    label = _label_column(df)
+    rows = _shares(df, cfg, [label])
+    order = order_columns(rows, cfg)
+    is_past = F.col("event_date") < lit_ts(as_of)
+    later = list(dict.fromkeys(["event_date", "days_out", "qty_sold", label, *order]))
+    now = {"d_bin": "d_bin", "hist_cum_pct": "pct", "final_qty": "final"}
+    sides = rows.where(F.col("event_date").isNotNull()).groupBy(
+        F.col("event_name").alias("event"), *tier_keys(cfg), *[F.when(is_past, F.col(c)).alias(n) for c, n in now.items()],
+        *[F.when(~is_past, F.col(c)).alias(f"_u_{c}") for c in later]).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(is_past).alias("_past"),
+        F.count_if(~is_past & ~_has_keys()).alias("_no_key"))
+    whole = (F.col("_no_key") == 0) & (F.col("_n") > 0)
+    base = (sides.where((F.col("_past") > 0) & whole)
+            .select("event", *tier_keys(cfg), *now.values(), F.col("_n").alias("n_rows")))
+    events = sides.where((F.col("_past") == 0) & whole).select(
+        F.col("event").alias("event_name"), *tier_keys(cfg), *[F.col(f"_u_{c}").alias(c) for c in later if c != "event_name"], "_n")
+    return base, _sold(events, label, order, cfg, "_n")
 
 
 def score(resolved: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
@@ -79,13 +114,8 @@ def watchlist(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> Wat
     resolution per upcoming event, scoring, summary counted before the
     sold-out filter, then the ``watch_top_n`` most-behind rows.
     """
-    medians, finals = cohort_library(library_rows(df, as_of, cfg), cfg)
-    # The library is small (cohorts x bins) and read by four branches: write it
-    # once to the checkpoint folder (one job), which also cuts the history lineage.
-    ensure_checkpoint_dir(df.sparkSession)
-    medians, finals = materialize_library(medians, finals)
-    events = sold_now(df, as_of, cfg)
-    resolved = resolve_cohorts(events, medians, finals, EVENT_KEYS, cfg)
+    base, events = _history_and_events(df, as_of, cfg)
+    resolved = resolve_figures(events, cohort_figures(base, cfg), EVENT_KEYS, cfg)
     scored = score(resolved, cfg)
     summary = scored.agg(F.count(F.lit(1)).alias("evaluated"),
                          F.count_if(F.col("status") == STATUS_BEHIND).alias("behind"))
@@ -95,7 +125,7 @@ def watchlist(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> Wat
              .limit(cfg.watch_top_n)
              .select("event", F.col("days_out").cast("int").alias("days_out"), "sold_so_far_pct", "typical_at_day_pct",
                      "gap_pp", F.col("ticket_count").alias("tickets_so_far"), "status", "cohort"))
-    return Watchlist(table, summary, tiers, scored, medians, finals)
+    return Watchlist(table, summary, tiers, scored)
 
 
 def status_counts(table: DataFrame) -> DataFrame:

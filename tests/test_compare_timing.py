@@ -84,3 +84,33 @@ def test_composite_reports_build(spark):
     assert set(reports.period_compare(f, T.FIXTURE_CFG)) >= {"top_events", "share_shift"}
     assert reports.booking_curves(f, f, T.FIXTURE_AS_OF, T.FIXTURE_CFG)["sample_size"].first()["n"] > 0
     assert reports.trend(f)["seasons"].count() > 0
+
+
+def test_allocation_over_slots_equals_one_window(spark):
+    """Equal rows, several slots and groups, a total given or summed: floors, then one unit to each of the first rows."""
+    import random
+    rnd = random.Random(3)
+    rows = [(rnd.choice("ab"), rnd.randint(0, 9), rnd.randint(0, 300), rnd.randint(0, 3)) for _ in range(400)]
+    df = spark.createDataFrame(rows + rows[:40], "grp string, w bigint, k bigint, q bigint").repartition(4)
+    got = allocate(df, ["grp"], "w", None, ["k", "w", "q"], cfg=PacingConfig(order_span=16), total_of="q").collect()
+    want = []
+    for g in "ab":
+        mine = sorted((r for r in rows + rows[:40] if r[0] == g), key=lambda r: (r[2], r[1], r[3]))
+        weight, total = sum(r[1] for r in mine), sum(r[3] for r in mine)
+        floors = [r[1] * total // weight for r in mine]
+        rest = total - sum(floors)
+        want += [(*r, total, f + (i < rest)) for i, (r, f) in enumerate(zip(mine, floors))]
+    assert sorted((r["grp"], r["w"], r["k"], r["q"], r["q_sum"], r["alloc"]) for r in got) == sorted(want)
+
+
+def test_share_shift_keeps_all_when_nothing_passes(spark):
+    from boxpace.config import DEFAULT_CATEGORY
+    one = spark.createDataFrame([(DEFAULT_CATEGORY, 0.01)], "event_type string, share_ratio double")
+    assert CMP_rows(one, one) == [("Post", DEFAULT_CATEGORY), ("Pre", DEFAULT_CATEGORY)]
+    two = spark.createDataFrame([(DEFAULT_CATEGORY, 0.01), ("Dance", 0.5), (None, 0.2)], "event_type string, share_ratio double")
+    assert CMP_rows(two, one) == [("Pre", None), ("Pre", "Dance")]
+
+
+def CMP_rows(a, b):
+    from boxpace.operators.compare import share_shift
+    return sorted(((r["window"], r["event_type"]) for r in share_shift(a, b).collect()), key=lambda r: (r[0], r[1] or ""))

@@ -14,11 +14,11 @@ AS_OF = dt.date(2021, 1, 1)
 def _sales(spark, rows):
     """rows: (name, event_date, lead_days, qty)."""
     out = []
-    for name, ev, lead, qty in rows:
+    for seq, (name, ev, lead, qty) in enumerate(rows):
         e = dt.datetime.fromisoformat(ev)
-        out.append((name, e, e - dt.timedelta(days=lead), float(qty)))
+        out.append((name, e, e - dt.timedelta(days=lead), float(qty), seq))
     return spark.createDataFrame(out, "event_name string, event_date timestamp_ntz, sale_date timestamp_ntz, "
-                                      "qty_sold double")
+                                      "qty_sold double, sale_seq long")
 
 
 F_CURVE = [("E1", "2020-06-10", 0, 1), ("E1", "2020-06-10", 6, 1),

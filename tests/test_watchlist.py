@@ -76,25 +76,6 @@ def test_fixture_watchlist_summary_and_order(spark):
     assert c["n_total"] == c["n_behind"] + c["n_on_pace"] + c["n_ahead"]
 
 
-def test_prefix_sum_splits_hot_key(spark):
-    """One key with most rows spans many range partitions; sums equal the window plan."""
-    from boxpace.operators.cumulate import prefix_sum
-    rows = [("hot", i, float(i % 7 - 2)) for i in range(3000)] + [(f"k{j}", j, 1.0) for j in range(50)]
-    df = spark.createDataFrame(rows, "key string, pos int, v double")
-    got = prefix_sum(df, ["key"], [F.col("pos").asc()], "v", "c", partitions=16)
-    assert "_pid" not in got.columns
-    from pyspark.sql import Window
-    want = df.withColumn("c", F.sum("v").over(Window.partitionBy("key").orderBy("pos")
-                                              .rowsBetween(Window.unboundedPreceding, 0)))
-    a = sorted((r["key"], r["pos"], r["c"]) for r in got.select("key", "pos", "c").collect())
-    b = sorted((r["key"], r["pos"], r["c"]) for r in want.select("key", "pos", "c").collect())
-    assert a == b
-    # The hot key really was split: its rows sit in more than one range partition.
-    parts = (df.repartitionByRange(16, "key", "pos").where(F.col("key") == "hot")
-             .select(F.spark_partition_id().alias("p")).distinct().count())
-    assert parts > 1
-
-
 def _running(rows):
     """pandas' rules: NULL qty adds nothing and has no sum, a NULL key has neither sum."""
     by, out = {}, []
@@ -112,9 +93,9 @@ def _running(rows):
     return {s: (c, peak.get(keys[s])) for s, c in out}
 
 
-@pytest.mark.parametrize("plan", ["window", "range"])
-def test_running_sums_of_a_hot_day_with_nulls(spark, plan):
-    """One key holds most rows, nearly all in one second; every plan gives pandas' sums."""
+@pytest.mark.parametrize("span", [1 << 20, 7])
+def test_running_sums_of_a_hot_day_with_nulls(spark, span):
+    """One key holds most rows, nearly all in one second; the levels give pandas' sums, however the day is split."""
     import random
 
     from boxpace.operators import cumulate
@@ -127,10 +108,52 @@ def test_running_sums_of_a_hot_day_with_nulls(spark, plan):
         rows.append((key, lead, t, seq, None if seq % 11 == 0 else float(rnd.randint(-3, 6))))
     rows += [("none", 1, dt.datetime(2020, 1, 1), 900 + i, None) for i in range(3)]
     df = spark.createDataFrame(rows, "name string, days_out int, sale_date timestamp_ntz, k long, qty_sold double").repartition(6)
-    out = cumulate.running_share(df, "name", CFG.with_(running_sum=plan)).collect()
+    out = cumulate.running_share(df, "name", CFG.with_(order_span=span)).collect()
     assert {r["k"]: (r["cum_qty"], r["final_qty"]) for r in out} == _running(rows)
 
 
+def test_levels_equal_a_plain_window(spark):
+    """Missing lead days, dates, order numbers and quantities, NaN, dates with and without seconds: the plain window's sums."""
+    import random
+
+    from pyspark.sql import Window
+    rnd, rows = random.Random(4), []
+    for seq in range(3000):
+        hot = seq % 3 < 2
+        key = "hot" if hot else rnd.choice(["a", "b", None])
+        t = None if seq % 50 == 0 else dt.datetime(2020, 1, 1, 10, rnd.choice([0, 0, 1]), rnd.choice([0, 0, 0, 30]), rnd.choice([0, 0, 5]))
+        q = None if seq % 11 == 0 else float("nan") if key == "b" and seq > 2000 and seq % 7 == 0 else float(rnd.randint(-3, 6))
+        rows.append((key, 7 if hot else rnd.choice([None, *range(10)]), t, None if seq % 80 == 0 else seq - 1500, seq, q))
+    df = spark.createDataFrame(rows, "name string, days_out int, sale_date timestamp_ntz, k long, k2 long, qty_sold double").repartition(6)
+    w = (Window.partitionBy("name").orderBy(F.col("days_out").desc(), "sale_date", "k", "k2")
+         .rowsBetween(Window.unboundedPreceding, 0))
+    want = df.withColumn("c", F.when(F.col("qty_sold").isNotNull() & F.col("name").isNotNull(), F.sum("qty_sold").over(w)))
+    want = want.withColumn("f", F.max("c").over(Window.partitionBy("name")))
+    got = running_share(df, "name", PacingConfig(order_key=("k", "k2"), order_span=97))
+    assert got.columns == [*df.columns, "cum_qty", "final_qty", "cum_pct"]
+    assert ({r["k2"]: (repr(r["cum_qty"]), repr(r["final_qty"])) for r in got.collect()}
+            == {r["k2"]: (repr(r["c"]), repr(r["f"])) for r in want.collect()})
+
+
+def test_order_keys_of_text_are_summed_too(spark):
+    rows = [("A", 3, dt.datetime(2020, 1, 1), x, 1.0) for x in "edcba"]
+    df = spark.createDataFrame(rows, "name string, days_out int, sale_date timestamp_ntz, k string, qty_sold double")
+    assert sorted((r["k"], r["cum_qty"]) for r in running_share(df, "name", CFG).collect()) == list(zip("abcde", [1.0, 2.0, 3.0, 4.0, 5.0]))
+
+
+def test_pacing_has_the_running_sums_highest_value_per_bin(spark):
+    """The one-pass figures of A18 equal the rows' running shares, also with refunds."""
+    from boxpace.operators import curves
+    from boxpace.operators.prep import pacing_rows
+    f = T.fact_with_refunds(spark, "/root/testdata/sf0.001")
+    cfg = T.FIXTURE_CFG.with_(order_span=500)
+    rows = running_share(pacing_rows(f, cfg), "event_instance", cfg, positive_final=True)
+    want = rows.groupBy("event_instance", "d_bin").agg(F.max("cum_pct").alias("p")).collect()
+    got = curves.event_pacing(f, cfg).select("event_instance", "d_bin", F.col("cum_pct").alias("p")).collect()
+    key = lambda r: (r["event_instance"], r["d_bin"])
+    assert {key(r): r["p"] for r in got} == pytest.approx({key(r): r["p"] for r in want}, nan_ok=True)
+
+
 def test_refunds_only_have_no_percentage(spark):
     from boxpace.operators.cumulate import running_share
     rows = [("r", 5, dt.datetime(2020, 1, 1), 1, -2.0), ("r", 4, dt.datetime(2020, 1, 2), 2, -1.0)]
@@ -147,11 +170,10 @@ def test_an_absent_order_key_is_an_error(spark):
         order_columns(spark.range(1), PacingConfig(order_key=("no_such",)))
 
 
-@pytest.mark.parametrize("mode", ["direct", "banded"])
-def test_library_counts_no_event_without_a_name(spark, mode):
+def test_library_counts_no_event_without_a_name(spark):
     rows = [("A", 10, 50.0, 4.0), ("A", 20, 30.0, 4.0), ("B", 10, 40.0, 6.0), (None, 10, 60.0, 8.0)]
     df = spark.createDataFrame(rows, "event_name string, d_bin int, hist_cum_pct double, final_qty double")
     df = df.select("*", *[F.lit("x").alias(k) for k in tier_keys()])
-    _, finals = cohort_library(df, PacingConfig(quantile_mode=mode))
+    _, finals = cohort_library(df, PacingConfig())
     got = finals.select("n_events", "median_final").distinct().collect()
     assert [tuple(r) for r in got] == [(2, 5.0)]
