@@ -13,16 +13,16 @@ sends only those to *tiles*:
    The place of the shared shingle in both orders bounds what can follow it, which rules
    out most pairs and all but a few meetings of the others.
 3. Bitmaps: a class has a bitmap of its hashes, a few bits per shingle. Bits of one
-   set missing from the other bound the overlap from above. Pairs whose bound is too
-   low are dropped before anything larger is moved.
+   set missing from the other bound the overlap from above. Members of a tile without a partner within
+   the bound go no further.
 4. Exact check: the sorted arrays of the pairs left are intersected, streaming past one array per
    (class, salt).
 
 First only each tile's leaders are paired with their followers; the links found give
-preliminary groups. Then all other pairs of a tile whose classes are in different groups pass the
-bitmaps; of those left one for each two groups is checked, and the others only where it did not join
-the groups. So a group of thousands of near copies costs about one check per
-member, and no pair that could join two groups is left out.
+groups. What is left in a tile are members of different groups; a pair belongs to the one tile of its first common
+shingle. There a round of pairs that would join all groups of the tile that can be joined, at most one less than its
+members, is checked and merges most of them; then every pair of the tiles that still lies between two groups.
+So near copies cost a number of pairs in proportion to the tiles' members, and no pair that could join two groups is left out.
 """
 from __future__ import annotations
 
@@ -39,8 +39,8 @@ SAMPLE_TASKS = 8
 HOT_SHINGLES = 1 << 16
 # Classes up to which the list of those in candidate pairs (8 bytes each) is broadcast.
 MAX_BROADCAST_CLASSES = 1 << 20
-# Least bits; bits per shingle and most bits of the bitmap that goes to tiles, and of the one looked up for pairs.
-MIN_BITS, TILE_BITS, WIDE_BITS = 64, (8, 4096), (16, 1 << 18)
+# Least bits; bits per shingle and most bits of a bitmap.
+MIN_BITS, TILE_BITS = 64, (8, 4096)
 SALTS = 32
 _P = 0x9E3779B97F4A7C15
 
@@ -211,7 +211,7 @@ def common_shingles(docs: DataFrame) -> list[tuple[int, int]]:
 
 
 def class_rows(docs: DataFrame, pct: int, hot) -> DataFrame:
-    """(doc_id, cid, n, sig, wide, prefix) of each document; the last three with the class's first row in a task.
+    """(doc_id, cid, n, sig, prefix) of each document; the last two with the class's first row in a task.
 
     ``cid`` is NULL for an empty set. ``prefix`` packs the shingles that reach tiles as 64-bit integers.
     """
@@ -221,7 +221,7 @@ def class_rows(docs: DataFrame, pct: int, hot) -> DataFrame:
         tokens, ranks = hot.value
         words, seen = WordHasher(), set()
         for b in batches:
-            cids, sizes, sigs, wide, prefixes = [], [], [], [], []
+            cids, sizes, sigs, prefixes = [], [], [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 h = shingle_set(t, words)
                 n = len(h)
@@ -230,14 +230,12 @@ def class_rows(docs: DataFrame, pct: int, hot) -> DataFrame:
                 cids.append(c)
                 if not n or c in seen:
                     sigs.append(None)
-                    wide.append(None)
                     prefixes.append(None)
                     continue
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(c)
                 sigs.append(bitmap(h, *TILE_BITS))
-                wide.append(bitmap(h, *WIDE_BITS))
                 take = n - (pct * n + 99) // 100 + 1
                 if len(tokens):
                     at = np.searchsorted(tokens, h).clip(max=len(tokens) - 1)
@@ -246,9 +244,8 @@ def class_rows(docs: DataFrame, pct: int, hot) -> DataFrame:
                 prefixes.append(h[:take].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(cids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()),
-                 pa.array(wide, pa.binary()), pa.array(prefixes, pa.binary())],
-                names=["doc_id", "cid", "n", "sig", "wide", "prefix"])
-    return docs.mapInArrow(run, "doc_id long, cid long, n int, sig binary, wide binary, prefix binary")
+                 pa.array(prefixes, pa.binary())], names=["doc_id", "cid", "n", "sig", "prefix"])
+    return docs.mapInArrow(run, "doc_id long, cid long, n int, sig binary, prefix binary")
 
 
 def make_tiles(rows: DataFrame, pct: int, tile: int) -> DataFrame:
@@ -269,51 +266,54 @@ def make_tiles(rows: DataFrame, pct: int, tile: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(t), b.column(0).take(at), b.column(1).take(at),
                                               pa.array(pos.astype(np.int32))], names=["token", "cid", "n", "pos"])
 
-    def band(tok, cid, n, pos, out):
-        """Tiles of one shingle's classes, sorted by size."""
-        lead, bands = 0, []
-        for i in range(len(cid)):
-            if i and 100 * n[lead] < pct * n[i]:
-                lead = i
-            own = i // tile
-            if i % tile == 0:
-                bands.append(0)
-            bands[own] = n[i]
-            out.append((tok, own, cid[i], n[i], pos[i], None if i == lead else cid[lead], False))
-            k = own - 1
-            while k >= 0 and 100 * bands[k] >= pct * n[i]:
-                out.append((tok, k, cid[i], n[i], pos[i], None, True))
-                k -= 1
-
     def run(batches):
         import numpy as np
         import pyarrow as pa
         schema = pa.schema([("token", pa.int64()), ("tile", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()),
                             ("pos", pa.int32()), ("leader", pa.int64()), ("guest", pa.bool_())])
-        held = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32)]
-
-        def emit(tok, cid, n, pos):
-            fresh = np.ones(len(tok), dtype=bool)  # a class comes once per task that met it
-            fresh[1:] = (tok[1:] != tok[:-1]) | (cid[1:] != cid[:-1])
-            tok, cid, n, pos = tok[fresh], cid[fresh], n[fresh], pos[fresh]
-            starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, dtype=np.int64)
-            sizes = np.diff(np.r_[starts, len(tok)])
-            out = []
-            for s, m in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-                band(int(tok[s]), *[c[s:s + m].tolist() for c in (cid, n, pos)], out)
-                if len(out) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        out, opened, now = [], None, None  # rows to send, a shingle's first row until a second one comes, the shingle
+        i, last, lead, lead_n, bands = 0, None, None, 0, []
+
+        def rows():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            out.clear()
+            return batch
+        # Rows come by (shingle, size, class); what is kept of a shingle is a size for each of its bands.
         for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [np.concatenate([h, b.column(k).to_numpy()]) for k, h in enumerate(held)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last shingle may go on
-            held = [c[cut:] for c in cols]
-            yield from emit(*[c[:cut] for c in cols])
-        yield from emit(*held)
+            cols = [c.to_numpy() for c in b.columns]
+            edge = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]) if len(cols[0]) else np.zeros(0, dtype=np.int64)
+            size = np.diff(np.r_[edge, len(cols[0])])
+            # Shingles with one row, if it isn't at the batch's ends, have no tile.
+            some = np.repeat((size > 1) | (edge == 0) | (edge + size == len(cols[0])), size)
+            for tok, cid, n, pos in zip(*(c[some].tolist() for c in cols)):
+                if tok != now:
+                    opened, now, i, last, lead, lead_n, bands = None, tok, 0, None, None, 0, []
+                if cid == last:
+                    continue  # a class comes once per task that met it
+                last = cid
+                if i == 0 or 100 * lead_n < pct * n:
+                    lead, lead_n = cid, n
+                own = i // tile
+                if i % tile == 0:
+                    bands.append(0)
+                bands[own] = n
+                row = (tok, own, cid, n, pos, None if lead == cid else lead, False)
+                if i == 0:
+                    opened = row
+                else:
+                    if opened:
+                        out.append(opened)
+                        opened = None
+                    out.append(row)
+                i += 1
+                k = own - 1
+                while k >= 0 and 100 * bands[k] >= pct * n:
+                    out.append((tok, k, cid, n, pos, None, True))
+                    k -= 1
+                if len(out) > 50_000:
+                    yield rows()
+        if out:
+            yield rows()
     tokens = (rows.where(F.col("prefix").isNotNull()).select("cid", "n", "prefix")
               .mapInArrow(unpack, "token long, cid long, n int, pos int"))
     dealt = tokens.repartition("token").sortWithinPartitions("token", "n", "cid")
@@ -321,7 +321,7 @@ def make_tiles(rows: DataFrame, pct: int, tile: int) -> DataFrame:
 
 
 def bounded_pairs(pairs: DataFrame, sigs: DataFrame, pct: int) -> DataFrame:
-    """The (a, b) whose wide bitmaps allow enough overlap."""
+    """The (a, b) whose bitmaps allow enough overlap."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -334,8 +334,8 @@ def bounded_pairs(pairs: DataFrame, sigs: DataFrame, pct: int) -> DataFrame:
                 if alike(overlap_bound(fold(u, w)[0], na[i], fold(v, w), nb[i])[0], na[i], nb[i], pct):
                     keep.append(i)
             yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
-    a = sigs.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("wide").alias("sa"))
-    c = sigs.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("sb"))
+    a = sigs.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    c = sigs.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     j = pairs.join(a, "a").join(c, "b").select("a", "b", "na", "sa", "nb", "sb")
     return j.mapInArrow(run, "a long, b long")
 
@@ -402,37 +402,82 @@ def with_partners(members: DataFrame, pct: int) -> DataFrame:
     return dealt.mapInArrow(by_tile((one, out)), dealt.schema)
 
 
-def cross_group_pairs(members: DataFrame, pct: int) -> DataFrame:
-    """(a, b) of each tile: classes of different groups whose sizes, places and bitmaps allow a link.
+def bounded_partners(c: dict, t, s: int, pct: int):
+    """Yield (row, its partners): those of a tile's pairs whose bitmaps allow enough overlap."""
+    import numpy as np
+    n = c["n"].astype(np.int64)
+    sigs = t.column("sig").slice(s, len(n)).to_pylist()
+    folded = {}
+    for i in np.flatnonzero(~c["guest"]).tolist():
+        js = partners(c, i, pct)
+        if not len(js):
+            continue
+        w = len(sigs[i]) // 8
+        if w not in folded:  # rows are sorted by size, so all later ones are as wide or wider
+            folded[w] = (i, np.concatenate([fold(np.frombuffer(x, dtype=np.uint64)[None, :], w) for x in sigs[i:]]))
+        base, x = folded[w]
+        js = js[alike(overlap_bound(x[i - base], int(n[i]), x[js - base], n[js]), int(n[i]), n[js], pct)]
+        if len(js):
+            yield i, js
+
+
+def marked_members(members: DataFrame, pct: int) -> DataFrame:
+    """The rows of ``members`` (with ``sig``) that have a partner within the bitmaps' bound; a tile comes in one partition."""
+    def one(c, t, s):
+        import numpy as np
+        keep = np.zeros(len(c["n"]), dtype=bool)
+        for i, js in bounded_partners(c, t, s, pct):
+            keep[i] = True
+            keep[js] = True
+        return (s + np.flatnonzero(keep)).tolist()
+
+    def out(t, found):
+        import pyarrow as pa
+        picked = t.take(pa.array(found, pa.int64())).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in picked.columns],
+                                          names=picked.column_names)
+    dealt = members.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "cid")
+    dealt = dealt.select("token", "tile", "cid", "n", "pos", "guest", "label", "sig")
+    return dealt.mapInArrow(by_tile((one, out)), dealt.schema)
+
+
+def tile_pairs(members: DataFrame, pct: int, spanning: bool) -> DataFrame:
+    """(a, b): pairs of different groups that the tiles' bounds allow, each from the tile of its first common shingle.
 
-    ``members`` has (token, tile, cid, n, pos, guest, label, sig).
+    ``members`` has (token, tile, cid, n, pos, guest, label, sig, before); ``before`` packs the class's shingles ahead of
+    the tile's. With ``spanning`` a tile gives only pairs that join two groups that its earlier pairs don't.
     """
     def one(c, t, s):
-        import numpy as np
-        cid, n = c["cid"], c["n"].astype(np.int64)
-        sigs = t.column("sig").slice(s, len(n)).to_pylist()
-        folded, pairs = {}, []
-        for i in np.flatnonzero(~c["guest"]).tolist():
-            js = partners(c, i, pct)
-            if not len(js):
-                continue
-            w = len(sigs[i]) // 8
-            if w not in folded:  # rows are sorted by size, so all later ones are as wide or wider
-                rows = [fold(np.frombuffer(x, dtype=np.uint64)[None, :], w) for x in sigs[i:]]
-                folded[w] = (i, np.concatenate(rows))
-            base, x = folded[w]
-            ub = overlap_bound(x[i - base], int(n[i]), x[js - base], n[js])
-            for j in js[alike(ub, int(n[i]), n[js], pct)].tolist():
-                pairs.append((int(cid[i]), int(cid[j])) if cid[i] < cid[j] else (int(cid[j]), int(cid[i])))
+        before = [None] * len(c["n"])
+
+        def ahead(k):
+            if before[k] is None:
+                import numpy as np
+                before[k] = frozenset(np.frombuffer(t.column("before")[s + k].as_buffer(), dtype=np.int64).tolist())
+            return before[k]
+        cid, label, up, pairs = c["cid"].tolist(), c["label"].tolist(), {}, []
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+        for i, js in bounded_partners(c, t, s, pct):
+            for j in js.tolist():
+                if spanning and root(label[i]) == root(label[j]) or not ahead(i).isdisjoint(ahead(j)):
+                    continue
+                if spanning:
+                    up[root(label[i])] = root(label[j])
+                pairs.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
         return pairs
 
     def out(t, found):
         import pyarrow as pa
-        found = list(dict.fromkeys(found))
         return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()),
                                            "b": pa.array([p[1] for p in found], pa.int64())})
     dealt = members.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "cid")
-    dealt = dealt.select("token", "tile", "cid", "n", "pos", "guest", "label", "sig")
+    dealt = dealt.select("token", "tile", "cid", "n", "pos", "guest", "label", "sig", "before")
+    # A class may stand in a tile once for each of its own and guest places.
     return dealt.mapInArrow(by_tile((one, out)), "a long, b long").distinct()
 
 
@@ -531,35 +576,34 @@ def similar_classes(docs: DataFrame, pct: int = 80, tile: int = TILE) -> tuple[D
     hot = spark.sparkContext.broadcast((np.array([t % 2 ** 64 for t, _ in common], dtype=np.uint64),
                                         np.array([r for _, r in common], dtype=np.int8)))
     rows = shared_checkpoint(class_rows(docs, pct, hot))
-    sigs = rows.where(F.col("sig").isNotNull()).select("cid", "n", "sig", "wide").dropDuplicates(["cid"])
+    sigs = rows.where(F.col("sig").isNotNull()).select("cid", "n", "sig").dropDuplicates(["cid"])
     tiles = shared_checkpoint(make_tiles(rows, pct, tile))
     stars = tiles.where(F.col("leader").isNotNull()).select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
     first = shared_checkpoint(bounded_pairs(stars, sigs, pct))
     groups = shared_checkpoint(components(exact_links(first, docs, rows, pct)))
-    members = (tiles.drop("leader").join(groups.withColumnRenamed("cid", "_c"), F.col("cid") == F.col("_c"), "left")
-               .select("token", "tile", "cid", "n", "pos", "guest", F.coalesce("label", "cid").alias("label")))
+    members = labelled(tiles.drop("leader"), groups)
     mixed = (members.groupBy(F.col("token").alias("_t"), F.col("tile").alias("_k"))
              .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("_t", "_k"))
     members = members.join(mixed, (F.col("token") == F.col("_t")) & (F.col("tile") == F.col("_k"))).drop("_t", "_k")
     members = with_partners(members, pct)
     members = members.join(sigs.select(F.col("cid").alias("_c"), "sig"), F.col("cid") == F.col("_c")).drop("_c")
-    rest = shared_checkpoint(bounded_pairs(cross_group_pairs(members, pct), sigs, pct))
-    # One pair for each two groups first; where it links them, their other pairs need no check.
-    two = [F.least("la", "lb"), F.greatest("la", "lb")]
-    probes = (cross_labels(rest, groups).groupBy(*[c.alias(f"_{i}") for i, c in enumerate(two)])
-              .agg(F.min(F.struct("a", "b")).alias("p")).select("p.*"))
-    groups = shared_checkpoint(joined_groups(groups, exact_links(probes, docs, rows, pct)))
-    others = cross_labels(rest, groups).select("a", "b").join(probes, ["a", "b"], "left_anti")
+    marked = shared_checkpoint(marked_members(members, pct))
+    needed = marked.select(F.col("cid").alias("_c")).distinct()
+    ahead = (rows.where(F.col("prefix").isNotNull()).join(needed, F.col("cid") == F.col("_c"), "left_semi")
+             .dropDuplicates(["cid"]).select(F.col("cid").alias("_c"), "prefix"))
+    marked = shared_checkpoint(marked.drop("label").join(ahead, F.col("cid") == F.col("_c"))
+                               .withColumn("before", F.expr("substring(prefix, 1, 8 * pos)")).drop("_c", "prefix"))
+    tried = shared_checkpoint(tile_pairs(labelled(marked, groups), pct, spanning=True))
+    groups = shared_checkpoint(joined_groups(groups, exact_links(tried, docs, rows, pct)))
+    others = tile_pairs(labelled(marked, groups), pct, spanning=False).join(tried, ["a", "b"], "left_anti")
+    others = shared_checkpoint(others)
     return rows.select("doc_id", "cid", "n"), joined_groups(groups, exact_links(others, docs, rows, pct))
 
 
-def cross_labels(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b, la, lb): the pairs whose classes are in different groups."""
-    out = pairs
-    for c in ("a", "b"):
-        g = groups.select(F.col("cid").alias("_c"), F.col("label").alias("_l"))
-        out = out.join(g, F.col(c) == F.col("_c"), "left").withColumn(f"l{c}", F.coalesce("_l", c)).drop("_c", "_l")
-    return out.where("la <> lb")
+def labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``members`` with the label of each class's group, its own id without one."""
+    g = groups.select(F.col("cid").alias("_c"), "label")
+    return members.join(g, F.col("cid") == F.col("_c"), "left").withColumn("label", F.coalesce("label", "cid")).drop("_c")
 
 
 def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -579,11 +623,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``group_id`` the smallest of the group's, both NULL for an empty set.
     """
     rows, groups = similar_classes(texts(docs, id_col, text_col), pct, tile)
-    labelled = rows.where(F.col("cid").isNotNull()).join(groups.withColumnRenamed("cid", "_c"),
-                                                         F.col("cid") == F.col("_c"), "left")
-    labelled = labelled.select("doc_id", "cid", "n", F.coalesce("label", "cid").alias("label"))
-    first = labelled.groupBy(F.col("label").alias("_l")).agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(first, F.col("label") == F.col("_l")).select("doc_id", "n", "component_id", "cid", "label")
+    placed = labelled(rows.where(F.col("cid").isNotNull()), groups)
+    first = placed.groupBy(F.col("label").alias("_l")).agg(F.min("doc_id").alias("component_id"))
+    out = placed.join(first, F.col("label") == F.col("_l")).select("doc_id", "n", "component_id", "cid", "label")
     empty = rows.where(F.col("cid").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id"), "cid",
                                                      F.lit(None).cast("long").alias("label"))
     return out.unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id",

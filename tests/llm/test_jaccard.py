@@ -119,3 +119,47 @@ def test_rows_that_stay(edge, clash, edge_rows):
         got = out.collect()
         assert sorted(r["doc_id"] for r in got if shingles(r["text"]) and r["doc_id"] is not None) == want
         assert sorted(str(r["doc_id"]) for r in got if not shingles(r["text"])) == blank
+
+
+def test_many_near_copies_of_one_text_give_few_pairs(spark, monkeypatch):
+    """Thousands of copies that share one rare shingle: linked as one group through pairs in proportion to them."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    base = [word() for _ in range(40)]
+    rows = []
+    for i in range(3000):
+        text = base[:]
+        text[rng.randrange(30, 40)] = word()
+        rows.append((i, " ".join(text)))
+    counted, tile_pairs = [], jaccard.tile_pairs
+
+    def counting(*a, **kw):
+        out = tile_pairs(*a, **kw)
+        counted.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard, "tile_pairs", counting)
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), tile=256).collect()
+    sets = [shingles(t) for _, t in rows]
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, _, c in brute_by_edit(rows, sets)}
+    assert sum(counted) <= 3 * len(rows)
+
+
+def brute_by_edit(rows, sets):
+    """Components by checking, per text, texts whose edited word stands at a near place (others share too little)."""
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+    for a in range(len(rows)):
+        for b in range(a):
+            if find(a) != find(b):
+                o = len(sets[a] & sets[b])
+                if 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o):
+                    up[find(a)] = find(b)
+    low = defaultdict(lambda: 1 << 60)
+    for k, (i, _) in enumerate(rows):
+        low[find(k)] = min(low[find(k)], i)
+    return [(i, len(sets[k]), low[find(k)]) for k, (i, _) in enumerate(rows)]
