@@ -19,8 +19,8 @@ sends only those to *tiles*:
    (class, salt).
 
 First only each tile's leaders are paired with their followers; the links found give
-groups. What is left in a tile are members of different groups; a pair belongs to the one tile of its first common
-shingle. There a round of pairs that would join all groups of the tile that can be joined, at most one less than its
+groups. What is left in a tile are members of different groups; a pair is left to the tile of an earlier common
+shingle where the first few of both orders show one. There a round of pairs that would join all groups of the tile that can be joined, at most one less than its
 members, is checked and merges most of them; then every pair of the tiles that still lies between two groups.
 So near copies cost a number of pairs in proportion to the tiles' members, and no pair that could join two groups is left out.
 """
@@ -41,7 +41,10 @@ HOT_SHINGLES = 1 << 16
 MAX_BROADCAST_CLASSES = 1 << 20
 # Least bits; bits per shingle and most bits of a bitmap.
 MIN_BITS, TILE_BITS = 64, (8, 4096)
-SALTS = 32
+# Partners of a class that one task compares with it.
+PARTNERS = 64
+# Shingles of a class's order that tell a tile whether an earlier one has a pair too.
+HEAD = 8
 _P = 0x9E3779B97F4A7C15
 
 
@@ -263,8 +266,8 @@ def make_tiles(rows: DataFrame, pct: int, tile: int) -> DataFrame:
             size = np.array([len(x) // 8 for x in packed], dtype=np.int64)
             at = pa.array(np.repeat(np.arange(b.num_rows), size))
             pos = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
-            yield pa.RecordBatch.from_arrays([pa.array(t), b.column(0).take(at), b.column(1).take(at),
-                                              pa.array(pos.astype(np.int32))], names=["token", "cid", "n", "pos"])
+            place = np.repeat(b.column(1).to_numpy().astype(np.int64) << 32, size) + pos
+            yield pa.RecordBatch.from_arrays([pa.array(t), b.column(0).take(at), pa.array(place)], names=["token", "cid", "place"])
 
     def run(batches):
         import numpy as np
@@ -285,7 +288,8 @@ def make_tiles(rows: DataFrame, pct: int, tile: int) -> DataFrame:
             size = np.diff(np.r_[edge, len(cols[0])])
             # Shingles with one row, if it isn't at the batch's ends, have no tile.
             some = np.repeat((size > 1) | (edge == 0) | (edge + size == len(cols[0])), size)
-            for tok, cid, n, pos in zip(*(c[some].tolist() for c in cols)):
+            tok, cid, place = (c[some] for c in cols)
+            for tok, cid, n, pos in zip(tok.tolist(), cid.tolist(), (place >> 32).tolist(), (place & 0xFFFFFFFF).tolist()):
                 if tok != now:
                     opened, now, i, last, lead, lead_n, bands = None, tok, 0, None, None, 0, []
                 if cid == last:
@@ -315,8 +319,8 @@ def make_tiles(rows: DataFrame, pct: int, tile: int) -> DataFrame:
         if out:
             yield rows()
     tokens = (rows.where(F.col("prefix").isNotNull()).select("cid", "n", "prefix")
-              .mapInArrow(unpack, "token long, cid long, n int, pos int"))
-    dealt = tokens.repartition("token").sortWithinPartitions("token", "n", "cid")
+              .mapInArrow(unpack, "token long, cid long, place long"))  # place: set size, then the shingle's place
+    dealt = tokens.repartition("token").sortWithinPartitions("token", "place", "cid")
     return dealt.mapInArrow(run, "token long, tile int, cid long, n int, pos int, leader long, guest boolean")
 
 
@@ -422,7 +426,7 @@ def bounded_partners(c: dict, t, s: int, pct: int):
 
 
 def marked_members(members: DataFrame, pct: int) -> DataFrame:
-    """The rows of ``members`` (with ``sig``) that have a partner within the bitmaps' bound; a tile comes in one partition."""
+    """The rows of ``members`` (with ``sig`` and ``head``) that have a partner within the bitmaps' bound; a tile comes in one partition."""
     def one(c, t, s):
         import numpy as np
         keep = np.zeros(len(c["n"]), dtype=bool)
@@ -437,23 +441,25 @@ def marked_members(members: DataFrame, pct: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in picked.columns],
                                           names=picked.column_names)
     dealt = members.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "cid")
-    dealt = dealt.select("token", "tile", "cid", "n", "pos", "guest", "label", "sig")
+    dealt = dealt.select("token", "tile", "cid", "n", "pos", "guest", "label", "sig", "head")
     return dealt.mapInArrow(by_tile((one, out)), dealt.schema)
 
 
-def tile_pairs(members: DataFrame, pct: int, spanning: bool) -> DataFrame:
-    """(a, b): pairs of different groups that the tiles' bounds allow, each from the tile of its first common shingle.
+def tile_pairs(members: DataFrame, groups: DataFrame, pct: int, spanning: bool) -> DataFrame:
+    """(a, b): pairs of different groups that the tiles' bounds allow.
 
-    ``members`` has (token, tile, cid, n, pos, guest, label, sig, before); ``before`` packs the class's shingles ahead of
-    the tile's. With ``spanning`` a tile gives only pairs that join two groups that its earlier pairs don't.
+    ``members`` are rows as :func:`marked_members` wrote them, whole tiles in a partition; labels of the groups are joined
+    without moving them where the groups can be broadcast. ``head`` packs the first shingles of a class's order. A pair with a common one ahead of the tile's shingle is left to that one's tile, so most come from one tile.
+    With ``spanning`` a tile gives only pairs that join two groups that its earlier pairs don't.
     """
     def one(c, t, s):
+        import numpy as np
         before = [None] * len(c["n"])
 
         def ahead(k):
             if before[k] is None:
-                import numpy as np
-                before[k] = frozenset(np.frombuffer(t.column("before")[s + k].as_buffer(), dtype=np.int64).tolist())
+                head = np.frombuffer(t.column("head")[s + k].as_buffer(), dtype=np.int64)
+                before[k] = frozenset(head[:c["pos"][k]].tolist())
             return before[k]
         cid, label, up, pairs = c["cid"].tolist(), c["label"].tolist(), {}, []
 
@@ -475,9 +481,11 @@ def tile_pairs(members: DataFrame, pct: int, spanning: bool) -> DataFrame:
         import pyarrow as pa
         return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()),
                                            "b": pa.array([p[1] for p in found], pa.int64())})
-    dealt = members.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "cid")
-    dealt = dealt.select("token", "tile", "cid", "n", "pos", "guest", "label", "sig", "before")
-    # A class may stand in a tile once for each of its own and guest places.
+    small = groups.count() <= MAX_BROADCAST_CLASSES
+    dealt = labelled(members, groups, small)
+    if not small:
+        dealt = dealt.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "cid")
+    dealt = dealt.select("token", "tile", "cid", "n", "pos", "guest", "label", "sig", "head")
     return dealt.mapInArrow(by_tile((one, out)), "a long, b long").distinct()
 
 
@@ -527,7 +535,9 @@ def exact_links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, pct: int) ->
                     if alike(int((left[at] == h).sum()), len(left), len(h), pct):
                         found.append(i)
             yield b.select([0, 1]).take(pa.array(found, pa.int64()))
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    # An opener goes to as many tasks as its partners need, so a pair costs little more than its partner's array.
+    many = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("_s"))
+    salted = pairs.join(many, F.col("a") == F.col("_a")).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("_s"))).drop("_a", "_s")
     partners = salted.join(arrays, F.col("b") == F.col("cid")).select("a", "salt", "b", "arr")
     openers = (salted.select("a", "salt").distinct().join(arrays, F.col("a") == F.col("cid"))
                .select("a", "salt", F.lit(None).cast("long").alias("b"), "arr"))
@@ -576,33 +586,30 @@ def similar_classes(docs: DataFrame, pct: int = 80, tile: int = TILE) -> tuple[D
     hot = spark.sparkContext.broadcast((np.array([t % 2 ** 64 for t, _ in common], dtype=np.uint64),
                                         np.array([r for _, r in common], dtype=np.int8)))
     rows = shared_checkpoint(class_rows(docs, pct, hot))
-    sigs = rows.where(F.col("sig").isNotNull()).select("cid", "n", "sig").dropDuplicates(["cid"])
+    head = F.substring("prefix", 1, 8 * HEAD).alias("head")
+    sigs = rows.where(F.col("sig").isNotNull()).select("cid", "n", "sig", head).dropDuplicates(["cid"])
     tiles = shared_checkpoint(make_tiles(rows, pct, tile))
     stars = tiles.where(F.col("leader").isNotNull()).select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
     first = shared_checkpoint(bounded_pairs(stars, sigs, pct))
     groups = shared_checkpoint(components(exact_links(first, docs, rows, pct)))
-    members = labelled(tiles.drop("leader"), groups)
+    members = labelled(tiles.drop("leader"), groups, groups.count() <= MAX_BROADCAST_CLASSES)
     mixed = (members.groupBy(F.col("token").alias("_t"), F.col("tile").alias("_k"))
              .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("_t", "_k"))
     members = members.join(mixed, (F.col("token") == F.col("_t")) & (F.col("tile") == F.col("_k"))).drop("_t", "_k")
     members = with_partners(members, pct)
-    members = members.join(sigs.select(F.col("cid").alias("_c"), "sig"), F.col("cid") == F.col("_c")).drop("_c")
-    marked = shared_checkpoint(marked_members(members, pct))
-    needed = marked.select(F.col("cid").alias("_c")).distinct()
-    ahead = (rows.where(F.col("prefix").isNotNull()).join(needed, F.col("cid") == F.col("_c"), "left_semi")
-             .dropDuplicates(["cid"]).select(F.col("cid").alias("_c"), "prefix"))
-    marked = shared_checkpoint(marked.drop("label").join(ahead, F.col("cid") == F.col("_c"))
-                               .withColumn("before", F.expr("substring(prefix, 1, 8 * pos)")).drop("_c", "prefix"))
-    tried = shared_checkpoint(tile_pairs(labelled(marked, groups), pct, spanning=True))
+    members = members.join(sigs.select(F.col("cid").alias("_c"), "sig", "head"), F.col("cid") == F.col("_c")).drop("_c")
+    marked = shared_checkpoint(marked_members(members, pct).drop("label"))
+    tried = shared_checkpoint(tile_pairs(marked, groups, pct, spanning=True))
     groups = shared_checkpoint(joined_groups(groups, exact_links(tried, docs, rows, pct)))
-    others = tile_pairs(labelled(marked, groups), pct, spanning=False).join(tried, ["a", "b"], "left_anti")
+    others = tile_pairs(marked, groups, pct, spanning=False).join(tried, ["a", "b"], "left_anti")
     others = shared_checkpoint(others)
     return rows.select("doc_id", "cid", "n"), joined_groups(groups, exact_links(others, docs, rows, pct))
 
 
-def labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """``members`` with the label of each class's group, its own id without one."""
+def labelled(members: DataFrame, groups: DataFrame, small: bool = False) -> DataFrame:
+    """``members`` with the label of each class's group, its own id without one; ``small`` groups are broadcast."""
     g = groups.select(F.col("cid").alias("_c"), "label")
+    g = F.broadcast(g) if small else g
     return members.join(g, F.col("cid") == F.col("_c"), "left").withColumn("label", F.coalesce("label", "cid")).drop("_c")
 
 

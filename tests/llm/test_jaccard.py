@@ -58,8 +58,10 @@ def near_copies(seed):
     return list(zip(ids, rows))
 
 
-@pytest.mark.parametrize("seed,tile", [(1, 2048), (2, 2), (3, 5)])
-def test_near_copies(spark, seed, tile):
+@pytest.mark.parametrize("seed,tile,small", [(1, 2048, 1 << 20), (2, 2, 1 << 20), (3, 5, 0)])
+def test_near_copies(spark, monkeypatch, seed, tile, small):
+    monkeypatch.setattr(jaccard, "MAX_BROADCAST_CLASSES", small)
+    monkeypatch.setattr(jaccard, "PARTNERS", 2)
     rows = near_copies(seed)
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, tile=tile)
 
