@@ -5,7 +5,7 @@ form a class, which is joined once. Two sets with a Jaccard similarity of t or m
 share one of the first (1 - t) of their shingles in any common order, so each class
 sends only those to *tiles*:
 
-1. Order: shingles found often in a bounded sample of documents come last, the rest by
+1. Order: shingles found often in a fixed share of the documents come last, the rest by
    hash. The order decides how many candidates there are, never which links are found.
 2. Tiles: the classes that share a shingle, sorted by set size and cut into bands of
    ``TILE`` members. A class meets its own band and, as a guest, earlier bands whose sizes
@@ -33,10 +33,10 @@ from .common import map_rows, shared_checkpoint, texts
 
 SHINGLE_WORDS = 5
 TILE = 2048
-# Documents whose shingles set the order, tasks that count them, and shingles that are put last.
-SAMPLE_DOCS = 8192
-SAMPLE_TASKS = 8
-HOT_SHINGLES = 1 << 16
+# One document in SAMPLE_RATE, by its hash, counts shingles for the order; those of SAMPLE_COUNT or more come last. Of
+# them at most HOT_SHINGLES (9 bytes each) are broadcast.
+SAMPLE_RATE, SAMPLE_COUNT = 6, 3
+HOT_SHINGLES = 1 << 20
 # Classes up to which the list of those in candidate pairs (8 bytes each) is broadcast.
 MAX_BROADCAST_CLASSES = 1 << 20
 # Least bits; bits per shingle and most bits of a bitmap.
@@ -185,32 +185,36 @@ def alike(overlap, na, nb, pct: int):
     return 100 * overlap >= pct * (na + nb - overlap)
 
 
-def common_shingles(docs: DataFrame) -> list[tuple[int, int]]:
-    """[(shingle, rank)] of shingles frequent in a sample: at most HOT_SHINGLES, rank = log2 of the count.
+def common_shingles(docs: DataFrame):
+    """(sorted shingles, rank of each): those frequent among a fixed share of all documents, rank = log2 of the count.
 
-    Only the join's speed depends on them.
+    A document counts the first 40 % of its shingles by hash: few others can come into its prefix. Only the
+    join's speed depends on the counts, never its result.
     """
-    spark = docs.sparkSession
-    step = max(1, docs.count() // SAMPLE_DOCS)
+    import numpy as np
 
     def count(batches):
-        import numpy as np
         import pyarrow as pa
-        words, seen, parts = WordHasher(), set(), []
+        words, seen = WordHasher(), set()
         for b in batches:
+            parts = []
             for t in b.column(0).cast(pa.binary()).to_pylist():
                 h = shingle_set(t, words)
                 c = class_of(h)
                 if c not in seen:
+                    if len(seen) >= 500_000:
+                        seen.clear()
                     seen.add(c)
-                    parts.append(h)
-        u, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_pydict({"token": pa.array(u[n > 1].view(np.int64)), "n": pa.array(n[n > 1])})
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0).select("text")
-    counts = sample.repartition(SAMPLE_TASKS).mapInArrow(count, "token long, n long")
-    top = (counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= 4)
-           .orderBy(F.col("n").desc(), "token").limit(HOT_SHINGLES))
-    return [(r["token"], int(r["n"]).bit_length()) for r in top.collect()]
+                    parts.append(h[:(2 * len(h) + 4) // 5])
+            u, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"token": pa.array(u.view(np.int64)), "n": pa.array(n.astype(np.int32))})
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE_RATE)) == 0).select("text")
+    top = (sample.mapInArrow(count, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
+           .where(F.col("n") >= SAMPLE_COUNT).orderBy(F.col("n").desc(), "token").limit(HOT_SHINGLES)
+           .select("token", F.ceil(F.log2("n")).cast("byte").alias("rank")).toArrow())
+    tokens = top.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], top.column("rank").to_numpy()[order]
 
 
 def class_rows(docs: DataFrame, pct: int, hot) -> DataFrame:
@@ -580,11 +584,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def similar_classes(docs: DataFrame, pct: int = 80, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """((doc_id, cid, n), (cid, label)): each document's class, and the group of each class that has a link."""
-    spark = docs.sparkSession
-    import numpy as np
-    common = sorted(common_shingles(docs), key=lambda x: x[0] % 2 ** 64)
-    hot = spark.sparkContext.broadcast((np.array([t % 2 ** 64 for t, _ in common], dtype=np.uint64),
-                                        np.array([r for _, r in common], dtype=np.int8)))
+    hot = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
     rows = shared_checkpoint(class_rows(docs, pct, hot))
     head = F.substring("prefix", 1, 8 * HEAD).alias("head")
     sigs = rows.where(F.col("sig").isNotNull()).select("cid", "n", "sig", head).dropDuplicates(["cid"])
