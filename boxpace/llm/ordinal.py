@@ -19,29 +19,37 @@ MAX_TRAIN_ROWS = 12_288
 MIN_DF = 5
 
 
+def word_shapes(w: str) -> list[str]:
+    """What one word looks like."""
+    import re
+    body, out = w.strip(".,;:?"), []
+    if len(body) > 1 and body.isupper():
+        out.append("upper")
+    if not any(c.isalnum() for c in body):
+        out.append("mark")
+    for end in re.findall(r"[^\w\s.,;:?'\"()-]{2,}$", body):
+        out += ["end", "end" + end[:3]]
+    if any(c.isdigit() for c in body):
+        out.append("digit")
+    return out
+
+
 def quality_terms(text: str) -> set[str]:
     """Words, and terms for what words look like: the share of each shape in eighths, rounded up on a log scale."""
-    import re
     from collections import Counter
+    from operator import eq
     words = text.split()
-    shapes = Counter()
-    for i, w in enumerate(words):
-        body = w.strip(".,;:?")
-        if i and w == words[i - 1]:
-            shapes["again"] += 1
-        if len(body) > 1 and body.isupper():
-            shapes["upper"] += 1
-        if not any(c.isalnum() for c in body):
-            shapes["mark"] += 1
-        for end in re.findall(r"[^\w\s.,;:?'\"()-]{2,}$", body):
-            shapes["end"] += 1
-            shapes["end" + end[:3]] += 1
-        if any(c.isdigit() for c in body):
-            shapes["digit"] += 1
+    kinds = Counter(words)
+    shapes = Counter({"again": sum(map(eq, words[1:], words))})
+    for w, c in kinds.items():
+        # Plain words, nearly all of them, have no shape; the others are looked at once per text.
+        if not w.isalpha() or w.isupper():
+            for shape in word_shapes(w):
+                shapes[shape] += c
     n = max(1, len(words))
-    out = {f"#{k}:{(64 * c // n).bit_length()}" for k, c in shapes.items()}
+    out = {f"#{k}:{(64 * c // n).bit_length()}" for k, c in shapes.items() if c}
     out.add(f"#words:{len(words).bit_length()}")
-    out.add(f"#kinds:{8 * len(set(words)) // n}")
+    out.add(f"#kinds:{8 * len(kinds) // n}")
     return word_terms(text) | out
 
 

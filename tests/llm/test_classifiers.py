@@ -132,3 +132,94 @@ def test_quality_on_held_out_rows(labelled):
     clean = np.mean([r["expected_grade"] for r in out if r["quality"] == 1 and r["toxic"] == 0])
     toxic = np.mean([r["expected_grade"] for r in out if r["quality"] == 1 and r["toxic"] == 1])
     assert clean > toxic > np.mean([r["expected_grade"] for r in out if r["quality"] == 0])
+
+
+def plain_terms(text):
+    """The terms of the quality model, word by word."""
+    import re
+    from collections import Counter
+
+    from boxpace.llm.hashed import word_terms
+    words, shapes = text.split(), Counter()
+    for i, w in enumerate(words):
+        body = w.strip(".,;:?")
+        shapes["again"] += bool(i and w == words[i - 1])
+        shapes["upper"] += len(body) > 1 and body.isupper()
+        shapes["mark"] += not any(c.isalnum() for c in body)
+        for end in re.findall(r"[^\w\s.,;:?'\"()-]{2,}$", body):
+            shapes["end"] += 1
+            shapes["end" + end[:3]] += 1
+        shapes["digit"] += any(c.isdigit() for c in body)
+    n = max(1, len(words))
+    return word_terms(text) | {f"#{k}:{(64 * c // n).bit_length()}" for k, c in shapes.items() if c} | {
+        f"#words:{len(words).bit_length()}", f"#kinds:{8 * len(set(words)) // n}"}
+
+
+def test_quality_terms_word_by_word():
+    import random
+
+    import duckdb
+
+    from boxpace.llm.ordinal import quality_terms
+    rng = random.Random(1)
+    texts = [t or "" for t, in duckdb.sql("SELECT text FROM read_parquet('/root/testdata/sf0.001/documents.parquet')").fetchall()]
+    texts += ["".join(rng.choice("aAbB12.,;:?!£€ \n\t'\"()-²Ⅷǅ中_") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    assert all(quality_terms(t) == plain_terms(t) for t in texts)
+
+
+def test_ratings_equal_the_formula_word_by_word(spark):
+    """Grades by the cumulative-link formula, summed over plain terms; the fit is likelier than the shares of the grades."""
+    import math
+
+    rng = random.Random(2)
+    docs, labels = [], []
+    for i in range(600):
+        g = rng.randrange(3)
+        docs.append((i, " ".join(rng.choice(["plain", "word", "text", *["bad"] * (2 - g), *["fine"] * g]) for _ in range(20))))
+        labels.append((i, g))
+    docs.append((900, ""))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = ordinal.fit(d, spark.createDataFrame(labels, "doc_id long, grade int"), F.col("grade"), 3)
+    m = hashed.load(model)
+    weight = dict(zip(m["terms"].tolist(), m["w"].tolist()))
+    got = {r["doc_id"]: (r["expected_grade"], r["tail_prob"]) for r in ordinal.rate(d, model).collect()}
+    grade, fitted, constant = dict(labels), 0.0, 0.0
+    share = [sum(g == k for g in grade.values()) / len(grade) for k in range(3)]
+    for i, text in docs:
+        place = sum(weight.get(h, 0.0) for h in {zlib.crc32(t.encode()) for t in plain_terms(text)})
+        tail = [1 / (1 + math.exp(-(place - c))) for c in m["cuts"]]
+        assert tail[0] > tail[1]
+        assert got[i] == (pytest.approx(sum(tail)), pytest.approx(tail[0]))
+        if i in grade:
+            p = [1 - tail[0], tail[0] - tail[1], tail[1]]
+            fitted -= math.log(p[grade[i]])
+            constant -= math.log(share[grade[i]])
+    assert fitted < 0.6 * constant
+
+
+def test_scores_equal_a_double_loop_over_pairs(spark):
+    """Bias, weights and every pair's product of vectors, added one by one."""
+    import math
+
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(3000):  # toxic only where both words stand
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        docs.append((i, " ".join([rng.choice("pqrstu") * 3 for _ in range(6)] + ["insult"] * a + ["group"] * b)))
+        labels.append((i, int(a and b)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    m = hashed.load(model)
+    at = {t: k for k, t in enumerate(m["terms"].tolist())}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
+    paired = 0
+    for i, text in docs[:300]:
+        ks = sorted(at[h] for h in {zlib.crc32(t.encode()) for t in hashed.word_terms(text)} if h in at)
+        z = float(m["w0"][0]) + sum(float(m["w"][k]) for k in ks)
+        pairs = sum(float(x) * float(y) for n, j in enumerate(ks) for k in ks[:n] for x, y in zip(m["v"][j], m["v"][k]))
+        paired += abs(pairs) > 0.1
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z + pairs)))), abs=1e-6)
+    assert paired > 50
+    held = {r["doc_id"]: r["predicted"] for r in toxicity.score(d, model).where("held_out").collect()}
+    right = sum(held[i] == y for i, y in labels if i in held) / len(held)
+    assert right > 0.95
