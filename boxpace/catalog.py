@@ -172,6 +172,12 @@ def _r1(spark, d):
     return _enriched(spark, d).select(*ENRICHED)
 
 
+@query("p3_loose_dates")
+def _p3(spark, d):
+    """Dates written in several ways, with names, offsets and times of day, as timestamps."""
+    return T.date_texts(spark, d).withColumn("parsed", R.to_timestamp("date_text"))
+
+
 @query("f1_category_raw")
 def _f1(spark, d):
     """Category normaliser on the raw category column, per distinct raw value."""

@@ -132,24 +132,12 @@ CSV_NULL_TOKENS: tuple[str, ...] = (
 )
 # Plain decimal numbers.
 NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-# Date formats tried in order when coercing text (explicit list instead of format guessing), each
-# with the text shape it accepts. Month first where both readings are possible.
-DATE_FORMATS: tuple[tuple[str, str], ...] = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"),
-    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
-    (r"^(1[3-9]|2\d|3[01])-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
-    (r"^[A-Za-z]{4,9} \d{1,2} \d{4}$", "MMMM d yyyy"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
-)
+# Names of months and weekdays in texts of dates, by their first three letters (English).
+MONTHS: tuple[str, ...] = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+DATE_MONTH = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?\b"
+DATE_WEEKDAY = r"\b(mon|tues?|wed|thu|thurs?|fri|sat|sun)(day|nesday|rsday|urday|sday)?\b"
+# Two-digit years from this one on are of the last century.
+CENTURY_PIVOT = 70
 
 
 @dataclass(frozen=True)

@@ -826,3 +826,14 @@ for _nm in ("r3_baseline_curve", "r3_baseline_curve_type", "a20_global_pacing_cu
     ORACLES[_nm] = f"SELECT * FROM ({ORACLES[_nm]}) ORDER BY d_bin DESC"
 ORACLES["a11_sales_heatmap"] = f"""SELECT * FROM ({ORACLES["a11_sales_heatmap"]}) ORDER BY list_position(
   ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'], weekday), lead_bucket"""
+
+ORACLES["p3_loose_dates"] = """
+WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60) AS w,
+                  o_orderkey % 8 AS k FROM orders),
+x AS (SELECT *, CASE k WHEN 0 THEN strftime(w, '%a %b %-d %Y') WHEN 1 THEN strftime(w, '%m.%d.%Y') WHEN 2 THEN strftime(w, '%-d %B %Y')
+  WHEN 3 THEN strftime(w, '%Y-%m-%dT%H:%M:%S+02:00') WHEN 4 THEN strftime(w, '%Y%m%d') WHEN 5 THEN strftime(w, '%m/%d/%Y %I:%M %p')
+  WHEN 6 THEN strftime(w, '%a, %d %b %Y %H:%M:%S GMT') ELSE 'no date' END AS date_text FROM t)
+SELECT o_orderkey, date_text, strftime(CASE k WHEN 0 THEN strptime(date_text, '%a %b %-d %Y') WHEN 1 THEN strptime(date_text, '%m.%d.%Y')
+  WHEN 2 THEN strptime(date_text, '%-d %B %Y') WHEN 3 THEN strptime(date_text, '%Y-%m-%dT%H:%M:%S+02:00')
+  WHEN 4 THEN strptime(date_text, '%Y%m%d') WHEN 5 THEN strptime(date_text, '%m/%d/%Y %I:%M %p')
+  WHEN 6 THEN strptime(date_text, '%a, %d %b %Y %H:%M:%S GMT') END, '%Y-%m-%d %H:%M:%S') AS parsed FROM x"""

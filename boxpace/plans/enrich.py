@@ -5,7 +5,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DATE_FORMATS, DEFAULT, NUMBER_SHAPE, NUMERIC_COLUMNS, PacingConfig
+from ..config import (CENTURY_PIVOT, DATE_MONTH, DATE_WEEKDAY, DEFAULT, MONTHS, NUMBER_SHAPE, NUMERIC_COLUMNS,
+                      PacingConfig)
 from ..functions.classify import event_instance, event_label, event_type, normalize_category, strip
 from ..functions.lead import weekday_name
 from ..sources.csv import normalize_headers, read_csv_text, require_columns
@@ -17,40 +18,76 @@ def to_number(c) -> Column:
     return F.when(c.rlike(NUMBER_SHAPE), c.try_cast("double"))
 
 
-def to_timestamp(c, formats=DATE_FORMATS) -> Column:
+def _bind(value: Column, fn) -> Column:
+    """``fn`` of ``value``, which is evaluated once however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
+def _date_of(day: Column) -> Column:
+    """A date from a text's numbers and names, as a struct (y, m, d); NULL fields where the text has no reading.
+
+    Words that are no month or weekday, and any count of numbers but a date's, have none.
+    With a month's name the other two numbers are day and year; without one a first number of four digits (or
+    over 31) is the year and month and day follow, otherwise month, day and year, or day, month and year where the first number
+    can't be a month. Where the reading's month can't be one but its day can, they are exchanged. Eight digits are year, month and day.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.lower(day), r"(?<=\d)(st|nd|rd|th)\b", ""), DATE_WEEKDAY, " ")
+    name = F.regexp_extract(text, DATE_MONTH, 1)
+    rest = F.trim(F.regexp_replace(F.regexp_replace(text, DATE_MONTH, " "), r"[-/.,\s]+", " "))
+    packed = F.regexp_replace(rest, r"^(\d{4})(\d{2})(\d{2})$", "$1 $2 $3")
+
+    def read(parts):
+        # try_cast also tells words, signs and numbers that are far too long.
+        n = [F.get(parts, k).try_cast("int") for k in range(3)]
+        wide = [F.length(F.get(parts, k)) for k in range(3)]
+
+        def year(k):
+            return F.when(wide[k] > 2, n[k]).when(n[k] >= CENTURY_PIVOT, n[k] + 1900).otherwise(n[k] + 2000)
+
+        def fields(y, m, d):
+            return F.struct(y.cast("int").alias("y"), m.cast("int").alias("m"), d.cast("int").alias("d"))
+        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name)
+        swapped = (n[1] > 12) & (n[2] <= 12)
+        year_first = (wide[0] > 2) | (n[0] > 31)
+        return (F.when((name != "") & (F.size(parts) == 2), F.when(
+                    (wide[0] > 2) | (n[0] > 31), fields(year(0), month, n[1])).otherwise(fields(year(1), month, n[0])))
+                .when((name != "") | (F.size(parts) != 3), F.lit(None))
+                .when(year_first, F.when(swapped, fields(year(0), n[2], n[1])).otherwise(fields(year(0), n[1], n[2])))
+                .when((n[0] > 12) & (n[1] <= 12), fields(year(2), n[1], n[0])).otherwise(fields(year(2), n[0], n[1])))
+    return _bind(F.split(packed, " "), read)
+
+
+def to_timestamp(c) -> Column:
     """Text to timestamp, else NULL.
 
-    A date in one of ``formats`` (the first whose shape matches), alone or followed by a
-    time of day: hours and minutes, with seconds, fractions or AM / PM. A zone at the end is
-    ignored, the wall clock counts. Plain ISO dates, the common case, are parsed at once.
+    A date (:func:`_date_of`: numbers, month and weekday names, any common separator), alone or followed by a
+    time of day: hours and minutes, with seconds, fractions or AM / PM. The wall clock counts: a zone or offset at the end
+    is read and left out. Plain ISO dates, the common case, are parsed at once.
     """
     txt = strip((F.col(c) if isinstance(c, str) else c).cast("string"))
 
-    def bind(value, fn):
-        """``fn`` of ``value``, which is evaluated once however often ``fn`` names it."""
-        return F.get(F.transform(F.array(value), fn), 0)
-
     def combine(day, time):
-        date = F.lit(None).cast("timestamp_ntz")
-        for shape, fmt in reversed(formats):
-            date = F.when(day.rlike(shape), F.try_to_timestamp(day, F.lit(fmt)).cast("timestamp_ntz")).otherwise(date)
         hour = F.regexp_extract(time, r"^(\d+)", 1).try_cast("int")
-        minute = F.regexp_extract(time, r"^\d+:(\d+)", 1).try_cast("int")
-        second = F.coalesce(F.regexp_extract(time, r"^\d+:\d+:([\d.]+)", 1).try_cast("decimal(18,6)"),
-                            F.lit(0).cast("decimal(18,6)"))
+        minute = F.coalesce(F.regexp_extract(time, r"^\d+:(\d+)", 1).try_cast("int"), F.lit(0))
+        second = F.coalesce(F.regexp_extract(time, r"^\d+:\d+:([\d.]+)", 1).try_cast("decimal(16,6)"),
+                            F.lit(0).cast("decimal(16,6)"))
         half = F.lower(F.regexp_extract(time, r"([AaPp])\.?[Mm]", 1))
         h24 = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
-        ok = (h24 < 24) & (minute < 60) & (second < 60)
-        return F.when(time == "", date).when(ok, date + F.make_dt_interval(F.lit(0), h24, minute, second))
+        ok = (time == "") | ((h24 < 24) & (minute < 60) & (second < 60))
+        plain = time == ""
+        return _bind(_date_of(day), lambda x: F.when(ok, F.try_make_timestamp_ntz(
+            x["y"], x["m"], x["d"], F.when(plain, 0).otherwise(h24), F.when(plain, 0).otherwise(minute),
+            F.when(plain, F.lit(0).cast("decimal(16,6)")).otherwise(second))))
 
     def split(clean):
-        time = F.regexp_extract(clean, r" (\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp]\.?[Mm]\.?)?)$", 1)
-        return bind(time, lambda tm: bind(
+        time = F.regexp_extract(clean, r"[ ,](\d{1,2}(:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp]\.?[Mm]\.?)?| ?[AaPp]\.?[Mm]\.?))$", 1)
+        return _bind(time, lambda tm: _bind(
             F.when(tm == "", clean).otherwise(F.substring(clean, F.lit(1), F.length(clean) - F.length(tm) - 1)),
             lambda day: combine(day, tm)))
-    clean = F.regexp_replace(F.regexp_replace(txt, r"(?<=\d)T(?=\d)", " "), r",| ?(Z|UTC|GMT|(?<=:\d\d)[+-]\d\d:?\d\d)$", "")
+    clean = F.regexp_replace(F.regexp_replace(txt, r"(?<=\d)T(?=\d)", " "),
+                             r" ?(Z|UTC|GMT)?( ?(?<=\d:\d{2}|:\d{2}\.\d{1,9}|Z|UTC|GMT| )[+-]\d{2}:?(\d{2})?)?( ?\([A-Z]{2,5}\))?$", "")
     iso = F.try_to_timestamp(txt, F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
-    return F.when(txt.rlike(r"^\d{4}-\d{2}-\d{2}$"), iso).otherwise(bind(clean, split))
+    return F.when(txt.rlike(r"^\d{4}-\d{2}-\d{2}$"), iso).otherwise(_bind(clean, split))
 
 
 def venue_default(c=None) -> Column:

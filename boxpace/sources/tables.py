@@ -150,3 +150,19 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(*keys, *[v.alias(RAW_HEADERS[k]) for k, v in cols.items()])
 
 
+
+
+# Ways to write a date, by the remainder of the order's number.
+DATE_TEXTS = ("EEE MMM d yyyy", "MM.dd.yyyy", "d MMMM yyyy", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "yyyyMMdd", "MM/dd/yyyy hh:mm a",
+              "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "'no date'")
+
+
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, date_text): order dates at some time of the day, written in several ways."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    when = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), (F.col("o_orderkey") % 24).cast("int"), (F.col("o_orderkey") % 60).cast("int"))
+    text = F.lit(None).cast("string")
+    for k, form in enumerate(DATE_TEXTS):
+        text = F.when(F.col("o_orderkey") % len(DATE_TEXTS) == k, F.date_format(when, form)).otherwise(text)
+    return o.select("o_orderkey", text.alias("date_text"))

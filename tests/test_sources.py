@@ -98,6 +98,12 @@ def test_export_of_the_clean_fact_is_read_back(spark):
     ("2024-01-05 19:30:00+02:00", "2024-01-05 19:30:00"), ("5 January 2024", "2024-01-05 00:00:00"), ("25/12/2023", "2023-12-25 00:00:00"),
     ("01/05/2024 12:05 am", "2024-01-05 00:05:00"), ("20240105", "2024-01-05 00:00:00"), ("2024-1-5 9:03", "2024-01-05 09:03:00"),
     ("\u00a02024-01-05\t", "2024-01-05 00:00:00"), ("2024-02-30", None), ("not a date", None), ("2024-01-05 25:00", None),
+    ("05.01.2024", "2024-05-01 00:00:00"), ("25.12.2023 18:00", "2023-12-25 18:00:00"), ("Fri Jan 5 2024", "2024-01-05 00:00:00"),
+    ("Friday, January 5th, 2024 7:30 pm", "2024-01-05 19:30:00"), ("Fri, 05 Jan 2024 19:30:00 +0200", "2024-01-05 19:30:00"),
+    ("5-Jan-24", "2024-01-05 00:00:00"), ("2024-01-05T19:30-05:00", "2024-01-05 19:30:00"), ("Sept 3 1999", "1999-09-03 00:00:00"),
+    ("1/2/98", "1998-01-02 00:00:00"), ("2024/13/05", "2024-05-13 00:00:00"), ("2024-01-05 7 PM", "2024-01-05 19:00:00"),
+    ("2024-01-05 19:30:00 GMT+01:00", "2024-01-05 19:30:00"), ("13/13/2024", None), ("Foo 5 2024", None), ("Jan 2024 5 6", None), ("5 2024", None),
+    ("May 32 2024", None), ("99999999999/1/1", None), ("--", None), ("Monday", None),
     ("", None), (None, None), ("12d", None)])
 def test_dates(spark, text, want):
     from boxpace.plans.enrich import to_timestamp
