@@ -23,27 +23,39 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a machine fitted to the labels scores below 0.3."""
+    """Documents that a machine fitted to the labels scores below 0.3.
+
+    A NULL or empty text scores the bias alone; repeated rows are scored each; an empty table gives no rows.
+    """
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), 0.3)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the long lines that five or more of them share, but for the last holder."""
+    """Documents without the long lines that five or more of them share, but for the last holder.
+
+    A NULL or empty text is one empty line and stays; rows with one id hold a line together; no row goes.
+    """
     return lines.rewrite_lines(docs, min_chars=40, min_docs=5)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 80 % of shingles or more."""
+    """One document of each group linked by 80 % of shingles or more, the one with the smallest id.
+
+    Rows without words link with nothing and all stay; of rows that repeat an id and a text one stays.
+    """
     return jaccard.keep_first(docs, pct=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated to square-root shares of their sources, shuffled globally."""
+    """Documents replicated to square-root shares of their sources, shuffled globally.
+
+    A NULL source is a source of its own; the draw goes by id and text, so repeated rows have one count.
+    """
     return mixing.mix(docs, mixing.temperature_targets(docs, 0.5), replica_col=None)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document and the digest of the bytes they decode to; NULL and empty texts have no ids."""
     enc = bpe.encode(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN, with_decoded=True)
     return enc.select("doc_id", "n_tokens", "token_ids", sha256_hex(F.col("decoded")).alias("decoded_sha256"))
 
