@@ -188,8 +188,7 @@ def alike(overlap, na, nb, pct: int):
 def common_shingles(docs: DataFrame):
     """(sorted shingles, rank of each): those frequent among a fixed share of all documents, rank = log2 of the count.
 
-    A document counts the first 40 % of its shingles by hash: few others can come into its prefix. Only the
-    join's speed depends on the counts, never its result.
+    Only the join's speed depends on the counts, never its result.
     """
     import numpy as np
 
@@ -205,7 +204,7 @@ def common_shingles(docs: DataFrame):
                     if len(seen) >= 500_000:
                         seen.clear()
                     seen.add(c)
-                    parts.append(h[:(2 * len(h) + 4) // 5])
+                    parts.append(h)
             u, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64), return_counts=True)
             yield pa.RecordBatch.from_pydict({"token": pa.array(u.view(np.int64)), "n": pa.array(n.astype(np.int32))})
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE_RATE)) == 0).select("text")
