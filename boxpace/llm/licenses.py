@@ -1,10 +1,11 @@
 """License scans by conditional compression (operator 4).
 
-The words of a document that mentions licensing are compared with every license template, across its
-lines. Places are confirmed by their exact wording: the words to insert or delete between a template and
-the place it is found at; windows that share too few words with a template are told by counting.
-A place is compressed with zstandard, once without help and once with its template as a raw
-dictionary. Wording that is shared leaves little to write, which the relative size reduction tells.
+Documents that mention licensing are read as one sequence of words, across their lines, in blocks about twice
+as long as a template's places, overlapping by half. A block that holds enough words of a template is a candidate.
+It is compressed with zstandard, once without help and once with each template of its size as a raw dictionary. Wording
+that is shared leaves little to write: templates that save a share of what they save on themselves are the winners of the
+block. Their places are confirmed and delimited by exact wording, the words to insert or delete. Of places that
+overlap, the one whose template saves most counts; it is cut out, and what is left is searched again.
 """
 from __future__ import annotations
 
@@ -43,8 +44,10 @@ TEMPLATES = (
 # A document is a candidate if it holds one of these, whatever its case; their words may be on two lines.
 CUES = ("licen", "copyright", "rights reserved", "permission", "redistribution", "public domain", "creative commons",
         "spdx", "copyleft", "free software")
-# Documents longer than this are cut into windows that overlap by half, so no wording is lost at an edge.
-WINDOW_WORDS = 256
+# Blocks have this many words or twice, four times ... as many.
+BLOCK_WORDS = 16
+# The share of the bytes a template saves on itself that it must save on a block to be looked for there.
+MIN_SHARE = 0.1
 # The license whose wording, short of a word, is part of the copyright line of others.
 RESERVED = "Proprietary"
 
@@ -104,70 +107,97 @@ def wording_diff(template: list[str], block: list[str]) -> tuple[int, int, int]:
 
 
 class Scanner:
-    """Templates with their compressors."""
+    """Templates with their compressors, by the size of the blocks they are looked for in."""
 
-    def __init__(self, templates: Iterable[tuple[str, str]], max_diff_pct: int, level: int = 3):
-        from collections import Counter
+    def __init__(self, templates: Iterable[tuple[str, str]], max_diff_pct: int, min_share: float = MIN_SHARE, level: int = 19):
+        from collections import Counter, defaultdict
 
         import zstandard
         self.templates = [(name, w) for name, w in ((name, words_of(text)) for name, text in templates) if w]
+        self.min_share = min_share
         self.counts = [Counter(w) for _, w in self.templates]
         self.vocabulary = {x for _, w in self.templates for x in w}
         self.limits = [max_diff_pct * len(w) // 100 for _, w in self.templates]
-        # Words a confirmed place has at most.
+        # Words a confirmed place has at most, and letters of a word: longer words equal no template's.
         self.reach = max((len(w) + m for (_, w), m in zip(self.templates, self.limits)), default=0)
+        self.letters = max(map(len, self.vocabulary), default=0) + 1
         raw = [zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                for _, w in self.templates]
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.with_dict = [zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False) for d in raw]
+        self.own = [self.sizes(w, [k])[1][0] for k, (_, w) in enumerate(self.templates)]
+        by_size = defaultdict(list)
+        for k, ((_, w), m) in enumerate(zip(self.templates, self.limits)):
+            size = BLOCK_WORDS
+            while size < 2 * (len(w) + m):
+                size *= 2
+            by_size[size].append(k)
+        self.by_size = sorted(by_size.items())
 
-    def reduction(self, k: int, place: list[str]) -> float:
-        """The share of the place's compressed size that template ``k`` saves as a dictionary."""
-        data = " ".join(place).encode("utf-8", "replace")
-        return 1 - len(self.with_dict[k].compress(data)) / len(self.plain.compress(data))
+    def sizes(self, block: list[str], ks: Iterable[int]) -> tuple[int, list[int]]:
+        """(compressed size of the block, bytes that each template of ``ks`` saves on it as a dictionary)."""
+        data = " ".join(w[:self.letters] for w in block).encode("utf-8", "replace")
+        plain = len(self.plain.compress(data))
+        return plain, [plain - len(self.with_dict[k].compress(data)) for k in ks]
 
-    def candidates(self, words: list[str]) -> set:
-        """(rank, start, end, template, differences) of every stretch within the limit of a template.
+    def winners(self, block: list[str], ks: list[int]) -> list[int]:
+        """Templates of ``ks`` that save ``min_share`` or more of what they save on themselves, most bytes first.
 
-        No template is left out but those that share too few words with a window to be within the limit.
-        Windows overlap by half and are twice a place's length or more, so each place is in one as a whole.
+        A block that has too few words of every template for a place within the limit is not compressed.
         """
         from collections import Counter
-        size = max(WINDOW_WORDS, 2 * self.reach)
-        step, found = size // 2, set()
-        for at in range(0, max(1, len(words) - step), step):
-            block = words[at:at + size]
-            have = Counter(block)
-            for k, ((_, t), need, most) in enumerate(zip(self.templates, self.counts, self.limits)):
-                if sum(min(c, have[w]) for w, c in need.items()) < len(t) - most:
+        have = Counter(w for w in block if w in self.vocabulary)
+        if not any(sum(min(c, have[w]) for w, c in self.counts[k].items()) >= len(self.templates[k][1]) - self.limits[k]
+                   for k in ks):
+            return []
+        saved = dict(zip(ks, self.sizes(block, ks)[1]))
+        return sorted((k for k in ks if saved[k] > 0 and saved[k] >= self.min_share * self.own[k]), key=lambda k: (-saved[k], k))
+
+    def confirmed(self, words: list[str]) -> list[tuple]:
+        """(bytes saved, reduction, start, end, template, differences) of every confirmed place, most saved first.
+
+        Those of one template don't overlap: the fewest differences, then the first, count. Blocks overlap
+        by half and are twice a place's length or more, so each place is in one as a whole. Equal savings are
+        ranked by the share of differences.
+        """
+        found: dict[int, set] = {}
+        for size, ks in self.by_size:
+            step = size // 2
+            least = min(len(self.templates[k][1]) - self.limits[k] for k in ks)
+            known = [w in self.vocabulary for w in words]
+            for at in range(0, max(1, len(words) - step), step):
+                if sum(known[at:at + size]) < least:
                     continue
-                for end, (diff, start) in enumerate(zip(*alignments(t, block))):
-                    if diff <= most and end > start:
-                        found.add(((diff - len(t), diff / len(t)), start + at, end + at, k, diff))
-        return found
+                block = words[at:at + size]
+                for k in self.winners(block, ks):
+                    for end, (diff, start) in enumerate(zip(*alignments(self.templates[k][1], block))):
+                        if diff <= self.limits[k] and end > start:
+                            found.setdefault(k, set()).add((diff, start + at, end + at))
+        out = []
+        for k, stretches in found.items():
+            taken: list[tuple[int, int]] = []
+            for diff, start, end in sorted(stretches):
+                if place_in(taken, start, end):
+                    plain, (saved,) = self.sizes(words[start:end], [k])
+                    out.append((saved, saved / plain, start, end, k, diff))
+        out.sort(key=lambda h: (-h[0], h[5] / len(self.templates[h[4]][1]), h[2], h[3], h[4]))
+        return out
 
     def places(self, words: list[str], min_reduction: float) -> list[tuple]:
         """(license, reduction, differences, template's words, start, end) of every place, by start; none overlap.
 
-        The place that words most of a template comes first (its words less its differences, then fewest
-        differences in per cent); it is cut out, and what is left before and after it is
-        searched again, until nothing in it is within the limit of any template. "All rights reserved" alone,
+        The place whose template saves most comes first; it is cut out, and what is left before and after it is
+        searched again, until nothing in it is confirmed. "All rights reserved" alone,
         no more words than ``reach`` from another license, is that license's copyright line and no place.
         """
         out, todo = [], [(0, len(words))]
         while todo:
             lo, hi = todo.pop()
-            taken = []
-            for _, start, end, k, diff in sorted(self.candidates(words[lo:hi])):
-                at = bisect_left(taken, (start,))
-                if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
-                    continue
-                gain = self.reduction(k, words[lo + start:lo + end])
-                if gain < min_reduction:
-                    continue
-                taken.insert(at, (start, end))
-                name, t = self.templates[k]
-                out.append((name, gain, diff, len(t), lo + start, lo + end))
+            taken: list[tuple[int, int]] = []
+            for _, gain, start, end, k, diff in self.confirmed(words[lo:hi]):
+                if gain >= min_reduction and place_in(taken, start, end):
+                    name, t = self.templates[k]
+                    out.append((name, gain, diff, len(t), lo + start, lo + end))
             if taken:
                 edges = [0, *(x for place in taken for x in place), hi - lo]
                 todo += [(lo + a, lo + b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
@@ -181,15 +211,26 @@ class Scanner:
         return [h for h in out if not part_of_another(h)]
 
 
+def place_in(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Put (start, end) into the ordered list if it overlaps none there."""
+    at = bisect_left(taken, (start,))
+    if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
+        return False
+    taken.insert(at, (start, end))
+    return True
+
+
 def scan_licenses(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLATES, cues: Iterable[str] = CUES,
                   min_reduction: float = 0.0, max_diff_pct: int = 25, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
     """(doc_id, line_no, license, reduction, n_diff, n_words, start_word, end_word, block): each place a license is found.
 
     A document with a cue is scanned as one sequence of words, so a wording may run over lines, with comment signs
-    or without; long documents in overlapping windows of WINDOW_WORDS words or more. It
-    gives every place where a template is confirmed: at most ``max_diff_pct`` per cent of the template's words
-    inserted or deleted, and a size reduction of ``min_reduction`` or more. Of overlapping ones the fullest counts.
+    or without, in overlapping blocks however long it is. A template is looked for in a block if it saves there
+    ``min_share`` or more of the bytes it saves on itself, and a place is confirmed if at most ``max_diff_pct`` per cent of
+    the template's words are inserted or deleted. Of places that overlap, the one that saves most bytes
+    counts, then the one with the smallest share of differences; ``min_reduction`` leaves out places reduced by less.
+    ``reduction`` is the share of the place's compressed size that the template saves. Other columns are not read.
     A NULL or empty text gives no rows; NULL ids stay NULL, repeated rows are
     scanned each, and so are repeated lines. ``line_no`` is the line a place starts in, from 0; ``start_word`` counts
     from 0 within that line, ``end_word`` goes on over the lines that follow; ``block`` has the place's lines.
@@ -198,7 +239,7 @@ def scan_licenses(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLA
 
     def run(batches):
         import pyarrow as pa
-        scanner = Scanner(templates, max_diff_pct)
+        scanner = Scanner(templates, max_diff_pct, min_share)
         names = ["doc_id", "line_no", "license", "reduction", "n_diff", "n_words", "start_word", "end_word", "block"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 

@@ -139,3 +139,64 @@ def test_wordings_across_window_edges(spark):
             for k in range(60, 300, 7)]
     out = L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["n_diff"], r["license"]) for r in out] == [(k, 0, "GPL-3.0") for k, _ in rows]
+
+
+class EveryTemplate(L.Scanner):
+    """Brute force: every template is aligned with every block, whatever it saves."""
+
+    def winners(self, block, ks):
+        return ks
+
+
+def mutated(rng, words, limit, vocabulary):
+    t = list(words)
+    for _ in range(rng.randint(0, limit)):
+        if rng.random() < .5 and len(t) > 1:
+            t.pop(rng.randrange(len(t)))
+        else:
+            t.insert(rng.randrange(len(t) + 1), rng.choice(vocabulary) if rng.random() < .5 else "".join(rng.choices("abcdefgh", k=9)))
+    return t
+
+
+def test_compression_leaves_no_place_out():
+    scanner, every, rng = L.Scanner(L.TEMPLATES, 25), EveryTemplate(L.TEMPLATES, 25), random.Random(9)
+    vocabulary = sorted(scanner.vocabulary)
+    n = 0
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            k = rng.randrange(len(scanner.templates))
+            words += [rng.choice(vocabulary) if rng.random() < .1 else "".join(rng.choices("abcdefghij", k=rng.randint(1, 8)))
+                      for _ in range(rng.randint(0, 70))]
+            words += mutated(rng, scanner.templates[k][1], scanner.limits[k], vocabulary)
+        want = every.places(words, 0.0)
+        assert scanner.places(words, 0.0) == want
+        n += len(want)
+    assert n > 200
+
+
+def test_table_equals_brute_force(spark):
+    from boxpace.llm.catalog import op4_license_scan
+    sf, every, want = "/root/testdata/sf0.01", EveryTemplate(L.TEMPLATES, 25), []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text is not null").toLocalIterator():
+        if any(c in r["text"].lower() for c in L.CUES):
+            words, at = L.words_of_lines(r["text"].split("\n"), every.vocabulary)
+            want += [(r["doc_id"], *at[h[4]], *h[:4]) for h in every.places(words, 0.0)]
+    got = op4_license_scan(spark, sf).select("doc_id", "line_no", "start_word", "license", "reduction", "n_diff", "n_words").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_places_come_through_the_compression(monkeypatch):
+    words = L.words_of("Some text. " + " and then ".join(t for _, t in L.TEMPLATES))
+    want = L.Scanner(L.TEMPLATES, 25).places(words, 0.0)
+    assert [h[0] for h in want] == [n for n, _ in L.TEMPLATES]
+    for saved in (0, 50):  # a compressor that knows nothing finds nothing, or the wrong templates
+        monkeypatch.setattr(L.Scanner, "sizes", lambda self, block, ks, saved=saved: (100, [saved for _ in ks]))
+        assert [h[0] for h in L.Scanner(L.TEMPLATES, 25).places(words, 0.0)] != [h[0] for h in want]
+
+
+def test_very_long_texts_and_words(spark):
+    fill = "x" * 300_000 + " " + " ".join(f"w{i % 977}" for i in range(150_000))
+    rows = [(1, f"{fill} Released under the MIT License. {fill}")]
+    out = L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["license"], r["start_word"], r["n_diff"]) for r in out] == [("MIT", 150_001, 0)]
