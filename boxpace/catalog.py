@@ -172,6 +172,20 @@ def _r1(spark, d):
     return _enriched(spark, d).select(*ENRICHED)
 
 
+@query("s1_csv_round_trip")
+def _s1(spark, d):
+    """The text rows written as CSV to the shared folder, listed, read back by header and made into the fact."""
+    import uuid
+
+    from .session import ensure_checkpoint_dir
+    from .sources import csv as S
+    folder = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4()}"
+    S.write_csv(T.raw_sales(spark, d), folder)
+    files = S.list_data_files(spark, folder).agg(F.count_if(F.col("length") > 0).alias("_files"))
+    back = R.load_sales(spark, folder, CFG).select(*[F.col(c).cast("long") if c.startswith("l_") else F.col(c) for c in ENRICHED])
+    return back.withColumn("has_files", F.lit(files.scalar() > 0))
+
+
 @query("p3_loose_dates")
 def _p3(spark, d):
     """Dates written in several ways, with names, offsets and times of day, as timestamps."""

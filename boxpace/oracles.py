@@ -401,6 +401,11 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_su
        event_part, round(qty_sold, 6) AS qty_sold, round(amount, 6) AS amount, event_category, event_type, event_label,
        event_instance, weekday, venue, season FROM enr""")
 
+oracle_raw("s1_csv_round_trip", """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, sale_date, event_date, event_name,
+       event_part, round(qty_sold, 6) AS qty_sold, round(amount, 6) AS amount, event_category, event_type, event_label,
+       event_instance, weekday, venue, season, true AS has_files FROM enr""")
+
 oracle_raw("f1_category_raw", """
 SELECT "Event Category" AS raw_category, count(*) AS n_rows, """ + norm_cat('"Event Category"') + """ AS category
 FROM raw GROUP BY "Event Category" """)

@@ -1,6 +1,7 @@
 """CSV scan, header rules, listing and export."""
 import os
 import tempfile
+import uuid
 
 import pytest
 
@@ -125,3 +126,68 @@ def test_numbers_and_trim(spark):
                                  ("2024-01-01", "2024-01-02", "A", "2")], "sale_date string, event_date string, event_name string, qty_sold string")
     assert dropped_rows(raw).first().asDict() == {"n_rows": 3, "bad_sale_date": 0, "bad_event_date": 1, "bad_event_name": 0,
                                                   "bad_qty_sold": 1, "n_kept": 1}
+
+
+def _jobs(spark, work):
+    group = str(uuid.uuid4())
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        out = work()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_plain_files_are_split_and_keep_their_order(spark):
+    d = tempfile.mkdtemp(prefix="boxpace-csv-")
+    head = "sale_date,event_date,event_name,qty_sold\n"
+    _write(d, "a.csv", head + "".join(f'2024-01-01,2024-02-01,"A ""{i}"", x",{i}\n' for i in range(45_000)))
+    _write(d, "b.csv", head + "".join(f"2024-01-01,2024-02-01,B,{i}\r\n" for i in range(9_000)))
+    _write(d, "c.csv", head + '2024-01-01,2024-02-01,"C\n",1\n' * 50)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(200_000))
+    try:
+        df = S.read_csv_text(spark, d)
+        assert df.rdd.getNumPartitions() > 9
+        got = df.orderBy("sale_seq").select("event_name", "qty_sold", "sale_seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["qty_sold"] for r in got] == [str(i) for i in range(45_000)] + [str(i) for i in range(9_000)] + ["1"] * 50
+    assert (got[7]["event_name"], got[-1]["event_name"]) == ('A "7", x', "C\n")
+    assert len({r["sale_seq"] for r in got}) == len(got)
+
+
+def test_jobs_do_not_grow_with_the_files(spark):
+    counts = []
+    for n in (2, 12):
+        d = tempfile.mkdtemp(prefix="boxpace-csv-")
+        for i in range(n):
+            _write(d, f"file {i:02d}.csv", f"sale_date,event_date,event_name,qty_sold,extra{i % 2}\n2024-01-01,2024-02-01,A{i},{i}\n")
+        _write(d, "empty.csv", "")
+        _write(d, "head only.csv", "\nsale_date,event_date,event_name,qty_sold\n")
+        df, jobs = _jobs(spark, lambda d=d: S.read_csv_text(spark, d))
+        counts.append(jobs)
+        assert [r["event_name"] for r in df.orderBy("sale_seq").collect()] == [f"A{i}" for i in range(n)]
+    assert counts[0] == counts[1] <= 3
+
+
+@pytest.mark.parametrize("cell,plain", [
+    ("x", True), ('"x"', True), ('"a,b"', True), ('""', True), ('"a ""b"" c"', True), ('"""a"', True), ('"a\nb"', False), ('"a\r\nb"', False),
+    ('5" pipe', False), ('"a ""\n"" b"', False), ('"a\n\n""b"', False), ('"""\n"""', False)])
+def test_plain_files_have_no_cell_over_lines(spark, cell, plain):
+    d = tempfile.mkdtemp(prefix="boxpace-csv-")
+    _write(d, "a.csv", f"k,v,w\n1,{cell},2\n3,y,{cell}\n{cell},z,4\n")
+    assert [r["plain"] for r in S.first_lines(spark, [d + "/a.csv"]).collect()] == [plain]
+    whole = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(d + "/a.csv").collect()
+    got = S.read_csv_text(spark, d).orderBy("sale_seq").select("k", "v", "w").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in whole]
+
+
+def test_headers(spark):
+    assert S.header_names('a,"b, ""c""",,A') == ("a0", 'b, "c"', "_c2", "A3")
+    d = tempfile.mkdtemp(prefix="boxpace-csv-")
+    _write(d, "a.csv", 'k,"two\nlines"\n1,2\n')
+    _write(d, "b.csv", 'k,w\n3,4\n')
+    got = S.read_csv_text(spark, d)
+    assert got.columns == ["k", "two\nlines", "sale_seq", "w"]
+    assert [(r["k"], r["w"]) for r in got.orderBy("sale_seq").collect()] == [("1", None), ("3", "4")]
