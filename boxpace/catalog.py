@@ -128,6 +128,25 @@ def _r2_65(spark, d):
     return _wl(spark, d, 65).table
 
 
+def _scored(spark, d, **options):
+    s = W.watchlist(T.fact(spark, d), AS_OF, CFG.with_(**options)).scored
+    return s.select("event", "event_name", F.date_format("event_date", "yyyy-MM-dd HH:mm:ss").alias("event_date"),
+                    F.col("days_out").cast("long").alias("days_out"), "sold_so_far_pct", "typical_at_day_pct", "gap_pp",
+                    F.col("ticket_count").alias("tickets_so_far"), "status", "cohort")
+
+
+@query("r2_watchlist_strict")
+def _r2_strict(spark, d):
+    """Every scored event where sales after the as-of day don't count."""
+    return _scored(spark, d, strict_as_of=True)
+
+
+@query("r2_watchlist_by_instance")
+def _r2_instance(spark, d):
+    """Every scored event against a library whose events are label and date, not names."""
+    return _scored(spark, d, event_key="event_instance")
+
+
 @query("a26_watch_summary")
 def _a26(spark, d):
     """Evaluated and behind counts before the sold-out filter and the top-k cut."""

@@ -169,6 +169,10 @@ class PacingConfig:
     order_key: tuple[str, ...] = ("sale_seq",)
     # Sales of one minute are summed in stretches of this many values of the first order column.
     order_span: int = 1 << 20
+    # What an event of the watchlist's library is: its name (sales of all its dates together) or "event_instance" (label and date).
+    event_key: str = "event_name"
+    # Leave sales after the as-of day out of the watchlist; by default they count, as in the source.
+    strict_as_of: bool = False
     # Exact quantiles by default; a positive value switches to percentile_approx.
     approx_accuracy: int = 0
     category_map: tuple[tuple[str, str], ...] = CATEGORY_MAP

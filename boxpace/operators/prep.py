@@ -50,6 +50,13 @@ def order_columns(df: DataFrame, cfg: PacingConfig = DEFAULT) -> list[str]:
     return ["sale_date"] + [c for c in cfg.order_key if c != "sale_date"]
 
 
+def known_sales(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> DataFrame:
+    """With ``cfg.strict_as_of`` the sales up to the end of the as-of day, else all."""
+    if not cfg.strict_as_of:
+        return df
+    return df.where(F.col("sale_date") < lit_ts(as_of + dt.timedelta(days=1)))
+
+
 def past(df: DataFrame, as_of: dt.date) -> DataFrame:
     """Events strictly before the as-of day."""
     return df.where(F.col("event_date") < lit_ts(as_of))

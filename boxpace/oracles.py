@@ -212,6 +212,17 @@ for _mc, _name in ((20, "r2_watchlist"), (5, "r2_watchlist_min5"), (62, "r2_watc
 SELECT event, days_out, round(sold_so_far_pct, 6) AS sold_so_far_pct, round(typical_at_day_pct, 6) AS typical_at_day_pct,
        round(gap_pp, 6) AS gap_pp, tickets_so_far, status, cohort FROM tbl""")
 
+WATCH_SCORED = """
+SELECT event, event_name, strftime(event_date, '%Y-%m-%d %H:%M:%S') AS event_date, CAST(days_out AS BIGINT) AS days_out,
+       round(sold_so_far_pct, 6) AS sold_so_far_pct, round(typical_at_day_pct, 6) AS typical_at_day_pct,
+       round(gap_pp, 6) AS gap_pp, ticket_count AS tickets_so_far, status, cohort FROM scored"""
+# Only sales up to the as-of day count.
+oracle("r2_watchlist_strict", _resolved(20).replace(
+    "FROM fact WHERE days_out", "FROM fact WHERE sale_date < {AS_OF} + INTERVAL 1 DAY AND days_out") + WATCH_SCORED)
+# The library's events are label and date instead of names.
+oracle("r2_watchlist_by_instance", _resolved(20).replace("PARTITION BY event_name", "PARTITION BY event_instance")
+       .replace("count(DISTINCT event_name)", "count(DISTINCT event_instance)") + WATCH_SCORED)
+
 oracle("a26_watch_summary", _resolved(20) + """
 SELECT count(*) AS evaluated, count(*) FILTER (WHERE status = 'Behind') AS behind FROM scored""")
 
@@ -403,8 +414,8 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_su
 
 oracle_raw("s1_csv_round_trip", """
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, sale_date, event_date, event_name,
-       event_part, round(qty_sold, 6) AS qty_sold, round(amount, 6) AS amount, event_category, event_type, event_label,
-       event_instance, weekday, venue, season, true AS has_files FROM enr""")
+       nullif(event_part, '') AS event_part, round(qty_sold, 6) AS qty_sold, round(amount, 6) AS amount, event_category, event_type,
+       event_label, event_instance, weekday, venue, season, true AS has_files FROM enr""")
 
 oracle_raw("f1_category_raw", """
 SELECT "Event Category" AS raw_category, count(*) AS n_rows, """ + norm_cat('"Event Category"') + """ AS category

@@ -13,7 +13,7 @@ from ..functions.lead import bin_floor
 from ..functions.numeric import clip, pace_status, round_half_even, round_to_long
 from ..operators.cohorts import cohort_figures, cohort_label, resolve_figures, tier_keys
 from ..operators.cumulate import running_share
-from ..operators.prep import lit_ts, order_columns, pacing_rows, past, upcoming
+from ..operators.prep import known_sales, lit_ts, order_columns, pacing_rows, past, upcoming
 
 EVENT_KEYS = ["event_name", "event_date", "event_type", "weekday", "venue"]
 
@@ -26,20 +26,20 @@ class Watchlist:
     scored: DataFrame     # every upcoming event with its cohort and score
 
 
-def _shares(df: DataFrame, cfg: PacingConfig, extra: list[str]) -> DataFrame:
-    """Sales in the lead window with running % per event name (W2), only the columns the watchlist needs."""
-    rows = pacing_rows(df, cfg)
-    keep = ["event_name", "event_date", "days_out", "d_bin", "qty_sold", *tier_keys(cfg), *order_columns(rows, cfg), *extra]
-    return running_share(rows.select(*dict.fromkeys(keep)), "event_name", cfg, pct_col="hist_cum_pct")
+def _shares(df: DataFrame, as_of: dt.date, cfg: PacingConfig, extra: list[str]) -> DataFrame:
+    """Sales in the lead window with running % per ``cfg.event_key`` (W2), only the columns the watchlist needs."""
+    rows = known_sales(pacing_rows(df, cfg), as_of, cfg)
+    keep = [cfg.event_key, "event_name", "event_date", "days_out", "d_bin", "qty_sold", *tier_keys(cfg), *order_columns(rows, cfg), *extra]
+    return running_share(rows.select(*dict.fromkeys(keep)), cfg.event_key, cfg, pct_col="hist_cum_pct")
 
 
 def library_rows(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> DataFrame:
-    """Past-event sale rows with running % per event name (W2 then P19).
+    """Past-event sale rows with running % per event name, or ``cfg.event_key`` (W2 then P19).
 
     Running sums and finals span every row in the lead window, upcoming
     dates included; only then are past events kept (the order matters).
     """
-    return past(_shares(df, cfg, []), as_of)
+    return past(_shares(df, as_of, cfg, []), as_of)
 
 
 def _label_column(df: DataFrame) -> str:
@@ -61,7 +61,7 @@ def _sold(rows: DataFrame, label: str, order: list[str], cfg: PacingConfig, weig
 
 def sold_now(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> DataFrame:
     """Upcoming events: tickets so far, min days_out, first label."""
-    rows = upcoming(pacing_rows(df, cfg), as_of)
+    rows = upcoming(known_sales(pacing_rows(df, cfg), as_of, cfg), as_of)
     return _sold(rows.where(_has_keys()), _label_column(rows), order_columns(rows, cfg), cfg)
 
 
@@ -73,13 +73,14 @@ def _history_and_events(df: DataFrame, as_of: dt.date, cfg: PacingConfig) -> tup
     counts, not by grouping columns, which Spark would push down; so their plans are the same up to that shuffle and it runs once.
     """
     label = _label_column(df)
-    rows = _shares(df, cfg, [label])
+    rows = _shares(df, as_of, cfg, [label])
     order = order_columns(rows, cfg)
     is_past = F.col("event_date") < lit_ts(as_of)
-    later = list(dict.fromkeys(["event_date", "days_out", "qty_sold", label, *order]))
+    # The event's own column is a key of both sides.
+    later = [c for c in dict.fromkeys(["event_date", "event_name", "days_out", "qty_sold", label, *order]) if c != cfg.event_key]
     now = {"d_bin": "d_bin", "hist_cum_pct": "pct", "final_qty": "final"}
     sides = rows.where(F.col("event_date").isNotNull()).groupBy(
-        F.col("event_name").alias("event"), *tier_keys(cfg), *[F.when(is_past, F.col(c)).alias(n) for c, n in now.items()],
+        F.col(cfg.event_key).alias("event"), *tier_keys(cfg), *[F.when(is_past, F.col(c)).alias(n) for c, n in now.items()],
         *[F.when(~is_past, F.col(c)).alias(f"_u_{c}") for c in later]).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(is_past).alias("_past"),
         F.count_if(~is_past & ~_has_keys()).alias("_no_key"))
@@ -87,7 +88,7 @@ def _history_and_events(df: DataFrame, as_of: dt.date, cfg: PacingConfig) -> tup
     base = (sides.where((F.col("_past") > 0) & whole)
             .select("event", *tier_keys(cfg), *now.values(), F.col("_n").alias("n_rows")))
     events = sides.where((F.col("_past") == 0) & whole).select(
-        F.col("event").alias("event_name"), *tier_keys(cfg), *[F.col(f"_u_{c}").alias(c) for c in later if c != "event_name"], "_n")
+        F.col("event").alias(cfg.event_key), *tier_keys(cfg), *[F.col(f"_u_{c}").alias(c) for c in later], "_n")
     return base, _sold(events, label, order, cfg, "_n")
 
 

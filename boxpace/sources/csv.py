@@ -153,6 +153,7 @@ def list_data_files(spark: SparkSession, data_dir: str, suffixes=(".csv",)) -> D
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Export with a header row and no index column, in the form :func:`read_csv_text` reads back."""
     (df.write.mode(mode).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
 
 

@@ -177,3 +177,36 @@ def test_library_counts_no_event_without_a_name(spark):
     _, finals = cohort_library(df, PacingConfig())
     got = finals.select("n_events", "median_final").distinct().collect()
     assert [tuple(r) for r in got] == [(2, 5.0)]
+
+
+def test_strict_as_of_leaves_later_sales_out(spark):
+    import datetime as dt
+
+    from boxpace.config import DEFAULT
+    from boxpace.plans import watchlist as W
+    cols = "event_name string, sale_date string, event_date string, qty_sold double, sale_seq long"
+    raw = spark.createDataFrame([("A", "2020-01-01 10:00", "2020-01-20", 3.0, 1), ("A", "2020-01-05 23:59", "2020-01-20", 2.0, 2),
+                                 ("A", "2020-01-06 00:00", "2020-01-20", 7.0, 3), ("B", "2019-12-01", "2019-12-20", 4.0, 4)], cols)
+    from boxpace.plans.enrich import enrich
+    fact, day = enrich(raw), dt.date(2020, 1, 5)
+    for cfg, want in ((DEFAULT, 12.0), (DEFAULT.with_(strict_as_of=True), 5.0)):
+        assert [r["tickets_so_far"] for r in W.sold_now(fact, day, cfg).collect()] == [want]
+        assert [r["ticket_count"] for r in W.watchlist(fact, day, cfg).scored.collect()] == [want]
+
+
+def test_event_key_parts_the_dates_of_a_name(spark):
+    import datetime as dt
+
+    from boxpace.config import DEFAULT
+    from boxpace.plans import watchlist as W
+    from boxpace.plans.enrich import enrich
+    cols = "event_name string, sale_date string, event_date string, qty_sold double, sale_seq long"
+    raw = spark.createDataFrame([("A", "2020-01-01", "2020-01-20", 1.0, 1), ("A", "2020-01-10", "2020-01-20", 1.0, 2),
+                                 ("A", "2020-02-01", "2020-02-20", 6.0, 3), ("U", "2020-03-01", "2020-03-05", 1.0, 4)], cols)
+    fact, day = enrich(raw), dt.date(2020, 3, 1)
+    name = {(r["days_out"], r["qty_sold"]): r["final_qty"] for r in W.library_rows(fact, day).collect()}
+    date = {(r["days_out"], r["qty_sold"]): r["final_qty"] for r in W.library_rows(fact, day, DEFAULT.with_(event_key="event_instance")).collect()}
+    assert set(name.values()) == {8.0}
+    assert date == {(19, 1.0): 2.0, (10, 1.0): 2.0, (19, 6.0): 6.0}
+    got = W.watchlist(fact, day, DEFAULT.with_(event_key="event_instance", min_cohort=1)).scored.collect()
+    assert [(r["event_name"], r["ticket_count"]) for r in got] == [("U", 1)]
