@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import shared_checkpoint, texts
 
 BLOCK_BYTES = 2048
+# The rows of one group of equal texts are dealt to so many parts by their hash.
+GROUP_PARTS = 256
 _BLANKS = b" \t\n\x0b\x0c\r"
 
 
@@ -160,9 +162,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only where every row of the group lacks an id, and one of them stays). An empty table gives no rows.
     """
     ids = identities(texts(docs, id_col, text_col), block_bytes)
-    groups = ids.groupBy(F.col("level").alias("_l"), F.col("name").alias("_n")).agg(
+    # A group's figures go to the parts its rows were dealt to, so no task gets all rows of a large group.
+    ids = ids.withColumn("part", F.pmod(F.xxhash64("doc_id", "sha"), F.lit(GROUP_PARTS)))
+    parts = ids.groupBy(F.col("level").alias("_l"), F.col("name").alias("_n"), F.col("part").alias("_p")).agg(
         F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    rows = ids.join(groups, (F.col("level") == F.col("_l")) & (F.col("name") == F.col("_n")))
+    groups = parts.groupBy("_l", "_n").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"),
+                                           F.collect_list("_p").alias("_parts"))
+    groups = groups.select("_l", "_n", "keep_id", "group_size", F.explode("_parts").alias("_p"))
+    rows = ids.join(groups, (F.col("level") == F.col("_l")) & (F.col("name") == F.col("_n")) & (F.col("part") == F.col("_p")))
     rows = rows.select("doc_id", "keep_id", "group_size", "sha",
                        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
     return rows.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, shared_checkpoint, texts
 
 SHARD_KEYS = 1 << 16
+# Probes of a shard for each of its salts, beyond the salts that every shard has.
+SALT_PROBES = 1 << 20
 # Slots per key left on a level of the perfect hash; more slots, fewer levels.
 GAMMA = 2.0
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -172,10 +174,29 @@ def build_index(counts: DataFrame, n_shards: int) -> DataFrame:
     return keyed.groupBy("shard").applyInArrow(build, "shard long, blob binary")
 
 
-def probe_index(lines: DataFrame, index: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
-    """(doc_id, h1) of the lines that ``doc_id`` has to drop."""
+def hot_shards(counts: DataFrame, n_shards: int, salts: int, salt_probes: int) -> DataFrame:
+    """(shard, salts) of the shards whose keys are held so often that they need more than ``salts`` salts.
+
+    One of ``salt_probes`` held lines or more each, so there are few.
+    """
+    n = F.ceil(F.sum("n_docs") / F.lit(salt_probes)).cast("long")
+    return (counts.groupBy(F.pmod(F.col("h1"), F.lit(n_shards)).alias("_hot")).agg(n.alias("_salts"))
+            .where(F.col("_salts") > salts))
+
+
+def probe_index(lines: DataFrame, index: DataFrame, counts: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
+    """(doc_id, h1) of the lines that ``doc_id`` has to drop.
+
+    Each shard is copied to its salts, and its probes are dealt to them: enough to use all shuffle
+    partitions, and for shards with hot lines one for every SALT_PROBES lines held.
+    """
     spark = lines.sparkSession
     salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_shards))
+    hot = hot_shards(counts, n_shards, salts, SALT_PROBES)
+
+    def salted(df):
+        return (df.join(F.broadcast(hot), F.col("shard") == F.col("_hot"), "left")
+                .withColumn("_salts", F.coalesce("_salts", F.lit(salts).cast("long"))))
 
     def run(batches):
         import numpy as np
@@ -199,12 +220,12 @@ def probe_index(lines: DataFrame, index: DataFrame, n_shards: int, min_docs: int
                     drop = pa.array(known & (shard.count[slot] >= min_docs) & ~mine)
                     yield pa.RecordBatch.from_arrays([ids.filter(drop), b.column(2).slice(start, end - start).filter(drop)],
                                                      names=["doc_id", "h1"])
-    probes = lines.select(F.lit(None).cast("binary").alias("blob"), "doc_id", "h1", "h2",
-                          F.pmod("h1", F.lit(n_shards)).alias("shard"),
-                          F.pmod(F.xxhash64("doc_id", "h2"), F.lit(salts)).alias("salt"))
-    arrays = index.select("blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h1"),
-                          F.lit(None).cast("long").alias("h2"), "shard",
-                          F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    probes = salted(lines.select("doc_id", "h1", "h2", F.pmod("h1", F.lit(n_shards)).alias("shard"))).select(
+        F.lit(None).cast("binary").alias("blob"), "doc_id", "h1", "h2", "shard",
+        F.pmod(F.xxhash64("doc_id", "h2"), F.col("_salts")).alias("salt"))
+    nothing = F.lit(None).cast("long")
+    arrays = salted(index).select("blob", nothing.alias("doc_id"), nothing.alias("h1"), nothing.alias("h2"), "shard",
+                                  F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("salt"))
     dealt = (arrays.unionByName(probes).repartition("shard", "salt")
              .sortWithinPartitions("shard", "salt", F.col("blob").isNull()))
     return dealt.select("blob", "doc_id", "h1", "h2").mapInArrow(run, "doc_id long, h1 long")
@@ -253,7 +274,7 @@ def line_drops(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     if not n_keys:
         return counts.select(F.col("last_doc").alias("doc_id"), "h1")
     n_shards = -(-n_keys // SHARD_KEYS)
-    return probe_index(lines, build_index(counts, n_shards), n_shards, min_docs)
+    return probe_index(lines, build_index(counts, n_shards), counts, n_shards, min_docs)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,

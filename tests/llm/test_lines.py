@@ -43,12 +43,21 @@ def test_edges(edge, clash, empty, edge_rows):
 
 def test_hot_line_and_many_shards(spark, monkeypatch):
     monkeypatch.setattr(lines, "SHARD_KEYS", 8)
+    monkeypatch.setattr(lines, "SALT_PROBES", 40)
     hot = "This line is held by every second one of all documents."
     rows = [(i, "\n".join([hot] * (i % 2) + [f"A passage of more than forty characters, number {(i * 7 + j) % 90}." for j in range(4)]
                           + [f"Only document {i} holds this line of some length."])) for i in range(300)]
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
 
 
+def test_shards_of_hot_lines_get_salts_of_their_own(spark):
+    rows = [(7, 1, 1000), (3, 1, 5), (10, 1, 6), (4, 1, 39)]  # h1, h2, documents; four shards
+    counts = spark.createDataFrame(rows, "h1 long, h2 long, n_docs long")
+    got = {r["_hot"]: r["_salts"] for r in lines.hot_shards(counts, 4, 1, 10).collect()}
+    assert got == {3: 101, 0: 4}
+    assert lines.hot_shards(counts, 4, 200, 10).count() == 0
+
+
 def test_only_rows_without_ids_hold_a_line(spark):
     rows = [(None, "A line that only rows without an id have here.")] * 6
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
