@@ -1,15 +1,16 @@
 """Group quantiles with linear interpolation (pandas ``median`` / ``quantile``).
 
 ``group_quantiles`` is the only place percentiles are computed. It selects the values at the wanted ranks by
-narrowing and never holds a group in one task:
+narrowing twice and never holds a group in one task:
 
-1. rows become (group, value) counts, combined before the shuffle, so a hot group spreads over its values;
-2. values fall into buckets of a fixed scale that never falls with the value; the buckets' counts, summed along
-   the scale, tell exactly which buckets hold the wanted ranks;
-3. only these buckets' values are sorted, bucket by bucket, and the values at the ranks are picked.
+1. values fall into coarse buckets of a fixed scale that never falls with the value; the buckets' counts, combined before
+   the shuffle and summed along the scale, tell exactly which buckets hold the wanted ranks;
+2. only values of these buckets are shuffled, as (group, value) counts. A bitmap of fixed size tells them: a mark that two
+   buckets share lets some values more through, which the joins with the wanted buckets then drop;
+3. fine buckets narrow them once more, so only values next to a rank are sorted, and the values at the ranks are picked.
 
-Counts decide, not a sketch: every rank is found, whatever the distribution. The scale is logarithmic with
-BUCKETS_PER_E buckets to a factor of e (above 1) so a bucket is at most 1/65,536 wide relative to its values.
+Counts decide, not a sketch: every rank is found, whatever the distribution. The scale is logarithmic with so
+many buckets to a factor of e (above 1): a fine one is at most 1/65,536 wide relative to its values.
 """
 from __future__ import annotations
 
@@ -20,7 +21,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PacingConfig
 
-BUCKETS_PER_E = 1 << 16
+COARSE_PER_E = 1 << 8
+FINE_PER_E = 1 << 16
+# Bits of the bitmap of wanted buckets: 256 KB.
+MARKS = 1 << 21
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
@@ -31,12 +35,41 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str
     return left.join(r, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
-def value_bucket(v: Column) -> Column:
+def value_bucket(v: Column, per_e: int) -> Column:
     """Place of a double on the fixed scale; NaN, which sorts last, has the last one, NULL none."""
-    place = F.floor(F.signum(v) * F.least(F.log1p(F.abs(v)), F.lit(1000.0)) * BUCKETS_PER_E)
+    place = F.floor(F.signum(v) * F.least(F.log1p(F.abs(v)), F.lit(1000.0)) * per_e)
     return F.when(F.isnan(v), F.lit(1 << 62)).otherwise(place)
 
 
+def _mark(cols: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(MARKS))
+
+
+def _marked_rows(rows: DataFrame, wanted: DataFrame, cols: list[str]) -> DataFrame:
+    """The ``rows`` whose ``cols`` have the mark of a row of ``wanted``; the marks are one array of ``MARKS`` bits, whatever their number."""
+    place = wanted.select(_mark(cols).alias("_m")).select(
+        F.floor(F.col("_m") / 64).cast("int").alias("_word"), F.expr("shiftleft(1L, cast(_m % 64 as int))").alias("_bit"))
+    none = rows.sparkSession.range(0, MARKS // 64, 1, 1).select(F.col("id").cast("int").alias("_word"), F.lit(0).cast("long").alias("_bit"))
+    words = place.unionByName(none).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    bitmap = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("_word", "_bits"))), lambda x: x["_bits"]).alias("_marks"))
+    mark = _mark(cols)
+    hit = F.getbit(F.get("_marks", F.floor(mark / 64).cast("int")), (mark % 64).cast("int")) == 1
+    return rows.join(F.broadcast(bitmap), hit).drop("_marks")
+
+
+def _holding(buckets: DataFrame, ranks: list[Column], within: list[str], place: str, real: Column) -> DataFrame:
+    """Buckets that hold one of ``ranks`` along ``place`` within each group ``within`` (all of a group without values).
+
+    ``_want`` has the ranks counted from the bucket's first value, NULL for those elsewhere.
+    """
+    upto = Window.partitionBy(*within).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(real).over(upto)
+    b = buckets.withColumn("_end", end).withColumn("_start", F.col("_end") - real)
+    inside = F.array(*[F.when((r >= F.col("_start")) & (r < F.col("_end")), r - F.col("_start")) for r in ranks])
+    return (b.withColumn("_want", inside).where(F.exists("_want", lambda x: x.isNotNull()) | (F.col("_n") == 0))
+            .drop("_start", "_end"))
+
+
 def group_quantiles(df: DataFrame, group_cols: list[str], value: str, probs: dict[str, float],
                     cfg: PacingConfig = DEFAULT, weight: str | None = None, n: str | None = None,
                     n_rows: str | None = None) -> DataFrame:
@@ -54,21 +87,25 @@ def group_quantiles(df: DataFrame, group_cols: list[str], value: str, probs: dic
         aggs = [F.percentile_approx(v, p, cfg.approx_accuracy).cast("double").alias(k) for k, p in zip(names, ps)]
         return df.groupBy(*group_cols).agg(*aggs, *[c.alias(k) for k, c in counts.items()])
     g = group_cols
-    cells = df.groupBy(*g, v.alias("_v")).agg(F.sum(w).alias("_c")).withColumn("_z", value_bucket(F.col("_v")))
+    rows = df.select(*g, v.alias("_v"), w.alias("_c")).withColumn("_z", value_bucket(F.col("_v"), COARSE_PER_E))
 
-    buckets = cells.groupBy(*g, "_z").agg(F.sum("_c").alias("_c"))
+    buckets = rows.groupBy(*g, "_z").agg(F.sum("_c").alias("_c"))
     real = F.when(F.col("_z").isNotNull(), F.col("_c")).otherwise(0)
-    whole, upto = Window.partitionBy(*g), Window.partitionBy(*g).orderBy("_z").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = buckets.select(*g, "_z", F.sum(real).over(whole).alias("_n"), F.sum("_c").over(whole).alias("_rows"),
-                             F.sum(real).over(upto).alias("_end"), real.alias("_real"))
-    start = F.col("_end") - F.col("_real")
+    whole = Window.partitionBy(*g)
+    buckets = buckets.select(*g, "_z", "_c", F.sum(real).over(whole).alias("_n"), F.sum("_c").over(whole).alias("_rows"))
     at = [F.lit(p) * (F.col("_n") - 1) for p in ps]
     ranks = [r for a in at for r in (F.floor(a), F.ceil(a))]  # of each quantile the value at or below, and at or above
-    wanted = F.array(*[F.when((r >= start) & (r < F.col("_end")), r - start) for r in ranks])
-    buckets = buckets.withColumn("_want", wanted).where(F.exists("_want", lambda x: x.isNotNull()) | (F.col("_n") == 0))
+    wanted = _holding(buckets, ranks, g, "_z", real).drop("_c")
+
+    coarse = [*g, "_z"]
+    cells = (_marked_rows(rows, wanted, coarse).groupBy(*coarse, "_v").agg(F.sum("_c").alias("_c"))
+             .withColumn("_f", value_bucket(F.col("_v"), FINE_PER_E)))
+    fine = null_safe_join(cells.groupBy(*coarse, "_f").agg(F.sum("_c").alias("_c")),
+                          wanted.withColumnRenamed("_want", "_ranks"), coarse)
+    fine = _holding(fine, [F.col("_ranks")[k] for k in range(len(ranks))], coarse, "_f", F.col("_c"))
 
-    found = null_safe_join(cells, buckets.select(*g, "_z", "_n", "_rows", "_want"), [*g, "_z"])
-    inside = Window.partitionBy(*g, "_z").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = null_safe_join(cells, fine.select(*coarse, "_f", "_n", "_rows", "_want"), [*coarse, "_f"])
+    inside = Window.partitionBy(*coarse, "_f").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("_hi", F.sum("_c").over(inside))
     picked = []
     for k in range(2 * len(ps)):

@@ -49,3 +49,30 @@ def test_empty_input_and_approximate_mode(spark):
     small = spark.createDataFrame([("x", float(i)) for i in range(101)], "a string, v double")
     r = group_quantiles(small, ["a"], "v", {"m": 0.5}, PacingConfig(approx_accuracy=1000), n="n").first()
     assert (r["m"], r["n"]) == (50.0, 101)
+
+
+def _shuffled(plan):
+    """Records that the shuffles of an executed plan wrote, each shuffle once."""
+    name, found = plan.getClass().getSimpleName(), {}
+    if name == "AdaptiveSparkPlanExec":
+        return _shuffled(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _shuffled(plan.plan())
+    if name == "ReusedExchangeExec":
+        return found
+    if name == "ShuffleExchangeExec":
+        found[plan.id()] = plan.metrics().get("shuffleRecordsWritten").get().value()
+    children = plan.children()
+    for i in range(children.size()):
+        found |= _shuffled(children.apply(i))
+    return found
+
+
+def test_only_counts_and_values_near_a_rank_are_shuffled(spark):
+    """All values once, twice and three times each were shuffled before; now coarse counts and the values of a few buckets."""
+    n, groups = 400_000, 4
+    df = spark.range(0, n, 1, 4).select((F.col("id") % groups).alias("g"), ((F.col("id") * 7919) % n / n * 100).alias("v"))
+    q = group_quantiles(df, ["g"], "v", {"m": 0.5}, n="n")
+    q.write.format("noop").mode("overwrite").save()
+    assert {r["n"] for r in q.collect()} == {n // groups}
+    assert 0 < sum(_shuffled(q._jdf.queryExecution().executedPlan()).values()) < n / 4
