@@ -69,8 +69,12 @@ def _ensure(df: DataFrame) -> DataFrame:
 
 
 def category_totals(df: DataFrame, cfg: PacingConfig = DEFAULT, drop_other: bool = True) -> DataFrame:
-    """Qty per regex category of the event name, the unmapped bucket dropped (A4)."""
-    g = (_ensure(df).withColumn("event_category", collab_category("event_name", cfg))
+    """Qty per regex category of the event name, the unmapped bucket dropped (A4).
+
+    Sales are summed per name first, so the patterns are tried once per name.
+    """
+    names = _ensure(df).groupBy("event_name").agg(F.sum("qty_sold").alias("qty_sold"))
+    g = (names.withColumn("event_category", collab_category("event_name", cfg))
          .groupBy("event_category").agg(F.sum("qty_sold").alias("qty_sold")))
     return g.where(F.col("event_category") != DEFAULT_CATEGORY) if drop_other else g
 
@@ -90,11 +94,12 @@ def top_categories_pre_post(df: DataFrame, cfg: PacingConfig = DEFAULT, top_n: i
     top_n = cfg.top_categories if top_n is None else top_n
     pre = F.col("sale_date") < lit_ts(cfg.pre_end)
     post = F.col("sale_date") >= lit_ts(cfg.post_start)
-    d = _ensure(df).withColumn("event_category", collab_category("event_name", cfg))
-    g = (d.groupBy("event_category")
-         .agg(F.sum(F.when(pre, F.col("qty_sold"))).alias("qty_pre"),
-              F.coalesce(F.sum(F.when(post, F.col("qty_sold"))), F.lit(0.0)).alias("qty_post"),
-              F.count_if(pre).alias("_npre")))
+    names = _ensure(df).groupBy("event_name").agg(
+        F.sum(F.when(pre, F.col("qty_sold"))).alias("qty_pre"), F.sum(F.when(post, F.col("qty_sold"))).alias("qty_post"),
+        F.count_if(pre).alias("_npre"))
+    g = (names.withColumn("event_category", collab_category("event_name", cfg)).groupBy("event_category")
+         .agg(F.sum("qty_pre").alias("qty_pre"), F.coalesce(F.sum("qty_post"), F.lit(0.0)).alias("qty_post"),
+              F.sum("_npre").alias("_npre")))
     g = g.where((F.col("_npre") > 0) & (F.col("event_category") != DEFAULT_CATEGORY))
     return g.orderBy(F.col("qty_pre").desc(), "event_category").limit(top_n).select(
         "event_category", "qty_pre", "qty_post")

@@ -62,3 +62,17 @@ def test_label_and_instance(spark):
         "i", C.event_instance("l", F.to_timestamp(F.lit("2020-05-01")))).first()
     assert r["l"] == "Opera Gala – matinee"
     assert r["i"] == "opera gala – matinee|2020-05-01"
+
+
+def test_patterns_are_tried_once_per_name(spark):
+    """Category totals sum the sales of a name before its name is looked at (the patterns ran over every sale before)."""
+    from boxpace.operators.compare import category_totals, top_categories_pre_post
+    import datetime as dt
+    day = dt.datetime(2019, 1, 1)
+    df = spark.createDataFrame([(day, n, q) for n, q in [("Jazz A", 1.0), ("Jazz A", 2.0), ("Jazz B", None), ("Circus", -1.0), ("Zzz", 4.0), (None, 5.0)]],
+                               "sale_date timestamp_ntz, event_name string, qty_sold double")
+    totals = category_totals(df)
+    assert {tuple(r) for r in totals.collect()} == {("Music—Jazz", 3.0), ("Circus Arts", -1.0)}
+    assert [tuple(r) for r in top_categories_pre_post(df).collect()] == [("Music—Jazz", 3.0, 0.0), ("Circus Arts", -1.0, 0.0)]
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE(") > 0 and plan.rindex("RLIKE(") < plan.rindex("Aggregate [event_name")
