@@ -49,7 +49,7 @@ def first_substring_hit(pairs, text: Column) -> Column:
     """Value of the first (keyword, value) pair whose keyword occurs in ``text``."""
     expr = None
     for kw, val in pairs:
-        cond = F.instr(text, kw) > 0
+        cond = F.contains(text, F.lit(kw))
         expr = F.when(cond, F.lit(val)) if expr is None else expr.when(cond, F.lit(val))
     return expr
 
@@ -90,17 +90,24 @@ def event_type(part=None, name="event_name", category=None, cfg: PacingConfig =
     Non-blank part: series lookup -> first keyword in the part -> part in title
     case. Otherwise: first keyword in the name -> non-blank category -> 'Other'.
     """
-    name_text = F.lower(F.coalesce(_c(name), F.lit("")))
-    by_name = first_substring_hit(cfg.keyword_types, name_text)
+    p = None if part is None else strip(_c(part))
+    return event_type_of(p, None if p is None else F.lower(p), F.lower(F.coalesce(_c(name), F.lit(""))), category, cfg)
+
+
+def event_type_of(p, key, name_text, category=None, cfg: PacingConfig = DEFAULT) -> Column:
+    """:func:`event_type` of a trimmed part, its lower case and the name's.
+
+    The ladder names each of them once per keyword: as columns of their own they are built once per row.
+    """
+    by_name = first_substring_hit(cfg.keyword_types, _c(name_text))
     cat_branch = F.lit(DEFAULT_EVENT_TYPE)
     if category is not None:
         cat = strip(_c(category))
         cat_branch = F.when(cat.isNotNull() & (cat != ""), cat).otherwise(F.lit(DEFAULT_EVENT_TYPE))
     no_part = F.coalesce(by_name, cat_branch)
-    if part is None:
+    if p is None:
         return no_part
-    p = strip(_c(part))
-    key = F.lower(p)
+    p, key = _c(p), _c(key)
     with_part = F.coalesce(_lookup(cfg.series_lookup, key),
                            first_substring_hit(cfg.keyword_types, key),
                            title_case(p))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import (CENTURY_PIVOT, DATE_MONTH, DATE_WEEKDAY, DEFAULT, MONTHS, NUMBER_SHAPE, NUMERIC_COLUMNS,
                       PacingConfig)
-from ..functions.classify import event_instance, event_label, event_type, normalize_category, strip
+from ..functions.classify import event_instance, event_label, event_type_of, normalize_category, strip
 from ..functions.lead import weekday_name
 from ..sources.csv import normalize_headers, read_csv_text, require_columns
 
@@ -86,8 +86,8 @@ def to_timestamp(c) -> Column:
             lambda day: combine(day, tm)))
     clean = F.regexp_replace(F.regexp_replace(txt, r"(?<=\d)T(?=\d)", " "),
                              r" ?(Z|UTC|GMT)?( ?(?<=\d:\d{2}|:\d{2}\.\d{1,9}|Z|UTC|GMT| )[+-]\d{2}:?(\d{2})?)?( ?\([A-Z]{2,5}\))?$", "")
-    iso = F.try_to_timestamp(txt, F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
-    return F.when(txt.rlike(r"^\d{4}-\d{2}-\d{2}$"), iso).otherwise(_bind(clean, split))
+    iso = txt.try_cast("date").cast("timestamp_ntz")
+    return F.when(txt.rlike(r"^\d{4}-\d{2}-\d{2}$"), iso).when(txt.rlike(r"\d"), _bind(clean, split))
 
 
 def venue_default(c=None) -> Column:
@@ -116,9 +116,15 @@ def enrich(raw: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
         df = df.withColumn("event_category", normalize_category(F.col("event_category"), None, cfg))
     else:
         df = df.withColumn("event_category", normalize_category(None, F.col("event_name"), cfg))
-    part = F.col("event_part") if "event_part" in df.columns else None
-    df = df.withColumn("event_type", event_type(part, F.col("event_name"), F.col("event_category"), cfg))
-    df = df.withColumn("event_label", event_label(F.col("event_name"), part))
+    has_part = "event_part" in df.columns
+    # Texts that the ladder looks at again and again get columns of their own, which are built once per row.
+    texts = {"_name_key": F.lower("event_name")} | ({"_part": strip("event_part")} if has_part else {})
+    df = df.withColumns(texts)
+    if has_part:
+        df = df.withColumn("_part_key", F.lower("_part"))
+    df = df.withColumn("event_type", event_type_of("_part" if has_part else None, "_part_key" if has_part else None, "_name_key",
+                                                   "event_category", cfg))
+    df = df.withColumn("event_label", event_label("event_name", "_part" if has_part else None)).drop("_name_key", "_part", "_part_key")
     df = df.withColumn("event_instance", event_instance("event_label", "event_date"))
     df = df.withColumn("weekday", weekday_name("event_date"))
     df = df.withColumn("venue", venue_default("venue" if "venue" in df.columns else None))
