@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, TIER_LABELS, PacingConfig, tier_name
-from .quantiles import group_quantiles, null_safe_join
+from .quantiles import COARSE_PER_E, group_quantiles, null_safe_join, quantiles_of_buckets, value_bucket
+
+# Coarse buckets in a range: sales are dealt to tasks by cohort, bin and range.
+RANGE = 16
 
 
 def tier_keys(cfg: PacingConfig = DEFAULT) -> list[str]:
@@ -57,36 +60,47 @@ def explode_tiers(df: DataFrame, cfg: PacingConfig = DEFAULT, ranks: list[int] |
               .select(*rest, "_t.*"))
 
 
-def library_base(rows: DataFrame, cfg: PacingConfig = DEFAULT, pct: str = "hist_cum_pct", final: str = "final_qty",
-                 event: str = "event_name") -> DataFrame:
-    """(event, keys, d_bin, pct, final, n_rows): equal rows counted, the one shuffle every figure of the library uses."""
-    keys = tier_keys(cfg)
-    return (rows.groupBy(F.col(event).alias("event"), *keys, "d_bin", F.col(pct).alias("pct"), F.col(final).alias("final"))
-            .agg(F.count(F.lit(1)).alias("n_rows")))
-
-
-def cohort_figures(base: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
-    """Per tier and keys: (tier_rank, tier, keys..., at_bin, d_bin, median, n).
+def cohort_figures(rows: DataFrame, cfg: PacingConfig = DEFAULT, pct: str = "hist_cum_pct", final: str = "final_qty",
+                   event: str = "event_name", kinds: tuple[bool, ...] = (True, False)) -> DataFrame:
+    """Per tier and keys: (tier_rank, tier, keys..., at_bin, d_bin, median, n), the ``at_bin`` ones of ``kinds``.
 
     With ``at_bin`` the row is about one ``d_bin``: the median of pct over the sale rows and the distinct events there.
     Without, it is about all bins: the median of the events' finals over the sale rows (a long event weighs more, as
     in the source) and the distinct events. Both medians are one selection over (value, row count) pairs; a final, constant per
     event, has one pair per event and keys.
+
+    Sale rows are counted by event, keys, bin and coarse bucket of pct, and only these counts are expanded into tiers. The rows
+    are dealt by keys, bin and a range of buckets, so a cohort's counts lie in a few tasks and no task has a whole
+    wide one. The rows are read once more for the values near a rank.
     """
     keys = tier_keys(cfg)
     group = ["tier_rank", *keys, "at_bin", "d_bin"]
-    # All three branches read base's own shuffle: each names its count and its grouping columns only.
-    at_bins = base.select(*keys, F.lit(True).alias("at_bin"), "d_bin", F.col("pct").alias("value"), "n_rows")
-    finals = (base.groupBy("event", *keys, "final").agg(F.sum("n_rows").alias("n_rows"))
-              .select(*keys, F.lit(False).alias("at_bin"), F.lit(None).cast("int").alias("d_bin"), F.col("final").alias("value"), "n_rows"))
-    tiered = explode_tiers(at_bins.unionByName(finals), cfg).drop("tier")
-    medians = group_quantiles(tiered, group, "value", {"median": 0.5}, cfg, weight="n_rows")
+    sales = rows.select(F.col(event).alias("event"), *keys, F.col("d_bin").cast("int").alias("d_bin"),
+                        F.col(pct).cast("double").alias("_v"), F.col(final).cast("double").alias("final"))
+    sales = sales.withColumn("_z", value_bucket(F.col("_v"), COARSE_PER_E)).withColumn("_range", F.floor(F.col("_z") / RANGE))
+    dealt = [*keys, "d_bin", "_range"]
+    # All readers of the counts name their count and their grouping columns only, so that they share one shuffle.
+    cells = sales.repartition(*dealt).groupBy("event", *dealt, "_z", "final").agg(F.count(F.lit(1)).alias("_c"))
+    at, whole, no_bin = F.lit(True).alias("at_bin"), F.lit(False).alias("at_bin"), F.lit(None).cast("int").alias("d_bin")
+    finals = (cells.groupBy("event", *keys, "final").agg(F.sum("_c").alias("_c"))
+              .select("event", *keys, whole, no_bin, F.col("final").alias("_v"), "_c")
+              .withColumn("_z", value_bucket(F.col("_v"), COARSE_PER_E)))
+    here = cells.groupBy(*dealt, "_z").agg(F.sum("_c").alias("_c")).select(*keys, at, "d_bin", "_z", "_c")
+    values = sales.select(*keys, at, "d_bin", "_v", F.lit(1).cast("long").alias("_c"), "_z")
+
+    def both(of_bins, of_all):
+        return of_bins.unionByName(of_all) if len(kinds) == 2 else of_bins if kinds[0] else of_all
+    buckets = (explode_tiers(both(here, finals.drop("event", "_v")), cfg).drop("tier").groupBy(*group, "_z")
+               .agg(F.sum("_c").alias("_c")))
+    values = both(values, finals.drop("event"))
+    places = [[F.lit(rank), *[(F.col(k) if k in tier else F.lit(None)).cast("string") for k in keys], F.col("at_bin"), F.col("d_bin"),
+               F.col("_z")] for rank, tier in enumerate(cfg.tiers)]
+    medians = quantiles_of_buckets(values, buckets, group, {"median": 0.5},
+                                   expand=lambda near: explode_tiers(near, cfg).drop("tier"), places=places)
     # Distinct events: a row per event, keys and bin, then per cohort.
-    seen = base.where(F.col("n_rows") > 0).groupBy("event", *keys, "d_bin").agg(F.lit(1).alias("_one"))
-    bins = F.array(F.struct(F.lit(True).alias("at_bin"), F.col("d_bin")),
-                   F.struct(F.lit(False).alias("at_bin"), F.lit(None).cast("int").alias("d_bin")))
-    events = explode_tiers(seen.select("event", *keys, F.explode(bins).alias("_b")).select("event", *keys, "_b.*"), cfg)
-    events = events.groupBy(*group, "event").agg(F.lit(1).alias("_one")).groupBy(*group).agg(F.count("event").alias("n"))
+    seen = both(cells.where(F.col("_c") > 0).groupBy("event", *dealt).agg(F.lit(1).alias("_one")).select("event", *keys, at, "d_bin"),
+                finals.where(F.col("_c") > 0).select("event", *keys, "at_bin", "d_bin"))
+    events = explode_tiers(seen, cfg).groupBy(*group, "event").agg(F.lit(1).alias("_one")).groupBy(*group).agg(F.count("event").alias("n"))
     names = F.array(*[F.lit(tier_name(t)) for t in cfg.tiers])
     return null_safe_join(medians, events, group).withColumn("tier", F.element_at(names, F.col("tier_rank") + 1))
 
@@ -99,10 +113,9 @@ def cohort_library(rows: DataFrame, cfg: PacingConfig = DEFAULT, pct: str = "his
     (tier_rank, tier, keys..., median_final, n_events). Both medians are over sale rows (:func:`cohort_figures`).
     """
     keys = ["tier_rank", "tier", *tier_keys(cfg)]
-    f = cohort_figures(library_base(rows, cfg, pct, final, event), cfg)
-    medians = f.where("at_bin").select(*keys, "d_bin", F.col("median").alias("median_pct"), "n")
-    finals = f.where(~F.col("at_bin")).select(*keys, F.col("median").alias("median_final"), F.col("n").alias("n_events"))
-    return medians, finals
+    medians, finals = (cohort_figures(rows, cfg, pct, final, event, (kind,)) for kind in (True, False))
+    return (medians.select(*keys, "d_bin", F.col("median").alias("median_pct"), "n"),
+            finals.select(*keys, F.col("median").alias("median_final"), F.col("n").alias("n_events")))
 
 
 def cohort_stats(pacing: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:

@@ -48,23 +48,27 @@ def order_slot(df: DataFrame, column: str, cfg: PacingConfig = DEFAULT) -> Colum
     return F.coalesce(F.floor(number).cast("long"), F.lit(_LOW))
 
 
-def _local_sums(df: DataFrame, key: str, cfg: PacingConfig, qty: str) -> DataFrame:
-    """Add the levels and the running sum inside a stretch: one sort of each (key, DAY, TIME, SLOT)."""
+def _local_sums(df: DataFrame, key: str, cfg: PacingConfig, qty: str, ties: list[str] | None = None) -> DataFrame:
+    """Add the levels and the running sum inside a stretch: one sort of each (key, DAY, TIME, SLOT).
+
+    ``ties`` order rows that the booking order leaves equal.
+    """
     rows = booking_levels(df, cfg)
-    w = (Window.partitionBy(key, DAY, TIME, SLOT).orderBy(*[F.col(c).asc() for c in order_columns(df, cfg)])
+    w = (Window.partitionBy(key, DAY, TIME, SLOT).orderBy(*[F.col(c).asc() for c in [*order_columns(df, cfg), *(ties or [])]])
          .rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn(LOCAL, F.sum(F.coalesce(F.col(qty).cast("double"), F.lit(0.0))).over(w))
 
 
 def stretch_sums(df: DataFrame, key: str, cfg: PacingConfig = DEFAULT, qty: str = "qty_sold",
-                 carry: dict[str, Column] | None = None) -> DataFrame:
+                 carry: dict[str, Column] | None = None, ties: list[str] | None = None) -> DataFrame:
     """One row per (key, DAY, TIME, SLOT): its sum, highest running sum, and what its day's earlier stretches hold.
 
     Columns ``_rs_sum``, ``_rs_top`` (rows without qty don't count; NULL if no row has one) and ``_rs_before``.
     ``carry`` adds aggregates of the rows of a stretch.
     """
     has_qty = F.col(qty).isNotNull()
-    g = (_local_sums(df.where(F.col(key).isNotNull()), key, cfg, qty).groupBy(key, DAY, TIME, SLOT)
+    # With ties the caller's key is never NULL, and a filter would make another plan of the same rows.
+    g = (_local_sums(df if ties else df.where(F.col(key).isNotNull()), key, cfg, qty, ties).groupBy(key, DAY, TIME, SLOT)
          .agg(F.sum(F.coalesce(F.col(qty).cast("double"), F.lit(0.0))).alias("_rs_sum"),
               F.max(F.when(has_qty, F.col(LOCAL))).alias("_rs_top"), *[c.alias(n) for n, c in (carry or {}).items()]))
     earlier = Window.partitionBy(key, DAY).orderBy(TIME, SLOT).rowsBetween(Window.unboundedPreceding, -1)
@@ -91,7 +95,7 @@ def share_of_final(cum, final, positive_final: bool = False) -> Column:
 
 
 def running_share(df: DataFrame, key: str, cfg: PacingConfig = DEFAULT, qty: str = "qty_sold",
-                  pct_col: str = "cum_pct", positive_final: bool = False) -> DataFrame:
+                  pct_col: str = "cum_pct", positive_final: bool = False, one_shuffle: bool = False) -> DataFrame:
     """Running qty per ``key`` in booking order; final = peak of the running sum.
 
     Adds ``cum_qty``, ``final_qty`` and ``pct_col`` (:func:`share_of_final`). A row without qty adds nothing and
@@ -100,17 +104,26 @@ def running_share(df: DataFrame, key: str, cfg: PacingConfig = DEFAULT, qty: str
     The order is cut into levels (:func:`booking_levels`): sums per day and per stretch of a day give what
     comes before a stretch, a window inside the stretch gives the rest. No task needs all sales of a key, the
     tables between have one row per stretch, and the rows are shuffled once.
+
+    With ``one_shuffle`` the stretches are summed from the rows' own shuffle, so the input is read once: both readings sort by
+    all columns of ``df``, which Spark then can't prune on one side only, and rows without key have a stretch key too.
     """
+    part, ties, counts = key, None, F.col(qty).isNotNull()
+    rows = df
+    if one_shuffle:
+        part, counts = "_rs_key", counts & F.col(key).isNotNull()
+        ties = [c for c in df.columns if c not in order_columns(df, cfg)]
+        rows = df.withColumn(part, F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
     # Both sides of this join name the same columns of the stretches (one without qty needs no start): Spark runs them once.
-    stretches = stretch_sums(df, key, cfg, qty)
-    days = day_sums(stretches, key).drop("_rs_day_top")
-    offsets = (stretches.join(days, [key, DAY])
-               .select(*[F.col(c).alias(f"_o{c}") for c in (key, DAY, TIME, SLOT)],
+    stretches = stretch_sums(rows, part, cfg, qty, ties=ties)
+    days = day_sums(stretches, part).drop("_rs_day_top")
+    offsets = (stretches.join(days, [part, DAY])
+               .select(*[F.col(c).alias(f"_o{c}") for c in (part, DAY, TIME, SLOT)],
                        F.when(F.col("_rs_top").isNotNull(), F.col("_rs_offset") + F.col("_rs_before")).alias("_rs_start"), "final_qty"))
-    rows = _local_sums(df, key, cfg, qty)
-    same = [F.col(c) == F.col(f"_o{c}") for c in (key, DAY, TIME, SLOT)]
-    out = rows.join(offsets, reduce(lambda a, b: a & b, same), "left")
-    out = out.withColumn("cum_qty", F.when(F.col(qty).isNotNull(), F.col("_rs_start") + F.col(LOCAL)))
+    same = [F.col(c) == F.col(f"_o{c}") for c in (part, DAY, TIME, SLOT)]
+    out = _local_sums(rows, part, cfg, qty, ties).join(offsets, reduce(lambda a, b: a & b, same), "left")
+    out = out.withColumns({"cum_qty": F.when(counts, F.col("_rs_start") + F.col(LOCAL)),
+                           "final_qty": F.when(F.col(key).isNotNull(), F.col("final_qty"))})
     out = out.withColumn(pct_col, share_of_final("cum_qty", "final_qty", positive_final))
     return out.select(*df.columns, "cum_qty", "final_qty", pct_col)
 

@@ -14,6 +14,7 @@ many buckets to a factor of e (above 1): a fine one is at most 1/65,536 wide rel
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,20 +42,21 @@ def value_bucket(v: Column, per_e: int) -> Column:
     return F.when(F.isnan(v), F.lit(1 << 62)).otherwise(place)
 
 
-def _mark(cols: list[str]) -> Column:
+def _mark(cols: list) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(MARKS))
 
 
-def _marked_rows(rows: DataFrame, wanted: DataFrame, cols: list[str]) -> DataFrame:
-    """The ``rows`` whose ``cols`` have the mark of a row of ``wanted``; the marks are one array of ``MARKS`` bits, whatever their number."""
+def _marked_rows(rows: DataFrame, wanted: DataFrame, cols: list[str], places: list[list[Column]] | None = None) -> DataFrame:
+    """The ``rows`` whose ``cols``, or one of ``places``, have the mark of a row of ``wanted``; the marks are one array of
+    ``MARKS`` bits, whatever their number."""
     place = wanted.select(_mark(cols).alias("_m")).select(
         F.floor(F.col("_m") / 64).cast("int").alias("_word"), F.expr("shiftleft(1L, cast(_m % 64 as int))").alias("_bit"))
     none = rows.sparkSession.range(0, MARKS // 64, 1, 1).select(F.col("id").cast("int").alias("_word"), F.lit(0).cast("long").alias("_bit"))
     words = place.unionByName(none).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     bitmap = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("_word", "_bits"))), lambda x: x["_bits"]).alias("_marks"))
-    mark = _mark(cols)
-    hit = F.getbit(F.get("_marks", F.floor(mark / 64).cast("int")), (mark % 64).cast("int")) == 1
-    return rows.join(F.broadcast(bitmap), hit).drop("_marks")
+    marks = [_mark(p) for p in places or [cols]]
+    hits = [F.getbit(F.get("_marks", F.floor(m / 64).cast("int")), (m % 64).cast("int")) == 1 for m in marks]
+    return rows.join(F.broadcast(bitmap), reduce(lambda a, b: a | b, hits)).drop("_marks")
 
 
 def _holding(buckets: DataFrame, ranks: list[Column], within: list[str], place: str, real: Column) -> DataFrame:
@@ -86,10 +88,19 @@ def group_quantiles(df: DataFrame, group_cols: list[str], value: str, probs: dic
     if cfg.approx_accuracy and not weight:
         aggs = [F.percentile_approx(v, p, cfg.approx_accuracy).cast("double").alias(k) for k, p in zip(names, ps)]
         return df.groupBy(*group_cols).agg(*aggs, *[c.alias(k) for k, c in counts.items()])
-    g = group_cols
-    rows = df.select(*g, v.alias("_v"), w.alias("_c")).withColumn("_z", value_bucket(F.col("_v"), COARSE_PER_E))
+    rows = df.select(*group_cols, v.alias("_v"), w.alias("_c")).withColumn("_z", value_bucket(F.col("_v"), COARSE_PER_E))
+    return quantiles_of_buckets(rows, rows.groupBy(*group_cols, "_z").agg(F.sum("_c").alias("_c")), group_cols, probs, n, n_rows)
 
-    buckets = rows.groupBy(*g, "_z").agg(F.sum("_c").alias("_c"))
+
+def quantiles_of_buckets(rows: DataFrame, buckets: DataFrame, group_cols: list[str], probs: dict[str, float], n: str | None = None,
+                         n_rows: str | None = None, expand: Callable[[DataFrame], DataFrame] | None = None,
+                         places: list[list[Column]] | None = None) -> DataFrame:
+    """Quantiles of the (group, ``_z``, ``_v``, ``_c``) ``rows``: a value, its count and coarse bucket, which ``buckets`` counts.
+
+    With ``expand`` a row stands for several groups and is turned into one row for each only if one of its ``places``, the
+    (group, ``_z``) of each as columns of the row, may hold a rank.
+    """
+    g, names, ps = group_cols, list(probs), [float(p) for p in probs.values()]
     real = F.when(F.col("_z").isNotNull(), F.col("_c")).otherwise(0)
     whole = Window.partitionBy(*g)
     buckets = buckets.select(*g, "_z", "_c", F.sum(real).over(whole).alias("_n"), F.sum("_c").over(whole).alias("_rows"))
@@ -98,7 +109,10 @@ def group_quantiles(df: DataFrame, group_cols: list[str], value: str, probs: dic
     wanted = _holding(buckets, ranks, g, "_z", real).drop("_c")
 
     coarse = [*g, "_z"]
-    cells = (_marked_rows(rows, wanted, coarse).groupBy(*coarse, "_v").agg(F.sum("_c").alias("_c"))
+    near = _marked_rows(rows, wanted, coarse, places)
+    if expand:
+        near = _marked_rows(expand(near), wanted, coarse)
+    cells = (near.groupBy(*coarse, "_v").agg(F.sum("_c").alias("_c"))
              .withColumn("_f", value_bucket(F.col("_v"), FINE_PER_E)))
     fine = null_safe_join(cells.groupBy(*coarse, "_f").agg(F.sum("_c").alias("_c")),
                           wanted.withColumnRenamed("_want", "_ranks"), coarse)

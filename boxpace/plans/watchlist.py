@@ -26,20 +26,16 @@ class Watchlist:
     scored: DataFrame     # every upcoming event with its cohort and score
 
 
-def _shares(df: DataFrame, as_of: dt.date, cfg: PacingConfig, extra: list[str]) -> DataFrame:
-    """Sales in the lead window with running % per ``cfg.event_key`` (W2), only the columns the watchlist needs."""
-    rows = known_sales(pacing_rows(df, cfg), as_of, cfg)
-    keep = [cfg.event_key, "event_name", "event_date", "days_out", "d_bin", "qty_sold", *tier_keys(cfg), *order_columns(rows, cfg), *extra]
-    return running_share(rows.select(*dict.fromkeys(keep)), cfg.event_key, cfg, pct_col="hist_cum_pct")
-
-
 def library_rows(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> DataFrame:
     """Past-event sale rows with running % per event name, or ``cfg.event_key`` (W2 then P19).
 
     Running sums and finals span every row in the lead window, upcoming
-    dates included; only then are past events kept (the order matters).
+    dates included; only then are past events kept (the order matters). Only the columns the library needs are kept.
     """
-    return past(_shares(df, as_of, cfg, []), as_of)
+    rows = known_sales(pacing_rows(df, cfg), as_of, cfg)
+    keep = [cfg.event_key, "event_name", "event_date", "days_out", "qty_sold", *tier_keys(cfg), *order_columns(rows, cfg)]
+    shares = running_share(rows.select(*dict.fromkeys(keep)), cfg.event_key, cfg, pct_col="hist_cum_pct", one_shuffle=True)
+    return past(shares.withColumn("d_bin", bin_floor("days_out", cfg)), as_of)
 
 
 def _label_column(df: DataFrame) -> str:
@@ -50,46 +46,15 @@ def _has_keys():
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in EVENT_KEYS])
 
 
-def _sold(rows: DataFrame, label: str, order: list[str], cfg: PacingConfig, weight: str | None = None) -> DataFrame:
-    qty = F.col("qty_sold") * F.col(weight) if weight else F.col("qty_sold")
-    by = F.struct(*[F.col(c) for c in order])
-    agg = (rows.groupBy(*EVENT_KEYS)
-           .agg(F.sum(qty).alias("tickets_so_far"), F.min("days_out").alias("days_out"),
-                F.min_by(F.col(label), F.when(F.col(label).isNotNull(), by)).alias("event_label")))
-    return agg.withColumn("d_bin", bin_floor("days_out", cfg))
-
-
 def sold_now(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> DataFrame:
     """Upcoming events: tickets so far, min days_out, first label."""
     rows = upcoming(known_sales(pacing_rows(df, cfg), as_of, cfg), as_of)
-    return _sold(rows.where(_has_keys()), _label_column(rows), order_columns(rows, cfg), cfg)
-
-
-def _history_and_events(df: DataFrame, as_of: dt.date, cfg: PacingConfig) -> tuple[DataFrame, DataFrame]:
-    """(library base, upcoming events) from one shuffle of the sales.
-
-    Past sales are counted by (event, keys, bin, running %, final), as :func:`cohorts.library_base` does, upcoming ones by what
-    :func:`sold_now` needs; columns of the other kind are NULL. Both sides tell their rows by the same
-    counts, not by grouping columns, which Spark would push down; so their plans are the same up to that shuffle and it runs once.
-    """
-    label = _label_column(df)
-    rows = _shares(df, as_of, cfg, [label])
-    order = order_columns(rows, cfg)
-    is_past = F.col("event_date") < lit_ts(as_of)
-    # The event's own column is a key of both sides.
-    later = [c for c in dict.fromkeys(["event_date", "event_name", "days_out", "qty_sold", label, *order]) if c != cfg.event_key]
-    now = {"d_bin": "d_bin", "hist_cum_pct": "pct", "final_qty": "final"}
-    sides = rows.where(F.col("event_date").isNotNull()).groupBy(
-        F.col(cfg.event_key).alias("event"), *tier_keys(cfg), *[F.when(is_past, F.col(c)).alias(n) for c, n in now.items()],
-        *[F.when(~is_past, F.col(c)).alias(f"_u_{c}") for c in later]).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(is_past).alias("_past"),
-        F.count_if(~is_past & ~_has_keys()).alias("_no_key"))
-    whole = (F.col("_no_key") == 0) & (F.col("_n") > 0)
-    base = (sides.where((F.col("_past") > 0) & whole)
-            .select("event", *tier_keys(cfg), *now.values(), F.col("_n").alias("n_rows")))
-    events = sides.where((F.col("_past") == 0) & whole).select(
-        F.col("event").alias(cfg.event_key), *tier_keys(cfg), *[F.col(f"_u_{c}").alias(c) for c in later], "_n")
-    return base, _sold(events, label, order, cfg, "_n")
+    label = F.col(_label_column(rows))
+    by = F.struct(*[F.col(c) for c in order_columns(rows, cfg)])
+    agg = (rows.where(_has_keys()).groupBy(*EVENT_KEYS)
+           .agg(F.sum("qty_sold").alias("tickets_so_far"), F.min("days_out").alias("days_out"),
+                F.min_by(label, F.when(label.isNotNull(), by)).alias("event_label")))
+    return agg.withColumn("d_bin", bin_floor("days_out", cfg))
 
 
 def score(resolved: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
@@ -115,8 +80,8 @@ def watchlist(df: DataFrame, as_of: dt.date, cfg: PacingConfig = DEFAULT) -> Wat
     resolution per upcoming event, scoring, summary counted before the
     sold-out filter, then the ``watch_top_n`` most-behind rows.
     """
-    base, events = _history_and_events(df, as_of, cfg)
-    resolved = resolve_figures(events, cohort_figures(base, cfg), EVENT_KEYS, cfg)
+    figures = cohort_figures(library_rows(df, as_of, cfg), cfg, event=cfg.event_key)
+    resolved = resolve_figures(sold_now(df, as_of, cfg), figures, EVENT_KEYS, cfg)
     scored = score(resolved, cfg)
     summary = scored.agg(F.count(F.lit(1)).alias("evaluated"),
                          F.count_if(F.col("status") == STATUS_BEHIND).alias("behind"))

@@ -210,3 +210,54 @@ def test_event_key_parts_the_dates_of_a_name(spark):
     assert date == {(19, 1.0): 2.0, (10, 1.0): 2.0, (19, 6.0): 6.0}
     got = W.watchlist(fact, day, DEFAULT.with_(event_key="event_instance", min_cohort=1)).scored.collect()
     assert [(r["event_name"], r["ticket_count"]) for r in got] == [("U", 1)]
+
+
+def _sales(spark, n):
+    """n past sales of 40 names and three venues with some missing names, types, quantities and as many refunds."""
+    i = F.col("id")
+    day = F.to_timestamp_ntz(F.lit("2020-06-20"))
+    return spark.range(0, n, 1, 4).select(
+        F.when(i % 97 != 0, F.concat(F.lit("e"), (i % 40).cast("string"))).alias("event_name"), day.alias("event_date"),
+        (day - F.make_dt_interval((i * 7919 % 110).cast("int"))).alias("sale_date"),
+        F.when(i % 89 != 0, F.lit("T")).alias("event_type"), F.concat(F.lit("v"), (i * 31 % 3).cast("string")).alias("venue"),
+        F.lit("Saturday").alias("weekday"), F.when(i % 83 != 0, (i % 5 - F.when(i % 7 == 0, 4).otherwise(0)).cast("double")).alias("qty_sold"),
+        i.alias("k"))
+
+
+def test_running_sums_of_one_shuffle_equal_those_of_two(spark):
+    """Rows without key or quantity too, and the sale rows are shuffled once."""
+    from test_quantiles import _shuffled
+
+    from boxpace.operators.prep import pacing_rows
+    n = 20_000
+    rows = pacing_rows(_sales(spark, n), CFG).drop("d_bin")
+    got = running_share(rows, "event_name", CFG, one_shuffle=True)
+    got.write.format("noop").mode("overwrite").save()
+    want = running_share(rows, "event_name", CFG)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert {r["final_qty"] is None for r in got.where("event_name is null").collect()} == {True}
+    assert sum(_shuffled(got._jdf.queryExecution().executedPlan()).values()) < 1.7 * n
+
+
+@pytest.mark.parametrize("span", [16, 1])
+def test_library_equals_percentiles_of_the_expanded_rows(spark, monkeypatch, span):
+    from boxpace.operators import cohorts
+    monkeypatch.setattr(cohorts, "RANGE", span)
+    rows = W.library_rows(_sales(spark, 6_000), dt.date(2021, 1, 1), CFG)
+    keys = ["tier_rank", "tier", *tier_keys(CFG)]
+    far = cohorts.explode_tiers(rows.select(*tier_keys(CFG), "event_name", "d_bin", "hist_cum_pct", "final_qty"), CFG)
+    medians, finals = cohort_library(rows, CFG)
+    at = far.groupBy(*keys, "d_bin").agg(F.percentile("hist_cum_pct", F.lit(0.5)).alias("median_pct"), F.count_distinct("event_name").alias("n"))
+    of = far.groupBy(*keys).agg(F.percentile("final_qty", F.lit(0.5)).alias("median_final"), F.count_distinct("event_name").alias("n_events"))
+    for got, want in ((medians, at), (finals, of)):
+        assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_the_library_shuffles_a_sale_twice(spark):
+    """Six times before: two for the running sums, one for the counted rows and the counts of its four tiers."""
+    from test_quantiles import _shuffled
+    n = 60_000
+    medians, _ = cohort_library(W.library_rows(_sales(spark, n), dt.date(2021, 1, 1), CFG), CFG)
+    assert medians.collect()
+    assert n < sum(_shuffled(medians._jdf.queryExecution().executedPlan()).values()) < 3 * n
