@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, TIER_LABELS, PacingConfig, tier_name
-from .quantiles import COARSE_PER_E, group_quantiles, null_safe_join, quantiles_of_buckets, value_bucket
+from .quantiles import group_quantiles, null_safe_join, quantiles_of_buckets, value_bucket
 
+# Coarse buckets to a factor of e, four times as many as in group_quantiles: a bin's shares lie close together, so wider ones
+# would let many sales through that are near no rank.
+COARSE_PER_E = 1 << 10
 # Coarse buckets in a range: sales are dealt to tasks by cohort, bin and range.
-RANGE = 16
+RANGE = 64
 
 
 def tier_keys(cfg: PacingConfig = DEFAULT) -> list[str]:
@@ -71,22 +74,26 @@ def cohort_figures(rows: DataFrame, cfg: PacingConfig = DEFAULT, pct: str = "his
 
     Sale rows are counted by event, keys, bin and coarse bucket of pct, and only these counts are expanded into tiers. The rows
     are dealt by keys, bin and a range of buckets, so a cohort's counts lie in a few tasks and no task has a whole
-    wide one. The rows are read once more for the values near a rank.
+    wide one. The values near a rank are read from the same shuffle: counts and values both name the event, the final and the
+    value of a row, which Spark then can't prune on one side only.
     """
     keys = tier_keys(cfg)
     group = ["tier_rank", *keys, "at_bin", "d_bin"]
     sales = rows.select(F.col(event).alias("event"), *keys, F.col("d_bin").cast("int").alias("d_bin"),
                         F.col(pct).cast("double").alias("_v"), F.col(final).cast("double").alias("final"))
-    sales = sales.withColumn("_z", value_bucket(F.col("_v"), COARSE_PER_E)).withColumn("_range", F.floor(F.col("_z") / RANGE))
     dealt = [*keys, "d_bin", "_range"]
+    sales = (sales.withColumn("_range", F.floor(value_bucket(F.col("_v"), COARSE_PER_E) / RANGE)).repartition(*dealt)
+             .withColumn("_z", value_bucket(F.col("_v"), COARSE_PER_E)))
     # All readers of the counts name their count and their grouping columns only, so that they share one shuffle.
-    cells = sales.repartition(*dealt).groupBy("event", *dealt, "_z", "final").agg(F.count(F.lit(1)).alias("_c"))
+    cells = sales.groupBy("event", *dealt, "_z", "final").agg(F.count(F.lit(1)).alias("_c"))
     at, whole, no_bin = F.lit(True).alias("at_bin"), F.lit(False).alias("at_bin"), F.lit(None).cast("int").alias("d_bin")
     finals = (cells.groupBy("event", *keys, "final").agg(F.sum("_c").alias("_c"))
               .select("event", *keys, whole, no_bin, F.col("final").alias("_v"), "_c")
               .withColumn("_z", value_bucket(F.col("_v"), COARSE_PER_E)))
     here = cells.groupBy(*dealt, "_z").agg(F.sum("_c").alias("_c")).select(*keys, at, "d_bin", "_z", "_c")
-    values = sales.select(*keys, at, "d_bin", "_v", F.lit(1).cast("long").alias("_c"), "_z")
+    # A row without event or final has no value.
+    one = F.when(F.col("event").isNull() | F.col("final").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long")
+    values = sales.select(*keys, at, "d_bin", "_v", one.alias("_c"), "_z")
 
     def both(of_bins, of_all):
         return of_bins.unionByName(of_all) if len(kinds) == 2 else of_bins if kinds[0] else of_all

@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 from ..config import DEFAULT, PacingConfig
 from ..functions.numeric import safe_ratio
@@ -22,8 +22,8 @@ DAY, TIME, SLOT, LOCAL = "_rs_day", "_rs_time", "_rs_slot", "_rs_local"
 _LOW, _HIGH = -(1 << 62), 1 << 62
 
 
-def booking_levels(df: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
-    """Add the levels that split a key's sales in booking order into bounded stretches.
+def booking_levels(df: DataFrame, cfg: PacingConfig = DEFAULT) -> dict[str, Column]:
+    """The levels, by name, that split a key's sales in booking order into bounded stretches.
 
     ``DAY`` is days_out turned round; ``TIME`` the minute of the sale; ``SLOT`` splits the sales dated exactly at that
     minute (all of them where sales carry dates only) by ranges of ``cfg.order_span`` of the first order column, if
@@ -34,9 +34,9 @@ def booking_levels(df: DataFrame, cfg: PacingConfig = DEFAULT) -> DataFrame:
     sale = F.col("sale_date")
     minute = F.unix_date(F.to_date(sale)).cast("long") * 1440 + F.hour(sale) * 60 + F.minute(sale)
     slot = order_slot(df, first, cfg) if first else F.lit(0)
-    return df.withColumns({
+    return {
         DAY: F.coalesce(-F.col("days_out").cast("long"), F.lit(_HIGH)), TIME: F.coalesce(minute, F.lit(_LOW)),
-        SLOT: F.when(F.date_part(F.lit("SECOND"), sale) == 0, slot).otherwise(F.lit(_HIGH)).cast("long")})
+        SLOT: F.when(F.date_part(F.lit("SECOND"), sale) == 0, slot).otherwise(F.lit(_HIGH)).cast("long")}
 
 
 def order_slot(df: DataFrame, column: str, cfg: PacingConfig = DEFAULT) -> Column:
@@ -51,10 +51,11 @@ def order_slot(df: DataFrame, column: str, cfg: PacingConfig = DEFAULT) -> Colum
 def _local_sums(df: DataFrame, key: str, cfg: PacingConfig, qty: str, ties: list[str] | None = None) -> DataFrame:
     """Add the levels and the running sum inside a stretch: one sort of each (key, DAY, TIME, SLOT).
 
-    ``ties`` order rows that the booking order leaves equal.
+    ``ties`` order rows that the booking order leaves equal. The window names the minute first: the sort then mostly compares
+    one number of a row, not the keys' texts.
     """
-    rows = booking_levels(df, cfg)
-    w = (Window.partitionBy(key, DAY, TIME, SLOT).orderBy(*[F.col(c).asc() for c in [*order_columns(df, cfg), *(ties or [])]])
+    rows = df.withColumns(booking_levels(df, cfg))
+    w = (Window.partitionBy(TIME, SLOT, key, DAY).orderBy(*[F.col(c).asc() for c in [*order_columns(df, cfg), *(ties or [])]])
          .rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn(LOCAL, F.sum(F.coalesce(F.col(qty).cast("double"), F.lit(0.0))).over(w))
 
@@ -108,12 +109,17 @@ def running_share(df: DataFrame, key: str, cfg: PacingConfig = DEFAULT, qty: str
     With ``one_shuffle`` the stretches are summed from the rows' own shuffle, so the input is read once: both readings sort by
     all columns of ``df``, which Spark then can't prune on one side only, and rows without key have a stretch key too.
     """
-    part, ties, counts = key, None, F.col(qty).isNotNull()
+    part, ties, has_key = key, None, F.col(key).isNotNull()
     rows = df
     if one_shuffle:
-        part, counts = "_rs_key", counts & F.col(key).isNotNull()
+        part, has_key = "_rs_key", F.col("_rs_key") != ""
         ties = [c for c in df.columns if c not in order_columns(df, cfg)]
         rows = df.withColumn(part, F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+        if df.schema[key].dataType == StringType() and key in ties:
+            # The stretch key holds a text key, which isn't shuffled beside it.
+            rows, ties = rows.drop(key), [c for c in ties if c != key]
+        # The rows are dealt by their stretch, whose levels are worked out after the shuffle.
+        rows = rows.repartition(part, *booking_levels(rows, cfg).values())
     # Both sides of this join name the same columns of the stretches (one without qty needs no start): Spark runs them once.
     stretches = stretch_sums(rows, part, cfg, qty, ties=ties)
     days = day_sums(stretches, part).drop("_rs_day_top")
@@ -122,8 +128,10 @@ def running_share(df: DataFrame, key: str, cfg: PacingConfig = DEFAULT, qty: str
                        F.when(F.col("_rs_top").isNotNull(), F.col("_rs_offset") + F.col("_rs_before")).alias("_rs_start"), "final_qty"))
     same = [F.col(c) == F.col(f"_o{c}") for c in (part, DAY, TIME, SLOT)]
     out = _local_sums(rows, part, cfg, qty, ties).join(offsets, reduce(lambda a, b: a & b, same), "left")
-    out = out.withColumns({"cum_qty": F.when(counts, F.col("_rs_start") + F.col(LOCAL)),
-                           "final_qty": F.when(F.col(key).isNotNull(), F.col("final_qty"))})
+    out = out.withColumns({"cum_qty": F.when(F.col(qty).isNotNull() & has_key, F.col("_rs_start") + F.col(LOCAL)),
+                           "final_qty": F.when(has_key, F.col("final_qty"))})
+    if key not in out.columns:
+        out = out.withColumn(key, F.when(has_key, F.expr(f"substring({part}, 2)")))
     out = out.withColumn(pct_col, share_of_final("cum_qty", "final_qty", positive_final))
     return out.select(*df.columns, "cum_qty", "final_qty", pct_col)
 

@@ -40,7 +40,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean sale fact: one row per line item, dated by its order.
 
-    Each order's event takes place ten days before the next half-year starts.
+    Each order's event takes place ten days before the next half-year starts. Orders meet their customers before their line
+    items, of which there are many more, and names are looked up last: the line items are shuffled with few short columns.
     """
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
@@ -54,11 +55,11 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     event_day = F.date_sub(F.add_months(F.trunc(od, "YEAR"), half), 10)
     y = F.year(od)
     season = F.concat(y.cast("string"), F.lit("-"), F.lpad(((y + 1) % 100).cast("string"), 2, "0"))
+    o = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(p, F.col("l_partkey") == F.col("p_partkey"))
             .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(p, F.col("l_partkey") == F.col("p_partkey"))
             .join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(c, F.col("o_custkey") == F.col("c_custkey"))
             .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                     od.cast("timestamp_ntz").alias("sale_date"),
                     event_day.cast("timestamp_ntz").alias("event_date"),

@@ -259,3 +259,56 @@ def test_the_library_shuffles_a_sale_once_for_its_running_sums(spark):
     rows = W.library_rows(_sales(spark, n), dt.date(2021, 1, 1), CFG)
     assert len(rows.collect()) == n
     assert n <= sum(_shuffled(rows._jdf.queryExecution().executedPlan()).values()) < 1.7 * n
+
+
+def _left_joined(plan):
+    """Rows that come out of an executed plan's left joins, each join once."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _left_joined(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _left_joined(plan.plan())
+    if name == "ReusedExchangeExec":
+        return 0
+    rows = sum(_left_joined(plan.children().apply(i)) for i in range(plan.children().size()))
+    if name.endswith("JoinExec") and plan.joinType().toString() == "LeftOuter":
+        rows += plan.metrics().get("numOutputRows").get().value()
+    return rows
+
+
+def test_counts_and_values_near_a_rank_read_one_shuffle(spark):
+    """The sales were sorted, summed and joined with their stretches' starts once for the counts and once more for the values."""
+    from boxpace.operators.cohorts import cohort_figures
+    n = 5_000
+    figures = cohort_figures(W.library_rows(_sales(spark, n), dt.date(2021, 1, 1), CFG), CFG)
+    figures.collect()
+    assert n <= _left_joined(figures._jdf.queryExecution().executedPlan()) < 1.7 * n
+
+
+def test_a_text_key_is_shuffled_once(spark):
+    """It was shuffled twice, in the stretch key too, and the levels beside it; the columns come out as they went in."""
+    from boxpace.operators.prep import pacing_rows
+    rows = pacing_rows(_sales(spark, 500), CFG).drop("d_bin")
+    got = running_share(rows, "event_name", CFG, one_shuffle=True)
+    assert got.columns == [*rows.columns, "cum_qty", "final_qty", "cum_pct"]
+    assert sorted(map(repr, got.select(*rows.columns).collect())) == sorted(map(repr, rows.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    shuffled = [below for line, below in zip(plan, plan[1:]) if "RepartitionByExpression" in line]
+    assert shuffled and not any("_rs_time" in x or "event_name#" in x.replace("concat(=, event_name#", "") for x in shuffled)
+
+
+def test_line_items_are_shuffled_for_orders_suppliers_and_parts_only(spark):
+    """Customers are joined to the orders; the line items were shuffled for them too."""
+    from test_quantiles import _shuffled
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set(adaptive, "-1")
+    try:
+        sales = T.sales(spark, "/root/testdata/sf0.001")
+        n = len(sales.collect())
+        shuffles = list(_shuffled(sales._jdf.queryExecution().executedPlan()).values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        spark.conf.unset(adaptive)
+    assert sum(x == n for x in shuffles) == 4  # orders, suppliers, parts and, by one short number, nations
